@@ -14,10 +14,12 @@ count, so that lost executors and repeated tasks leave no trace.
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,13 +33,16 @@ from corpusloom.llm.common import mix64, partitions, saved, scratch
 
 MAGIC = b"CLTOKEN1"
 _FOOTER = struct.Struct("<4sIQQQQQQ8s")  # width, levels, documents, keys, directory at, index at, length of null keys, ids, magic
-_CACHE = 400_000  # words kept by an encoder; when there are more it starts anew
+_CACHE = 700_000  # words kept by an encoder; when there are more it keeps those of the texts at hand
+_MARKS = "!#$%&()*+,-./:;=?@[]^_{|}~"
 
 
 class WordEncoder:
     """Encodes whole texts with a tokenizer that never joins text across spaces or line breaks.
 
-    Words between those are encoded once and looked up after that; the ids equal those of the whole text.
+    Words between those are encoded once and looked up after that, and a word of letters that ends in ASCII
+    punctuation is its letters and then that run, as the tokenizer's own split has it; the ids equal those of the
+    whole text.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -46,24 +51,49 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = np.array([end_id], dtype=self.dtype).tobytes()
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"
+        self.end = array(self.kind, [end_id]).tobytes()
         self.words: dict[str, bytes] = {"": b""}
 
+    def _learn(self, words: list[str]) -> None:
+        known = self.words
+        for i in range(0, len(words), 8192):
+            part = words[i : i + 8192]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[word] = array(self.kind, found.ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The raw ids of each text, the end id last."""
         split = [x.replace("\n", " ").split(" ") for x in texts]
-        missing = list(set().union(*split).difference(self.words))
-        if len(self.words) + len(missing) > _CACHE:
-            self.words = {"": b""}
-            missing = [x for x in set().union(*split) if x]
-        for i in range(0, len(missing), 8192):
-            part = missing[i : i + 8192]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[word] = np.array(found.ids, dtype=self.dtype).tobytes()
+        needed = set().union(*split)
+        missing = needed.difference(self.words)
+        if len(self.words) + 2 * len(missing) > _CACHE:
+            self.words = {"": b""} | {x: self.words[x] for x in needed - missing}
+        if missing:
+            known, plain, cut = self.words, set(), []
+            for word in missing:
+                core = word.rstrip(_MARKS)
+                low = core.lower() if core.isascii() else core
+                if low != word and low.isalpha():
+                    tail = word[len(core) :]
+                    cut.append((word, low, tail))
+                    plain.add(low)
+                    plain.add(tail)
+                else:
+                    plain.add(word)
+            self._learn(list(plain.difference(known)))
+            for word, low, tail in cut:
+                known[word] = known[low] + known[tail]
         get = self.words.__getitem__
         return [b"".join(map(get, x)) + self.end for x in split]
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str, end_id: int) -> WordEncoder:
+    """One encoder for each Python worker, whatever the number of its tasks."""
+    return WordEncoder(path, end_id)
+
+
 class PerfectHash:
     """A minimal perfect hash of distinct uint64 keys."""
 
@@ -190,7 +220,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, key: str =
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        encoder = WordEncoder(tokenizer, end_id)
+        encoder = encoder_of(tokenizer, end_id)
         filesystem, folder = pafs.FileSystem.from_uri(root)
         filesystem.create_dir(folder)
         part = TaskContext.get().partitionId()

@@ -43,7 +43,40 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_token_shards, op3_warc, op7_sharding, op10_fingerprints)}
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from corpusloom.llm.pieces import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.language_model import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.toxicity import rate_toxicity
+
+    return rate_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_ALL = (op1_url_filter, op2_token_shards, op3_warc, op4_decontaminate, op5_near_dup, op6_sentencepiece, op7_sharding, op8_language_model, op9_toxicity, op10_fingerprints)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": r"""
@@ -70,4 +103,21 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
         FROM firsts
     """,
+    "op5_near_dup": r"""
+        WITH RECURSIVE split AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM split
+        ), elements AS (SELECT doc_id, len(s) AS n, unnest(s) AS e FROM sets
+        ), pairs AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m
+            FROM elements a JOIN elements b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT x, y FROM pairs WHERE 100 * c >= 75 * (n + m - c) UNION ALL SELECT y, x FROM pairs WHERE 100 * c >= 75 * (n + m - c)
+        ), reach AS (
+            SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.other = l.x
+        ), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+        SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)
+    """,
 }

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.near_dup import bounded
 
 SAMPLE, FEATURES, LEAST, FOLDS, BEGIN = 20_000, 1500, 6, 5, 5
+THRESHOLD = 0.3
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -61,7 +62,7 @@ def _select(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, count: int) -> np
     return np.sort(values[best[chi[best] > 10.8]])
 
 
-def _fit(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, ridge: float = 1.0, steps: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
+def _fit(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, ridge: float = 0.5, steps: int = 120) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression with an L2 penalty by accelerated gradient steps; rows and cols are the ones of the matrix."""
     n, k = len(y), extra.shape[1]
     w, u, b = np.zeros(width), np.zeros(k), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
@@ -141,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     return fit_chain([found[i] for i in order], {n: np.array([-1 if x is None else x for x in got[n].to_pylist()], dtype=int)[order] for n in names})
 
 
-def score(docs: DataFrame, chain: list[Link], key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, chain: list[Link], key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, p_<category> for each link, and toxic: whether the last reaches the threshold; a row for each row of docs."""
     model = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{link.name}" for link in chain]
@@ -176,6 +177,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 
     @F.pandas_udf("boolean")
     def toxic(texts):
-        return texts.map(lambda x: score_chain(model.value, features(x))[-1] >= 0.5)
+        return texts.map(lambda x: score_chain(model.value, features(x))[-1] >= THRESHOLD)
 
     return docs.where(~toxic(F.coalesce(F.col(text), F.lit(""))))

@@ -27,6 +27,8 @@ from corpusloom.llm.common import MAX_BROADCAST_BYTES, mix64, saved, seeds
 WIDTH, T, BANDS, ROWS = 5, 128, 32, 4
 PERCENT = 75
 STARS = 3
+CROWD, COMMON = 32, 64
+SMALL_SETS = 32 << 20  # bytes of sets that are sent to the executors instead of shuffled
 _COEFFICIENTS = seeds(WIDTH, 11) | np.uint64(1)
 _ROUNDS = seeds(2 * T, 23)
 _BAND = seeds(ROWS, 37) | np.uint64(1)
@@ -133,6 +135,12 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * common >= PERCENT * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = sets.join(ids, "id", "left_semi")
+    if (needed.agg(F.sum(F.octet_length("elements") + 64)).first()[0] or 0) <= SMALL_SETS:
+        one = F.broadcast(needed.select(F.col("id").alias("a"), F.col("elements").alias("p")))
+        other = F.broadcast(needed.select(F.col("id").alias("b"), F.col("elements").alias("q")))
+        return pairs.join(one, "a").join(other, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
     degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 128).cast("int").alias("salts"))
     salted = pairs.join(degree, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     one = sets.join(degree, F.col("id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("elements").alias("p"))
@@ -140,6 +148,39 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return salted.join(other, "b").join(one, ["a", "salt"]).select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
+def _profiles(sets: DataFrame) -> DataFrame:
+    """_id, common, rare: how many elements of each set are in COMMON sets or more, and the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = np.frombuffer(own.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found)], names=["id", "e"])
+
+    each = sets.select("id", "elements").mapInArrow(run, "id long, e long")
+    often = each.groupBy("e").agg((F.count(F.lit(1)) >= COMMON).alias("often"))
+    return each.join(often, "e").groupBy(F.col("id").alias("_id")).agg(F.sum(F.col("often").cast("int")).alias("common"), F.collect_list(F.when(~F.col("often"), F.col("e"))).alias("rare"))
+
+
+def _crossing(placed: DataFrame, sets: DataFrame, fits) -> DataFrame:
+    """Pairs (a, b) of one bucket and two components that may reach the similarity."""
+    crowded = placed.groupBy("bucket").count().where(F.col("count") > CROWD).select("bucket")
+    few, many = placed.join(crowded, "bucket", "left_anti"), placed.join(crowded, "bucket")
+    differ = F.col("comp") < F.col("other")
+
+    def renamed(rows: DataFrame) -> DataFrame:
+        return rows.withColumnsRenamed({"id": "a", "n": "m", "comp": "other", "common": "common_a", "rare": "rare_a"})
+
+    pairs = few.join(renamed(few), "bucket").where(differ & fits).select("a", F.col("id").alias("b"))
+    if crowded.isEmpty():
+        return pairs
+    profiles = saved(_profiles(sets.join(many.select("id").distinct(), "id", "left_semi")), "profiles")
+    many = many.join(profiles, F.col("id") == F.col("_id")).drop("_id")
+    bound = F.expr("""CASE WHEN 7 * (least(common, common_a) + least(size(rare), size(rare_a))) < 3 * (n + m) THEN false
+                      ELSE 7 * (least(common, common_a) + size(array_intersect(rare, rare_a))) >= 3 * (n + m) END""")
+    return pairs.union(many.join(renamed(many), "bucket").where(differ & fits & bound).select("a", F.col("id").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs; other columns are ignored.
 
@@ -168,10 +209,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
             centre = placed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "id", "n", "comp")).alias("c"))
             centre = centre.select("bucket", F.col("c.id").alias("a"), F.col("c.n").alias("m"), F.col("c.comp").alias("other"))
+            crossing = placed.join(centre, "bucket").where((F.col("comp") != F.col("other")) & fits).select("a", F.col("id").alias("b"))
         else:
-            centre = placed.select("bucket", F.col("id").alias("a"), F.col("n").alias("m"), F.col("comp").alias("other"))
-        differ = F.col("comp") < F.col("other") if turn == STARS else F.col("comp") != F.col("other")
-        pairs = saved(placed.join(centre, "bucket").where(differ & fits).select("a", F.col("id").alias("b")).distinct(), "pairs")
+            crossing = _crossing(placed, sets, fits)
+        pairs = saved(crossing.distinct(), "pairs")
         if pairs.isEmpty():
             if turn == STARS or placed.isEmpty():
                 break

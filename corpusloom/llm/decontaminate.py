@@ -26,6 +26,7 @@ from corpusloom.llm.near_dup import bounded
 Q, WINDOW, STEP, EDITS = 6, 64, 32, 6
 BLOCK_BYTES = 4 << 20
 _B = np.uint32(0x01000193)
+_LIFT = WINDOW + EDITS + 1  # keeps diagonals and bands positive
 _B2 = np.uint32(0x01000193**2 % (1 << 32))
 
 
@@ -73,8 +74,8 @@ class Windows:
         self.owners = np.concatenate(owners, axis=1)[:, order] if owners else np.empty((2, 0), np.int64)
         self.codes, self.starts = np.unique(code[order], return_index=True)
         self.starts = np.append(self.starts, len(code))
-        self.shift = np.uint32(32 - 22)
-        self.flags = np.zeros(1 << 22, np.uint8)
+        self.shift = np.uint32(32 - 20)
+        self.flags = np.zeros(1 << 20, np.uint8)
         self.flags[self.codes >> self.shift] = 1
 
     def search(self, x: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -82,17 +83,18 @@ class Windows:
         code = grams(x)
         if not len(code) or not len(self.codes):
             return []
-        flagged = self.flags[code >> self.shift]
-        total = np.zeros(len(code) + 1, np.int32)
-        np.cumsum(flagged, dtype=np.int32, out=total[1:])
         span = WINDOW + EDITS
-        dense = total[np.minimum(np.arange(span, len(code) + span), len(code))] - total[:-1] >= self.least  # a match may begin here
+        flagged = self.flags.take(code >> self.shift)
+        total = np.zeros(len(code) + span + 1, np.int32)
+        np.cumsum(flagged, dtype=np.int32, out=total[1 : len(code) + 1])
+        total[len(code) + 1 :] = total[len(code)]
+        dense = total[span:-1] - total[: len(code)] >= self.least  # a match may begin here
         if not dense.any():
             return []
         near = np.zeros(len(code) + span + 1, np.int32)
         begins = np.flatnonzero(dense)
-        np.add.at(near, begins, 1)
-        np.add.at(near, begins + span, -1)
+        near[begins] = 1
+        near[begins + span] -= 1
         spots = np.flatnonzero((np.cumsum(near[: len(code)]) > 0) & (flagged == 1))
         at = np.searchsorted(self.codes, code[spots])
         at[at == len(self.codes)] = 0
@@ -103,11 +105,14 @@ class Windows:
             return []
         flat = np.repeat(self.starts[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         window, offset = self.owners[0][flat], self.owners[1][flat]
-        band = (np.repeat(spots, n) - offset + WINDOW) // (EDITS + 1)
-        keys, counts = np.unique(np.concatenate([window << 40 | band, window << 40 | (band - 1)]), return_counts=True)
+        band = (np.repeat(spots, n) - offset + _LIFT) // (EDITS + 1)
+        keys = np.concatenate([window << 40 | band, window << 40 | (band - 1)])
+        bins = (((keys >> 40) * 0x9E3779B1 + keys) & 0xFFFFF).astype(np.int32)
+        full = np.bincount(bins, minlength=1 << 20) >= self.least  # most keys share no bin with as many hits as a match has
+        keys, counts = np.unique(keys[full[bins]], return_counts=True)
         window, band = keys >> 40, keys & ((1 << 40) - 1)
         good = counts >= self.needed[window]
-        return self._verify(x, window[good], band[good] * (EDITS + 1) - WINDOW)
+        return self._verify(x, window[good], band[good] * (EDITS + 1) - _LIFT)
 
     def _verify(self, x: np.ndarray, window: np.ndarray, low: np.ndarray) -> list[tuple[int, int, int, int]]:
         """Banded alignment; low: the band's lowest diagonal."""

@@ -1,8 +1,20 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+from pyspark.sql import DataFrame, SparkSession
+
+from corpusloom.operators import bayes, evaluate, extract
+
+_MODULES = (extract, bayes, evaluate)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.SQL.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, words, naive Bayes, predictions, and precision and recall by label."""
+    labels, _ = bayes.examples(spark, sf_dir)
+    guessed = bayes.nb_predict(spark, sf_dir).join(labels, "doc_id")
+    return evaluate.prf(guessed.select(guessed.label.alias("gold"), guessed.prediction.alias("pred")))

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.operators import bayes, evaluate, extract
+from corpusloom.functions import normalize, split
+from corpusloom.operators import bayes, constraints, coref, evaluate, extract, learners
 
-_MODULES = (extract, bayes, evaluate)
+_MODULES = (extract, bayes, evaluate, coref, constraints, normalize, learners, split)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.SQL.items()}
 

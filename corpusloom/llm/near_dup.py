@@ -149,17 +149,38 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _profiles(sets: DataFrame) -> DataFrame:
-    """_id, common, rare: how many elements of each set are in COMMON sets or more, and the others."""
+    """_id, common, rare: how many elements of each set are in COMMON sets or more, and the others.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Tasks send one count for each element and batch. The common elements, at most a COMMON-th of all, go to the
+    executors if they are within the bound, and are joined otherwise.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(0)] or [np.empty(0, np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(n)], names=["e", "n"])
+
+    often = saved(sets.select("elements").mapInArrow(count, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).select("e"), "often")
+    if 8 * often.count() <= MAX_BROADCAST_BYTES // 2:
+        known = sets.sparkSession.sparkContext.broadcast(np.sort(often.toArrow()["e"].to_numpy()))
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+                inside = [np.isin(x, known.value) for x in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(i.sum()) for i in inside], pa.int64()), pa.array([x[~i] for x, i in zip(found, inside, strict=True)], pa.list_(pa.int64()))], names=["_id", "common", "rare"])
+
+        return sets.select("id", "elements").mapInArrow(split, "_id long, common long, rare array<long>")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = np.frombuffer(own.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found)], names=["id", "e"])
 
-    each = sets.select("id", "elements").mapInArrow(run, "id long, e long")
-    often = each.groupBy("e").agg((F.count(F.lit(1)) >= COMMON).alias("often"))
-    return each.join(often, "e").groupBy(F.col("id").alias("_id")).agg(F.sum(F.col("often").cast("int")).alias("common"), F.collect_list(F.when(~F.col("often"), F.col("e"))).alias("rare"))
+    each = sets.select("id", "elements").mapInArrow(spread, "id long, e long")
+    marked = each.join(often.withColumn("often", F.lit(True)), "e", "left").withColumn("often", F.coalesce("often", F.lit(False)))
+    return marked.groupBy(F.col("id").alias("_id")).agg(F.sum(F.col("often").cast("int")).alias("common"), F.collect_list(F.when(~F.col("often"), F.col("e"))).alias("rare"))
 
 
 def _crossing(placed: DataFrame, sets: DataFrame, fits) -> DataFrame:

@@ -52,9 +52,11 @@ class Link:
 
 def _select(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, count: int) -> np.ndarray:
     """The hashes whose presence says most about y: largest mutual deviation from independence (chi-square)."""
-    values, inverse, n = np.unique(cols, return_inverse=True, return_counts=True)
+    values, n = np.unique(cols, return_counts=True)
     total, share = len(y), y.mean()
-    hits = np.bincount(inverse, weights=y[rows], minlength=len(values))
+    hits = np.zeros(len(values))
+    with_y, times = np.unique(cols[y[rows] == 1], return_counts=True)
+    hits[np.searchsorted(values, with_y)] = times
     expected = n * share
     chi = (hits - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - n / total), 1e-9)
     chi[(n < LEAST) | (n > 0.5 * total)] = 0
@@ -85,7 +87,12 @@ def _fit(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, w
 def fit_chain(found: list[np.ndarray], labels: dict[str, np.ndarray], folds: int = FOLDS) -> list[Link]:
     """A link for each category of labels, in their order; rows whose label is not 0 or 1 are left out of that link."""
     n = len(found)
-    rows = np.repeat(np.arange(n), [len(x) for x in found])
+    cols = np.concatenate(found) if n else np.empty(0, np.uint32)
+    values, times = np.unique(cols, return_counts=True)
+    often = values[times >= LEAST]  # rarer features are never chosen
+    found = [x[np.isin(x, often, assume_unique=True)] for x in found]
+    del cols, values, times
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in found])
     cols = np.concatenate(found) if n else np.empty(0, np.uint32)
     before, chain = np.empty((n, 0)), []
     for name, label in labels.items():
@@ -95,8 +102,8 @@ def fit_chain(found: list[np.ndarray], labels: dict[str, np.ndarray], folds: int
             y = label[train].astype(float)
             if not len(y) or y.min() == y.max():
                 return Link(name, np.empty(0, np.uint32), np.empty(0), np.zeros(before.shape[1]), -20.0 if not len(y) or y.max() == 0 else 20.0)
-            place = np.full(n, -1)
-            place[train] = np.arange(len(train))
+            place = np.full(n, -1, np.int32)
+            place[train] = np.arange(len(train), dtype=np.int32)
             inside = place[rows] >= 0
             r, c = place[rows[inside]], cols[inside]
             hashes = _select(r, c, y, FEATURES)
@@ -137,8 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), *[batch.column(2 + i) for i in range(len(names))]], names=["_id", "found", *names])
 
     got = rows.mapInArrow(run, "_id long, found binary, " + ", ".join(f"{n} int" for n in names)).toArrow()
-    order = np.lexsort((np.array([xxhash.xxh32_intdigest(x) for x in got["found"].to_pylist()], dtype=np.uint64), got["_id"].to_numpy()))
-    found = [np.frombuffer(x, np.uint32) for x in got["found"].to_pylist()]
+    order = np.lexsort((np.array([xxhash.xxh32_intdigest(x.as_buffer()) for x in got["found"]], dtype=np.uint64), got["_id"].to_numpy()))
+    found = [np.frombuffer(x.as_buffer(), np.uint32) for x in got["found"]]
     return fit_chain([found[i] for i in order], {n: np.array([-1 if x is None else x for x in got[n].to_pylist()], dtype=int)[order] for n in names})
 
 

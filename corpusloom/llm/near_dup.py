@@ -8,8 +8,9 @@ coordinate stays empty. BANDS bands of ROWS coordinates make buckets; with 32 ba
 shares no bucket with probability 5e-6.
 
 Buckets are not expanded into pairs. In star rounds, one member of each bucket is compared with the members of other
-components than its own; verified links merge components. What is left after these rounds, pairs of members of one
-bucket whose components still differ, is compared in full, so no link between bucket partners is lost.
+components than its own; verified links merge components. After STARS rounds, or one that links less than a YIELD-th of
+its pairs, what is left, pairs of members of one bucket whose components still differ, is compared in full, so no link
+between bucket partners is lost.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from corpusloom.llm.common import MAX_BROADCAST_BYTES, mix64, saved, seeds
 
 WIDTH, T, BANDS, ROWS = 5, 128, 32, 4
 PERCENT = 75
-STARS = 3
+STARS, YIELD = 3, 20
 CROWD, COMMON = 32, 64
 SMALL_SETS = 32 << 20  # bytes of sets that are sent to the executors instead of shuffled
 _COEFFICIENTS = seeds(WIDTH, 11) | np.uint64(1)
@@ -102,14 +103,19 @@ def bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if 24 * ids.count() <= MAX_BROADCAST_BYTES else ids
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether every node is either the centre of a star or linked to one centre."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, comp) for all ids of edges (a, b), comp being the smallest id reachable, by alternating stars.
+    """(u, v) for each id u of edges (a, b) that isn't the smallest id v it reaches, by alternating stars.
 
-    Each step replaces a node's links by links to its smallest neighbour; steps are written to the shared folder. No
-    step gathers a node's neighbours, so nodes with many links are no special case.
+    Each step replaces a node's links by links to its smallest neighbour, until all links are stars; steps are written
+    to the shared folder. No step gathers a node's neighbours, so nodes with many links are no special case.
     """
-    links = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = None
+    links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     while True:
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -117,10 +123,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         links = saved(small, "links")
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return links.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(links.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
-        state = now
+        if _stars(links):
+            return links
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -184,16 +188,15 @@ def _profiles(sets: DataFrame) -> DataFrame:
 
 
 def _crossing(placed: DataFrame, sets: DataFrame, fits) -> DataFrame:
-    """Pairs (a, b) of one bucket and two components that may reach the similarity."""
-    crowded = placed.groupBy("bucket").count().where(F.col("count") > CROWD).select("bucket")
-    few, many = placed.join(crowded, "bucket", "left_anti"), placed.join(crowded, "bucket")
+    """Pairs (a, b) of one bucket and two components that may reach the similarity; `held` is a bucket's size."""
+    few, many = placed.where(F.col("held") <= CROWD).drop("held"), placed.where(F.col("held") > CROWD).drop("held")
     differ = F.col("comp") < F.col("other")
 
     def renamed(rows: DataFrame) -> DataFrame:
         return rows.withColumnsRenamed({"id": "a", "n": "m", "comp": "other", "common": "common_a", "rare": "rare_a"})
 
     pairs = few.join(renamed(few), "bucket").where(differ & fits).select("a", F.col("id").alias("b"))
-    if crowded.isEmpty():
+    if many.isEmpty():
         return pairs
     profiles = saved(_profiles(sets.join(many.select("id").distinct(), "id", "left_semi")), "profiles")
     many = many.join(profiles, F.col("id") == F.col("_id")).drop("_id")
@@ -202,6 +205,13 @@ def _crossing(placed: DataFrame, sets: DataFrame, fits) -> DataFrame:
     return pairs.union(many.join(renamed(many), "bucket").where(differ & fits & bound).select("a", F.col("id").alias("b")))
 
 
+def _placed(members: DataFrame, merged: DataFrame | None) -> DataFrame:
+    """members with the component of each, the id itself where nothing was linked."""
+    if merged is None:
+        return members.withColumn("comp", F.col("id"))
+    return members.join(merged, F.col("id") == F.col("u"), "left").withColumn("comp", F.coalesce("v", "id")).drop("u", "v")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs; other columns are ignored.
 
@@ -219,33 +229,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ids = members.select(F.col("id").alias("_id")).distinct()
     own = docs.select(F.col(key).cast("long").alias(key), text)
     sets = saved(_sets(own.join(bounded(ids), F.col(key) == F.col("_id"), "left_semi"), key, text), "sets")
-    labels = members.select("id").distinct().withColumn("comp", F.col("id"))
-    links = None
-    for turn in range(STARS + 1):
-        placed = members.join(labels, "id")
-        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("bucket")
-        placed = saved(placed.join(mixed, "bucket"), "placed")
-        fits = F.expr(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)")
+    fits = F.expr(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)")
+    merged, turn = None, 0
+    while turn <= STARS:
+        placed = _placed(members, merged)
+        order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+        centre = F.min(F.struct(order.alias("o"), "id", "n", "comp")).alias("c")
+        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("held"), centre).where("_low < _high")
         if turn < STARS:  # one member, another in each turn, against all of other components
-            order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-            centre = placed.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "id", "n", "comp")).alias("c"))
-            centre = centre.select("bucket", F.col("c.id").alias("a"), F.col("c.n").alias("m"), F.col("c.comp").alias("other"))
-            crossing = placed.join(centre, "bucket").where((F.col("comp") != F.col("other")) & fits).select("a", F.col("id").alias("b"))
+            mixed = mixed.select("bucket", F.col("c.id").alias("a"), F.col("c.n").alias("m"), F.col("c.comp").alias("other"))
+            crossing = placed.join(mixed, "bucket").where((F.col("comp") != F.col("other")) & fits).select("a", F.col("id").alias("b"))
         else:
-            crossing = _crossing(placed, sets, fits)
+            crossing = _crossing(saved(placed.join(mixed.select("bucket", "held"), "bucket"), "placed"), sets, fits)
         pairs = saved(crossing.distinct(), "pairs")
-        if pairs.isEmpty():
-            if turn == STARS or placed.isEmpty():
-                break
-            continue
-        fresh = saved(_verified(pairs, sets), "verified")
-        if fresh.isEmpty():
-            continue
-        links = fresh if links is None else links.union(fresh)
-        merged = components(links)
-        labels = members.select("id").distinct().join(merged, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
-    labels = labels.select(F.col("id").alias("_id"), "comp")
-    placed = classes.select(F.col("set_key").alias("_key"), "rep").join(labels, F.col("rep") == F.col("_id"), "left").select("_key", F.coalesce("comp", "rep").alias("_comp"))
+        tried = pairs.count()
+        fresh = saved(_verified(pairs, sets), "verified") if tried else None
+        found_now = fresh.count() if tried else 0
+        if found_now:
+            merged = components(fresh if merged is None else merged.select(F.col("u").alias("a"), F.col("v").alias("b")).union(fresh))
+        # a turn that links few of its pairs says that the next ones will: the rest is compared in full
+        turn = STARS if turn < STARS and YIELD * found_now <= tried else turn + 1
+    rows = classes.select(F.col("set_key").alias("_key"), "rep")
+    placed = rows.select("_key", F.col("rep").alias("_comp")) if merged is None else rows.join(merged, F.col("rep") == F.col("u"), "left").select("_key", F.coalesce("v", "rep").alias("_comp"))
     slim = found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key"))
     out = slim.join(placed, F.col("set_key") == F.col("_key"), "left")
     component = F.coalesce("_comp", "doc_id")

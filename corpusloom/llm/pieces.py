@@ -24,10 +24,32 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 LINE = "\x01\n"  # put before a line's first word, which has no mark
-_CACHE = 500_000
+WORDS, PAIRS, RUNS = 200_000, 200_000, 100_000  # a half of what a worker keeps of each
+LONGEST = 64  # longer words are composed anew each time
 _MARKS = "!#$%&()*+,-./:;=?@[]^_{|}~"
 
 
+class Recent:
+    """At most 2 * half values by key: a full newer half becomes the older one, which loses what was not used since."""
+
+    def __init__(self, half: int):
+        self.half, self.newer, self.older = half, {}, {}
+
+    def get(self, key):
+        found = self.newer.get(key)
+        if found is None:
+            found = self.older.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value):
+        if len(self.newer) >= self.half:
+            self.older, self.newer = self.newer, {}
+        self.newer[key] = value
+        return value
+
+
 class PieceTransducer:
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -57,10 +79,10 @@ class PieceTransducer:
         self.letters = set("".join(self.ids))
         self.prefixes = {x[:n] for x in self.ids for n in range(1, len(x) + 1)}
         self.whole = {x for x in self.ids if self._merged(x) == [x]}  # what the merges can produce at all
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs = Recent(PAIRS)
         self.lines = "\n" not in self.letters
-        self.runs: dict[str, list[str]] = {}
-        self.known: dict[str, bytes] = {}
+        self.runs = Recent(RUNS)
+        self.known = Recent(WORDS)
 
     def _merged(self, text: str) -> list[str]:
         """The pieces that merging the characters of text gives: always the pair of the highest score, the leftmost first."""
@@ -77,11 +99,11 @@ class PieceTransducer:
         return parts
 
     def _follow(self, a: str, b: str) -> bool:
-        found = self.pairs.get((a, b))
+        found = self.pairs.newer.get((a, b))
         if found is None:
-            if len(self.pairs) > 2 * _CACHE:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self._merged(a + b) == [a, b]
+            found = self.pairs.get((a, b))
+            if found is None:
+                found = self.pairs.put((a, b), self._merged(a + b) == [a, b])
         return found
 
     def _path(self, text: str) -> list[str]:
@@ -118,9 +140,7 @@ class PieceTransducer:
         if core == run or len(core) < 2:
             return self._path(run)
         tail = run[len(core) :]
-        first, rest = (self.runs.get(x) or self.runs.setdefault(x, self._path(x)) for x in (core, tail))
-        if len(self.runs) > _CACHE:
-            self.runs.clear()
+        first, rest = (self.runs.get(x) or self.runs.put(x, self._path(x)) for x in (core, tail))
         return [*first, *rest] if self._follow(first[-1], rest[0]) else self._path(run)
 
     def _word(self, word: str) -> bytes:
@@ -167,11 +187,13 @@ class PieceTransducer:
         known = self.known
         out = []
         for word in words:
-            found = known.get(word)
+            found = known.newer.get(word)
             if found is None:
-                if len(known) > _CACHE:
-                    known.clear()
-                found = known[word] = self._word(word[1:] if word.startswith(LINE) else MARK + word)
+                found = known.get(word)
+                if found is None:
+                    found = self._word(word[1:] if word.startswith(LINE) else MARK + word)
+                    if len(word) <= LONGEST:
+                        known.put(word, found)
             out.append(found)
         return np.frombuffer(b"".join(out), np.int32)
 

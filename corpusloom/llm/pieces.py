@@ -109,7 +109,7 @@ class PieceTransducer:
     def _path(self, text: str) -> list[str]:
         """The shortest path over a text whose characters are all in pieces."""
         n, dead, path, ends = len(text), set(), [], [0]
-        whole, prefixes = self.whole, self.prefixes
+        whole, prefixes, follow = self.whole, self.prefixes, self._follow
 
         def arcs(at: int) -> Iterator[str]:
             stop = at + 1
@@ -122,7 +122,7 @@ class PieceTransducer:
         stack = [arcs(0)]
         while ends[-1] < n:
             for piece in stack[-1]:
-                if (ends[-1] + len(piece), piece) not in dead and (not path or self._follow(path[-1], piece)):
+                if (not dead or (ends[-1] + len(piece), piece) not in dead) and (not path or follow(path[-1], piece)):
                     path.append(piece)
                     ends.append(ends[-1] + len(piece))
                     stack.append(arcs(ends[-1]))
@@ -145,6 +145,8 @@ class PieceTransducer:
 
     def _word(self, word: str) -> bytes:
         """Ids of one normalised word, as 32-bit integers."""
+        if self.letters.issuperset(word):
+            return array("i", [self.ids[x] for x in self._run(word)]).tobytes() if word else b""
         out, run = array("i"), []
 
         def flush():

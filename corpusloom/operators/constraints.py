@@ -7,7 +7,6 @@ A constraint is a tree of tuples: ("is", var, value), ("not", c), ("and", c, ...
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,26 +134,21 @@ def no_link_to_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _linked(spark, sf_dir).agg((~F.bool_or((F.col("score") > 8) & (F.col("mtype") != "error") & (F.col("prev_type") == "error"))).alias("holds"))
 
 
+def best_links(linked: DataFrame) -> DataFrame:
+    """doc, sent, links, total, optimal of the 0-1 program over pairs: a link is worth score - 5, each mention has at most
+    one, an `error` mention that has a choice must link.
+
+    No rule names two mentions, so the program falls apart by idx: the best link of a mention is taken if it is worth
+    more than none or has to be. This is the optimum `solve` finds, ties going to no link, at any number of mentions.
+    """
+    best = linked.groupBy("doc", "sent", "idx", "mtype").agg((F.max("score") - 5.0).alias("worth"))
+    taken = (F.col("worth") > 0) | (F.col("mtype") == "error")
+    return best.groupBy("doc", "sent").agg(F.count_if(taken).alias("links"), F.round(F.sum(F.when(taken, F.col("worth")).otherwise(0.0)), 4).alias("total"), F.lit(True).alias("optimal"))
+
+
 def ilp_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of each sentence's first five mentions: at most one link for each, an `error` mention must link."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        own = group[["idx", "prev", "score", "mtype"]].sort_values(["idx", "prev"])
-        scores = {(int(i), int(p)): {"false": 0.0, "true": float(s) - 5.0} for i, p, s in zip(own["idx"], own["prev"], own["score"], strict=True)}
-        rules = []
-        for idx, part in own.groupby("idx"):
-            links = [("is", (int(idx), int(p)), "true") for p in part["prev"]]
-            rules.append(("atmost", 1, *links))
-            if part["mtype"].iloc[0] == "error":
-                rules.append(("or", *links))
-        values, total, solved = solve(scores, rules)
-        links = sorted(k for k, v in values.items() if v == "true")
-        return pd.DataFrame([(group["doc"].iloc[0], group["sent"].iloc[0], len(links), round(total, 4) if solved else None, solved)], columns=["doc", "sent", "links", "total", "optimal"])
-
-    rows = mentions(spark, sf_dir)
-    first = rows.groupBy("doc", "sent").agg(F.min("idx").alias("low"))
-    few = rows.join(first, ["doc", "sent"]).where("idx < low + 5")
-    return pairs(few.drop("low")).groupBy("doc", "sent").applyInPandas(run, "doc string, sent int, links long, total double, optimal boolean")
+    """Links of each sentence's mentions, all of them: at most one link for each, an `error` mention must link."""
+    return best_links(pairs(mentions(spark, sf_dir)))
 
 
 QUERIES = {f.__name__: f for f in (constraint_forall, constraint_exists, constraint_atleast, constraint_atmost, no_link_to_error, ilp_inference)}

@@ -5,12 +5,13 @@ import pandas as pd
 import pytest
 
 from corpusloom.functions.split import ends_sentence, split_sentences, split_words_of
-from corpusloom.operators.constraints import linearize, solve, truth
-from corpusloom.operators.coref import merge_search
+from corpusloom.operators.constraints import best_links, linearize, solve, truth
+from corpusloom.operators.coref import merge_search, pairs
 from corpusloom.operators.learners import LinearUnit, t_quantile, train_groups, train_sequence
 from corpusloom.plans.registry import ORACLE_SQL, QUERIES
 from corpusloom.plans.spec import Classifier, extract
 from corpusloom.sources import readers
+from corpusloom.sources.views import mentions
 
 ROWS = [({"a": 1.0}, 1.0), ({"b": 1.0}, 0.0), ({"a": 1.0, "b": 1.0}, 1.0), ({"b": 1.0}, 0.0)]
 
@@ -87,6 +88,33 @@ def test_solver_and_rows_equal_brute_force(rule):
     assert [v for v in _all(scores) if holds(v)] == allowed
 
 
+def test_links_of_all_mentions_equal_the_solver(spark):
+    rows = [("d", 0, i, kind, float(v)) for i, (kind, v) in enumerate([("view", 1), ("error", 30), ("view", 2), ("click", 60), ("error", 31), ("view", 36), ("error", 90), ("view", 3)])]
+    made = [(d, s, i, p, kind, 10.0 - abs(v - rows[p][4])) for d, s, i, kind, v in rows for p in range(i)]
+    rules = []
+    for i in range(1, len(rows)):
+        own = [("is", (i, p), "true") for p in range(i)]
+        rules += [("atmost", 1, *own), *([("or", *own)] if rows[i][3] == "error" else [])]
+    links = total = 0
+    for i in range(1, len(rows)):
+        values, worth, solved = solve({(i, m[3]): {"false": 0.0, "true": m[5] - 5.0} for m in made if m[2] == i}, [r for r in rules if str((i, 0)) in str(r)])
+        assert solved
+        links, total = links + sum(v == "true" for v in values.values()), total + worth
+    found = best_links(spark.createDataFrame(made, "doc string, sent int, idx int, prev int, mtype string, score double")).collect()
+    assert [tuple(r) for r in found] == [("d", 0, links, pytest.approx(total), True)]
+
+
+def test_ilp_reaches_every_mention(spark):
+    base = "/root/testdata/sf0.01"
+    rows = mentions(spark, base)
+    worth = {}
+    for r in pairs(rows).select("doc", "idx", "mtype", "score").collect():
+        worth[r.doc, r.idx] = max(worth.get((r.doc, r.idx), (float("-inf"), ""))[0], r.score - 5), r.mtype
+    taken = [w for w, kind in worth.values() if w > 0 or kind == "error"]
+    found = QUERIES["ilp_inference"](spark, base).collect()
+    assert sum(r.links for r in found) == len(taken) and sum(r.total for r in found) == pytest.approx(sum(taken), abs=0.1)
+
+
 def test_splitters():
     found = split_sentences('Dr. Smith came. He said "no!" Then at 5 p.m. EST it\nended. U.S. law\n\nnew one')
     assert [x["text"] for x in found][0] == "Dr. Smith came."

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators.coref import _P, pairs
+from corpusloom.operators.coref import _P, document_pairs, pairs
 from corpusloom.sources.views import mentions
 
 UNKNOWN = None
@@ -109,29 +109,66 @@ def linearize(c: tuple, rows: list, helpers: dict) -> tuple:
     return helpers[key], 1
 
 
-def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(mentions(spark, sf_dir)).groupBy("doc", "idx")
+def _forall(made: DataFrame) -> DataFrame:
+    return made.groupBy("doc", "idx").agg(F.bool_and(F.col("score") > 0).alias("holds"))
+
+
+def _exists(made: DataFrame) -> DataFrame:
+    return made.groupBy("doc", "idx").agg(F.bool_or(F.col("score") > 8).alias("holds"))
+
+
+def _atleast(made: DataFrame) -> DataFrame:
+    return made.groupBy("doc", "idx").agg((F.sum((F.col("score") > 5).cast("int")) >= 2).alias("holds"))
+
+
+def _atmost(made: DataFrame) -> DataFrame:
+    return made.groupBy("doc", "idx").agg((F.sum((F.col("score") > 8).cast("int")) <= 1).alias("holds"))
+
+
+def _no_error(made: DataFrame) -> DataFrame:
+    return made.groupBy("doc", "idx").agg((~F.bool_or((F.col("score") > 8) & (F.col("mtype") != "error") & (F.col("prev_type") == "error"))).alias("holds"))
 
 
 def constraint_forall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _linked(spark, sf_dir).agg(F.bool_and(F.col("score") > 0).alias("holds"))
+    return _forall(pairs(mentions(spark, sf_dir)))
 
 
 def constraint_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _linked(spark, sf_dir).agg(F.bool_or(F.col("score") > 8).alias("holds"))
+    return _exists(pairs(mentions(spark, sf_dir)))
 
 
 def constraint_atleast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _linked(spark, sf_dir).agg((F.sum((F.col("score") > 5).cast("int")) >= 2).alias("holds"))
+    return _atleast(pairs(mentions(spark, sf_dir)))
 
 
 def constraint_atmost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _linked(spark, sf_dir).agg((F.sum((F.col("score") > 8).cast("int")) <= 1).alias("holds"))
+    return _atmost(pairs(mentions(spark, sf_dir)))
 
 
 def no_link_to_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Other types may not link to `error`: not exists (link and previous type)."""
-    return _linked(spark, sf_dir).agg((~F.bool_or((F.col("score") > 8) & (F.col("mtype") != "error") & (F.col("prev_type") == "error"))).alias("holds"))
+    return _no_error(pairs(mentions(spark, sf_dir)))
+
+
+def document_constraint_forall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As constraint_forall, over all earlier mentions of the document; so are the document_ queries below."""
+    return _forall(document_pairs(mentions(spark, sf_dir)))
+
+
+def document_constraint_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exists(document_pairs(mentions(spark, sf_dir)))
+
+
+def document_constraint_atleast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _atleast(document_pairs(mentions(spark, sf_dir)))
+
+
+def document_constraint_atmost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _atmost(document_pairs(mentions(spark, sf_dir)))
+
+
+def document_no_link_to_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _no_error(document_pairs(mentions(spark, sf_dir)))
 
 
 def best_links(linked: DataFrame) -> DataFrame:
@@ -147,11 +184,11 @@ def best_links(linked: DataFrame) -> DataFrame:
 
 
 def ilp_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of each sentence's mentions, all of them: at most one link for each, an `error` mention must link."""
-    return best_links(pairs(mentions(spark, sf_dir)))
+    """Links of each sentence's mentions to any earlier ones of the document: at most one for each, an `error` mention must link."""
+    return best_links(document_pairs(mentions(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (constraint_forall, constraint_exists, constraint_atleast, constraint_atmost, no_link_to_error, ilp_inference)}
+QUERIES = {f.__name__: f for f in (constraint_forall, constraint_exists, constraint_atleast, constraint_atmost, no_link_to_error, document_constraint_forall, document_constraint_exists, document_constraint_atleast, document_constraint_atmost, document_no_link_to_error, ilp_inference)}
 SQL = {
     "constraint_forall": f"{_P} SELECT doc, idx, bool_and(score > 0) AS holds FROM pairs GROUP BY 1, 2",
     "constraint_exists": f"{_P} SELECT doc, idx, bool_or(score > 8) AS holds FROM pairs GROUP BY 1, 2",

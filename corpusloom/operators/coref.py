@@ -19,27 +19,50 @@ def pairs(rows: DataFrame) -> DataFrame:
     return rows.join(earlier, ["doc", "sent"]).where("prev < idx").withColumn("score", pair_score(F.col("v"), F.col("w")))
 
 
+BLOCK = 512
+
+
+def document_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Each mention with every earlier one of its document.
+
+    Earlier mentions are keyed by blocks of idx and each mention is sent to the blocks up to its own, so a task holds
+    at most `block` earlier mentions of a key however long the document is.
+    """
+    number = lambda c: F.floor(F.col(c) / block).cast("int")
+    earlier = rows.select("doc", F.col("idx").alias("prev"), F.col("v").alias("w"), F.col("mtype").alias("prev_type"), F.col("entity").alias("prev_entity"), number("idx").alias("_block"))
+    later = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), number("idx"))))
+    return later.join(earlier, ["doc", "_block"]).where("prev < idx").drop("_block").withColumn("score", pair_score(F.col("v"), F.col("w")))
+
+
+def _paired(made: DataFrame) -> DataFrame:
+    return made.select("doc", "prev", "idx", (F.col("entity") == F.col("prev_entity")).alias("same"), F.round("score", 4).alias("score"))
+
+
 def mention_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(mentions(spark, sf_dir)).select("doc", "prev", "idx", (F.col("entity") == F.col("prev_entity")).alias("same"), F.round("score", 4).alias("score"))
+    return _paired(pairs(mentions(spark, sf_dir)))
 
 
-def best_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The earlier mention with the highest positive score, the first of equals."""
-    best = pairs(mentions(spark, sf_dir)).where("score > 0").groupBy("doc", "idx").agg(F.min(F.struct((-F.col("score")).alias("s"), "prev")).alias("b"))
+def _best(made: DataFrame) -> DataFrame:
+    best = made.where("score > 0").groupBy("doc", "idx").agg(F.min(F.struct((-F.col("score")).alias("s"), "prev")).alias("b"))
     return best.select("doc", "idx", F.col("b.prev").alias("link"), F.round(-F.col("b.s"), 4).alias("score"))
 
 
+def best_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earlier mention of the sentence with the highest positive score, the first of equals."""
+    return _best(pairs(mentions(spark, sf_dir)))
+
+
+def _allowed(made: DataFrame) -> DataFrame:
+    return made.where("mtype = 'error' OR prev_type <> 'error'")
+
+
 def best_link_constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best link without links from other types to `error`, the stand-in for pronouns."""
-    rows = pairs(mentions(spark, sf_dir)).where("score > 0 AND (mtype = 'error' OR prev_type <> 'error')")
-    best = rows.groupBy("doc", "idx").agg(F.min(F.struct((-F.col("score")).alias("s"), "prev")).alias("b"))
-    return best.select("doc", "idx", F.col("b.prev").alias("link"))
+    return _best(_allowed(pairs(mentions(spark, sf_dir)))).drop("score")
 
 
-def closest_antecedent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cluster ids by following each mention's nearest earlier partner with a score over 8; the chase runs inside a day."""
-    rows = mentions(spark, sf_dir)
-    near = pairs(rows).where("score > 8").groupBy("doc", "idx").agg(F.max("prev").alias("link"))
+def _clusters(rows: DataFrame, made: DataFrame) -> DataFrame:
+    near = made.where("score > 8").groupBy("doc", "idx").agg(F.max("prev").alias("link"))
 
     def chase(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("idx")
@@ -51,6 +74,30 @@ def closest_antecedent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc", "idx").join(near, ["doc", "idx"], "left").groupBy("doc").applyInPandas(chase, "doc string, idx int, cluster long")
 
 
+def closest_antecedent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster ids by following each mention's nearest earlier partner with a score over 8; the chase runs inside a day."""
+    rows = mentions(spark, sf_dir)
+    return _clusters(rows, pairs(rows))
+
+
+def document_mention_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As mention_pairs, over the whole document; so are the document_ queries below. The SQL fixes the others' scope."""
+    return _paired(document_pairs(mentions(spark, sf_dir)))
+
+
+def document_best_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _best(document_pairs(mentions(spark, sf_dir)))
+
+
+def document_best_link_constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _best(_allowed(document_pairs(mentions(spark, sf_dir)))).drop("score")
+
+
+def document_closest_antecedent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mentions(spark, sf_dir)
+    return _clusters(rows, document_pairs(rows))
+
+
 def chain_grams(rows: DataFrame, n: int = 2) -> DataFrame:
     """doc, gram, count: n-grams of types along each chain; n is cut to the chain's length."""
     chain = Window.partitionBy("doc", "entity").orderBy("idx")
@@ -194,7 +241,7 @@ def perturbed_labels(spark: SparkSession, sf_dir: str, rate: float = 0.1) -> Dat
 _P = f"WITH {MENTIONS_SQL}, pairs AS (SELECT a.*, b.idx AS prev, b.mtype AS prev_type, b.entity AS prev_entity, 10.0 - abs(a.v - b.v) AS score FROM mentions a JOIN mentions b ON a.doc = b.doc AND a.sent = b.sent AND b.idx < a.idx)"
 _C = f"WITH {MENTIONS_SQL}, g AS (SELECT doc, mtype || coalesce(' ' || lead(mtype) OVER c, '') AS gram, row_number() OVER c AS nth, count(*) OVER (PARTITION BY doc, entity) AS size FROM mentions WINDOW c AS (PARTITION BY doc, entity ORDER BY idx)), grams AS (SELECT doc, gram, count(*) AS count FROM g WHERE nth <= greatest(size - 1, 1) GROUP BY ALL)"
 _G = f"WITH {MENTIONS_SQL}, hours AS (SELECT unnest(range(0, 24)) AS sent), cells AS (SELECT doc, entity, h.sent FROM (SELECT DISTINCT doc, entity FROM mentions) CROSS JOIN hours h)"
-QUERIES = {f.__name__: f for f in (mention_pairs, best_link, best_link_constrained, closest_antecedent, chain_ngrams, grid_ngrams_representative, grid_ngrams_full, adjacency_counts, subject_ngrams, ngram_diff_full_outer, all_chains, top_chains, singleton_merge, cluster_merge_search, perturbed_labels)}
+QUERIES = {f.__name__: f for f in (mention_pairs, best_link, best_link_constrained, closest_antecedent, document_mention_pairs, document_best_link, document_best_link_constrained, document_closest_antecedent, chain_ngrams, grid_ngrams_representative, grid_ngrams_full, adjacency_counts, subject_ngrams, ngram_diff_full_outer, all_chains, top_chains, singleton_merge, cluster_merge_search, perturbed_labels)}
 SQL = {
     "mention_pairs": f"{_P} SELECT doc, prev, idx, entity = prev_entity AS same, round(score, 4) AS score FROM pairs",
     "best_link": f"{_P}, r AS (SELECT *, row_number() OVER (PARTITION BY doc, idx ORDER BY score DESC, prev) AS k FROM pairs WHERE score > 0) SELECT doc, idx, prev AS link, round(score, 4) AS score FROM r WHERE k = 1",

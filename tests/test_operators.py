@@ -6,7 +6,7 @@ import pytest
 
 from corpusloom.functions.split import ends_sentence, split_sentences, split_words_of
 from corpusloom.operators.constraints import best_links, linearize, solve, truth
-from corpusloom.operators.coref import merge_search, pairs
+from corpusloom.operators.coref import document_pairs, merge_search
 from corpusloom.operators.learners import LinearUnit, t_quantile, train_groups, train_sequence
 from corpusloom.plans.registry import ORACLE_SQL, QUERIES
 from corpusloom.plans.spec import Classifier, extract
@@ -108,13 +108,37 @@ def test_ilp_reaches_every_mention(spark):
     base = "/root/testdata/sf0.01"
     rows = mentions(spark, base)
     worth = {}
-    for r in pairs(rows).select("doc", "idx", "mtype", "score").collect():
+    for r in document_pairs(rows).select("doc", "idx", "mtype", "score").collect():
         worth[r.doc, r.idx] = max(worth.get((r.doc, r.idx), (float("-inf"), ""))[0], r.score - 5), r.mtype
     taken = [w for w, kind in worth.values() if w > 0 or kind == "error"]
     found = QUERIES["ilp_inference"](spark, base).collect()
     assert sum(r.links for r in found) == len(taken) and sum(r.total for r in found) == pytest.approx(sum(taken), abs=0.1)
 
 
+def test_links_cross_sentences(spark):
+    base = "/root/testdata/sf0.001"
+    docs: dict = {}
+    for r in mentions(spark, base).orderBy("doc", "idx").collect():
+        docs.setdefault(r.doc, []).append(r)
+    made = {(r.doc, r.prev, r.idx): r.score for r in document_pairs(mentions(spark, base), block=8).collect()}
+    brute = {(d, a.idx, b.idx): 10.0 - abs(b.v - a.v) for d, own in docs.items() for b in own for a in own[: b.idx]}
+    assert made == pytest.approx(brute)
+    best, cluster, holds = {}, {}, {}
+    for d, own in docs.items():
+        for b in own:
+            scores = [(brute[d, a.idx, b.idx], -a.idx) for a in own[: b.idx]]
+            if scores and max(scores)[0] > 0:
+                best[d, b.idx] = -max(scores)[1]
+            near = [-p for s, p in scores if s > 8]
+            cluster[d, b.idx] = cluster[d, max(near)] if near else b.idx
+            if scores:
+                holds[d, b.idx] = any(s > 8 for s, _ in scores)
+    assert {(r.doc, r.idx): r.link for r in QUERIES["document_best_link"](spark, base).collect()} == best
+    assert {(r.doc, r.idx): r.cluster for r in QUERIES["document_closest_antecedent"](spark, base).collect()} == cluster
+    assert {(r.doc, r.idx): r.holds for r in QUERIES["document_constraint_exists"](spark, base).collect()} == holds
+    assert len(best) > QUERIES["best_link"](spark, base).count()
+
+
 def test_splitters():
     found = split_sentences('Dr. Smith came. He said "no!" Then at 5 p.m. EST it\nended. U.S. law\n\nnew one')
     assert [x["text"] for x in found][0] == "Dr. Smith came."

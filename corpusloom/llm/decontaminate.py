@@ -183,8 +183,9 @@ def _search(rows: DataFrame, block: list) -> DataFrame:
                 starts = np.concatenate([[0], np.cumsum([len(x) + len(gap) for x in texts])])
                 best: dict = defaultdict(list)
                 for window, begin, end, edits in windows.search(_points(gap.join(texts))):
-                    doc = int(np.searchsorted(starts, begin, "right")) - 1
-                    best[doc, windows.items[window]].append((window, begin - int(starts[doc]), end - int(starts[doc]), edits))
+                    doc = int(np.searchsorted(starts, end - 1, "right")) - 1  # begin may fall before the document
+                    size = len(texts[doc])
+                    best[doc, windows.items[window]].append((window, max(0, begin - int(starts[doc])), min(size, end - int(starts[doc])), edits))
                 if best:
                     ids = own.column(0).to_pylist()
                     made = [(ids[d], item, len({m[0] for m in x}), min(m[3] for m in x), min(m[1] for m in x), max(m[2] for m in x)) for (d, item), x in sorted(best.items(), key=lambda y: (y[0][0], str(y[0][1])))]

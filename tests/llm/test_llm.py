@@ -127,6 +127,18 @@ def test_leaks(spark):
     assert {r.doc_id for r in decontaminate.drop_leaks(docs(spark, rows), bench).collect()} == {3, 4, 6}
 
 
+def test_leak_at_a_document_start(spark):
+    item = "The quick brown fox jumps over the lazy dog while seven wizards"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, "clean " * 30), (2, item[3:] + " end" * 20), (3, "calm " * 30), (4, item.replace("quick", "quik")), (5, None), (6, item[:-3])]
+    for order in (rows, rows[::-1]):
+        found = decontaminate.find_leaks(docs(spark, order).coalesce(1), bench).collect()
+        assert {r.doc_id for r in found} == {2, 4, 6}
+        sizes = {d: len(decontaminate.normal(t)) for d, t in rows}
+        assert all(0 <= r.begin < r.end <= sizes[r.doc_id] for r in found)
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs(spark, rows).coalesce(1), bench).collect()} == {1, 3, 5}
+
+
 def brute_components(rows):
     sets = []
     for _, text in rows:

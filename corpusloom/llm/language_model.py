@@ -91,7 +91,11 @@ def _triples(docs: DataFrame, top: list[bytes]) -> DataFrame:
             ids: list[int] = [0, 0]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if not held_out(doc_id):
-                    ids.extend(map(table.__getitem__, words(text.as_py())))
+                    own = words(text.as_py())
+                    if not own:
+                        total[0] += 1  # the end after the start twice, which looks like a second end to _add
+                        continue
+                    ids.extend(map(table.__getitem__, own))
                     ids += (0, 0)
                 if len(ids) > 1_000_000:
                     _add(total, ids)
@@ -105,7 +109,7 @@ def _triples(docs: DataFrame, top: list[bytes]) -> DataFrame:
 
 
 def _add(total: np.ndarray, ids: list[int]) -> None:
-    """Counts the triples of documents that are each followed by two ends, of which the second starts the next."""
+    """Counts the triples of documents with words that are each followed by two ends, of which the second starts the next."""
     x = np.array(ids, dtype=np.int64)
     place = (x[:-2] * _S + x[1:-1]) * _S + x[2:]
     second = (x[1:-1] == 0) & (x[2:] == 0)  # the end that is only context

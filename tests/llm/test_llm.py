@@ -222,6 +222,13 @@ def test_model_adds_up_to_one():
     assert np.allclose((10.0 ** model.table.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+def test_every_training_token_ends_a_triple(spark):
+    rows = [(i, t) for i, t in enumerate(["a b", "", None, "  ", "a", ""] * 5) if not language_model.held_out(i)]
+    found = {r.place: r.n for r in language_model._triples(docs(spark, rows), [b"a", b"b"]).collect()}
+    assert found[0] == sum(not language_model.words(t) for _, t in rows)
+    assert sum(found.values()) == sum(len(language_model.words(t)) + 1 for _, t in rows)
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     bad = ["idiot", "scum", "trash"]

@@ -246,6 +246,28 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, key: str =
     return saved(rows.mapInArrow(write, _MANIFEST), "token-manifest")
 
 
+def located(shard: Shard) -> Iterator[tuple[pa.Array, np.ndarray, list[np.ndarray]]]:
+    """Keys, first id and ids of each document, up to 512 at once, read at the place the index gives for its key.
+
+    The index leads to the first document of a key; those that repeat it follow there. Null keys are not in the index
+    and come from the directory.
+    """
+    stored = shard.keys[shard.nulls :]
+    distinct, first, back = np.unique(stored, return_index=True, return_inverse=True)
+    found = shard.places_of(distinct)
+    if (found < 0).any():
+        raise ValueError("a stored key is not in the index")
+    places = np.concatenate([np.arange(shard.nulls), found[back] + np.arange(len(stored)) - first[back]])
+    for i in range(0, shard.documents, 512):
+        own = places[i : i + 512]
+        if (np.diff(own) == 1).all():  # neighbours in the file are read at once
+            ids = shard.read(int(own[0]), int(own[-1]) + 1).astype("<u4")
+            ids = np.split(ids, shard.offsets[own[1:]] - shard.offsets[own[0]])
+        else:
+            ids = [shard.read(int(x), int(x) + 1).astype("<u4") for x in own]
+        yield pa.array(shard.keys[i : i + 512], pa.int64(), mask=np.arange(i, i + len(own)) < shard.nulls), shard.offsets[own], ids
+
+
 def read_token_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 for each document of the shards, found through their index.
 
@@ -258,20 +280,10 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for uri, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(*pafs.FileSystem.from_uri(uri))
-                places = np.arange(shard.documents)
-                found = shard.places_of(shard.keys[shard.nulls :])
-                if (found < 0).any():
-                    raise ValueError(f"{uri}: a stored key is not in the index")
-                lone = shard.keys[found] == shard.keys[shard.nulls :]
-                if not lone.all():
-                    raise ValueError(f"{uri}: the index leads to another key")
-                for i in range(0, shard.documents, 512):
-                    own = places[i : i + 512]
-                    ids = shard.read(int(own[0]), int(own[-1]) + 1).astype("<u4")
-                    cuts = shard.offsets[own[0] : own[-1] + 2] - shard.offsets[own[0]]
-                    sums = [zlib.crc32(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                    keys = pa.array(shard.keys[own], pa.int64(), mask=own < shard.nulls)
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(shard.offsets[own] + base), pa.array(np.diff(cuts)), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                for keys, begins, ids in located(shard):
+                    counts = np.array([len(x) for x in ids], np.int64)
+                    sums = [zlib.crc32(x) for x in ids]
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(begins + base), pa.array(counts), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return shards.repartition(partitions(manifest.sparkSession)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

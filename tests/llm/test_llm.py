@@ -56,6 +56,19 @@ def test_token_shards(spark):
     assert token_shards.read_token_shards(token_shards.write_token_shards(empty(spark), path, 1)).count() == 0
 
 
+def test_rows_come_through_the_index(tmp_path):
+    from pyarrow import fs
+
+    one = [np.array(x, "<u2").tobytes() for x in ([1], [2, 2], [3], [4, 4, 4], [5])]
+    with open(tmp_path / "s", "wb") as out:
+        token_shards.write_shard(out, np.dtype("<u2"), [([None, 7, 7, 8, 9], one)])
+    shard = token_shards.Shard(fs.LocalFileSystem(), str(tmp_path / "s"))
+    read = lambda: [(k, b, x.tolist()) for keys, begins, ids in token_shards.located(shard) for k, b, x in zip(keys.to_pylist(), begins.tolist(), ids, strict=True)]
+    assert read() == [(None, 0, [1]), (7, 1, [2, 2]), (7, 3, [3]), (8, 4, [4, 4, 4]), (9, 7, [5])]
+    shard.places_of = lambda keys: np.array([1, 4, 3])  # an index that swaps 8 and 9 shows in the rows
+    assert read()[3:] == [(8, 7, [5]), (9, 4, [4, 4, 4])]
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 60, 5000).astype(np.uint64))
     assert sorted(token_shards.PerfectHash.build(keys).slots(keys).tolist()) == list(range(len(keys)))

@@ -58,7 +58,28 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df as a table in the shared folder, dealt and sorted by key, so that joins on key move the other side only."""
+    spark = df.sparkSession
+    path, own, n = scratch(spark, name), f"{name}_{uuid.uuid4().hex}", partitions(spark)
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(own)
+    out = spark.table(own)
+    out._shared_path, out._shared_table = path, own
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Removes saved or bucketed tables that no later step reads."""
+    for df in tables:
+        if df is not None:
+            if hasattr(df, "_shared_table"):
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._shared_table}")
+            remove(df.sparkSession, df._shared_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,3 +128,18 @@ def ranked(df: DataFrame, keys: list, name: str, within: list[str] = ()) -> Data
     for c in within:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
     return local.join(counts, on).withColumn("rank_no", F.col("_before") + F.col("_row") - 1).drop("_part", "_p", "_before", "_row", *[f"_{c}" for c in within])
+
+
+def trimmed() -> None:
+    """Gives memory that a Python worker no longer uses back to the system; called at the end of a task."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        return

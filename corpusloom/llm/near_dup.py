@@ -7,10 +7,13 @@ when all bins are full; the last T rounds, of which round T + j puts all element
 coordinate stays empty. BANDS bands of ROWS coordinates make buckets; with 32 bands of 4, a pair of similarity 0.75
 shares no bucket with probability 5e-6.
 
-Buckets are not expanded into pairs. In star rounds, one member of each bucket is compared with the members of other
-components than its own; verified links merge components. After STARS rounds, or one that links less than a YIELD-th of
-its pairs, what is left, pairs of members of one bucket whose components still differ, is compared in full, so no link
-between bucket partners is lost.
+Buckets are not expanded into pairs. In the first star turn each member is compared with one centre, the smallest id of
+the bucket that it shares most often; in the second with CENTRES hashed members of each of its buckets. Members of one
+component are no longer compared, so groups of copies shrink to a few stars. What is left, pairs of members of one
+bucket whose components still differ, is compared in full, so no link between bucket partners is lost.
+
+Sets lie in the shared folder, dealt by id, and are not shuffled whole. For a turn, each member's set goes to the task
+of its centre, and the centre's set goes to as many tasks as its members fill, at most PART of them in each.
 """
 
 from __future__ import annotations
@@ -23,13 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import MAX_BROADCAST_BYTES, mix64, saved, seeds
+from corpusloom.llm.common import MAX_BROADCAST_BYTES, bucketed, forget, mix64, partitions, saved, seeds
 
 WIDTH, T, BANDS, ROWS = 5, 128, 32, 4
 PERCENT = 75
-STARS, YIELD = 3, 20
+CENTRES, PART = 4, 256
 CROWD, COMMON = 32, 64
-SMALL_SETS = 32 << 20  # bytes of sets that are sent to the executors instead of shuffled
 _COEFFICIENTS = seeds(WIDTH, 11) | np.uint64(1)
 _ROUNDS = seeds(2 * T, 23)
 _BAND = seeds(ROWS, 37) | np.uint64(1)
@@ -115,7 +117,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each step replaces a node's links by links to its smallest neighbour, until all links are stars; steps are written
     to the shared folder. No step gathers a node's neighbours, so nodes with many links are no special case.
     """
-    links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    links, last = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), None
     while True:
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -123,33 +125,40 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         links = saved(small, "links")
+        forget(last)
         if _stars(links):
             return links
+        last = links
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; ids with many partners are salted."""
+    """The pairs (a, b) whose full sets reach the similarity.
+
+    Sets of b come to the task of a; a's own comes once to each task that holds a part of its partners.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = np.empty(0, np.uint64)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(e.as_buffer(), np.uint64) for e in (x, y))
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * common >= PERCENT * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = sets.join(ids, "id", "left_semi")
-    if (needed.agg(F.sum(F.octet_length("elements") + 64)).first()[0] or 0) <= SMALL_SETS:
-        one = F.broadcast(needed.select(F.col("id").alias("a"), F.col("elements").alias("p")))
-        other = F.broadcast(needed.select(F.col("id").alias("b"), F.col("elements").alias("q")))
-        return pairs.join(one, "a").join(other, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
-    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 128).cast("int").alias("salts"))
-    salted = pairs.join(degree, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    one = sets.join(degree, F.col("id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("elements").alias("p"))
-    other = sets.select(F.col("id").alias("b"), F.col("elements").alias("q"))
-    return salted.join(other, "b").join(one, ["a", "salt"]).select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (b, own) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                own = np.frombuffer(own.as_buffer(), np.uint64)
+                if not b.is_valid:
+                    centre = own.copy()
+                    continue
+                at = np.searchsorted(centre, own)
+                at[at == len(centre)] = 0
+                common = int(np.count_nonzero(centre[at] == own))
+                keep[i] = 100 * common >= PERCENT * (len(centre) + len(own) - common)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    partners = dealt.join(sets.withColumnRenamed("id", "b"), "b").select("a", "b", "elements", "part")
+    centres = parts.join(sets.withColumnRenamed("id", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "elements", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rows = centres.unionByName(partners).repartition(partitions(sets.sparkSession), "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return rows.select("a", "b", "elements").mapInArrow(run, "a long, b long")
 
 
 def _profiles(sets: DataFrame) -> DataFrame:
@@ -187,6 +196,24 @@ def _profiles(sets: DataFrame) -> DataFrame:
     return marked.groupBy(F.col("id").alias("_id")).agg(F.sum(F.col("often").cast("int")).alias("common"), F.collect_list(F.when(~F.col("often"), F.col("e"))).alias("rare"))
 
 
+def _starred(placed: DataFrame, fits, centres: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's centre and a member of another component.
+
+    With one centre, the smallest id, only the centre that b meets in most buckets; with more, the first by hash in each
+    of so many parts of the bucket, and all that b meets.
+    """
+    one = F.struct((F.col("id") if centres == 1 else F.xxhash64("id", F.lit(1))).alias("o"), "id", "n", "comp")
+    part = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(centres))
+    firsts = [F.min(F.when(part == i, one)).alias(f"c{i}") for i in range(centres)]
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), *firsts).where("_low < _high")
+    mixed = mixed.select("bucket", F.explode(F.array_compact(F.array(*[f"c{i}" for i in range(centres)]))).alias("c"))
+    mixed = mixed.select("bucket", F.col("c.id").alias("a"), F.col("c.n").alias("m"), F.col("c.comp").alias("other"))
+    met = placed.join(mixed, "bucket").where((F.col("comp") != F.col("other")) & fits).groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    if centres > 1:
+        return met.select("a", "b")
+    return met.groupBy("b").agg(F.min(F.struct((-F.col("times")).alias("t"), "a")).alias("x")).select("x.a", "b")
+
+
 def _crossing(placed: DataFrame, sets: DataFrame, fits) -> DataFrame:
     """Pairs (a, b) of one bucket and two components that may reach the similarity; `held` is a bucket's size."""
     few, many = placed.where(F.col("held") <= CROWD).drop("held"), placed.where(F.col("held") > CROWD).drop("held")
@@ -228,27 +255,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     members = saved(spread.join(shared, "bucket").distinct(), "members")
     ids = members.select(F.col("id").alias("_id")).distinct()
     own = docs.select(F.col(key).cast("long").alias(key), text)
-    sets = saved(_sets(own.join(bounded(ids), F.col(key) == F.col("_id"), "left_semi"), key, text), "sets")
+    sets = bucketed(_sets(own.join(bounded(ids), F.col(key) == F.col("_id"), "left_semi"), key, text), "sets", "id")
     fits = F.expr(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)")
-    merged, turn = None, 0
-    while turn <= STARS:
+    merged = None
+    for turn in ("nearest", "hashed", "rest"):
         placed = _placed(members, merged)
-        order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        centre = F.min(F.struct(order.alias("o"), "id", "n", "comp")).alias("c")
-        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("held"), centre).where("_low < _high")
-        if turn < STARS:  # one member, another in each turn, against all of other components
-            mixed = mixed.select("bucket", F.col("c.id").alias("a"), F.col("c.n").alias("m"), F.col("c.comp").alias("other"))
-            crossing = placed.join(mixed, "bucket").where((F.col("comp") != F.col("other")) & fits).select("a", F.col("id").alias("b"))
+        if turn == "rest":
+            mixed = placed.groupBy("bucket").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("held")).where("_low < _high")
+            held = saved(placed.join(mixed.select("bucket", "held"), "bucket"), "placed")
+            crossing = _crossing(held, sets, fits).distinct()
         else:
-            crossing = _crossing(saved(placed.join(mixed.select("bucket", "held"), "bucket"), "placed"), sets, fits)
-        pairs = saved(crossing.distinct(), "pairs")
-        tried = pairs.count()
-        fresh = saved(_verified(pairs, sets), "verified") if tried else None
-        found_now = fresh.count() if tried else 0
-        if found_now:
-            merged = components(fresh if merged is None else merged.select(F.col("u").alias("a"), F.col("v").alias("b")).union(fresh))
-        # a turn that links few of its pairs says that the next ones will: the rest is compared in full
-        turn = STARS if turn < STARS and YIELD * found_now <= tried else turn + 1
+            crossing = _starred(placed, fits, 1 if turn == "nearest" else CENTRES)
+        pairs = saved(crossing, "pairs")
+        if pairs.isEmpty():
+            forget(pairs)
+            if turn == "nearest":
+                break
+            continue
+        fresh = saved(_verified(pairs, sets), "verified")
+        forget(pairs)
+        if not fresh.isEmpty():
+            last, merged = merged, components(fresh if merged is None else merged.select(F.col("u").alias("a"), F.col("v").alias("b")).union(fresh))
+            forget(last)
+        forget(fresh)
+    forget(sets, members)
     rows = classes.select(F.col("set_key").alias("_key"), "rep")
     placed = rows.select("_key", F.col("rep").alias("_comp")) if merged is None else rows.join(merged, F.col("rep") == F.col("u"), "left").select("_key", F.coalesce("v", "rep").alias("_comp"))
     slim = found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key"))

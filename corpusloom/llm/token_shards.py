@@ -15,8 +15,11 @@ count, so that lost executors and repeated tasks leave no trace.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from array import array
@@ -33,16 +36,24 @@ from corpusloom.llm.common import mix64, partitions, saved, scratch
 
 MAGIC = b"CLTOKEN1"
 _FOOTER = struct.Struct("<4sIQQQQQQ8s")  # width, levels, documents, keys, directory at, index at, length of null keys, ids, magic
-_CACHE = 700_000  # words kept by an encoder; when there are more it keeps those of the texts at hand
-_MARKS = "!#$%&()*+,-./:;=?@[]^_{|}~"
+_CACHE = 400_000  # a half of the words that an encoder keeps
+_MARKS = re.escape("!#$%&()*+,-./:;=?@[]^_{|}~")
+# Letters that the normaliser leaves as they are or changes to one other letter, whatever stands beside them.
+_STEADY = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower().isalpha() and all(unicodedata.normalize("NFC", x) == x for x in (c, c.lower())))
+_OTHER = re.compile("[^\x00-\x7f" + "".join(c for c in _STEADY if c > "\x7f") + "]")
+_BORDER = re.compile(f"(?<=[{_STEADY}])(?=[{_MARKS}])")
+# The steps of a tokenizer that never joins text across spaces and splits letters from marks: fixed values of its format.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class WordEncoder:
-    """Encodes whole texts with a tokenizer that never joins text across spaces or line breaks.
+    """Encodes whole texts; the ids equal those of the library on each text.
 
-    Words between those are encoded once and looked up after that, and a word of letters that ends in ASCII
-    punctuation is its letters and then that run, as the tokenizer's own split has it; the ids equal those of the
-    whole text.
+    A tokenizer of the known steps never joins text across spaces or line breaks, so words between those are encoded once
+    and kept. As it also cuts letters from marks, a space is put between a steady letter and an ASCII mark, and texts
+    without other letters are lower-cased, so that fewer words differ. Words go to the library many at once, with a digit
+    that none of them has between them. With any other tokenizer, texts are encoded one by one.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -50,41 +61,59 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # what is kept of words is kept here
+        self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.kind = "H" if self.dtype.itemsize == 2 else "I"
         self.end = array(self.kind, [end_id]).tobytes()
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: list[str]) -> None:
-        known = self.words
-        for i in range(0, len(words), 8192):
-            part = words[i : i + 8192]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = array(self.kind, found.ids).tobytes()
+        steps = json.loads(self.tokenizer.to_str())
+        split = (steps["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self.by_word = (steps["normalizer"] or {}).get("normalizers") == _NORMAL and split[0].get("pattern") == {"Regex": _SPLIT} and len(split) == 2 and not split[1].get("add_prefix_space", True) and all(x["special"] and "<" in x["content"] for x in steps["added_tokens"])
+        self.bar = np.frombuffer(self._ids(["0"])[0], self.dtype)[0] if self.by_word else None
+        self.newer: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array(self.kind, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Words and their raw ids."""
+        plain = [x for x in words if "0" not in x]
+        made, item = {}, self.dtype.itemsize
+        for i in range(0, len(plain), 256):
+            part = plain[i : i + 256]
+            raw = self._ids([" 0 ".join(part)])[0]
+            cuts = (np.flatnonzero(np.frombuffer(raw, self.dtype) == self.bar) * item).tolist()
+            made |= zip(part, [raw[a:b] for a, b in zip([0, *(x + item for x in cuts)], [*cuts, len(raw)], strict=True)], strict=True)
+        other = [x for x in words if "0" in x]
+        for i in range(0, len(other), 4096):
+            made |= zip(other[i : i + 4096], self._ids(other[i : i + 4096]), strict=True)
+        return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The raw ids of each text, the end id last."""
-        split = [x.replace("\n", " ").split(" ") for x in texts]
+        if not self.by_word:
+            return [x + self.end for x in self._ids(texts)]
+        whole = [i for i, x in enumerate(texts) if "<|" in x]  # the strings of added tokens are cut out before all else
+        if whole:
+            out = self.encode([x if "<|" not in x else "" for x in texts])
+            for i, x in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+                out[i] = x + self.end
+            return out
+        apart = [_BORDER.sub(" ", x) for x in texts]
+        split = [(x if _OTHER.search(x) else x.lower()).replace("\n", " ").split(" ") for x in apart]
         needed = set().union(*split)
-        missing = needed.difference(self.words)
-        if len(self.words) + 2 * len(missing) > _CACHE:
-            self.words = {"": b""} | {x: self.words[x] for x in needed - missing}
+        missing = needed.difference(self.newer)
         if missing:
-            known, plain, cut = self.words, set(), []
-            for word in missing:
-                core = word.rstrip(_MARKS)
-                low = core.lower() if core.isascii() else core
-                if low != word and low.isalpha():
-                    tail = word[len(core) :]
-                    cut.append((word, low, tail))
-                    plain.add(low)
-                    plain.add(tail)
-                else:
-                    plain.add(word)
-            self._learn(list(plain.difference(known)))
-            for word, low, tail in cut:
-                known[word] = known[low] + known[tail]
-        get = self.words.__getitem__
+            again = missing & self.older.keys()
+            known = self._learn(missing - again) | {x: self.older[x] for x in again}
+            if len(self.newer) + len(known) > _CACHE:
+                known |= {x: self.newer[x] for x in needed - missing}
+                self.older, self.newer = self.newer, {}
+            self.newer |= known
+        get = self.newer.__getitem__
         return [b"".join(map(get, x)) + self.end for x in split]
 
 
@@ -94,6 +123,9 @@ def encoder_of(path: str, end_id: int) -> WordEncoder:
     return WordEncoder(path, end_id)
 
 
+BLOCK = 512  # bits of the index between two stored ranks
+
+
 class PerfectHash:
     """A minimal perfect hash of distinct uint64 keys."""
 
@@ -103,11 +135,15 @@ class PerfectHash:
         self.flags = np.unpackbits(bits, bitorder="little")
         self.ranks = np.concatenate([[0], np.cumsum(self.flags, dtype=np.int64)])
 
+    def blocks(self) -> np.ndarray:
+        """The rank at the begin of each block of BLOCK bits."""
+        return self.ranks[:-1:BLOCK].astype("<u8")
+
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
         sizes, levels, left = [], [], keys
         while len(left):
-            size = max(64, -(-2 * len(left) // 64) * 64)
+            size = -(-2 * len(left) // BLOCK) * BLOCK
             at = cls._at(left, len(sizes), size)
             alone = np.bincount(at, minlength=size) == 1
             levels.append(np.packbits(alone, bitorder="little"))
@@ -154,7 +190,7 @@ def write_shard(out, dtype: np.dtype, batches: Iterable[tuple[list[int | None],
     stored[slots], places[slots] = fingerprints(distinct.view(np.uint64)), first + nulls
     parts = [keys.tobytes(), offsets.tobytes()]
     at = directory + sum(map(len, parts))
-    parts += [np.array(index.sizes, "<u8").tobytes(), index.bits.tobytes(), stored.tobytes(), places.tobytes()]
+    parts += [np.array(index.sizes, "<u8").tobytes(), index.bits.tobytes(), index.blocks().tobytes(), stored.tobytes(), places.tobytes()]
     parts.append(_FOOTER.pack(f"u{dtype.itemsize}  ".encode(), len(index.sizes), len(keys), len(distinct), directory, at, nulls, int(offsets[-1]), MAGIC))
     for x in parts:
         out.write(x)
@@ -163,43 +199,73 @@ def write_shard(out, dtype: np.dtype, batches: Iterable[tuple[list[int | None],
 
 
 class Shard:
-    """Reads a shard file: by key in constant time, or one document after another."""
+    """Reads a shard file: by key in constant time, or one document after another.
+
+    Opening reads the footer and the index's level sizes. `get` reads, for each level it has to try (two on average, few
+    at most), one block of bits, then a rank, a fingerprint, a place, a key and two offsets; nothing that grows with the
+    shard. The parts below `whole` are read at once when all documents are wanted.
+    """
 
     def __init__(self, filesystem: pafs.FileSystem, path: str):
         self.file = filesystem.open_input_file(path)
         size = self.file.size()
-        width, levels, self.documents, n, directory, at, self.nulls, self.ids, magic = _FOOTER.unpack(self.file.read_at(_FOOTER.size, size - _FOOTER.size))
+        width, levels, self.documents, self.n, self.directory, at, self.nulls, self.ids, magic = _FOOTER.unpack(self.file.read_at(_FOOTER.size, size - _FOOTER.size))
         if magic != MAGIC or self.file.read_at(8, 0) != MAGIC:
             raise ValueError(f"{path} is not a token shard")
         self.dtype = np.dtype(f"<{width.decode().strip()}")
-        head = self.file.read_at(16 * self.documents + 8, directory)
-        self.keys = np.frombuffer(head, "<i8", self.documents)
-        self.offsets = np.frombuffer(head, "<u8", self.documents + 1, 8 * self.documents).astype(np.int64)
-        rest = self.file.read_at(size - _FOOTER.size - at, at)
-        sizes = np.frombuffer(rest, "<u8", levels).astype(np.int64).tolist()
-        length = sum(sizes) // 8
-        self.index = PerfectHash(sizes, np.frombuffer(rest, np.uint8, length, 8 * levels))
-        self.stored = np.frombuffer(rest, "<u4", n, 8 * levels + length)
-        self.places = np.frombuffer(rest, "<u4", n, 8 * levels + length + 4 * n)
+        self.sizes = np.frombuffer(self.file.read_at(8 * levels, at), "<u8").astype(np.int64).tolist()
+        self.bits_at = at + 8 * levels
+        self.ranks_at = self.bits_at + sum(self.sizes) // 8
+        self.stored_at = self.ranks_at + sum(self.sizes) // BLOCK * 8
+        self.places_at = self.stored_at + 4 * self.n
+
+    def _numbers(self, kind: str, at: int, n: int = 1) -> np.ndarray:
+        return np.frombuffer(self.file.read_at(n * np.dtype(kind).itemsize, at), kind)
+
+    @functools.cached_property
+    def whole(self) -> tuple[np.ndarray, np.ndarray, PerfectHash, np.ndarray, np.ndarray]:
+        """Keys, offsets, index, fingerprints and places of all documents."""
+        keys, offsets = self._numbers("<i8", self.directory, self.documents), self._numbers("<u8", self.directory + 8 * self.documents, self.documents + 1)
+        index = PerfectHash(self.sizes, self._numbers("u1", self.bits_at, sum(self.sizes) // 8))
+        return keys, offsets.astype(np.int64), index, self._numbers("<u4", self.stored_at, self.n), self._numbers("<u4", self.places_at, self.n)
 
     def places_of(self, keys: np.ndarray) -> np.ndarray:
         """The directory place of each int64 key, -1 if it is not stored."""
+        own, _, index, stored, places = self.whole
         keys = np.ascontiguousarray(keys, dtype=np.int64).view(np.uint64)
-        if not len(self.stored):
+        if not self.n:
             return np.full(len(keys), -1, dtype=np.int64)
-        slots = self.index.slots(keys)
-        known = (slots >= 0) & (self.stored[slots] == fingerprints(keys))
-        places = np.where(known, self.places[slots].astype(np.int64), -1)
-        return np.where(known & (self.keys[places].view(np.uint64) == keys), places, -1)
+        slots = index.slots(keys)
+        known = (slots >= 0) & (stored[slots] == fingerprints(keys))
+        found = np.where(known, places[slots].astype(np.int64), -1)
+        return np.where(known & (own[found].view(np.uint64) == keys), found, -1)
 
     def read(self, first: int, last: int) -> np.ndarray:
         """The ids of documents first to last - 1 of the directory."""
-        begin, end = self.offsets[first], self.offsets[last]
-        return np.frombuffer(self.file.read_at(int(end - begin) * self.dtype.itemsize, len(MAGIC) + int(begin) * self.dtype.itemsize), self.dtype)
+        offsets = self.whole[1]
+        return self._ids(int(offsets[first]), int(offsets[last]))
+
+    def _ids(self, begin: int, end: int) -> np.ndarray:
+        return self._numbers(self.dtype.str, len(MAGIC) + begin * self.dtype.itemsize, end - begin)
 
     def get(self, key: int) -> np.ndarray | None:
-        place = int(self.places_of(np.array([key]))[0])
-        return None if place < 0 else self.read(place, place + 1)
+        """The ids of the first document of a key, None if there is none."""
+        own, start = np.array([key], np.int64).view(np.uint64), 0
+        for level, size in enumerate(self.sizes):
+            bit = start + int(PerfectHash._at(own, level, size)[0])
+            block, inside = divmod(bit, BLOCK)
+            flags = np.unpackbits(self._numbers("u1", self.bits_at + block * BLOCK // 8, BLOCK // 8), bitorder="little")
+            if flags[inside]:
+                slot = int(self._numbers("<u8", self.ranks_at + 8 * block)[0]) + int(flags[:inside].sum())
+                if self._numbers("<u4", self.stored_at + 4 * slot)[0] != fingerprints(own)[0]:
+                    return None
+                place = int(self._numbers("<u4", self.places_at + 4 * slot)[0])
+                if self._numbers("<i8", self.directory + 8 * place)[0] != key:
+                    return None
+                begin, end = self._numbers("<u8", self.directory + 8 * (self.documents + place), 2).tolist()
+                return self._ids(begin, end)
+            start += size
+        return None
 
 
 _MANIFEST = "part int, path string, documents long, n_ids long, bytes long, low long, high long"
@@ -252,7 +318,8 @@ def located(shard: Shard) -> Iterator[tuple[pa.Array, np.ndarray, list[np.ndarra
     The index leads to the first document of a key; those that repeat it follow there. Null keys are not in the index
     and come from the directory.
     """
-    stored = shard.keys[shard.nulls :]
+    keys, offsets = shard.whole[:2]
+    stored = keys[shard.nulls :]
     distinct, first, back = np.unique(stored, return_index=True, return_inverse=True)
     found = shard.places_of(distinct)
     if (found < 0).any():
@@ -262,10 +329,10 @@ def located(shard: Shard) -> Iterator[tuple[pa.Array, np.ndarray, list[np.ndarra
         own = places[i : i + 512]
         if (np.diff(own) == 1).all():  # neighbours in the file are read at once
             ids = shard.read(int(own[0]), int(own[-1]) + 1).astype("<u4")
-            ids = np.split(ids, shard.offsets[own[1:]] - shard.offsets[own[0]])
+            ids = np.split(ids, offsets[own[1:]] - offsets[own[0]])
         else:
             ids = [shard.read(int(x), int(x) + 1).astype("<u4") for x in own]
-        yield pa.array(shard.keys[i : i + 512], pa.int64(), mask=np.arange(i, i + len(own)) < shard.nulls), shard.offsets[own], ids
+        yield pa.array(keys[i : i + 512], pa.int64(), mask=np.arange(i, i + len(own)) < shard.nulls), offsets[own], ids
 
 
 def read_token_shards(manifest: DataFrame) -> DataFrame:

@@ -1,15 +1,24 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation.
 
 Words are A-Z lower-cased and cut at ASCII white space; each text ends with an end token. The model predicts a symbol:
-one of the SYMBOLS most frequent training tokens, the end, or one of CLASSES classes of all other words, by the hash of
-a word's last bytes. The symbol's representation is predicted bilinearly from those of the two symbols before it, with
-a matrix for each place. It is trained in numpy on the counts of symbol triples over all training documents, by
-noise-contrastive estimation against the symbols' own frequencies. Batched matrix products then give the normalised
-log-probability of every symbol after every pair. A word of a class has the class's probability times its smoothed
-share of the class, in which one place is left for words never seen; so each token's distribution adds up to 1.
-
-Counts of all words come from all training documents. The HEAD most frequent words (a fixed bound) go to every executor;
-the words beyond are looked up by a join, so every token meets its exact count.
+the end, one of the most frequent training words, or a class of all other words, by the hash of a word's last bytes.
+Both numbers grow with the corpus: of N training tokens, 2 * N^(1/3) words (FEWEST at least) have vectors of their own,
+and there is a class for every eight of them (CLASSES at least); so the S^3 terms of the normaliser stay in proportion to
+N. A symbol's representation is predicted bilinearly from those of the two symbols before it, with a matrix for each
+place.
+
+Training is numpy on the executors. In each of ROUNDS rounds every task starts from the same parameters, goes once over
+all its training tokens in batches (again, where they are so few that they make less than LEAST_STEPS batches), with
+noise drawn from the symbols' own frequencies, and sends its parameters; these are averaged in two steps, a symbol's
+vectors in proportion to how often a task met it. So every training token is learned from, and only sums of parameters
+reach the driver. Batched matrix products then give the logarithm of the normaliser after every pair of symbols, also on
+the executors, and a token's log-probability is two look-ups less that. A word of a class has the class's probability
+times its smoothed share of the class, in which one place is left for words never seen; so each token's distribution adds
+up to 1.
+
+Counts of all words come from all training documents. The HEAD most frequent words (a fixed bound, ties by the word) go to
+every executor; the words beyond are looked up by a join, so every token meets its exact count. Texts are cut into words
+once for counting and once for symbols, which are kept in the shared folder; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -18,6 +27,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +35,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import saved
+from corpusloom.llm.common import partitions, saved, trimmed
 
-SYMBOLS, CLASSES, HEAD, DIMENSION = 95, 32, 150_000, 24
+FEWEST, CLASSES, HEAD = 95, 32, 150_000
+DIMENSION, ROUNDS, BATCH, NOISE, LEAST_STEPS = 16, 2, 8192, 32, 400
+_CHUNK = 1 << 20  # tokens that are put into random order at once
 SMOOTH = 0.1
 END = b"\n"  # no word holds white space
 _FLUSH = 400_000
@@ -42,8 +54,14 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
 
 
-def class_of(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % CLASSES
+def class_of(word: bytes, classes: int) -> int:
+    return zlib.crc32(word[-2:]) % classes
+
+
+def vocabulary(tokens: int) -> tuple[int, int]:
+    """How many words have vectors of their own, and how many classes the others form."""
+    words = max(FEWEST, int(2 * tokens ** (1 / 3)))
+    return words, max(CLASSES, words // 8)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -67,110 +85,164 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Symbols(dict):
-    """Word to symbol; words outside get their class's."""
-
-    def __missing__(self, word: bytes) -> int:
-        return SYMBOLS + 1 + class_of(word)
-
-
-def symbols(top: list[bytes]) -> Symbols:
-    """The end is symbol 0, then the given words, then the classes."""
-    return Symbols({END: 0} | {w: i + 1 for i, w in enumerate(top)})
-
-
-_S = 1 + SYMBOLS + CLASSES
-
-
-def _triples(docs: DataFrame, top: list[bytes]) -> DataFrame:
-    """place (packed triple), n over the training documents; there are at most _S ** 3 places."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = symbols(top), np.zeros(_S**3, np.int64)
-        for batch in batches:
-            ids: list[int] = [0, 0]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if not held_out(doc_id):
-                    own = words(text.as_py())
-                    if not own:
-                        total[0] += 1  # the end after the start twice, which looks like a second end to _add
-                        continue
-                    ids.extend(map(table.__getitem__, own))
-                    ids += (0, 0)
-                if len(ids) > 1_000_000:
-                    _add(total, ids)
-                    ids = [0, 0]
-            _add(total, ids)
-        found = np.flatnonzero(total)
-        for i in range(0, len(found), 500_000):
-            yield pa.RecordBatch.from_arrays([pa.array(found[i : i + 500_000]), pa.array(total[found[i : i + 500_000]])], names=["place", "n"])
-
-    return docs.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
-
-
-def _add(total: np.ndarray, ids: list[int]) -> None:
-    """Counts the triples of documents with words that are each followed by two ends, of which the second starts the next."""
-    x = np.array(ids, dtype=np.int64)
-    place = (x[:-2] * _S + x[1:-1]) * _S + x[2:]
-    second = (x[1:-1] == 0) & (x[2:] == 0)  # the end that is only context
-    np.add.at(total, place[~second], 1)
-
-
 @dataclass
 class Model:
-    top: list[bytes]
-    table: np.ndarray  # log10 probability of a symbol after a pair of symbols, (_S * _S, _S)
-
-
-def fit(places: np.ndarray, counts: np.ndarray, top: list[bytes], dimension: int = DIMENSION, steps: int = 1500, batch: int = 4096, noise: int = 48, seed: int = 7) -> Model:
-    """The model of triple counts; without any, all symbols are equally likely."""
-    random = np.random.default_rng(seed)
-    if not len(places):
-        return Model(top, np.full((_S * _S, _S), -np.log10(_S), np.float32))
-    order = np.argsort(places)
-    places, counts = places[order], counts[order]
-    cumulated = np.cumsum(counts)
-    one, two, next_ = places // (_S * _S), places // _S % _S, places % _S
-    unigram = np.bincount(next_, weights=counts, minlength=_S) + 0.5
-    unigram /= unigram.sum()
-    parameters = {
-        "r": random.normal(0, 0.1, (_S, dimension)), "q": random.normal(0, 0.1, (_S, dimension)), "b": np.log(unigram),
-        "c1": np.eye(dimension) * 0.5, "c2": np.eye(dimension),
-    }
-    squares = {k: np.full_like(v, 1e-6) for k, v in parameters.items()}
-    log_noise = np.log(noise * unigram)
-    for step in range(steps):
-        pick = np.searchsorted(cumulated, random.integers(0, cumulated[-1], batch), "right")
-        a, b, w = one[pick], two[pick], next_[pick]
-        ra, rb = parameters["r"][a], parameters["r"][b]
-        predicted = ra @ parameters["c1"] + rb @ parameters["c2"]
-        fake = random.choice(_S, noise, p=unigram)  # shared by the batch
-        real = (predicted * parameters["q"][w]).sum(axis=1) + parameters["b"][w] - log_noise[w]
-        false = predicted @ parameters["q"][fake].T + parameters["b"][fake] - log_noise[fake]
-        up = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # towards the word that came
+    """Symbols 0 to n - 1 are predicted; symbol n is the start, which stands twice before each text."""
+
+    r: np.ndarray  # (n + 1, d) representations of what comes before
+    q: np.ndarray  # (n, d) and of what is predicted
+    b: np.ndarray  # (n,)
+    c1: np.ndarray  # (d, d) the place two before
+    c2: np.ndarray  # (d, d) the place before
+
+    @classmethod
+    def fresh(cls, unigram: np.ndarray, dimension: int = DIMENSION, seed: int = 7) -> Model:
+        random, n = np.random.default_rng(seed), len(unigram)
+        draw = lambda rows: random.normal(0, 0.1, (rows, dimension)).astype(np.float32)
+        return cls(draw(n + 1), draw(n), np.log(unigram).astype(np.float32), np.eye(dimension, dtype=np.float32) / 2, np.eye(dimension, dtype=np.float32))
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.r, self.q, self.b, self.c1, self.c2]
+
+    def log_normaliser(self, first: int) -> np.ndarray:
+        """Logarithms of the sums over all predicted symbols, after `first` and each symbol."""
+        score = (self.r[first] @ self.c1 + self.r @ self.c2) @ self.q.T + self.b
+        top = score.max(axis=1, keepdims=True)
+        return (top + np.log(np.exp(score - top).sum(axis=1, keepdims=True)))[:, 0]
+
+
+def in_context(texts: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols two before, before and at each token of all texts in a row."""
+    lead = np.full(2, start, np.int32)
+    flat = np.concatenate([y for x in texts for y in (lead, x)]).astype(np.int32) if texts else np.empty(0, np.int32)
+    here = np.flatnonzero(flat != start)
+    return flat[here - 2], flat[here - 1], flat[here]
+
+
+def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """(n, d) sums of the values (m, d) by row number."""
+    d = values.shape[1]
+    return np.bincount((rows[:, None] * d + np.arange(d)).ravel(), weights=values.ravel(), minlength=n * d).reshape(n, d).astype(np.float32)
+
+
+class Trainer:
+    """Noise-contrastive steps from a model on; `met` counts the symbols seen before a token and as one."""
+
+    def __init__(self, model: Model, unigram: np.ndarray, seed: int):
+        self.p = {k: v.copy() for k, v in zip("r q b c1 c2".split(), model.parts(), strict=True)}
+        self.squares = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
+        self.noise, self.random = np.cumsum(unigram), np.random.default_rng(seed)
+        self.log_noise = np.log(NOISE * unigram).astype(np.float32)
+        self.before, self.at = np.zeros(len(unigram) + 1), np.zeros(len(unigram))
+
+    def step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, rate: float) -> None:
+        p, n = self.p, len(self.at)
+        ra, rb, qw = p["r"][a], p["r"][b], p["q"][w]
+        predicted = ra @ p["c1"] + rb @ p["c2"]
+        fake = np.minimum(np.searchsorted(self.noise, self.random.random(NOISE)), n - 1)  # shared by the batch
+        real = (predicted * qw).sum(axis=1) + p["b"][w] - self.log_noise[w]
+        false = predicted @ p["q"][fake].T + p["b"][fake] - self.log_noise[fake]
+        up = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # towards the symbol that came
         down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))  # away from the noise
-        pushed = up[:, None] * parameters["q"][w] + down @ parameters["q"][fake]
-        came = np.zeros((batch, _S))
-        came[np.arange(batch), w] = up
-        gradient = {
-            "q": came.T @ predicted, "b": came.sum(axis=0), "c1": ra.T @ pushed, "c2": rb.T @ pushed, "r": np.zeros_like(parameters["r"]),
-        }
+        pushed = up[:, None] * qw + down @ p["q"][fake]
+        gradient = {"q": _sums(w, up[:, None] * predicted, n), "b": np.bincount(w, weights=up, minlength=n), "c1": ra.T @ pushed, "c2": rb.T @ pushed}
         np.add.at(gradient["q"], fake, down.T @ predicted)
         np.add.at(gradient["b"], fake, down.sum(axis=0))
-        np.add.at(gradient["r"], a, pushed @ parameters["c1"].T)
-        np.add.at(gradient["r"], b, pushed @ parameters["c2"].T)
-        rate = 0.15 * (1 - step / steps) + 0.005
+        gradient["r"] = _sums(np.concatenate([a, b]), np.concatenate([pushed @ p["c1"].T, pushed @ p["c2"].T]), n + 1)
         for k, g in gradient.items():
-            g /= batch
-            squares[k] = 0.98 * squares[k] + 0.02 * g * g
-            parameters[k] += rate * 0.2 * g / (np.sqrt(squares[k]) + 1e-5)
-    left, right = parameters["r"] @ parameters["c1"], parameters["r"] @ parameters["c2"]
-    table = np.empty((_S * _S, _S), np.float32)
-    for i in range(_S):  # a batch for each first symbol
-        score = (left[i] + right) @ parameters["q"].T + parameters["b"]
-        score -= score.max(axis=1, keepdims=True)
-        table[i * _S : (i + 1) * _S] = (score - np.log(np.exp(score).sum(axis=1, keepdims=True))) / np.log(10)
-    return Model(top, table)
+            g = (g / len(w)).astype(np.float32)
+            self.squares[k] = 0.98 * self.squares[k] + 0.02 * g * g
+            p[k] += np.float32(rate) * g / (np.sqrt(self.squares[k]) + np.float32(1e-5))
+        self.before += np.bincount(a, minlength=n + 1) + np.bincount(b, minlength=n + 1)
+        self.at += np.bincount(w, minlength=n)
+
+
+def _train(coded: DataFrame, model: Model, unigram: np.ndarray, dtype: str, turn: int) -> Model:
+    """The average of what all tasks make of the model in one round; coded: `symbols`, a row for each training text."""
+    shared = coded.sparkSession.sparkContext.broadcast((model, unigram))
+    shapes = [x.shape for x in model.parts()]
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, unigram = shared.value
+        task = TaskContext.get().partitionId()
+        trainer = Trainer(model, unigram, 1000 * turn + task)
+        held, size, done = [], 0, 0
+        scale = 0.03 / (1 + 2 * turn)
+
+        def go(texts: list[np.ndarray], least: int) -> int:
+            a, b, w = in_context(texts, len(unigram))
+            if not len(w):
+                return 0
+            steps, order = 0, []
+            while steps < max(least, -(-len(w) // BATCH)):
+                if len(order) < min(BATCH, len(w)):
+                    order = trainer.random.permutation(len(w))
+                pick, order = order[:BATCH], order[BATCH:]
+                trainer.step(a[pick], b[pick], w[pick], scale * (0.1 + 0.9 / (1 + (done + steps) / 200)))
+                steps += 1
+            return steps
+
+        for batch in batches:
+            for x in batch.column(0):
+                held.append(np.frombuffer(x.as_buffer(), dtype))
+                size += len(held[-1])
+                if size >= _CHUNK:
+                    done += go(held, 0)
+                    held, size = [], 0
+        done += go(held, LEAST_STEPS - done)
+        if done:
+            weights = [trainer.before + 1e-3, trainer.at + 1e-3, trainer.at + 1e-3, trainer.at.sum(), trainer.at.sum()]
+            yield sent([trainer.p[k] for k in "r q b c1 c2".split()], weights)
+        trimmed()
+
+    def sent(parts: list[np.ndarray], weights: list) -> pa.RecordBatch:
+        raw = [b"".join((x.T * w).T.astype(np.float64).tobytes() for x, w in zip(parts, weights, strict=True)), b"".join(np.float64(w).tobytes() for w in weights)]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in raw], names=["sums", "weights"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for own in zip(batch.column(0), batch.column(1), strict=True):
+                own = [np.frombuffer(x.as_buffer(), np.float64) for x in own]
+                total = own if total is None else [x + y for x, y in zip(total, own, strict=True)]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in total], names=["sums", "weights"])
+
+    schema = "sums binary, weights binary"
+    found = coded.mapInArrow(learn, schema).repartition(16).mapInArrow(add, schema).toArrow()
+    sums, weights = (sum((np.frombuffer(x.as_buffer(), np.float64) for x in found[c]), np.zeros(1)) for c in ("sums", "weights"))
+    if not len(found):
+        return model
+    out, at, by = [], 0, 0
+    for shape, wide in zip(shapes, (shapes[0][0], shapes[1][0], shapes[2][0], 1, 1), strict=True):
+        n = int(np.prod(shape))
+        out.append((sums[at : at + n].reshape(shape).T / weights[by : by + wide]).T.astype(np.float32))
+        at, by = at + n, by + wide
+    return Model(*out)
+
+
+def fit(coded: DataFrame, unigram: np.ndarray, dtype: str = "<u2", rounds: int = ROUNDS, dimension: int = DIMENSION) -> Model:
+    """The model of all training texts; coded: `symbols` binary, the symbols of a text, the end last."""
+    model = Model.fresh(unigram, dimension)
+    for turn in range(rounds):
+        model = _train(coded, model, unigram, dtype, turn)
+    return model
+
+
+def normalisers(spark, model: Model) -> np.ndarray:
+    """Logarithms of the normaliser after each pair of symbols; a task for some of the first symbols."""
+    shared, n = spark.sparkContext.broadcast(model), len(model.r)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([shared.value.log_normaliser(first).astype("<f4").tobytes()], pa.binary())], names=["first", "row"])
+
+    rows = spark.range(n).repartition(min(n, partitions(spark)), "id").mapInArrow(run, "first long, row binary").toArrow()
+    out = np.empty((n, n), np.float32)
+    for first, row in zip(rows["first"].to_pylist(), rows["row"], strict=True):
+        out[first] = np.frombuffer(row.as_buffer(), "<f4")
+    return out
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
@@ -181,69 +253,91 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", he
     of no counts. Other columns are ignored.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    spark = docs.sparkSession
     counts = saved(_counted(rows), "counts")
-    order = [F.col("n").desc(), F.col("word").asc()]
-    common = counts.orderBy(*order).limit(head).toArrow()
+    common = counts.orderBy(F.col("n").desc(), F.col("word").asc()).limit(head).toArrow()
     common = dict(zip(common["word"].to_pylist(), common["n"].to_pylist(), strict=True))
     ends = counts.where(F.col("word") == F.lit(END)).select("n").first()
-    if ends:
-        common[END] = ends[0]
-    top = [w for w in common if w != END][:SYMBOLS]
+    common = {END: ends[0] if ends else 0} | {w: n for w, n in common.items() if w != END}
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    size, classes = vocabulary(total)
+    top = [w for w in common if w != END][:size]
+    first_class = 1 + len(top)
     last_two = F.when(F.length("word") > 1, F.substring("word", -2, 2)).otherwise(F.col("word"))
-    inside = counts.where(~F.col("word").isin(*[F.lit(w) for w in [END, *top]]))
-    groups = inside.groupBy(F.pmod(F.crc32(last_two), F.lit(CLASSES)).alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    sizes = np.zeros(CLASSES)
-    for c, n, v in groups:
-        sizes[c] = n + SMOOTH * (v + 1)
-    sizes[sizes == 0] = SMOOTH
-    triples = _triples(rows, top).toArrow()
-    model = fit(triples["place"].to_numpy(), triples["n"].to_numpy(), top)
+    in_class = F.pmod(F.crc32(last_two), F.lit(classes)).cast("int")
+    held = np.zeros((classes, 2))  # tokens and words of each class, without those that have their own symbols
+    for c, n, v in counts.where(F.col("word") != F.lit(END)).groupBy(in_class.alias("c")).agg(F.sum("n"), F.count(F.lit(1))).collect():
+        held[c] = n, v
+    for w in top:
+        held[class_of(w, classes)] -= common[w], 1
+    sizes = np.maximum(held[:, 0] + SMOOTH * (held[:, 1] + 1), SMOOTH)
     bottom = total + SMOOTH * (distinct + 1)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model, common, sizes, bottom))
+    words_in = list(common)
+    n_in = np.array(list(common.values()), float)
+    symbol_of = np.array([i if i < first_class else first_class + class_of(w, classes) for i, w in enumerate(words_in)], np.int64)
+    base_of = np.log10((n_in + SMOOTH) / bottom)
+    inner_of = np.where(symbol_of >= first_class, np.log10((n_in + SMOOTH) / sizes[np.maximum(symbol_of - first_class, 0)]), 0.0)
+    unigram = np.concatenate([n_in[:first_class], held[:, 0]]) + 0.5
+    unigram /= unigram.sum()
+    dtype = "<u2" if len(unigram) < 1 << 16 else "<u4"
+    shared = spark.sparkContext.broadcast((words_in, symbol_of, base_of, inner_of, ends is not None))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, common, sizes, bottom = shared.value
-        table = symbols(model.top)
-        base_of = {w: float(np.log10((n + SMOOTH) / bottom)) for w, n in common.items()}
-        inner = {w: float(np.log10((n + SMOOTH) / sizes[table[w] - SYMBOLS - 1])) if table[w] > SYMBOLS else 0.0 for w, n in common.items()}
-        both = {w: (table[w], base_of[w], inner[w]) for w in common}
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_in, symbol_of, base_of, inner_of, any_end = shared.value
+        known = dict(zip(words_in, range(len(words_in)), strict=True))
         serial = TaskContext.get().partitionId() << 33
-        end = both.get(END, (0, float(np.log10(SMOOTH / bottom)), 0.0))
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 own = batch.slice(i, 256)
                 made = []
                 for doc_id, text in zip(own.column(0).to_pylist(), own.column(1), strict=True):
                     tokens = words(text.as_py())
-                    found = list(map(both.get, tokens))
+                    n = len(tokens) + 1
+                    found = np.zeros(n, np.int32)  # the end is word 0
+                    found[:-1] = np.fromiter(map(known.get, tokens, repeat(-1)), np.int32, n - 1)
+                    spots = np.flatnonzero(found < 0)
+                    symbols = symbol_of[found]
                     rare = Counter()
-                    if None in found:
-                        for at, x in enumerate(found):
-                            if x is None:
-                                word = tokens[at]
-                                rare[word] += 1
-                                found[at] = (table[word], 0.0, 0.0)
-                    found.append(end)
-                    ids, base, within = zip(*found, strict=True)
-                    ids = np.array((0, 0, *ids))
-                    score = model.table[ids[:-2] * _S + ids[1:-1], ids[2:]].sum(dtype=np.float64) + sum(within)
-                    made.append((serial, doc_id, held_out(doc_id), len(found), len(found) - rare.total() - (END not in common), sum(base), float(score), list(rare), list(rare.values())))
+                    if len(spots):
+                        missed = [tokens[j] for j in spots.tolist()]
+                        rare.update(missed)
+                        symbols[spots] = [first_class + class_of(w, classes) for w in missed]
+                        found = found[found >= 0]
+                    made.append((serial, doc_id, held_out(doc_id), n, n - len(spots) - (not any_end), float(base_of[found].sum()), float(inner_of[found].sum()), list(rare), list(rare.values()), symbols.astype(dtype).tobytes()))
                     serial += 1
                 columns = list(zip(*made, strict=True))
-                types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["serial", "doc_id", "held_out", "n_tokens", "known", "base", "own", "rare", "times"])
-
-    scored = saved(rows.mapInArrow(run, "serial long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, rare array<binary>, times array<long>"), "scored")
-    rare = scored.select("serial", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("serial", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+                types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["serial", "doc_id", "held_out", "n_tokens", "known", "base", "inner", "rare", "times", "symbols"])
+        trimmed()
+
+    coded = saved(rows.mapInArrow(code, "serial long, doc_id long, held_out boolean, n_tokens long, known long, base double, inner double, rare array<binary>, times array<long>, symbols binary"), "coded")
+    model = fit(coded.where("NOT held_out").select("symbols"), unigram, dtype) if total else Model.fresh(unigram)
+    tables = spark.sparkContext.broadcast((model, normalisers(spark, model)))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, logs = tables.value
+        n = len(model.b)
+        one, two = ((model.r @ c @ model.q.T).astype(np.float32) for c in (model.c1, model.c2))
+        two += model.b
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                own = batch.slice(i, 256)
+                texts = [np.frombuffer(x.as_buffer(), dtype) for x in own.column(6)]
+                a, b, w = (x.astype(np.int64) for x in in_context(texts, n))
+                each = one.ravel()[a * n + w].astype(np.float64) + two.ravel()[b * n + w] - logs.ravel()[a * (n + 1) + b]
+                sums = np.add.reduceat(each, np.cumsum([0, *[len(x) for x in texts[:-1]]])) / np.log(10)  # no text is without its end
+                yield pa.RecordBatch.from_arrays([*own.columns[:6], pa.array(sums + own.column(7).to_numpy())], names=["serial", "doc_id", "held_out", "n_tokens", "known", "base", "own"])
+        trimmed()
+
+    scored = coded.select("serial", "doc_id", "held_out", "n_tokens", "known", "base", "symbols", "inner").mapInArrow(judge, "serial long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double")
+    rare = coded.select("serial", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("serial", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     met = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    size = F.get(F.array(*[F.lit(float(x)) for x in sizes]), F.pmod(F.crc32(last_two), F.lit(CLASSES)).cast("int"))
+    size_of = F.get(F.lit([float(x) for x in sizes]), in_class)
     more = met.groupBy(F.col("serial").alias("_serial")).agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known_more"),
         F.sum(F.col("times") * F.log10((F.col("n") + F.lit(SMOOTH)) / F.lit(float(bottom)))).alias("base_more"),
-        F.sum(F.col("times") * F.log10((F.col("n") + F.lit(SMOOTH)) / size)).alias("own_more"),
+        F.sum(F.col("times") * F.log10((F.col("n") + F.lit(SMOOTH)) / size_of)).alias("own_more"),
     )
-    out = scored.drop("rare", "times").join(more, F.col("serial") == F.col("_serial"), "left")
+    out = scored.join(more, F.col("serial") == F.col("_serial"), "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", plus("known", "known_more").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), plus("base", "base_more").alias("base_score"), plus("own", "own_more").alias("score"))

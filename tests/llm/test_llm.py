@@ -25,15 +25,16 @@ def empty(spark):
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 0])
-def test_url_filter(spark, limit):
-    rules = [url_filter.Rule(*r) for r in (("net/", "block"), ("example.net/en/", "allow"), ("org/fr/", "allow"), ("*.shop.com/*/buy/", "block"))]
-    urls = ["http://A.Example.net/en/x?q", "https://net", "http://x.net/", None, "no url", "http://notnet/", "http://a.shop.com/q/buy/1", "http://b.org/fr/#x", "http://b.org/fra", "http://b.org/fr/#x"]
+def test_url_filter(spark, limit, monkeypatch):
+    monkeypatch.setattr(url_filter, "HOT", 1)
+    rules = [url_filter.Rule(*r) for r in (("net/", "block"), ("example.net/en/", "allow"), ("org/fr/", "allow"), ("*.shop.com/*/buy/", "block"), ("*/odd/end", "block"))]
+    urls = ["http://A.Example.net/en/x?q", "https://net", "http://x.net/", None, "no url", "http://notnet/", "http://a.shop.com/q/buy/1", "http://b.org/fr/#x", "http://b.org/fra", "http://b.org/fr/#x", "http://q/odd/end\r\n", "http://long.net/" + "a/" * 30000]
     rows = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, rule string")
     found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(rows, rules, max_bytes=limit).collect()}
     assert len(found) == len(urls)
     assert found[0] == ("a.example.net", "/en/x", "example.net/en/", "allow") and found[1] == ("net", "", None, "allow")
     assert [found[i][2] for i in (2, 3, 4, 5, 6, 7, 8)] == ["net/", None, None, None, "*.shop.com/*/buy/", "org/fr/", None]
-    assert found[3][:2] == ("", "")
+    assert found[3][:2] == ("", "") and found[10][2] == "*/odd/end" and found[11][2] == "net/"
     assert url_filter.filter_urls(rows.limit(0), rules).count() == 0 and url_filter.filter_urls(rows, []).count() == len(urls)
 
 
@@ -56,6 +57,54 @@ def test_token_shards(spark):
     assert token_shards.read_token_shards(token_shards.write_token_shards(empty(spark), path, 1)).count() == 0
 
 
+def test_token_ids_of_odd_letters():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    plain, encoder, rng = Tokenizer.from_file(path), token_shards.WordEncoder(path, 1), random.Random(1)
+    assert encoder.by_word
+    blocks = ((0x41, 0x250), (0x370, 0x600), (0x620, 0x6D5), (0x900, 0xE00), (0x10A0, 0x1100), (0x1E00, 0x2000), (0xFB00, 0xFB07))
+    letters = [chr(c) for b in blocks for c in range(*b) if chr(c).isprintable()]
+    texts = ["Yazar İ. Kaya ve D. İ, sonra İ!", "a <|endoftext|> b0 c", "क़. ड़,"] + [c + m for c in letters for m in ".!"]
+    texts += ["".join(rng.choice(letters + list(" .,!?'-0129\n\t  ") * 40) for _ in range(50)) for _ in range(500)]
+    found = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)]
+    assert found == [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_any_other_tokenizer_is_given_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    plain, encoder = Tokenizer.from_file(path), token_shards.WordEncoder(path, 1)
+    assert not encoder.by_word
+    texts = ["a  b, c\n d", "", "É ok"]
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_keyed_access_reads_no_more_for_larger_shards(tmp_path):
+    from pyarrow import fs
+
+    class Counting:
+        def __init__(self, file):
+            self.file, self.read = file, 0
+
+        def read_at(self, n, at):
+            self.read += n
+            return self.file.read_at(n, at)
+
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+    for n in (1_000, 100_000):
+        with open(tmp_path / f"s{n}", "wb") as out:
+            token_shards.write_shard(out, np.dtype("<u2"), [(list(range(0, 3 * n, 3)), [np.array([i % 65536], "<u2").tobytes() for i in range(n)])])
+        shard = token_shards.Shard(fs.LocalFileSystem(), str(tmp_path / f"s{n}"))
+        shard.file = Counting(shard.file)
+        for i in (0, 5, n - 1):
+            assert shard.get(3 * i).tolist() == [i % 65536] and shard.get(3 * i + 1) is None
+        assert shard.file.read < 6 * 2000
+
+
 def test_rows_come_through_the_index(tmp_path):
     from pyarrow import fs
 
@@ -197,16 +246,24 @@ def test_sketch_estimates():
     assert abs(same - 0.6) < 0.15
 
 
+def encoded(machine, texts):
+    ids, counts = machine.encode(texts)
+    found = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert [x.decode("utf-8", "surrogatepass") for x in machine.decode(ids, counts)] == [machine.normal(t) for t in texts]
+    return found
+
+
 def test_pieces_equal_library(spark):
+    import pickle
+
     import sentencepiece
 
     path = P.path("piece_bpe_32k.model")
-    library, machine = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceTransducer(path)
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=path), pickle.loads(pickle.dumps(pieces.PieceTransducer(path)))
     rng = random.Random(5)
-    texts = [t or "" for _, t in ODD] + ["  a  b ", "\n\n x", "don't!!! stop...", "<s></s>", "a\tb", "😀 ok", "x  \n  y\n"] + ["".join(rng.choice("ab .e,th\né▁") for _ in range(60)) for _ in range(200)]
-    for t in texts:
-        assert machine.encode(t).tolist() == library.encode(t), t
-        assert machine.decode(machine.encode(t)) == t.replace("▁", " ")
+    texts = [t or "" for _, t in ODD] + ["  a  b ", "\n\n x", "don't!!! stop...", "<s></s>", "a\tb", "😀 ok", "x  \n  y\n", "a" * 5000, "ab" * 3000]
+    texts += ["".join(rng.choice("ab .e,th\né▁") for _ in range(60)) for _ in range(200)] + ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz -=*#/._ABCT019äéßñ中") for _ in range(80)) for _ in range(300)]
+    assert encoded(machine, texts) == [library.encode(t) for t in texts]
     found = pieces.encode_documents(docs(spark), path)
     assert all(r.round_trip and len(r.ids) == r.n_tokens for r in found.collect())
     back = pieces.decode_documents(found, path).collect()
@@ -214,6 +271,83 @@ def test_pieces_equal_library(spark):
     assert pieces.encode_documents(empty(spark), path).count() == 0
 
 
+def test_kept_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "WORDS", 20)
+    monkeypatch.setattr(pieces, "CHARACTERS", 50)
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceTransducer(path)
+    for i in range(30):
+        texts = [f"the word{i} and {i * 7919} {'x' * 90} again " * 3, f"und das {i}\n"]
+        assert encoded(machine, texts) == [library.encode(t) for t in texts]
+    assert len(machine.newer) <= 60 and len(machine.older) <= 60
+
+
+def unigram_model(rules=b"", trim=False):
+    """A model of weights made by hand."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model, rng = pb.ModelProto(), random.Random(1)
+    add = lambda piece, score=0.0, kind=1: model.pieces.add(piece=piece, score=score, type=kind)
+    for name, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        add(name, 0, kind)
+    for b in range(256):
+        add(f"<0x{b:02X}>", 0, 6)
+    own = set("▁abcde.é") | {("▁" if rng.random() < 0.4 else "") + "".join(rng.choice("abcdeéx") for _ in range(rng.randrange(2, 5))) for _ in range(300)}
+    for x in sorted(own):
+        add(x, -rng.uniform(2, 12))
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback, model.trainer_spec.vocab_size = 1, True, len(model.pieces)
+    spec = model.normalizer_spec
+    spec.name, spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = "own", rules, True, trim, True
+    return model.SerializeToString()
+
+
+def unigram_agrees(blob, letters, salt):
+    import sentencepiece
+
+    library, machine, rng = sentencepiece.SentencePieceProcessor(model_proto=blob), pieces.PieceTransducer(model=blob), random.Random(salt)
+    texts = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(500)]
+    weight = lambda ids: sum(machine.weights[i] for i in ids if i > 258)
+    other = 0
+    for text, found in zip(texts, encoded(machine, texts), strict=True):
+        wanted = library.encode(text)
+        other += found != wanted
+        assert abs(weight(found) - weight(wanted)) < 1e-3 and machine.decode(np.array(found), np.array([len(found)])) == machine.decode(np.array(wanted), np.array([len(wanted)]))
+    assert other <= 15  # of 500; paths of equal weight, told apart by rounding
+
+
+def test_unigram_shortest_path():
+    unigram_agrees(unigram_model(), "aabbccddeeéxyz.   \n😀", 3)
+
+
+def test_shortest_path_is_the_least_of_all():
+    machine = pieces.PieceTransducer(model=unigram_model())
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(unigram_model())
+    units = {x.piece: -x.score for x in proto.pieces if x.type == 1}
+
+    def least(text):
+        return 0.0 if not text else min((units[text[:n]] + least(text[n:]) for n in range(1, len(text) + 1) if text[:n] in units), default=math.inf)
+
+    rng = random.Random(9)
+    for _ in range(60):
+        word = "".join(rng.choice("abcdeé") for _ in range(8))
+        ids, _ = machine.shortest([word])
+        assert abs(sum(machine.weights[i] for i in ids) - least(word)) < 1e-3
+
+
+def test_normaliser_rules():
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    unigram_agrees(unigram_model(model.normalizer_spec.precompiled_charsmap, True), "aabbＡ１½ﬁccddeeéxyz.   \n\t\u3000éÅ", 4)
+
+
 def test_language_model(spark):
     rng = random.Random(1)
     rows = ODD + [(20 + i, " ".join(rng.choice([["der", "die", "und"], ["the", "of", "and"]][i % 2]) + rng.choice(["", "", "x" + str(rng.randrange(50))]) for _ in range(80))) for i in range(200)]
@@ -231,15 +365,57 @@ def test_language_model(spark):
 
 
 def test_model_adds_up_to_one():
-    model = language_model.fit(np.array([5, 900, 70000]), np.array([10, 3, 7]), [b"a"], steps=20)
-    assert np.allclose((10.0 ** model.table.astype(float)).sum(axis=1), 1, atol=1e-4)
-
-
-def test_every_training_token_ends_a_triple(spark):
-    rows = [(i, t) for i, t in enumerate(["a b", "", None, "  ", "a", ""] * 5) if not language_model.held_out(i)]
-    found = {r.place: r.n for r in language_model._triples(docs(spark, rows), [b"a", b"b"]).collect()}
-    assert found[0] == sum(not language_model.words(t) for _, t in rows)
-    assert sum(found.values()) == sum(len(language_model.words(t)) + 1 for _, t in rows)
+    model = language_model.Model.fresh(np.full(40, 1 / 40), seed=3)
+    for first in (0, 5, 40):
+        score = (model.r[first] @ model.c1 + model.r @ model.c2) @ model.q.T + model.b
+        assert np.allclose(np.exp(score - model.log_normaliser(first)[:, None]).sum(axis=1), 1, atol=1e-4)
+
+
+def test_scores_are_those_of_the_model(spark, monkeypatch):
+    """Token after token, with the softmax over all symbols and the share inside a class written out."""
+    kept = {}
+    fit = language_model.fit
+    monkeypatch.setattr(language_model, "fit", lambda *a: kept.setdefault("model", fit(*a, rounds=1)))
+    monkeypatch.setattr(language_model, "FEWEST", 6)
+    monkeypatch.setattr(language_model, "CLASSES", 3)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("a b c d e f g h i j k l m no pq rs tu".split()) for _ in range(rng.randrange(9)))) for i in range(60)] + [(99, None), (None, "a zz b"), (200, "new A words")]
+    monkeypatch.setattr(language_model, "vocabulary", lambda n: (6, 3))
+    found = language_model.score_documents(docs(spark, rows), head=9).collect()
+    cut = lambda t: (t or "").lower().split() + ["\n"]
+    count = Counter(w for k, t in rows if not language_model.held_out(k) for w in cut(t))
+    top = sorted((w for w in count if w != "\n"), key=lambda w: (-count[w], w))[:6]
+    order = ["\n", *top]
+    symbol = lambda w: order.index(w) if w in order else 7 + zlib.crc32(w[-2:].encode()) % 3
+    inside = [[w for w in count if symbol(w) == 7 + c] for c in range(3)]
+    share = lambda w: 1.0 if w in order else (count[w] + 0.1) / (sum(count[x] for x in inside[symbol(w) - 7]) + 0.1 * (len(inside[symbol(w) - 7]) + 1))
+    m, expected = kept["model"], Counter()
+    for k, t in rows:
+        before, total = [10, 10], 0.0
+        for w in cut(t):
+            score = np.array([(m.r[before[0]] @ m.c1 + m.r[before[1]] @ m.c2) @ m.q[s] + m.b[s] for s in range(10)], float)
+            total += math.log10(math.exp(score[symbol(w)]) / np.exp(score).sum() * share(w))
+            before = [before[1], symbol(w)]
+        expected[k, round(total, 2)] += 1
+    near = sorted(((k, s) for (k, s), n in expected.items() for _ in range(n)), key=str)
+    got = sorted(((r.doc_id, r.score) for r in found), key=lambda x: str((x[0], round(x[1], 2))))
+    assert [k for k, _ in got] == [k for k, _ in near] and all(abs(a - b) < 0.02 for (_, a), (_, b) in zip(got, near, strict=True))
+
+
+def test_vocabulary_grows_with_the_corpus():
+    assert language_model.vocabulary(1000) == (95, 32)
+    small, large = language_model.vocabulary(10**8), language_model.vocabulary(10**11)
+    assert small[0] == 928 and large[0] == 9283 and large[1] == 1160
+
+
+def test_every_token_is_learned_from(spark):
+    texts = [np.array(x, "<u2") for x in ([3, 0], [0], [1, 2, 0])]
+    a, b, w = language_model.in_context(texts, 4)
+    assert list(zip(a.tolist(), b.tolist(), w.tolist(), strict=True)) == [(4, 4, 3), (4, 3, 0), (4, 4, 0), (4, 4, 1), (4, 1, 2), (1, 2, 0)]
+    rows = spark.createDataFrame([(bytearray(np.array([1, 2] * 20 + [0], "<u2").tobytes()),) for _ in range(50)], "symbols binary")
+    model = language_model.fit(rows, np.array([0.03, 0.47, 0.47, 0.03]))
+    score = (model.r[2] @ model.c1 + model.r[1] @ model.c2) @ model.q.T + model.b
+    assert score.argmax() == 2 and model.log_normaliser(2)[1] - score[2] < 0.3
 
 
 def test_toxicity(spark):
@@ -283,6 +459,48 @@ def test_fingerprints(spark):
     assert again.count() == len(ODD)
 
 
+def test_signature_against_brute_force(spark):
+    """Component by component: k-mers numbered by occurrence, hashed, the first two from each rotation's start, in text order."""
+    f = fingerprint
+    rng = random.Random(6)
+    texts = [None, "", "one", "one two three four", "a b c " * 9, " ".join(rng.choice("x y z w v".split()) for _ in range(70)), "word" * 40]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = {r.i: r.f for r in rows.select("i", f.order_minhash(f.F.col("t")).alias("f")).collect()}
+    asked = []
+
+    def hashes(columns):
+        """xxhash64 of tuples of (kind, value), by Spark."""
+        one = [tuple(c) for c in columns]
+        asked.append(len(one))
+        cells = [f"xxhash64({', '.join(x)})" for x in one]
+        return list(spark.range(1).selectExpr(f"array({', '.join(cells)}) AS h").first().h) if cells else []
+
+    long = lambda x: f"{x}L" if x != -(1 << 63) else "(-9223372036854775807L - 1L)"
+    wrap = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
+    for i, text in enumerate(texts):
+        symbols = [w[j : j + 12] for w in re.findall(r"\S+", text or "") for j in range(0, len(w), 12)]
+        s = hashes([[f"'{x}'"] for x in symbols]) or [0]
+        starts = range(max(1, len(s) - 2))
+        grams = hashes([[long(s[j]), *[long(s[j + d]) if j + d < len(s) else "CAST(NULL AS BIGINT)" for d in (1, 2)]] for j in starts])
+        seen, number = Counter(), []
+        for g in grams:
+            number.append(seen[g >> 31])
+            seen[g >> 31] += 1
+        base = hashes([[long(g >> 31), str(n)] for g, n in zip(grams, number, strict=True)])
+        expected = []
+        for salt in range(4):
+            own = hashes([[long(h >> 31), str(salt)] for h in base])
+            order = sorted(wrap((h & ~0x7FFFFFFF) | j) for j, h in enumerate(own))
+            tuples = []
+            for t in range(8):
+                point = -(1 << 63) + t * (1 << 61)
+                begin = sum(x < point for x in order)
+                spots = sorted(order[(begin + r) % len(order)] & 0x7FFFFFFF for r in range(min(2, len(order))))
+                tuples.append([str(t + 8 * salt), f"array({', '.join(long(grams[p]) for p in spots)})"])
+            expected += [h & 0xFFFFFFFF for h in hashes(tuples)]
+        assert found[i] == expected, text
+
+
 def test_order_matters(spark):
     one = [f"w{i}" for i in range(400)]
     swapped = one[200:] + one[:200]

@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.sources.views import table
+from corpusloom.sources.views import SENTENCES_SQL, sentences, table
 
 # Abbreviations before which a period doesn't end a sentence.
 HONORIFICS = frozenset("""
@@ -22,47 +22,88 @@ feb jan jul jun nov oct sep sept v vs
 TERMINALS = frozenset("Esq Jr Sr M.D Ph.D".split())
 ZONES = frozenset("AST CST EST HST MST PST ADT CDT EDT HDT MDT PDT UTC UTC-11".split())
 
-_QUOTES, _OPEN = "'\"`", ("(", "{", "[", "-LBR-")
-_CLOSERS = frozenset([")", "}", "]", "-RBR-", "'", "''", "'''", '"', "'\""])
+# Bracket names of tagged text, and the mark that belongs to a name.
+_CLOSE = frozenset([")", "}", "]", "-RBR-"])
+_TAILS = _CLOSE | {"'", "\'\'", "\'\'\'", '"', "\'\""}
 _TOKEN = re.compile(r"(?:[^\s-]-\n\s*|\S)+")
-_INITIALS = re.compile(r"^(?:[A-Z]\.)*[A-Z]$")
 
+#: Whether a mark ends a sentence, by the kind of the next token (rows) and the mark, bare or closed by a quote or bracket
+#: (columns). What isn't yes or no names a test of _TESTS.
+_TABLE = """
+next     period   asking  period+  asking+
+end      yes      yes     yes      yes
+single   yes      yes     no       no
+double   yes      yes     titled   yes
+open     yes      no      titled   yes
+bracket  dashless capital no       no
+close    yes      no      no       no
+period   stem     yes     no       no
+dash     resumes  capital no       no
+upper    settled  yes     titled   yes
+digit    settled  no      no       no
+other    no       no      no       no
+"""
+_COLUMNS, *_ROWS = (line.split() for line in _TABLE.strip().splitlines())
+_VERDICTS = {(kind, mark): verdict for kind, *verdicts in _ROWS for mark, verdict in zip(_COLUMNS[1:], verdicts, strict=True)}
+_NEXT = (
+    ("period", re.compile(r"\.$")), ("dash", re.compile(r"--$")), ("bracket", re.compile(r"-RBR-$")), ("close", re.compile(r"[)}\]]$")),
+    ("single", re.compile("'")), ("double", re.compile('["`]')), ("open", re.compile(r"[({\[]|-LBR-")),
+)
 
-def _starts(word: str) -> bool:
-    """Whether a word may begin a sentence behind a closing mark."""
-    return word[:1].isupper() or word[:1] in ("`", '"') or word.startswith(_OPEN)
+
+def kind_of(token: str | None) -> str:
+    """The row of the table that a token behind a mark belongs to."""
+    if token is None:
+        return "end"
+    named = next((kind for kind, shape in _NEXT if shape.match(token)), None)
+    return named or ("upper" if token[0].isupper() else "digit" if token[0].isdigit() else "other")
+
+
+class Stem:
+    """What stands before a mark in its token: with opening quotes and brackets, and without."""
+
+    def __init__(self, text: str):
+        self.text, self.bare = text, text.lstrip("\"'`{[(")
+        self.opened = len(self.bare) < len(text) or text.startswith("-LBR-")
+        self.titled = self.bare in HONORIFICS
+        self.final = self.bare in TERMINALS
+        self.clock = self.bare in ("a.m", "p.m")
+        self.initials = bool(re.fullmatch(r"(?:[A-Z]\.)*[A-Z]", text))
+
+
+def _settled(stem: Stem, after: str, second: str | None) -> bool:
+    """A period before a capital or digit ends a sentence unless it belongs to an abbreviation."""
+    if stem.final:
+        return True
+    abbreviates = stem.titled or stem.opened or (stem.clock and after in ZONES) or (stem.initials and after != "The")
+    return not abbreviates
+
+
+def _resumes(stem: Stem, after: str, second: str | None) -> bool:
+    """A period before a dash ends a sentence if a quote or, behind an unquoted stem, a capital follows the dash."""
+    return kind_of(second) in ("single", "double") or (kind_of(second) == "upper" and stem.text[-1:] not in ("'", '"'))
+
+
+_TESTS = {
+    "titled": lambda stem, after, second: not stem.titled,
+    "dashless": lambda stem, after, second: second != "--",
+    "capital": lambda stem, after, second: (second or "")[:1].isupper(),
+    "stem": lambda stem, after, second: bool(stem.text),
+    "settled": _settled,
+    "resumes": _resumes,
+}
 
 
 def ends_sentence(word: str, at: int, after: str | None, second: str | None) -> bool:
     """Whether the mark word[at] ends a sentence, given the next two words (None beyond the paragraph)."""
-    mark, before, rest = word[at], word[:at], word[at + 1 :]
-    root = before.lstrip("\"'`{[(")
-    if (root + mark).lower() == "yahoo!":
+    stem, tail = Stem(word[:at]), word[at + 1 :]
+    if word[at] == "!" and stem.bare.lower() == "yahoo":
         return False
-    if after is None:
-        return True
-    dashed = after == "--" and second is not None
-    closing = rest in _CLOSERS and _starts(after)
-    if mark in "?!":
-        follows = after[0].isupper() or after[0] in _QUOTES or after == "." or (after in ("--", "-RBR-") and (second or "")[:1].isupper())
-        return (not rest and follows) or closing
-    if not rest:
-        if after[0] in _QUOTES or after.startswith(_OPEN):
-            return True
-        if after == "-RBR-" and second == "--":
-            return False
-        if after in (")", "}", "]", "-RBR-"):
-            return True
-        if after == ".":
-            return bool(before)
-        if dashed and second[0].isupper() and before.endswith(("'", '"')):
-            return False
-        if dashed and (second[0].isupper() or second[0] in _QUOTES):
-            return True
-        if after[0].isupper() or after[0].isdigit():
-            held = (root in ("p.m", "a.m") and after in ZONES) or root in HONORIFICS or before[:1] in tuple(_QUOTES) or before.startswith(_OPEN)
-            return root in TERMINALS or not (held or (_INITIALS.match(before) and after != "The"))
-    return closing and root not in HONORIFICS
+    if tail and tail not in _TAILS:
+        return after is None
+    column = ("period" if word[at] == "." else "asking") + ("+" if tail else "")
+    verdict = _VERDICTS[kind_of(after), column]
+    return verdict == "yes" or (verdict != "no" and _TESTS[verdict](stem, after, second))
 
 
 def split_sentences(text: str | None) -> list[dict]:
@@ -99,6 +140,24 @@ def split_words_of(sentence: str | None) -> list[dict]:
     return [{"form": m.group(), "start": m.start(), "end": m.end() - 1} for m in _WORD.finditer(sentence or "")]
 
 
+def split_by_case(text: str | None, extents: list[tuple[int, int]] = ()) -> list[dict]:
+    """As split_sentences; text with hardly any capitals (under one for 300 small letters) is cut at every . ! ? outside
+    the extents (first and last place) of mentions."""
+    text = text or ""
+    if 300 * sum(c.isupper() for c in text) >= sum(c.islower() for c in text):
+        return split_sentences(text)
+    out, begin = [], 0
+    inside = {i for first, last in extents for i in range(first, last + 1)}
+    for i, c in enumerate(text):
+        if (c in ".!?" and i not in inside) or i == len(text) - 1:
+            own = text[begin : i + 1]
+            if own.strip():
+                first = begin + len(own) - len(own.lstrip())
+                out.append({"text": text[first : i + 1].rstrip(), "start": first, "end": first + len(own.strip()) - 1})
+            begin = i + 1
+    return out
+
+
 def _spans(name: str) -> T.DataType:
     return T.ArrayType(T.StructType().add(name, T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType()))
 
@@ -125,5 +184,84 @@ def word_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "pos", "w.form", "w.start", "w.end")
 
 
-QUERIES = {f.__name__: f for f in (sentence_split, word_split)}
-SQL: dict[str, str] = {}
+def paragraph_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, pos, form: the tokens of each text; a word cut by a hyphen at a line's end is one. JVM expressions only."""
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?:[^\s-]-\n\s*|\S)+"), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("pos", "form"))
+
+
+def plain_tokens(words: DataFrame) -> DataFrame:
+    """Word rows as token rows: empty `type` and `label` columns to be filled by a tagger."""
+    return words.withColumns({"type": F.lit(None).cast("string"), "label": F.lit(None).cast("string")})
+
+
+def bracketed(tag: Column, form: Column) -> Column:
+    """`(TAG form)`, brackets in the form written by name."""
+    return F.concat(F.lit("("), tag, F.lit(" "), F.regexp_replace(F.regexp_replace(form, r"\(", "-LRB-"), r"\)", "-RRB-"), F.lit(")"))
+
+
+def bracket_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, sent, line: each line's words in brackets, tagged CD with a digit first and NN else."""
+    rows = sentences(table(spark, sf_dir, "documents"))
+    made = F.transform("words", lambda w: bracketed(F.when(w.rlike("^[0-9]"), "CD").otherwise("NN"), w))
+    return rows.select("doc_id", "sent", F.array_join(made, " ").alias("line"))
+
+
+def entities_cleaned(text: Column) -> Column:
+    """The written-out ampersand, in either case, as the character."""
+    return F.regexp_replace(text, "&(?:amp|AMP);", "&")
+
+
+# Part-of-speech tags and what they stand for.
+TAGS = dict(x.split(" ", 1) for x in """
+CC Coordinating conjunction
+CD Cardinal number
+DT Determiner
+EX Existential there
+FW Foreign word
+IN Preposition or subordinating conjunction
+JJ Adjective
+JJR Adjective, comparative
+JJS Adjective, superlative
+LS List item marker
+MD Modal
+NN Noun, singular or mass
+NNS Noun, plural
+NNP Proper noun, singular
+NNPS Proper noun, plural
+PDT Predeterminer
+POS Possessive ending
+PRP Personal pronoun
+PRP$ Possessive pronoun
+RB Adverb
+RBR Adverb, comparative
+RBS Adverb, superlative
+RP Particle
+SYM Symbol
+TO to
+UH Interjection
+VB Verb, base form
+VBD Verb, past tense
+VBG Verb, gerund or present participle
+VBN Verb, past participle
+VBP Verb, non-3rd person singular present
+VBZ Verb, 3rd person singular present
+WDT Wh-determiner
+WP Wh-pronoun
+WP$ Possessive wh-pronoun
+WRB Wh-adverb
+""".strip().splitlines())
+
+
+def tag_name(tag: Column) -> Column:
+    """What a tag stands for; null for unknown tags."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in TAGS.items() for x in pair]), tag)
+
+
+QUERIES = {f.__name__: f for f in (sentence_split, word_split, paragraph_tokens, bracket_rendering)}
+SQL: dict[str, str] = {
+    "paragraph_tokens": r"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:[^\s-]-\n\s*|\S)+') AS w FROM documents)
+        SELECT doc_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS form FROM t""",
+    "bracket_rendering": f"""WITH {SENTENCES_SQL} SELECT doc_id, sent, array_to_string(list_transform(words, lambda w:
+        '(' || CASE WHEN regexp_matches(w, '^[0-9]') THEN 'CD' ELSE 'NN' END || ' ' || replace(replace(w, '(', '-LRB-'), ')', '-RRB-') || ')'), ' ') AS line FROM sentences""",
+}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators.coref import _P, document_pairs, pairs
+from corpusloom.operators.coref import _P, pairs
 from corpusloom.sources.views import mentions
 
 UNKNOWN = None
@@ -150,27 +150,6 @@ def no_link_to_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _no_error(pairs(mentions(spark, sf_dir)))
 
 
-def document_constraint_forall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As constraint_forall, over all earlier mentions of the document; so are the document_ queries below."""
-    return _forall(document_pairs(mentions(spark, sf_dir)))
-
-
-def document_constraint_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exists(document_pairs(mentions(spark, sf_dir)))
-
-
-def document_constraint_atleast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _atleast(document_pairs(mentions(spark, sf_dir)))
-
-
-def document_constraint_atmost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _atmost(document_pairs(mentions(spark, sf_dir)))
-
-
-def document_no_link_to_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _no_error(document_pairs(mentions(spark, sf_dir)))
-
-
 def best_links(linked: DataFrame) -> DataFrame:
     """doc, sent, links, total, optimal of the 0-1 program over pairs: a link is worth score - 5, each mention has at most
     one, an `error` mention that has a choice must link.
@@ -185,14 +164,16 @@ def best_links(linked: DataFrame) -> DataFrame:
 
 def ilp_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of each sentence's mentions to any earlier ones of the document: at most one for each, an `error` mention must link."""
-    return best_links(document_pairs(mentions(spark, sf_dir)))
+    return best_links(pairs(mentions(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (constraint_forall, constraint_exists, constraint_atleast, constraint_atmost, no_link_to_error, document_constraint_forall, document_constraint_exists, document_constraint_atleast, document_constraint_atmost, document_no_link_to_error, ilp_inference)}
+QUERIES = {f.__name__: f for f in (constraint_forall, constraint_exists, constraint_atleast, constraint_atmost, no_link_to_error, ilp_inference)}
 SQL = {
     "constraint_forall": f"{_P} SELECT doc, idx, bool_and(score > 0) AS holds FROM pairs GROUP BY 1, 2",
     "constraint_exists": f"{_P} SELECT doc, idx, bool_or(score > 8) AS holds FROM pairs GROUP BY 1, 2",
     "constraint_atleast": f"{_P} SELECT doc, idx, count(*) FILTER (score > 5) >= 2 AS holds FROM pairs GROUP BY 1, 2",
     "constraint_atmost": f"{_P} SELECT doc, idx, count(*) FILTER (score > 8) <= 1 AS holds FROM pairs GROUP BY 1, 2",
     "no_link_to_error": f"{_P} SELECT doc, idx, NOT bool_or(score > 8 AND mtype <> 'error' AND prev_type = 'error') AS holds FROM pairs GROUP BY 1, 2",
+    "ilp_inference": f"""{_P}, b AS (SELECT doc, sent, idx, mtype, max(score) - 5.0 AS worth FROM pairs GROUP BY ALL), t AS (SELECT doc, sent, worth, worth > 0 OR mtype = 'error' AS taken FROM b)
+        SELECT doc, sent, count(*) FILTER (taken) AS links, round(sum(CASE WHEN taken THEN worth ELSE 0.0 END), 4) AS total, true AS optimal FROM t GROUP BY ALL""",
 }

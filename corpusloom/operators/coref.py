@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.sources.views import MENTIONS_SQL, TYPES, mentions
+from corpusloom.sources.views import MENTIONS_SQL, SENTENCES, TYPES, mentions
 
 
 def pair_score(v: Column, w: Column) -> Column:
     return F.lit(10.0) - F.abs(v - w)
 
 
-def pairs(rows: DataFrame) -> DataFrame:
-    """Each mention with every earlier one of its sentence; (doc, sent) bounds the groups that are paired."""
-    earlier = rows.select("doc", "sent", F.col("idx").alias("prev"), F.col("v").alias("w"), F.col("mtype").alias("prev_type"), F.col("entity").alias("prev_entity"))
-    return rows.join(earlier, ["doc", "sent"]).where("prev < idx").withColumn("score", pair_score(F.col("v"), F.col("w")))
-
-
 BLOCK = 512
 
 
-def document_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+def pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Each mention with every earlier one of its document.
 
     Earlier mentions are keyed by blocks of idx and each mention is sent to the blocks up to its own, so a task holds
@@ -48,7 +44,7 @@ def _best(made: DataFrame) -> DataFrame:
 
 
 def best_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The earlier mention of the sentence with the highest positive score, the first of equals."""
+    """The earlier mention of the document with the highest positive score, the first of equals."""
     return _best(pairs(mentions(spark, sf_dir)))
 
 
@@ -62,7 +58,7 @@ def best_link_constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clusters(rows: DataFrame, made: DataFrame) -> DataFrame:
-    near = made.where("score > 8").groupBy("doc", "idx").agg(F.max("prev").alias("link"))
+    near = made.where("score > 9.9").groupBy("doc", "idx").agg(F.max("prev").alias("link"))
 
     def chase(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("idx")
@@ -75,62 +71,52 @@ def _clusters(rows: DataFrame, made: DataFrame) -> DataFrame:
 
 
 def closest_antecedent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cluster ids by following each mention's nearest earlier partner with a score over 8; the chase runs inside a day."""
+    """Cluster ids by following each mention's nearest earlier partner with a score over 9.9; the chase runs inside a document."""
     rows = mentions(spark, sf_dir)
     return _clusters(rows, pairs(rows))
 
 
-def document_mention_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As mention_pairs, over the whole document; so are the document_ queries below. The SQL fixes the others' scope."""
-    return _paired(document_pairs(mentions(spark, sf_dir)))
-
-
-def document_best_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _best(document_pairs(mentions(spark, sf_dir)))
-
-
-def document_best_link_constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _best(_allowed(document_pairs(mentions(spark, sf_dir)))).drop("score")
-
-
-def document_closest_antecedent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mentions(spark, sf_dir)
-    return _clusters(rows, document_pairs(rows))
-
-
-def chain_grams(rows: DataFrame, n: int = 2) -> DataFrame:
-    """doc, gram, count: n-grams of types along each chain; n is cut to the chain's length."""
-    chain = Window.partitionBy("doc", "entity").orderBy("idx")
-    size = F.count(F.lit(1)).over(Window.partitionBy("doc", "entity"))
+def chain_grams(rows: DataFrame, n: int = 2, keys: tuple = ("doc",)) -> DataFrame:
+    """keys, gram, count: n-grams of types along each chain; n is cut to the chain's length."""
+    chain = Window.partitionBy(*keys, "entity").orderBy("idx")
+    size = F.count(F.lit(1)).over(Window.partitionBy(*keys, "entity"))
     gram = F.concat_ws(" ", "mtype", *[F.lead("mtype", k).over(chain) for k in range(1, n)])
-    made = rows.select("doc", gram.alias("gram"), F.row_number().over(chain).alias("at"), size.alias("size"))
-    return made.where(F.col("at") <= F.greatest(F.col("size") - (n - 1), F.lit(1))).groupBy("doc", "gram").agg(F.count(F.lit(1)).alias("count"))
+    made = rows.select(*keys, gram.alias("gram"), F.row_number().over(chain).alias("at"), size.alias("size"))
+    return made.where(F.col("at") <= F.greatest(F.col("size") - (n - 1), F.lit(1))).groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("count"))
 
 
 def chain_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain_grams(mentions(spark, sf_dir))
 
 
-def _grid(rows: DataFrame, cell: Column) -> DataFrame:
-    """doc, entity, cells: the cell of each of the day's 24 sentences, null where the entity is absent."""
-    held = rows.groupBy("doc", "entity", "sent").agg(cell.alias("cell"))
-    by = held.groupBy("doc", "entity").agg(F.map_from_entries(F.collect_list(F.struct("sent", "cell"))).alias("m"))
-    return by.select("doc", "entity", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda s: F.get(F.transform(F.array(s), lambda t: F.element_at("m", t)), F.lit(0))).alias("cells"))
+def _grid(rows: DataFrame, cell: Column, keys: tuple = ("doc",)) -> DataFrame:
+    """keys, entity, cells: the cell of each of the document's sentences, null where the entity is absent."""
+    held = rows.groupBy(*keys, "entity", "sent").agg(cell.alias("cell"))
+    by = held.groupBy(*keys, "entity").agg(F.map_from_entries(F.collect_list(F.struct("sent", "cell"))).alias("m"))
+    return by.select(*keys, "entity", F.transform(F.sequence(F.lit(0), F.lit(SENTENCES - 1)), lambda s: F.get(F.transform(F.array(s), lambda t: F.element_at("m", t)), F.lit(0))).alias("cells"))
 
 
-def grid_ngrams_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigrams of the most specific type of each entity in consecutive sentences, `X` where absent, all-`X` dropped."""
-    grid = _grid(mentions(spark, sf_dir), F.min("rank"))
+def representative_grams(rows: DataFrame, n: int = 2, keys: tuple = ("doc",)) -> DataFrame:
+    """keys, gram, count: n-grams of each entity's most specific type in consecutive sentences, `X` where absent, all-`X` dropped."""
+    grid = _grid(rows, F.min("rank"), keys)
     name = lambda c: F.coalesce(F.get(F.array(*[F.lit(x) for x in TYPES]), c.cast("int")), F.lit("X"))
-    grams = F.transform(F.sequence(F.lit(0), F.lit(22)), lambda s: F.concat_ws(" ", name(F.get("cells", s)), name(F.get("cells", s + 1))))
-    return grid.select("doc", F.explode(grams).alias("gram")).where("gram <> 'X X'").groupBy("doc", "gram").agg(F.count(F.lit(1)).alias("count"))
+    grams = F.transform(F.sequence(F.lit(0), F.lit(SENTENCES - n)), lambda s: F.concat_ws(" ", *[name(F.get("cells", s + F.lit(k))) for k in range(n)]))
+    return grid.select(*keys, F.explode(grams).alias("gram")).where(F.col("gram") != " ".join("X" * n)).groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("count"))
+
+
+def grid_ngrams_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return representative_grams(mentions(spark, sf_dir))
+
+
+def grid_trigrams_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return representative_grams(mentions(spark, sf_dir), 3)
 
 
 def grid_ngrams_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All combinations of an entity's types in consecutive sentences, all-`X` kept."""
     grid = _grid(mentions(spark, sf_dir), F.collect_set("mtype"))
     own = lambda c: F.coalesce(c, F.array(F.lit("X")))
-    grams = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(22)), lambda s: F.flatten(F.transform(own(F.get("cells", s)), lambda a: F.transform(own(F.get("cells", s + 1)), lambda b: F.concat_ws(" ", a, b))))))
+    grams = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SENTENCES - 2)), lambda s: F.flatten(F.transform(own(F.get("cells", s)), lambda a: F.transform(own(F.get("cells", s + 1)), lambda b: F.concat_ws(" ", a, b))))))
     return grid.select("doc", F.explode(grams).alias("gram")).groupBy("doc", "gram").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -141,20 +127,32 @@ def adjacency_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("first").isNotNull()).groupBy("doc", "first", "second", "same").agg(F.count(F.lit(1)).alias("count"))
 
 
-def subject_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigrams of the subjects (most specific, then first mention) of consecutive sentences, `+` for the same entity."""
-    subject = mentions(spark, sf_dir).groupBy("doc", "sent").agg(F.min(F.struct("rank", "idx", "mtype", "entity")).alias("s"))
-    after = Window.partitionBy("doc").orderBy("sent")
-    rows = subject.select("doc", "sent", F.lead("sent").over(after).alias("next"), F.col("s.mtype").alias("a"), F.lead("s.mtype").over(after).alias("b"), (F.lead("s.entity").over(after) == F.col("s.entity")).alias("same"))
+def subject_grams(rows: DataFrame, keys: tuple = ("doc",)) -> DataFrame:
+    """keys, gram, count: bigrams of the subjects (most specific, then first mention) of consecutive sentences, `+` for the same entity."""
+    subject = rows.groupBy(*keys, "sent").agg(F.min(F.struct("rank", "idx", "mtype", "entity")).alias("s"))
+    after = Window.partitionBy(*keys).orderBy("sent")
+    made = subject.select(*keys, "sent", F.lead("sent").over(after).alias("next"), F.col("s.mtype").alias("a"), F.lead("s.mtype").over(after).alias("b"), (F.lead("s.entity").over(after) == F.col("s.entity")).alias("same"))
     gram = F.concat(F.col("a"), F.lit(" "), F.col("b"), F.when(F.col("same"), "+").otherwise("-"))
-    return rows.where("next = sent + 1").groupBy("doc", gram.alias("gram")).agg(F.count(F.lit(1)).alias("count"))
+    return made.where("next = sent + 1").groupBy(*keys, gram.alias("gram")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def subject_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subject_grams(mentions(spark, sf_dir))
+
+
+def gram_difference(one: DataFrame, other: DataFrame, key: str = "doc") -> DataFrame:
+    """key, gram, diff: counts of one less those of the other, by a full outer join; a missing gram counts as 0."""
+    return one.join(other.withColumnRenamed("count", "c1"), [key, "gram"], "full_outer").select(key, "gram", (F.coalesce("count", F.lit(0)) - F.coalesce("c1", F.lit(0))).alias("diff"))
+
+
+def _following(grams: DataFrame) -> DataFrame:
+    return grams.where(F.col("doc").cast("long") > 0).withColumn("doc", F.lpad((F.col("doc").cast("long") - 1).cast("string"), 8, "0"))
 
 
 def ngram_diff_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chain bigram counts of a day minus those of the next day."""
+    """Chain bigram counts of a document minus those of the next one."""
     one = chain_grams(mentions(spark, sf_dir))
-    other = one.select(F.date_format(F.date_sub(F.to_date("doc"), 1), "yyyy-MM-dd").alias("doc"), "gram", F.col("count").alias("c1"))
-    return one.join(other, ["doc", "gram"], "full_outer").select("doc", "gram", (F.coalesce("count", F.lit(0)) - F.coalesce("c1", F.lit(0))).alias("diff"))
+    return gram_difference(one, _following(one))
 
 
 def all_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,40 +161,75 @@ def all_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three longest chains of at least 5 mentions of each day."""
+    """The three longest chains of at least 5 mentions of each document."""
     ranks = Window.partitionBy("doc").orderBy(F.col("size").desc(), "first")
     return all_chains(spark, sf_dir).where("size >= 5").withColumn("place", F.row_number().over(ranks)).where("place <= 3").select("doc", "entity", "size", "place")
 
 
-def singleton_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy oracle analysis: a singleton `error` mention joins the predicted cluster that raises the day's B-cubed F1 most."""
+def merge_singletons(gold: list, pred: list, kind: list, pronoun: str = "error") -> tuple[list, int, int]:
+    """Labels after the merges, the merged mentions, and the singletons that stay bad.
+
+    A predicted singleton of the pronoun type whose gold cluster has other members takes, in text order, the predicted
+    label of one of those that raises B-cubed F1 most, the smallest of equals; a singleton that none helps is bad. Only
+    the two clusters that a move changes are counted again.
+    """
+    pred, n = list(pred), len(gold)
+    held, guessed, both = Counter(gold), Counter(pred), Counter(zip(gold, pred, strict=True))
+    by_pred: dict = {}
+    for (g, p), c in both.items():
+        by_pred.setdefault(p, {})[g] = c
+    precise = {p: sum(c * c for c in own.values()) / guessed[p] for p, own in by_pred.items()}
+    found = sum(c * c / held[g] for (g, _), c in both.items())
+    total = sum(precise.values())
+
+    def f1(p: float, r: float) -> float:
+        return 0.0 if p + r == 0 else 2 * p * r / (p + r) / n
+
+    merged = bad = 0
+    for i in range(n):
+        if kind[i] != pronoun or guessed[pred[i]] != 1 or held[gold[i]] == 1:
+            continue
+        g, best = gold[i], (f1(total, found), None, 0.0, 0.0)
+        for label in sorted({pred[j] for j in range(n) if gold[j] == g and j != i}):
+            own = by_pred[label].get(g, 0)
+            after = (precise[label] * guessed[label] + 2 * own + 1) / (guessed[label] + 1)
+            p, r = total - 1 - precise[label] + after, found + 2 * own / held[g]
+            if f1(p, r) > best[0] + 1e-12:
+                best = (f1(p, r), label, p, r)
+        if best[1] is None:
+            bad += 1
+            continue
+        _, label, total, found = best
+        own = by_pred[label]
+        precise[label] = (precise[label] * guessed[label] + 2 * own.get(g, 0) + 1) / (guessed[label] + 1)
+        own[g] = own.get(g, 0) + 1
+        guessed[label] += 1
+        del by_pred[pred[i]], precise[pred[i]], guessed[pred[i]]
+        pred[i] = label
+        merged += 1
+    return pred, merged, bad
+
+
+def merged_labels(rows: DataFrame) -> DataFrame:
+    """doc, idx, pred, merged, bad: the predicted labels after merge_singletons, a task for each document."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("idx")
-        gold, pred, kind = group["entity"].tolist(), [str(p) for p in group["pred"]], group["mtype"].tolist()
-        n = len(gold)
-
-        def f1(labels: list) -> float:
-            both: dict = {}
-            for g, p in zip(gold, labels, strict=True):
-                both[g, p] = both.get((g, p), 0) + 1
-            gs, ps = pd.Series(gold).value_counts(), pd.Series(labels).value_counts()
-            p = sum(c * c / ps[k[1]] for k, c in both.items()) / n
-            r = sum(c * c / gs[k[0]] for k, c in both.items()) / n
-            return 0.0 if p + r == 0 else 2 * p * r / (p + r)
-
-        best, merged = f1(pred), 0
-        for i in range(n):
-            if kind[i] == "error" and pred.count(pred[i]) == 1:
-                for label in sorted(set(pred) - {pred[i]}):
-                    trial = [*pred[:i], label, *pred[i + 1 :]]
-                    now = f1(trial)
-                    if now > best:
-                        pred, best, merged = trial, now, merged + 1
-                        break
-        return pd.DataFrame({"doc": [group["doc"].iloc[0]], "merged": [merged], "f1": [round(best, 6)]})
-
-    return mentions(spark, sf_dir).select("doc", "idx", "entity", "pred", "mtype").groupBy("doc").applyInPandas(run, "doc string, merged long, f1 double")
+        pred, merged, bad = merge_singletons(group["entity"].tolist(), group["pred"].tolist(), group["mtype"].tolist())
+        return pd.DataFrame({"doc": group["doc"], "idx": group["idx"], "pred": pred, "merged": merged, "bad": bad})
+
+    return rows.select("doc", "idx", "entity", "pred", "mtype").groupBy("doc").applyInPandas(run, "doc string, idx int, pred long, merged long, bad long")
+
+
+def singleton_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc, merged, bad, f1: the oracle analysis of singleton `error` mentions and the document's F1 after it."""
+    from corpusloom.operators.evaluate import bcubed_rows
+
+    rows = mentions(spark, sf_dir)
+    after = merged_labels(rows)
+    counts = after.groupBy("doc").agg(F.max("merged").alias("merged"), F.max("bad").alias("bad"))
+    scored = bcubed_rows(rows.select("doc", "idx", "entity").join(after.select("doc", "idx", "pred"), ["doc", "idx"]))
+    return counts.join(scored.select("doc", "f1"), "doc")
 
 
 def merge_search(group: pd.DataFrame, width: int = 4, depth: int = 3) -> pd.DataFrame:
@@ -238,15 +271,15 @@ def perturbed_labels(spark: SparkSession, sf_dir: str, rate: float = 0.1) -> Dat
     return rows.join(ids, "doc").select("doc", "idx", F.when(coin, other).otherwise(F.col("entity")).alias("entity"))
 
 
-_P = f"WITH {MENTIONS_SQL}, pairs AS (SELECT a.*, b.idx AS prev, b.mtype AS prev_type, b.entity AS prev_entity, 10.0 - abs(a.v - b.v) AS score FROM mentions a JOIN mentions b ON a.doc = b.doc AND a.sent = b.sent AND b.idx < a.idx)"
+_P = f"WITH {MENTIONS_SQL}, pairs AS (SELECT a.*, b.idx AS prev, b.mtype AS prev_type, b.entity AS prev_entity, 10.0 - abs(a.v - b.v) AS score FROM mentions a JOIN mentions b ON a.doc = b.doc AND b.idx < a.idx)"
 _C = f"WITH {MENTIONS_SQL}, g AS (SELECT doc, mtype || coalesce(' ' || lead(mtype) OVER c, '') AS gram, row_number() OVER c AS nth, count(*) OVER (PARTITION BY doc, entity) AS size FROM mentions WINDOW c AS (PARTITION BY doc, entity ORDER BY idx)), grams AS (SELECT doc, gram, count(*) AS count FROM g WHERE nth <= greatest(size - 1, 1) GROUP BY ALL)"
-_G = f"WITH {MENTIONS_SQL}, hours AS (SELECT unnest(range(0, 24)) AS sent), cells AS (SELECT doc, entity, h.sent FROM (SELECT DISTINCT doc, entity FROM mentions) CROSS JOIN hours h)"
-QUERIES = {f.__name__: f for f in (mention_pairs, best_link, best_link_constrained, closest_antecedent, document_mention_pairs, document_best_link, document_best_link_constrained, document_closest_antecedent, chain_ngrams, grid_ngrams_representative, grid_ngrams_full, adjacency_counts, subject_ngrams, ngram_diff_full_outer, all_chains, top_chains, singleton_merge, cluster_merge_search, perturbed_labels)}
+_G = f"WITH {MENTIONS_SQL}, hours AS (SELECT unnest(range(0, {SENTENCES})) AS sent), cells AS (SELECT doc, entity, h.sent FROM (SELECT DISTINCT doc, entity FROM mentions) CROSS JOIN hours h)"
+QUERIES = {f.__name__: f for f in (mention_pairs, best_link, best_link_constrained, closest_antecedent, chain_ngrams, grid_ngrams_representative, grid_trigrams_representative, grid_ngrams_full, adjacency_counts, subject_ngrams, ngram_diff_full_outer, all_chains, top_chains, singleton_merge, cluster_merge_search, perturbed_labels)}
 SQL = {
     "mention_pairs": f"{_P} SELECT doc, prev, idx, entity = prev_entity AS same, round(score, 4) AS score FROM pairs",
     "best_link": f"{_P}, r AS (SELECT *, row_number() OVER (PARTITION BY doc, idx ORDER BY score DESC, prev) AS k FROM pairs WHERE score > 0) SELECT doc, idx, prev AS link, round(score, 4) AS score FROM r WHERE k = 1",
     "best_link_constrained": f"{_P}, r AS (SELECT *, row_number() OVER (PARTITION BY doc, idx ORDER BY score DESC, prev) AS k FROM pairs WHERE score > 0 AND (mtype = 'error' OR prev_type <> 'error')) SELECT doc, idx, prev AS link FROM r WHERE k = 1",
-    "closest_antecedent": f"{_P.replace('WITH', 'WITH RECURSIVE', 1)}, near AS (SELECT doc, idx, max(prev) AS link FROM pairs WHERE score > 8 GROUP BY ALL), roots AS (SELECT m.doc, m.idx, n.link FROM mentions m LEFT JOIN near n USING (doc, idx)), chase AS (SELECT doc, idx, idx AS cluster FROM roots WHERE link IS NULL UNION ALL SELECT r.doc, r.idx, c.cluster FROM roots r JOIN chase c ON r.doc = c.doc AND r.link = c.idx) SELECT * FROM chase",
+    "closest_antecedent": f"{_P.replace('WITH', 'WITH RECURSIVE', 1)}, near AS (SELECT doc, idx, max(prev) AS link FROM pairs WHERE score > 9.9 GROUP BY ALL), roots AS (SELECT m.doc, m.idx, n.link FROM mentions m LEFT JOIN near n USING (doc, idx)), chase AS (SELECT doc, idx, idx AS cluster FROM roots WHERE link IS NULL UNION ALL SELECT r.doc, r.idx, c.cluster FROM roots r JOIN chase c ON r.doc = c.doc AND r.link = c.idx) SELECT * FROM chase",
     "chain_ngrams": f"{_C} SELECT * FROM grams",
     "grid_ngrams_representative": f"""{_G}, t AS (SELECT c.doc, c.entity, c.sent, coalesce(list_extract(['purchase', 'signup', 'click', 'view', 'error'], (1 + min(m.rank))::INT), 'X') AS k FROM cells c LEFT JOIN mentions m USING (doc, entity, sent) GROUP BY ALL),
         g AS (SELECT doc, k || ' ' || lead(k) OVER (PARTITION BY doc, entity ORDER BY sent) AS gram FROM t) SELECT doc, gram, count(*) AS count FROM g WHERE gram IS NOT NULL AND gram <> 'X X' GROUP BY ALL""",
@@ -255,7 +288,9 @@ SQL = {
     "adjacency_counts": f"WITH {MENTIONS_SQL}, t AS (SELECT doc, lag(mtype) OVER w AS first, mtype AS second, lag(entity) OVER w = entity AS same FROM mentions WINDOW w AS (PARTITION BY doc, sent ORDER BY idx)) SELECT doc, first, second, same, count(*) AS count FROM t WHERE first IS NOT NULL GROUP BY ALL",
     "subject_ngrams": f"""WITH {MENTIONS_SQL}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, sent ORDER BY rank, idx) AS k FROM mentions) WHERE k = 1)
         SELECT a.doc, a.mtype || ' ' || b.mtype || CASE WHEN a.entity = b.entity THEN '+' ELSE '-' END AS gram, count(*) AS count FROM s a JOIN s b ON a.doc = b.doc AND b.sent = a.sent + 1 GROUP BY ALL""",
-    "ngram_diff_full_outer": f"{_C}, o AS (SELECT strftime(doc::DATE - INTERVAL 1 DAY, '%Y-%m-%d') AS doc, gram, count AS c1 FROM grams) SELECT coalesce(g.doc, o.doc) AS doc, coalesce(g.gram, o.gram) AS gram, coalesce(count, 0) - coalesce(c1, 0) AS diff FROM grams g FULL JOIN o ON g.doc = o.doc AND g.gram = o.gram",
+    "ngram_diff_full_outer": f"{_C}, o AS (SELECT lpad((doc::BIGINT - 1)::VARCHAR, 8, '0') AS doc, gram, count AS c1 FROM grams WHERE doc::BIGINT > 0) SELECT coalesce(g.doc, o.doc) AS doc, coalesce(g.gram, o.gram) AS gram, coalesce(count, 0) - coalesce(c1, 0) AS diff FROM grams g FULL JOIN o ON g.doc = o.doc AND g.gram = o.gram",
+    "grid_trigrams_representative": f"""{_G}, t AS (SELECT c.doc, c.entity, c.sent, coalesce(list_extract(['purchase', 'signup', 'click', 'view', 'error'], (1 + min(m.rank))::INT), 'X') AS k FROM cells c LEFT JOIN mentions m USING (doc, entity, sent) GROUP BY ALL),
+        g AS (SELECT doc, k || ' ' || lead(k) OVER w || ' ' || lead(k, 2) OVER w AS gram FROM t WINDOW w AS (PARTITION BY doc, entity ORDER BY sent)) SELECT doc, gram, count(*) AS count FROM g WHERE gram IS NOT NULL AND gram <> 'X X X' GROUP BY ALL""",
     "all_chains": f"WITH {MENTIONS_SQL} SELECT doc, entity, min(idx) AS first, count(*) AS size, string_agg(mtype, ' ' ORDER BY idx) AS chain FROM mentions GROUP BY ALL",
     "top_chains": f"WITH {MENTIONS_SQL}, c AS (SELECT doc, entity, min(idx) AS first, count(*) AS size FROM mentions GROUP BY ALL HAVING count(*) >= 5), r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY size DESC, first) AS place FROM c) SELECT doc, entity, size, place FROM r WHERE place <= 3",
 }

@@ -38,20 +38,25 @@ def rank_of(kind: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in TYPES]), kind) - F.lit(1)
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc (day), sent (hour), idx (place in the day), entity, pred, mtype, rank, score_base."""
-    from pyspark.sql import Window
+#: Mentions of a stand-in document and of one of its sentences; documents grow in number with the data, not in size.
+DOCUMENT, SENTENCE = 120, 5
+SENTENCES = DOCUMENT // SENTENCE
+
 
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc, sent, idx (place in the document), entity, pred, mtype, rank, v of each event; every tenth mention is a cluster
+    of its own in pred. A projection: nothing is shuffled."""
     events = table(spark, sf_dir, "events")
-    day = F.date_format("ts", "yyyy-MM-dd")
+    place, own = F.pmod("event_id", F.lit(DOCUMENT)), F.col("event_id") % 10 == 3
+    sent = F.floor(place / SENTENCE)
     return events.select(
-        day.alias("doc"), F.hour("ts").alias("sent"), (F.row_number().over(Window.partitionBy(day).orderBy("ts", "event_id")) - 1).alias("idx"),
-        F.col("user_id").alias("entity"), F.pmod(F.col("user_id") * 3 + F.hour("ts") % 3, F.lit(7)).alias("pred"), F.col("event_type").alias("mtype"),
+        F.lpad(F.floor(F.col("event_id") / DOCUMENT).cast("string"), 8, "0").alias("doc"), sent.cast("int").alias("sent"), place.cast("int").alias("idx"),
+        F.col("user_id").alias("entity"), F.when(own, place + 1000).otherwise(F.pmod(F.col("user_id") * 3 + sent % 3, F.lit(7))).alias("pred"), F.col("event_type").alias("mtype"),
         rank_of(F.col("event_type")).alias("rank"), F.col("value").alias("v"),
     )
 
 
-MENTIONS_SQL = """mentions AS (
-    SELECT strftime(ts, '%Y-%m-%d') AS doc, hour(ts) AS sent, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) - 1 AS idx,
-           user_id AS entity, (user_id * 3 + hour(ts) % 3) % 7 AS pred, event_type AS mtype,
+MENTIONS_SQL = f"""mentions AS (
+    SELECT lpad((event_id // {DOCUMENT})::VARCHAR, 8, '0') AS doc, (event_id % {DOCUMENT} // {SENTENCE})::INT AS sent, (event_id % {DOCUMENT})::INT AS idx,
+           user_id AS entity, CASE WHEN event_id % 10 = 3 THEN event_id % {DOCUMENT} + 1000 ELSE (user_id * 3 + (event_id % {DOCUMENT} // {SENTENCE}) % 3) % 7 END AS pred, event_type AS mtype,
            list_position(['purchase', 'signup', 'click', 'view', 'error'], event_type) - 1 AS rank, value AS v FROM events)"""

@@ -1,16 +1,19 @@
 """Online linear learners, trained in example order inside one group, and in parallel over labels, folds and selectors.
 
 A group is one (model, label) sequence: its result depends on the order of all its examples, so it is one task by
-nature; what is parallel is the number of groups. Averaging over parts would be another algorithm.
+nature; what is parallel is the number of groups. Averaging over parts would be another algorithm. A task reads its
+examples as a sorted stream and holds the unit's weights and one Arrow batch, never the group.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.evaluate import with_index
@@ -80,17 +83,38 @@ class LinearUnit:
         self.n += 1
 
 
+    def averages(self) -> tuple[dict, float]:
+        """The weights and the bias that predictions use."""
+        if self.rule != "averaged" or not self.n:
+            return self.w, self.bias
+        return {f: (self.n * w - self.late.get(f, 0.0)) / self.n for f, w in self.w.items()}, (self.n * self.bias - self.late_bias) / self.n
+
+    def scores(self, x: dict) -> dict[bool, float]:
+        """Opposite scores of the two answers; a regression has none."""
+        if self.rule == "sgd":
+            return {}
+        s = self.score(x)
+        return {False: -s, True: s}
+
+
 UNITS = {
-    "perceptron": lambda: LinearUnit("perceptron"),
-    "averaged": lambda: LinearUnit("averaged", positive=6.0, negative=6.0),
+    "perceptron": lambda **given: LinearUnit("perceptron", **given),
+    "averaged": lambda **given: LinearUnit("averaged", **{"positive": 6.0, "negative": 6.0} | given),
     "winnow": LinearUnit.winnow,
-    "mira": lambda: LinearUnit("mira", beta=2.0),
-    "sgd": lambda: LinearUnit("sgd", rate=0.01),
+    "mira": lambda **given: LinearUnit("mira", **{"beta": 2.0} | given),
+    "sgd": lambda **given: LinearUnit("sgd", **{"rate": 0.1} | given),
 }
+# What a network of discrete labels learns with where nothing is named.
+NETWORK_DEFAULT = {"rule": "winnow", "alpha": 1.35, "beta": 0.8, "threshold": 4.0, "start": 1.0}
+
 
+def default_learner(kind: str) -> dict:
+    """The rule and its parameters for labels of a kind: a network of winnow units, or regression for real ones."""
+    return {"rule": "sgd"} if kind.startswith("real") else dict(NETWORK_DEFAULT)
 
-def train_sequence(rows: list[tuple[dict, float]], rule: str, rounds: int = 1) -> LinearUnit:
-    unit = UNITS[rule]()
+
+def train_sequence(rows: list[tuple[dict, float]], rule: str, rounds: int = 1, **given) -> LinearUnit:
+    unit = UNITS[rule](**given)
     for _ in range(rounds):
         for x, y in rows:
             unit.learn(x, y)
@@ -104,94 +128,173 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_index(docs.select("doc_id", "lang", "quality", "toxic", "n_chars", ends.alias("features")), "doc_id")
 
 
-def train_groups(rows: DataFrame, rule: str, rounds: int = 1) -> DataFrame:
+_WEIGHTS = "target string, feature string, weight double"
+
+
+def _weights(target: str, unit: LinearUnit) -> pa.RecordBatch:
+    weights, bias = unit.averages()
+    names = [None, *sorted(weights)]
+    return pa.RecordBatch.from_arrays([pa.array([target] * len(names), pa.string()), pa.array(names, pa.string()), pa.array([float(bias), *(float(weights[f]) for f in names[1:])])], names=["target", "feature", "weight"])
+
+
+def train_groups(rows: DataFrame, rule: str, rounds: int = 1, **given) -> DataFrame:
     """target, feature, weight (feature null for the bias) of rows (target, idx, features, y), a unit for each target."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx")
-        unit = train_sequence([({f: 1.0 for f in x}, y) for x, y in zip(group["features"], group["y"], strict=True)], rule, rounds)
-        if unit.rule == "averaged" and unit.n:
-            weights = {f: (unit.n * w - unit.late.get(f, 0.0)) / unit.n for f, w in unit.w.items()}
-            bias = (unit.n * unit.bias - unit.late_bias) / unit.n
-        else:
-            weights, bias = unit.w, unit.bias
-        made = [(group["target"].iloc[0], None, float(bias))] + [(group["target"].iloc[0], f, float(w)) for f, w in sorted(weights.items())]
-        return pd.DataFrame(made, columns=["target", "feature", "weight"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, unit = None, None
+        for batch in batches:
+            for target, x, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if unit is None or target != now:
+                    if unit is not None:
+                        yield _weights(now, unit)
+                    now, unit = target, UNITS[rule](**given)
+                unit.learn(dict.fromkeys(x, 1.0), y)
+        if unit is not None:
+            yield _weights(now, unit)
 
-    return rows.select("target", "idx", "features", F.col("y").cast("double").alias("y")).groupBy("target").applyInPandas(run, "target string, feature string, weight double")
+    turns = rows.select("target", "idx", "features", F.col("y").cast("double").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("turn"))
+    return turns.repartition("target").sortWithinPartitions("target", "turn", "idx").select("target", "features", "y").mapInArrow(run, _WEIGHTS)
+
+
+def _each(rows: DataFrame, few: DataFrame, names: list[str]) -> DataFrame:
+    """rows with the columns `names` of every row of `few`, which has one row for each unit or label."""
+    held = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in few.select(*names).collect()]
+    return rows.withColumn("_few", F.explode(F.array(*held) if held else F.array().cast(f"array<{few.select(*names).schema.simpleString()}>"))).select("*", *[F.col(f"_few.{n}").alias(n) for n in names]).drop("_few")
 
 
 def score_rows(rows: DataFrame, weights: DataFrame, default: float = 0.0) -> DataFrame:
-    """doc_id, target, score of rows (doc_id, features): a join of features with weights, missing ones at the default."""
+    """doc_id, target, score of rows (doc_id, features): a join of features with weights, missing ones at the default.
+
+    The weights are a table; where it is small, Spark sends it to the executors at run time, else it splits hot features.
+    """
     bias = weights.where("feature IS NULL").select("target", F.col("weight").alias("bias"))
     hits = rows.select("doc_id", F.explode("features").alias("feature")).join(weights.where("feature IS NOT NULL"), "feature").groupBy("doc_id", "target").agg(F.sum("weight").alias("s"), F.count(F.lit(1)).alias("k"))
-    every = rows.select("doc_id", F.size("features").alias("size")).crossJoin(F.broadcast(bias))  # one row for each target
+    every = _each(rows.select("doc_id", F.size("features").alias("size")), bias, ["target", "bias"])
     return every.join(hits, ["doc_id", "target"], "left").select("doc_id", "target", (F.coalesce("s", F.lit(0.0)) + (F.col("size") - F.coalesce("k", F.lit(0))) * default + F.col("bias")).alias("score"))
 
 
-def _binary(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
+def predict(scored: DataFrame, candidates: list[str] | None = None) -> DataFrame:
+    """doc_id, prediction: the target of the highest score, the smallest of equals; only among the candidates, if given."""
+    own = scored if candidates is None else scored.where(F.col("target").isin(*candidates))
+    return own.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "target")).alias("b")).select("doc_id", F.col("b.target").alias("prediction"))
+
+
+def mux_scores(rows: DataFrame, weights: DataFrame, default: str) -> DataFrame:
+    """doc_id, prediction of rows (doc_id, target, features): `true` or `false` by the unit of the row's own target, the
+    default where no unit was trained for it."""
+    known = weights.where("feature IS NULL").select("target", F.col("weight").alias("bias"))
+    hits = rows.select("doc_id", "target", F.explode("features").alias("feature")).join(weights.where("feature IS NOT NULL"), ["target", "feature"]).groupBy("doc_id").agg(F.sum("weight").alias("s"))
+    joined = rows.select("doc_id", "target").join(known, "target", "left").join(hits, "doc_id", "left")
+    return joined.select("doc_id", F.when(F.col("bias").isNull(), default).otherwise((F.coalesce("s", F.lit(0.0)) + F.col("bias") >= 0).cast("string")).alias("prediction"))
+
+
+#: A step of the queries below, a power of two, so that sums of steps are exact and SQL comes to the same weights.
+STEP = 0.125
+
+
+def _shown(weights: DataFrame, start: float = 0.0) -> DataFrame:
+    """Weights to 6 places, without those that are where they started; the bias stays."""
+    rounded = F.round("weight", 6)
+    return weights.select("target", "feature", rounded.alias("weight")).where(F.col("feature").isNull() | (F.col("weight") != start))
+
+
+def _binary(spark: SparkSession, sf_dir: str, rule: str, **given) -> DataFrame:
     rows = examples(spark, sf_dir).withColumns({"target": F.lit("quality"), "y": F.col("quality")})
-    return train_groups(rows, rule, rounds=2)
+    return train_groups(rows, rule, rounds=2, **given)
 
 
 def perceptron_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _binary(spark, sf_dir, "perceptron")
+    return _shown(_binary(spark, sf_dir, "perceptron", rate=STEP))
 
 
 def averaged_perceptron_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _binary(spark, sf_dir, "averaged")
+    return _shown(_binary(spark, sf_dir, "averaged", rate=STEP))
 
 
 def winnow_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _binary(spark, sf_dir, "winnow")
+    return _shown(_binary(spark, sf_dir, "winnow"), 1.0)
 
 
 def mira_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _binary(spark, sf_dir, "mira")
+    return _shown(_binary(spark, sf_dir, "mira"))
 
 
 def sgd_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linear regression of the logarithm of the text's length, one pass."""
     rows = examples(spark, sf_dir).withColumns({"target": F.lit("length"), "y": F.log10(F.greatest("n_chars", F.lit(1)))})
-    return train_groups(rows, "sgd")
+    return _shown(train_groups(rows, "sgd", rate=0.001))
+
+
+def one_vs_all(rows: DataFrame, label: str, rule: str = "perceptron", rounds: int = 1, parts: int | None = None, **given) -> DataFrame:
+    """Weights of a network: a unit for each label, made when the label is first seen, so that it misses earlier examples.
+
+    Labels are dealt over `parts` tasks; each reads all examples once and trains the units of its labels.
+    """
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, units = None, {}
+        for batch in batches:
+            for part, x, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if part != now:
+                    for target, unit in sorted(units.items()):
+                        yield _weights(target, unit)
+                    now, units = part, {}
+                if own is not None and own not in units and zlib.crc32(own.encode()) % n == part:
+                    units[own] = UNITS[rule](**given)
+                found = dict.fromkeys(x, 1.0)
+                for target, unit in units.items():
+                    unit.learn(found, float(target == own))
+        for target, unit in sorted(units.items()):
+            yield _weights(target, unit)
+
+    each = rows.select("idx", "features", F.col(label).cast("string").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("turn"))
+    each = each.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return each.repartition(n, "part").sortWithinPartitions("part", "turn", "idx").select("part", "features", "own").mapInArrow(run, _WEIGHTS)
+
+
+def _network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = examples(spark, sf_dir)
+    return rows, score_rows(rows, one_vs_all(rows, "lang", rounds=2, rate=STEP))
 
 
-def one_vs_all(rows: DataFrame, label: str, rule: str = "perceptron", rounds: int = 1) -> DataFrame:
-    """Weights of a network: a unit for each label, which in the first round sees examples from its first one on."""
-    firsts = rows.groupBy(F.col(label).alias("target")).agg(F.min("idx").alias("first"))
-    each = rows.crossJoin(F.broadcast(firsts)).withColumn("y", (F.col(label) == F.col("target")).cast("double"))  # a copy for each label
+def network_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of each document by the network's highest score, the smallest label of equals."""
+    rows, scored = _network(spark, sf_dir)
+    return predict(scored).join(rows.select("doc_id", "lang"), "doc_id").select("doc_id", "lang", "prediction")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx")
-        unit = UNITS[rule]()
-        for turn in range(rounds):
-            for x, y, late in zip(group["features"], group["y"], group["late"], strict=True):
-                if turn or late:
-                    unit.learn({f: 1.0 for f in x}, y)
-        made = [(group["target"].iloc[0], None, float(unit.bias))] + [(group["target"].iloc[0], f, float(w)) for f, w in sorted(unit.w.items())]
-        return pd.DataFrame(made, columns=["target", "feature", "weight"])
 
-    each = each.select("target", "idx", "features", "y", (F.col("idx") >= F.col("first")).alias("late"))
-    return each.groupBy("target").applyInPandas(run, "target string, feature string, weight double")
+def network_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with `de` and `fr` alone to choose from."""
+    return predict(_network(spark, sf_dir)[1], ["de", "fr"])
 
 
-def network_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicted language of each document by the network's highest score, the smallest label of equals."""
-    rows = examples(spark, sf_dir)
-    found = score_rows(rows, one_vs_all(rows, "lang", rounds=2)).groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "target")).alias("b"))
-    return found.join(rows.select("doc_id", "lang"), "doc_id").select("doc_id", "lang", F.col("b.target").alias("prediction"))
+def network_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, target, score of the network's units."""
+    return _network(spark, sf_dir)[1].select("doc_id", "target", F.round("score", 4).alias("score"))
+
+
+def _mux(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = examples(spark, sf_dir).withColumns({"target": F.col("lang"), "y": F.col("quality")})
+    return rows, train_groups(rows.where("lang <> 'es'"), "perceptron", rate=STEP)
 
 
 def mux_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A perceptron for each language, chosen by the document's."""
-    return train_groups(examples(spark, sf_dir).withColumns({"target": F.col("lang"), "y": F.col("quality")}), "perceptron")
+    """A perceptron for each language but `es`, chosen by the document's."""
+    return _shown(_mux(spark, sf_dir)[1])
+
+
+def mux_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, prediction of the unit of each document's language; `unseen` where there is none."""
+    rows, weights = _mux(spark, sf_dir)
+    return mux_scores(rows, weights, "unseen")
 
 
 def multilabel_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and all labels whose unit's score is at least 0, joined by commas."""
     rows = examples(spark, sf_dir)
     each = rows.select("doc_id", "idx", "features", F.explode(F.create_map(F.lit("quality"), F.col("quality"), F.lit("toxic"), F.col("toxic"))).alias("target", "y"))
-    found = score_rows(rows, train_groups(each, "perceptron", rounds=2)).where("score >= 0")
+    found = score_rows(rows, train_groups(each, "perceptron", rounds=2, rate=STEP)).where("score >= 0")
     return found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("target")), ",").alias("labels"))
 
 
@@ -227,24 +330,125 @@ def t_quantile(df: float, alpha: float) -> float:
     return (low + high) / 2
 
 
-def cross_validation(spark: SparkSession, sf_dir: str, k: int = 5, alpha: float = 0.05) -> DataFrame:
-    """fold, accuracy, mean, std, half (of the confidence interval) of the averaged perceptron on quality."""
-    rows = examples(spark, sf_dir).withColumn("own", F.pmod("idx", F.lit(k)))
+def cross_validate(rows: DataFrame, k: int, rule: str, rounds: int = 1, **given) -> DataFrame:
+    """fold, hits, tested of rows (idx, features, y, own): each fold is scored by a unit trained on the others.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx")
-        fold = group["fold"].iloc[0]
-        train, test = group[group["own"] != fold], group[group["own"] == fold]
-        unit = train_sequence([({f: 1.0 for f in x}, y) for x, y in zip(train["features"], train["quality"], strict=True)], "averaged")
-        hits = [(unit.score({f: 1.0 for f in x}) >= 0) == bool(y) for x, y in zip(test["features"], test["quality"], strict=True)]
-        return pd.DataFrame([(int(fold), sum(hits) / max(1, len(hits)))], columns=["fold", "accuracy"])
+    A task reads the examples of a fold's training and then those of its test, in order, and keeps the unit alone.
+    """
 
-    each = rows.select("idx", "features", "quality", "own", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
-    folds = each.groupBy("fold").applyInPandas(run, "fold int, accuracy double")
-    total = folds.agg(F.avg("accuracy").alias("mean"), F.stddev_samp("accuracy").alias("std"))
-    half = F.lit(t_quantile(k - 1, alpha)) * F.col("std") / math.sqrt(k)
-    return folds.crossJoin(F.broadcast(total)).select("fold", *[F.round(c, 5).alias(n) for c, n in ((F.col("accuracy"), "accuracy"), (F.col("mean"), "mean"), (F.col("std"), "std"), (half, "half"))])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, unit, hits, tested = None, None, 0, 0
 
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (now, hits, tested)], names=["fold", "hits", "tested"])
 
-QUERIES = {f.__name__: f for f in (perceptron_train, averaged_perceptron_train, winnow_train, mira_train, sgd_train, network_train, mux_train, multilabel_train, cross_validation)}
-SQL: dict[str, str] = {}
+        for batch in batches:
+            for fold, x, y, test in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if fold != now:
+                    if unit is not None:
+                        yield made()
+                    now, unit, hits, tested = fold, UNITS[rule](**given), 0, 0
+                found = dict.fromkeys(x, 1.0)
+                if test:
+                    tested += 1
+                    hits += (unit.score(found) >= 0) == bool(y)
+                else:
+                    unit.learn(found, y)
+        if unit is not None:
+            yield made()
+
+    each = rows.select("idx", "features", F.col("y").cast("double").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"), "own")
+    each = each.withColumn("test", F.col("own") == F.col("fold")).withColumn("turn", F.explode(F.when(F.col("test"), F.array(F.lit(rounds))).otherwise(F.sequence(F.lit(0), F.lit(rounds - 1)))))
+    return each.repartition(k, "fold").sortWithinPartitions("fold", "turn", "idx").select("fold", "features", "y", "test").mapInArrow(run, "fold long, hits long, tested long")
+
+
+def summary(folds: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """fold, accuracy, mean, std, half (of the confidence interval) of rows (fold, hits, tested), to 5 places."""
+    rows = folds.withColumn("accuracy", F.try_divide(F.col("hits").cast("double"), F.col("tested")))
+    every = Window.partitionBy(F.lit(0))  # a row for each fold
+    k = F.count(F.lit(1)).over(every)
+    mean, std = F.avg("accuracy").over(every), F.stddev_samp("accuracy").over(every)
+    n = rows.count()
+    half = F.lit(t_quantile(n - 1, alpha) if n > 1 else None) * std / F.sqrt(k)
+    return rows.select("fold", *[F.round(c, 5).alias(name) for c, name in ((F.col("accuracy"), "accuracy"), (mean, "mean"), (std, "std"), (half, "half"))])
+
+
+def cross_validation(spark: SparkSession, sf_dir: str, k: int = 5, alpha: float = 0.05) -> DataFrame:
+    """fold, accuracy, mean, std, half (of the confidence interval) of the averaged perceptron on quality."""
+    rows = examples(spark, sf_dir).withColumns({"own": F.pmod("idx", F.lit(k)), "y": F.col("quality")})
+    return summary(cross_validate(rows, k, "averaged", rate=STEP), alpha)
+
+
+def _examples_sql(targets: str) -> str:
+    """Common tables `ex` (target, idx, doc_id, features, y, first) and `dense` with a place for each feature."""
+    return f"""WITH RECURSIVE docs AS (
+        SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, doc_id, lang, quality, toxic, n_chars,
+               list_distinct(list_transform(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: w <> ''), lambda w: right(w, 2))) AS features
+        FROM documents JOIN labels USING (doc_id)),
+    ex AS ({targets}),
+    voc AS (SELECT list(f ORDER BY f) AS v FROM (SELECT DISTINCT unnest(features) AS f FROM docs)),
+    dense AS (SELECT doc_id, list_transform(v, lambda f: CASE WHEN list_contains(features, f) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS x FROM docs, voc)"""
+
+
+#: Per rule: where weights start, the score's terms, the step of an example, and the weights after it.
+_ADD = "list_transform(list_zip(w, x), lambda p: p[1] + step * p[2])"
+_MISTAKE = "CASE WHEN y = 1 AND s < {high} THEN {rate} WHEN y = 0 AND s >= {low} THEN -{rate} ELSE 0.0 END"
+_RULES = {
+    "perceptron": (0.0, _MISTAKE.format(high=0.0, low=0.0, rate=STEP), _ADD, "b + step"),
+    "averaged": (0.0, _MISTAKE.format(high=6.0, low=-6.0, rate=STEP), _ADD, "b + step"),
+    "winnow": (1.0, "CASE WHEN y = 1 AND s < 16 THEN 2.0 WHEN y = 0 AND s >= 16 THEN 0.5 ELSE 1.0 END", "list_transform(list_zip(w, x), lambda p: p[1] * CASE WHEN p[2] = 1 THEN step ELSE 1.0 END)", "b * step"),
+    "mira": (0.0, "CASE WHEN y = 1 THEN 1 ELSE -1 END * least(1.0, greatest(0.0, (1.0 - CASE WHEN y = 1 THEN 1 ELSE -1 END * s) / (list_sum(x) + 1))) * 0.1", _ADD, "b + step"),
+    "sgd": (0.0, "0.001 * (y - s)", _ADD, "b + step"),
+}
+
+
+def _train_sql(rule: str, targets: str, rounds: int) -> str:
+    """As _examples_sql, and `final` (target, n, w, b, late, late_b): the unit of each target after all examples."""
+    start, step, weights, bias = _RULES[rule]
+    return f"""{_examples_sql(targets)},
+    turns AS (SELECT target, row_number() OVER (PARTITION BY target ORDER BY turn, idx) AS k, doc_id, y
+        FROM ex, (SELECT unnest(range({rounds})) AS turn) t WHERE turn > 0 OR idx >= first),
+    run AS (
+        SELECT target, 0::BIGINT AS k, list_transform(v, lambda f: {start}::DOUBLE) AS w, {start}::DOUBLE AS b, list_transform(v, lambda f: 0.0::DOUBLE) AS late, 0.0::DOUBLE AS late_b
+        FROM (SELECT DISTINCT target FROM ex), voc
+        UNION ALL
+        SELECT target, k + 1, {weights}, ({bias})::DOUBLE, list_transform(list_zip(late, x), lambda p: p[1] + k * step * p[2]), (late_b + k * step)::DOUBLE FROM (
+            SELECT *, ({step})::DOUBLE AS step FROM (
+                SELECT r.*, t.y, d.x, list_dot_product(r.w, d.x) + r.b AS s FROM run r JOIN turns t ON t.target = r.target AND t.k = r.k + 1 JOIN dense d USING (doc_id)))),
+    final AS (SELECT target, k AS n, w, b, late, late_b FROM run QUALIFY k = max(k) OVER (PARTITION BY target))"""
+
+
+def _weights_sql(rule: str, targets: str, rounds: int) -> str:
+    start = _RULES[rule][0]
+    own, bias = ("(n * w[i] - late[i]) / n", "(n * b - late_b) / n") if rule == "averaged" else ("w[i]", "b")
+    return f"""{_train_sql(rule, targets, rounds)}
+        SELECT * FROM (SELECT target, v[i] AS feature, round({own}, 6) AS weight FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM final), voc) WHERE weight <> {start}
+        UNION ALL SELECT target, NULL, round({bias}, 6) FROM final"""
+
+
+_QUALITY = "SELECT 'quality' AS target, idx, doc_id, quality AS y, 0 AS first FROM docs"
+_LANGS = "SELECT l.lang AS target, idx, doc_id, (d.lang = l.lang)::INT AS y, first FROM docs d, (SELECT lang, min(idx) AS first FROM docs GROUP BY 1) l"
+_MUX = "SELECT lang AS target, idx, doc_id, quality AS y, 0 AS first FROM docs WHERE lang <> 'es'"
+_BOTH = "SELECT 'quality' AS target, idx, doc_id, quality AS y, 0 AS first FROM docs UNION ALL SELECT 'toxic', idx, doc_id, toxic, 0 FROM docs"
+_FOLDS = "SELECT f::VARCHAR AS target, idx, doc_id, quality AS y, 0 AS first FROM docs, (SELECT unnest(range(5)) AS f) WHERE idx % 5 <> f"
+_SCORED = "scored AS (SELECT d.doc_id, target, list_dot_product(w, x) + b AS score FROM dense d, final)"
+_BEST = "SELECT doc_id, target AS prediction FROM scored {where} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, target) = 1"
+QUERIES = {f.__name__: f for f in (perceptron_train, averaged_perceptron_train, winnow_train, mira_train, sgd_train, network_train, network_candidates, network_scores, mux_train, mux_predict, multilabel_train, cross_validation)}
+SQL: dict[str, str] = {
+    "perceptron_train": _weights_sql("perceptron", _QUALITY, 2),
+    "averaged_perceptron_train": _weights_sql("averaged", _QUALITY, 2),
+    "winnow_train": _weights_sql("winnow", _QUALITY, 2),
+    "mira_train": _weights_sql("mira", _QUALITY, 2),
+    "sgd_train": _weights_sql("sgd", "SELECT 'length' AS target, idx, doc_id, log10(greatest(n_chars, 1)) AS y, 0 AS first FROM docs", 1),
+    "network_train": f"{_train_sql('perceptron', _LANGS, 2)}, {_SCORED}, best AS ({_BEST.format(where='')}) SELECT doc_id, lang, prediction FROM best JOIN docs USING (doc_id)",
+    "network_candidates": f"""{_train_sql('perceptron', _LANGS, 2)}, {_SCORED} {_BEST.format(where="WHERE target IN ('de', 'fr')")}""",
+    "network_scores": f"{_train_sql('perceptron', _LANGS, 2)}, {_SCORED} SELECT doc_id, target, round(score, 4) AS score FROM scored",
+    "mux_train": _weights_sql("perceptron", _MUX, 1),
+    "mux_predict": f"{_train_sql('perceptron', _MUX, 1)}, {_SCORED} SELECT d.doc_id, CASE WHEN score IS NULL THEN 'unseen' WHEN score >= 0 THEN 'true' ELSE 'false' END AS prediction FROM docs d LEFT JOIN scored s ON s.doc_id = d.doc_id AND s.target = d.lang",
+    "multilabel_train": f"{_train_sql('perceptron', _BOTH, 2)}, {_SCORED} SELECT doc_id, string_agg(target, ',' ORDER BY target) AS labels FROM scored WHERE score >= 0 GROUP BY 1",
+    "cross_validation": f"""{_train_sql('averaged', _FOLDS, 1)},
+        tested AS (SELECT target::BIGINT AS fold, ((list_dot_product(list_transform(list_zip(w, late), lambda p: n * p[1] - p[2]), x) + n * b - late_b) / n >= 0) = (quality = 1) AS hit
+            FROM final, docs JOIN dense USING (doc_id) WHERE idx % 5 = target::BIGINT),
+        folds AS (SELECT fold, avg(hit::INT) AS a FROM tested GROUP BY 1), s AS (SELECT avg(a) AS m, stddev_samp(a) AS d, count(*) AS k FROM folds)
+        SELECT fold, round(a, 5) AS accuracy, round(m, 5) AS mean, round(d, 5) AS std, round({t_quantile(4, 0.05)!r} * d / sqrt(k), 5) AS half FROM folds, s""",
+}

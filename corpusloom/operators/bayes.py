@@ -16,39 +16,50 @@ def examples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return labels, words(table(spark, sf_dir, "documents")).select("doc_id", F.col("form").alias("feature"))
 
 
-def fit(labels: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
+def bags_of(features: DataFrame) -> DataFrame:
+    """doc_id, feature, times: each document's features counted once; training and scoring share it."""
+    return features.groupBy("doc_id", "feature").agg(F.count(F.lit(1)).alias("times"))
+
+
+def fit(labels: DataFrame, bags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Prior counts by label and counts by (label, feature)."""
-    return labels.groupBy("label").agg(F.count(F.lit(1)).alias("prior")), features.join(labels, "doc_id").groupBy("label", "feature").agg(F.count(F.lit(1)).alias("n"))
+    return labels.groupBy("label").agg(F.count(F.lit(1)).alias("prior")), bags.join(labels, "doc_id").groupBy("label", "feature").agg(F.sum("times").alias("n"))
 
 
-def scores(features: DataFrame, priors: DataFrame, counts: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
+def scores(bags: DataFrame, priors: DataFrame, counts: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     """doc_id, label, score: (1 - T) log prior + the sum over features of log count, or log prior + smoothing if unseen.
 
-    T is the number of features plus the label. Features are counted for each document before they meet the model, and
-    the sum over unseen ones follows from the number of features, so the join is an inner one.
+    T is the number of features plus the label. The sum over unseen features follows from the number of features, so the
+    join is an inner one. A feature of very many documents has one row of a few labels on the other side; Spark splits
+    such a key at run time. Labels, one row each, are put beside each document as a literal.
     """
-    bags = features.groupBy("doc_id", "feature").agg(F.count(F.lit(1)).alias("times"))
+    held = priors.collect()
+    label = F.explode(F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.lit(r["prior"]).alias("prior")) for r in held]))
     sizes = bags.groupBy("doc_id").agg(F.sum("times").alias("size"))
     seen = bags.join(counts, "feature").groupBy("doc_id", "label").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log("n")).alias("logs"))
-    every = sizes.crossJoin(F.broadcast(priors)).join(seen, ["doc_id", "label"], "left")  # a row for each label, of which there are few
+    every = sizes.withColumn("_l", label).select("doc_id", "size", "_l.label", "_l.prior") if held else sizes.where("false").select("doc_id", "size", F.lit("").alias("label"), F.lit(1).alias("prior"))
+    every = every.join(seen, ["doc_id", "label"], "left")
     known, logs = F.coalesce("known", F.lit(0)), F.coalesce("logs", F.lit(0.0))
     value = -F.col("size") * F.log("prior") + logs + (F.col("size") - known) * (F.log("prior") + smoothing)
     return every.select("doc_id", "label", value.alias("score"))
 
 
 def nb_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit(*examples(spark, sf_dir))[1]
+    labels, features = examples(spark, sf_dir)
+    return fit(labels, bags_of(features))[1]
 
 
 def nb_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels, features = examples(spark, sf_dir)
-    return scores(features, *fit(labels, features)).select("doc_id", "label", F.round("score", 3).alias("score"))
+    bags = bags_of(features)
+    return scores(bags, *fit(labels, bags)).select("doc_id", "label", F.round("score", 3).alias("score"))
 
 
 def nb_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, prediction; ties go to the smallest label."""
     labels, features = examples(spark, sf_dir)
-    best = scores(features, *fit(labels, features)).groupBy("doc_id").agg(F.min(F.struct((-F.round("score", 6)).alias("s"), "label")).alias("b"))
+    bags = bags_of(features)
+    best = scores(bags, *fit(labels, bags)).groupBy("doc_id").agg(F.min(F.struct((-F.round("score", 6)).alias("s"), "label")).alias("b"))
     return best.select("doc_id", F.col("b.label").alias("prediction"))
 
 

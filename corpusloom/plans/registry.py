@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.functions import normalize, split
 from corpusloom.operators import bayes, constraints, coref, evaluate, extract, learners
+from corpusloom.plans import features
 
-_MODULES = (extract, bayes, evaluate, coref, constraints, normalize, learners, split)
+_MODULES = (extract, bayes, evaluate, coref, constraints, normalize, learners, split, features)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.SQL.items()}
 

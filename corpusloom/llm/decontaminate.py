@@ -1,14 +1,18 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts are lower-cased and white space runs become one space. Each benchmark item is cut into windows of WINDOW
-characters, STEP apart (a shorter item is one window). A window with at most e edits in a document keeps at least
-n + 1 - Q * (e + 1) of its n + 1 - Q q-grams, and the diagonals of these differ by at most e. So a document's q-grams
-are looked up in the windows' and hits counted in diagonal bands that are 2 * (EDITS + 1) wide and overlap by half, so
-that some band holds all hits of a match. Bands that reach the bound are verified by banded alignment of the window,
-free to begin and end anywhere in the band.
-
-Documents are read once for each block of the benchmark; a block is at most `block_bytes` of text, so what goes to the
-executors is bounded and any benchmark is handled.
+characters, STEP apart (a shorter item is one window), so any piece of WINDOW + STEP - 1 = 79 characters of an item holds
+a full window; shorter pieces are found where they hold one. A window with at most e edits in a document keeps at least
+n + 1 - Q * (e + 1) of its n + 1 - Q q-grams, and the diagonals of these differ by at most e. e is the most edits at which
+half of the window's q-grams must stay, EDITS = 4 for a full window. So a document's q-grams are looked up in the windows'
+and hits counted in diagonal bands that are 2 * (EDITS + 1) wide and overlap by half, so that some band holds all hits of
+a match. Hits are first counted for the whole item, of which a window's are a part; where those reach the least bound,
+they are counted again for each window. Windows that reach their own bound are verified by banded alignment, free to
+begin and end anywhere in the band.
+
+The benchmark is written to the shared folder in blocks of at most `block_bytes` of text. Documents are read once: a task
+gathers up to HELD bytes of texts and searches them in one block after the other, of which it holds one at a time; a
+benchmark of one block stays indexed in the worker.
 """
 
 from __future__ import annotations
@@ -18,15 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import saved, scratch, trimmed
 from corpusloom.llm.near_dup import bounded
 
-Q, WINDOW, STEP, EDITS = 6, 64, 32, 6
+Q, WINDOW, STEP = 6, 64, 16
+EDITS = (WINDOW - Q) // (2 * Q)
+HELD = 24 << 20
 BLOCK_BYTES = 4 << 20
 _B = np.uint32(0x01000193)
-_LIFT = WINDOW + EDITS + 1  # keeps diagonals and bands positive
 _B2 = np.uint32(0x01000193**2 % (1 << 32))
 
 
@@ -48,31 +55,48 @@ def grams(x: np.ndarray) -> np.ndarray:
     return (six ^ (six >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """counts[i] numbers from starts[i] on, one after another."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
 class Windows:
-    """The windows of a block of items, indexed by q-gram."""
+    """The windows of a block of items; the items indexed by q-gram."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.items, self.texts, codes, owners = [], [], [], []
-        for item, text in items:
+        self.items, self.texts, begins, codes, owners, covers, counts = [], [], [], [], [], [], []
+        longest = 0
+        for number, (item, text) in enumerate(items):
             x = _points(normal(text))
             if len(x) < Q:
                 continue
+            longest = max(longest, len(x))
+            code = grams(x)
+            codes.append(code)
+            owners.append(np.stack([np.full(len(code), number), np.arange(len(code))]))
             last = max(0, len(x) - WINDOW)
-            for begin in sorted({*range(0, last, STEP), last}):
-                own = x[begin : begin + WINDOW]
-                code = grams(own)
-                owners.append(np.stack([np.full(len(code), len(self.texts)), np.arange(len(code))]))
-                codes.append(code)
-                self.items.append(item)
-                self.texts.append(own)
+            starts = np.array(sorted({*range(0, last, STEP), last}))
+            place = np.arange(len(code))
+            within = (starts[:, None] <= place) & (place <= starts[:, None] + min(WINDOW, len(x)) - Q)
+            gram, window = np.nonzero(within.T)
+            covers.append(window + len(self.texts))
+            counts.append(np.bincount(gram, minlength=len(code)))
+            begins.append(starts)
+            self.items += [item] * len(starts)
+            self.texts += [x[i : i + WINDOW] for i in starts]
         lengths = np.array([len(x) for x in self.texts], dtype=np.int64)
-        self.edits = np.minimum(EDITS, np.maximum(0, (lengths + 1 - Q - 1) // (2 * Q)))
+        self.begins = np.concatenate(begins) if begins else np.empty(0, np.int64)
+        self.edits = np.minimum(EDITS, np.maximum(0, (lengths - Q) // (2 * Q)))
         self.needed = lengths + 1 - Q * (self.edits + 1)
         self.least = int(self.needed.min()) if len(lengths) else 0
+        self.lift = longest + EDITS + 1  # keeps diagonals and bands positive
         code = np.concatenate(codes) if codes else np.empty(0, np.uint32)
-        order = np.argsort(code, kind="stable")
-        self.owners = np.concatenate(owners, axis=1)[:, order] if owners else np.empty((2, 0), np.int64)
-        self.codes, self.starts = np.unique(code[order], return_index=True)
+        self.owners = np.concatenate(owners, axis=1) if owners else np.empty((2, 0), np.int64)
+        self.covers = np.concatenate(covers) if covers else np.empty(0, np.int64)
+        self.cover_counts = np.concatenate(counts) if counts else np.empty(0, np.int64)
+        self.cover_starts = np.cumsum(self.cover_counts) - self.cover_counts
+        self.order = np.argsort(code, kind="stable")
+        self.codes, self.starts = np.unique(code[self.order], return_index=True)
         self.starts = np.append(self.starts, len(code))
         self.shift = np.uint32(32 - 20)
         self.flags = np.zeros(1 << 20, np.uint8)
@@ -103,16 +127,31 @@ class Windows:
         n = self.starts[at + 1] - self.starts[at]
         if not n.sum():
             return []
-        flat = np.repeat(self.starts[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        window, offset = self.owners[0][flat], self.owners[1][flat]
-        band = (np.repeat(spots, n) - offset + _LIFT) // (EDITS + 1)
-        keys = np.concatenate([window << 40 | band, window << 40 | (band - 1)])
-        bins = (((keys >> 40) * 0x9E3779B1 + keys) & 0xFFFFF).astype(np.int32)
-        full = np.bincount(bins, minlength=1 << 20) >= self.least  # most keys share no bin with as many hits as a match has
-        keys, counts = np.unique(keys[full[bins]], return_counts=True)
-        window, band = keys >> 40, keys & ((1 << 40) - 1)
+        gram = self.order[_ranges(self.starts[at], n)]
+        item, offset = self.owners[0][gram], self.owners[1][gram]
+        band = (np.repeat(spots, n) - offset + self.lift) // (EDITS + 1)
+        key = item << 40 | band
+        both = (key, key - 1)  # the band of the diagonal and the one that overlaps it
+        bins = [(((keys >> 40) * 0x9E3779B1 + keys) & 0xFFFFF).astype(np.int32) for keys in both]
+        full = sum(np.bincount(x, minlength=1 << 20) for x in bins) >= self.least  # most keys share no bin with as many hits as a match has
+        spots = [np.flatnonzero(full[x]) for x in bins]
+        kept = [(keys[x], x) for keys, x in zip(both, spots, strict=True)]
+        return self._counted(x, gram, kept)
+
+    def _counted(self, x: np.ndarray, gram: np.ndarray, kept: list) -> list[tuple[int, int, int, int]]:
+        """Hits by band of an item, then by window; kept: for both bands the keys, and the hits that have them."""
+        keys, hits = (np.concatenate(y) for y in zip(*kept, strict=True))
+        _, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        good = np.flatnonzero((counts >= self.least)[back])
+        keys, gram = keys[good], gram[hits[good]]
+        n = self.cover_counts[gram]
+        window = self.covers[_ranges(self.cover_starts[gram], n)]
+        band = np.repeat(keys & ((1 << 40) - 1), n)
+        found, counts = np.unique(window << 40 | band, return_counts=True)
+        window, band = found >> 40, found & ((1 << 40) - 1)
         good = counts >= self.needed[window]
-        return self._verify(x, window[good], band[good] * (EDITS + 1) - _LIFT)
+        window, band = window[good], band[good]
+        return self._verify(x, window, band * (EDITS + 1) - self.lift + self.begins[window])
 
     def _verify(self, x: np.ndarray, window: np.ndarray, low: np.ndarray) -> list[tuple[int, int, int, int]]:
         """Banded alignment; low: the band's lowest diagonal."""
@@ -146,57 +185,90 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
     windows: how many of the item's windows were found; edits: of the best of them; begin and end: what they span in the
     normalised text. Null, empty and very short items (under Q characters) are in no document; equal items are each
-    reported; null item ids are one item. Rows of docs that repeat are each reported. Short windows get fewer edits: at
-    least half of their q-grams must stay.
+    reported; null item ids are one item. Rows of docs that repeat are each reported; null and empty texts hold nothing,
+    and of a table without rows none are. Columns other than key and text are ignored, whatever their names.
     """
+    paths = _blocks(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), block_bytes)
+    gap = "\0" * (WINDOW + 4 * EDITS)
+
+    def search(windows: Windows, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in (batch.slice(i, 128) for batch in batches for i in range(0, batch.num_rows, 128)):
+            texts = [normal(x) for x in own.column(1).to_pylist()]
+            starts = np.concatenate([[0], np.cumsum([len(x) + len(gap) for x in texts])])
+            best: dict = defaultdict(list)
+            for window, begin, end, edits in windows.search(_points(gap.join(texts))):
+                doc = int(np.searchsorted(starts, end - 1, "right")) - 1  # begin may fall before the document
+                size = len(texts[doc])
+                best[doc, windows.items[window]].append((window, max(0, begin - int(starts[doc])), min(size, end - int(starts[doc])), edits))
+            if best:
+                ids = own.column(0).to_pylist()
+                made = [(ids[d], item, len({m[0] for m in x}), min(m[3] for m in x), min(m[1] for m in x), max(m[2] for m in x)) for (d, item), x in sorted(best.items(), key=lambda y: (y[0][0], str(y[0][1])))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made, strict=True)], names=["doc_id", "item_id", "windows", "edits", "begin", "end"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= HELD or len(paths) == 1:
+                for path in paths:
+                    yield from search(_windows(path, len(paths) == 1), held)
+                held, size = [], 0
+        if held:
+            for path in paths:
+                yield from search(_windows(path, len(paths) == 1), held)
+        trimmed()
+
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = None
-    for block in _blocks(benchmark, block_bytes):
-        part = _search(rows, block)
-        found = part if found is None else found.union(part)
-    return _search(rows.limit(0), []) if found is None else found
+    return rows.mapInArrow(run, "doc_id long, item_id long, windows long, edits long, begin long, end long")
+
+
+_kept: dict[str, Windows] = {}
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list]:
-    block, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
+def _windows(path: str, keep: bool) -> Windows:
+    """The index of a block's file; the last one of a benchmark of one block is kept."""
+    if path in _kept:
+        return _kept[path]
+    filesystem, name = pafs.FileSystem.from_uri(path)
+    with filesystem.open_input_file(name) as file, pa.ipc.open_file(file) as block:
+        table = block.read_all()
+    found = Windows(list(zip(table["item_id"].to_pylist(), table["text"].to_pylist(), strict=True)))
+    if keep:
+        _kept.clear()
+        _kept[path] = found
+    return found
+
+
+def _blocks(benchmark: DataFrame, limit: int) -> list[str]:
+    """Paths of the files that hold the benchmark; one partition of it at a time is with the driver."""
+    root = scratch(benchmark.sparkSession, "benchmark")
+    filesystem, folder = pafs.FileSystem.from_uri(root)
+    filesystem.create_dir(folder)
+    paths, block, size = [], [], 0
+
+    def close() -> None:
+        paths.append(f"{root}/{len(paths)}.arrow")
+        table = pa.table({"item_id": pa.array([x[0] for x in block], pa.int64()), "text": pa.array([x[1] for x in block], pa.string())})
+        with filesystem.open_output_stream(f"{folder}/{len(paths) - 1}.arrow") as file, pa.ipc.new_file(file, table.schema) as out:
+            out.write_table(table)
+
+    for row in benchmark.toLocalIterator():
         more = 4 * len(row[1] or "")
         if block and size + more > limit:
-            yield block
+            close()
             block, size = [], 0
-        block.append((row[0], row[1]))
+        block.append(row)
         size += more
     if block:
-        yield block
-
-
-def _search(rows: DataFrame, block: list) -> DataFrame:
-    items = rows.sparkSession.sparkContext.broadcast(block)
-    gap = "\0" * (WINDOW + 4 * EDITS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(items.value)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                own = batch.slice(i, 128)
-                texts = [normal(x) for x in own.column(1).to_pylist()]
-                starts = np.concatenate([[0], np.cumsum([len(x) + len(gap) for x in texts])])
-                best: dict = defaultdict(list)
-                for window, begin, end, edits in windows.search(_points(gap.join(texts))):
-                    doc = int(np.searchsorted(starts, end - 1, "right")) - 1  # begin may fall before the document
-                    size = len(texts[doc])
-                    best[doc, windows.items[window]].append((window, max(0, begin - int(starts[doc])), min(size, end - int(starts[doc])), edits))
-                if best:
-                    ids = own.column(0).to_pylist()
-                    made = [(ids[d], item, len({m[0] for m in x}), min(m[3] for m in x), min(m[1] for m in x), max(m[2] for m in x)) for (d, item), x in sorted(best.items(), key=lambda y: (y[0][0], str(y[0][1])))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made, strict=True)], names=["doc_id", "item_id", "windows", "edits", "begin", "end"])
-
-    return rows.mapInArrow(run, "doc_id long, item_id long, windows long, edits long, begin long, end long")
+        close()
+    return paths
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that hold a window of a benchmark item; a document without id is kept only if none such leaks."""
-    from corpusloom.llm.common import saved
+    """docs without those that hold a window of a benchmark item; a document without id is kept only if none such leaks.
 
+    Null and empty texts are kept; all columns stay as they were, repeated rows too.
+    """
     ids = saved(find_leaks(docs, benchmark, key, text).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
     return docs.join(bounded(ids), F.col(key).eqNullSafe(F.col("_leak")), "left_anti")

@@ -2,13 +2,14 @@
 
 Symbols are the white-space separated words of the text, cut into pieces of at most PIECE characters, so that text
 without white space has many symbols too. A k-mer is K symbols in a row; equal k-mers are numbered by occurrence, and
-each (k-mer, number) has a hash. The SIZE hash orders are rotations of that one order: order t starts at the t-th of
-SIZE points dealt evenly over the hash range and wraps around. The first PICKS k-mers of an order are put back in text
-order, and the hash of their tuple is the t-th component, which thus depends on which k-mers a text has, on how often
-and on their order: it follows edit distance where a set sketch does not (Marcais et al., 2019). By symmetry each
-order is a uniform one over the choice of hash; only components of one text depend on each other.
-
-All is done inside a row: one sort of the k-mers, one of their hashes, binary searches after that; any text length.
+each (k-mer, number) has a hash. There are ORDERS independent hash orders, and each serves for SIZE / ORDERS of the
+orders of the sketch by rotation: they start at points dealt evenly over the hash range and wrap around. The first PICKS
+k-mers of an order are put back in text order, and the hash of their tuple is the t-th component, which thus depends on
+which k-mers a text has, on how often and on their order: it follows edit distance where a set sketch does not (Marcais
+et al., 2019). By symmetry each order is a uniform one over the choice of hash; only rotations of one hash order depend
+on each other.
+
+All is done inside a row: one sort of the k-mers, one for each hash order, binary searches after that; any text length.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import partitions, saved
 
-K, PICKS, SIZE, PIECE = 3, 2, 32, 12
+K, PICKS, SIZE, ORDERS, PIECE = 3, 2, 32, 4, 12
 _LOW = 0x7FFFFFFF  # the low bits hold a position
 
 
@@ -43,8 +44,8 @@ def _steps(n: Column) -> Column:
     return F.transform(F.sequence(F.ceil(F.log2(n + F.lit(1))).cast("int"), F.lit(0), F.lit(-1)), lambda b: F.call_function("shiftleft", F.lit(1), b))
 
 
-def order_minhash(text: Column, k: int = K, picks: int = PICKS, size: int = SIZE, piece: int = PIECE) -> Column:
-    """array<long> of `size` components of 32 bits each. Null counts as empty; text without symbols has one k-mer."""
+def order_minhash(text: Column, k: int = K, picks: int = PICKS, size: int = SIZE, piece: int = PIECE, orders: int = ORDERS) -> Column:
+    """array<long> of `size` components of 32 bits each, `orders` of which divide them. Null counts as empty; text without symbols has one k-mer."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"\\S{{1,{piece}}}"), F.lit(0))
     symbols = F.transform(words, lambda w: F.xxhash64(w))
     symbols = _let(symbols, lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(F.lit(0).cast("long"))))
@@ -67,9 +68,10 @@ def order_minhash(text: Column, k: int = K, picks: int = PICKS, size: int = SIZE
 
         return F.transform(sorted_, rank)
 
-    points = F.array(*[F.lit(-(1 << 63) + t * ((1 << 64) // size)).cast("long") for t in range(size)])
+    turns = size // orders
+    points = F.array(*[F.lit(-(1 << 63) + t * ((1 << 64) // turns)).cast("long") for t in range(turns)])
 
-    def signature(grams: Column, order: Column, steps: Column) -> Column:
+    def signature(grams: Column, order: Column, steps: Column, salt: int) -> Column:
         n = F.size(order)
 
         def component(point: Column, t: Column) -> Column:
@@ -80,14 +82,19 @@ def order_minhash(text: Column, k: int = K, picks: int = PICKS, size: int = SIZE
 
             def chosen(b: Column) -> Column:
                 spots = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(picks)) - F.lit(1)), lambda r: F.get(order, (b + r) % n).bitwiseAND(F.lit(_LOW)).cast("int"))
-                return F.xxhash64(t, F.transform(F.array_sort(spots), lambda p: F.get(grams, p))).bitwiseAND(F.lit(0xFFFFFFFF))
+                return F.xxhash64(t + F.lit(salt * turns), F.transform(F.sort_array(spots), lambda p: F.get(grams, p))).bitwiseAND(F.lit(0xFFFFFFFF))
 
             return _let(begin, chosen)
 
         return F.transform(points, component)
 
+    def sketched(grams: Column, steps: Column, found: Column) -> Column:
+        again = lambda salt: F.sort_array(F.transform(found, lambda x: _pack(F.xxhash64(_key(x), F.lit(salt)), x.bitwiseAND(F.lit(_LOW)))))
+        of = lambda salt: lambda order: signature(grams, order, steps, salt)
+        return F.concat(*[_let(again(salt), of(salt)) for salt in range(orders)])
+
     def whole(s: Column) -> Column:
-        return _let(kmers(s), lambda g: _let(_steps(F.size(g)), lambda steps: _let(F.array_sort(F.transform(g, lambda h, i: _pack(h, i))), lambda p: _let(F.array_sort(numbered(p, steps)), lambda order: signature(g, order, steps)))))
+        return _let(kmers(s), lambda g: _let(_steps(F.size(g)), lambda steps: _let(F.sort_array(F.transform(g, lambda h, i: _pack(h, i))), lambda p: _let(numbered(p, steps), lambda found: sketched(g, steps, found)))))
 
     return _let(symbols, whole)
 
@@ -147,7 +154,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs.
 
     Null text counts as empty; a null doc_id comes last. Of rows that share the next doc_id, near_next takes the one
-    with the smallest fingerprint. A table of one id is its own next document. Other columns are ignored.
+    with the smallest fingerprint. A table of one id is its own next document. An empty table gives no rows. Other columns
+    are ignored.
     """
     pairs = edited_pairs(docs)
     prints = pairs.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), order_minhash(F.col("text")).alias("own"), order_minhash(F.col("edited")).alias("changed"))

@@ -57,8 +57,8 @@ def best_link_constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _best(_allowed(pairs(mentions(spark, sf_dir)))).drop("score")
 
 
-def _clusters(rows: DataFrame, made: DataFrame) -> DataFrame:
-    near = made.where("score > 9.9").groupBy("doc", "idx").agg(F.max("prev").alias("link"))
+def _clusters(rows: DataFrame, made: DataFrame, threshold: float = 9.9) -> DataFrame:
+    near = made.where(F.col("score") > threshold).groupBy("doc", "idx").agg(F.max("prev").alias("link"))
 
     def chase(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("idx")
@@ -276,8 +276,8 @@ _C = f"WITH {MENTIONS_SQL}, g AS (SELECT doc, mtype || coalesce(' ' || lead(mtyp
 _G = f"WITH {MENTIONS_SQL}, hours AS (SELECT unnest(range(0, {SENTENCES})) AS sent), cells AS (SELECT doc, entity, h.sent FROM (SELECT DISTINCT doc, entity FROM mentions) CROSS JOIN hours h)"
 QUERIES = {f.__name__: f for f in (mention_pairs, best_link, best_link_constrained, closest_antecedent, chain_ngrams, grid_ngrams_representative, grid_trigrams_representative, grid_ngrams_full, adjacency_counts, subject_ngrams, ngram_diff_full_outer, all_chains, top_chains, singleton_merge, cluster_merge_search, perturbed_labels)}
 SQL = {
-    "mention_pairs": f"{_P} SELECT doc, prev, idx, entity = prev_entity AS same, round(score, 4) AS score FROM pairs",
-    "best_link": f"{_P}, r AS (SELECT *, row_number() OVER (PARTITION BY doc, idx ORDER BY score DESC, prev) AS k FROM pairs WHERE score > 0) SELECT doc, idx, prev AS link, round(score, 4) AS score FROM r WHERE k = 1",
+    "mention_pairs": f"{_P} SELECT doc, prev, idx, entity = prev_entity AS same, round(score, 4) + 0.0 AS score FROM pairs",
+    "best_link": f"{_P}, r AS (SELECT *, row_number() OVER (PARTITION BY doc, idx ORDER BY score DESC, prev) AS k FROM pairs WHERE score > 0) SELECT doc, idx, prev AS link, round(score, 4) + 0.0 AS score FROM r WHERE k = 1",
     "best_link_constrained": f"{_P}, r AS (SELECT *, row_number() OVER (PARTITION BY doc, idx ORDER BY score DESC, prev) AS k FROM pairs WHERE score > 0 AND (mtype = 'error' OR prev_type <> 'error')) SELECT doc, idx, prev AS link FROM r WHERE k = 1",
     "closest_antecedent": f"{_P.replace('WITH', 'WITH RECURSIVE', 1)}, near AS (SELECT doc, idx, max(prev) AS link FROM pairs WHERE score > 9.9 GROUP BY ALL), roots AS (SELECT m.doc, m.idx, n.link FROM mentions m LEFT JOIN near n USING (doc, idx)), chase AS (SELECT doc, idx, idx AS cluster FROM roots WHERE link IS NULL UNION ALL SELECT r.doc, r.idx, c.cluster FROM roots r JOIN chase c ON r.doc = c.doc AND r.link = c.idx) SELECT * FROM chase",
     "chain_ngrams": f"{_C} SELECT * FROM grams",

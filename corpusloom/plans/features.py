@@ -175,7 +175,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _long(df: DataFrame, features: Column) -> DataFrame:
     rows = df.select("l_orderkey", "l_linenumber", F.explode(features).alias("f"))
-    return rows.select("l_orderkey", "l_linenumber", "f.id", "f.value", F.round("f.strength", 6).alias("strength"), "f.at", "f.length", "f.place", "f.total")
+    return rows.select("l_orderkey", "l_linenumber", "f.id", "f.value", F.round("f.strength", 6).alias("strength"), F.col("f.at").alias("array_place"), F.col("f.length").alias("array_length"), "f.place", "f.total")
 
 
 def mixed_conjunctions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +221,7 @@ def muxed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(rows, muxed({"A": F.col("amount"), "R": F.col("tax")}, rows.flag[0]["value"]))
 
 
-_F = "SELECT l_orderkey, l_linenumber, {id} AS id, {value} AS value, round({strength}, 6) AS strength, {at} AS at, {length} AS length, {place} AS place, {total} AS total FROM lineitem"
+_F = "SELECT l_orderkey, l_linenumber, {id} AS id, {value} AS value, round({strength}, 6) AS strength, {at} AS array_place, {length} AS array_length, {place} AS place, {total} AS total FROM lineitem"
 
 
 def _f(id_: str, value: str = "NULL", strength: str = "1.0", at: str = "NULL::INT", length: str = "NULL::INT", place: str = "-1", total: str = "0", where: str = "") -> str:

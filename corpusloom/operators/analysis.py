@@ -280,6 +280,14 @@ def best_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc", "m.a", "m.b", (F.lit(0.0) - F.col("m.g")).alias("gain"))
 
 
+def coherence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc, a, b, swapped, label: each document beside the one with clusters a and b merged, in an order drawn from their
+    names; label: whether the first of the two has the higher B-cubed sums."""
+    rows = candidates(mentions(spark, sf_dir)).where(FILTERS["size"]())
+    swapped = drawn("doc", "a", "b") % 2 == 1
+    return rows.select("doc", "a", "b", swapped.alias("swapped"), F.when(swapped, F.col("gain") > 0).otherwise(F.col("gain") < 0).alias("label"))
+
+
 THRESHOLDS = (9.9, 9.95, 9.99)
 
 
@@ -344,7 +352,7 @@ def _segments_sql(name: str, least: int) -> str:
         {name} AS (SELECT conv_id, turn, kind AS type, min(pos) AS first, max(pos) AS last FROM (SELECT *, sum(opens::INT) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS k FROM {name}_o) WHERE kind <> 'O' GROUP BY conv_id, turn, kind, k)"""
 
 
-QUERIES = {f.__name__: f for f in (document_statistics, pronoun_company, pronoun_company_merged, head_word_clusters, gold_alignment, score_lookup, weighted_total, typed_segment_prf, performance_table, mass_results, timing_statistics, entity_shuffle, sentence_shuffle, coherence_features, coherence_accuracy, b3_label, merge_candidates, merge_correlation, best_merge, threshold_sweep)}
+QUERIES = {f.__name__: f for f in (document_statistics, pronoun_company, pronoun_company_merged, head_word_clusters, gold_alignment, score_lookup, weighted_total, typed_segment_prf, performance_table, mass_results, timing_statistics, entity_shuffle, sentence_shuffle, coherence_features, coherence_accuracy, b3_label, merge_candidates, merge_correlation, best_merge, coherence_pairs, threshold_sweep)}
 SQL = {
     "document_statistics": f"""{_M}, chains AS (SELECT doc, entity, count(*) AS size, min(idx) AS first FROM mentions GROUP BY ALL),
         sizes AS (SELECT doc, count(*) AS entities, round(sum(size) / count(*), 4) AS per_entity, round(avg(size), 4) AS size_mean, round(stddev_samp(size), 4) AS size_std, round(skewness(size), 4) + 0.0 AS size_skew, round(kurtosis(size), 4) + 0.0 AS size_kurt FROM chains GROUP BY 1),
@@ -390,6 +398,7 @@ SQL = {
     "merge_candidates": f"{_CANDIDATES} SELECT *, true AS by_none, size <= 2 AS by_size, gain >= 0 AS by_gain, score >= 9.9 AS by_score FROM cand",
     "merge_correlation": f"{_CANDIDATES} SELECT doc, round(corr(gain, score), 4) AS r, round(regr_slope(gain, score), 4) AS slope, round(regr_intercept(gain, score), 4) AS intercept FROM cand GROUP BY 1",
     "best_merge": f"{_CANDIDATES} SELECT doc, a, b, gain FROM cand QUALIFY row_number() OVER (PARTITION BY doc ORDER BY gain DESC, a, b) = 1",
+    "coherence_pairs": f"""{_CANDIDATES}, d AS (SELECT *, {_DRAW.format("concat_ws(':', doc, a, b)")} % 2 = 1 AS swapped FROM cand WHERE size <= 2) SELECT doc, a, b, swapped, CASE WHEN swapped THEN gain > 0 ELSE gain < 0 END AS label FROM d""",
     "threshold_sweep": f"""WITH RECURSIVE {MENTIONS_SQL}, near AS (SELECT t, a.doc, a.idx, max(b.idx) AS link FROM (SELECT unnest([{", ".join(f"{t}::DOUBLE" for t in THRESHOLDS)}]) AS t), mentions a JOIN mentions b ON a.doc = b.doc AND b.idx < a.idx WHERE 10.0 - abs(a.v - b.v) > t GROUP BY ALL),
         roots AS (SELECT t.t, m.doc, m.idx, n.link FROM (SELECT unnest([{", ".join(f"{t}::DOUBLE" for t in THRESHOLDS)}]) AS t) t CROSS JOIN mentions m LEFT JOIN near n ON n.t = t.t AND n.doc = m.doc AND n.idx = m.idx),
         chase AS (SELECT t, doc, idx, idx AS cluster FROM roots WHERE link IS NULL UNION ALL SELECT r.t, r.doc, r.idx, c.cluster FROM roots r JOIN chase c ON r.t = c.t AND r.doc = c.doc AND r.link = c.idx),

@@ -258,6 +258,37 @@ def merge_search(group: pd.DataFrame, width: int = 4, depth: int = 3) -> pd.Data
     return pd.DataFrame(out, columns=["doc", "depth", "clusters", "spread"])
 
 
+def every_merge(group: pd.DataFrame, depth: int = 2, keep=lambda state, i, j: True) -> pd.DataFrame:
+    """As merge_search without a beam: depth first through all merges that `keep` lets pass, each state once."""
+    start = tuple(frozenset(x) for _, x in sorted(group.groupby("pred")["idx"]))
+    value = dict(zip(group["idx"], group["v"], strict=True))
+    best: dict[int, tuple[float, int]] = {}
+    seen, open_ = {frozenset(start)}, [(start, 0)]
+    while open_:
+        state, level = open_.pop()
+        found = (sum(max(value[i] for i in c) - min(value[i] for i in c) for c in state), len(state))
+        best[level] = min(best.get(level, found), found)
+        if level < depth:
+            for i in range(len(state)):
+                for j in range(i):
+                    merged = tuple(c for k, c in enumerate(state) if k not in (i, j)) + (state[i] | state[j],)
+                    if keep(state, i, j) and frozenset(merged) not in seen:
+                        seen.add(frozenset(merged))
+                        open_.append((merged, level + 1))
+    return pd.DataFrame([(group["doc"].iloc[0], level, n, round(s, 4)) for level, (s, n) in sorted(best.items())], columns=["doc", "depth", "clusters", "spread"])
+
+
+def small_merges(state: tuple, i: int, j: int) -> bool:
+    """Lets clusters of one mention merge."""
+    return len(state[i]) + len(state[j]) <= 2
+
+
+def cluster_merge_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best state of each depth among all merges of two single mentions."""
+    rows = mentions(spark, sf_dir).select("doc", "idx", "pred", "v")
+    return rows.groupBy("doc").applyInPandas(lambda group: every_merge(group, 2, small_merges), "doc string, depth int, clusters int, spread double")
+
+
 def cluster_merge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions(spark, sf_dir).select("doc", "idx", "pred", "v").groupBy("doc").applyInPandas(lambda group: merge_search(group), "doc string, depth int, clusters int, spread double")
 
@@ -274,7 +305,7 @@ def perturbed_labels(spark: SparkSession, sf_dir: str, rate: float = 0.1) -> Dat
 _P = f"WITH {MENTIONS_SQL}, pairs AS (SELECT a.*, b.idx AS prev, b.mtype AS prev_type, b.entity AS prev_entity, 10.0 - abs(a.v - b.v) AS score FROM mentions a JOIN mentions b ON a.doc = b.doc AND b.idx < a.idx)"
 _C = f"WITH {MENTIONS_SQL}, g AS (SELECT doc, mtype || coalesce(' ' || lead(mtype) OVER c, '') AS gram, row_number() OVER c AS nth, count(*) OVER (PARTITION BY doc, entity) AS size FROM mentions WINDOW c AS (PARTITION BY doc, entity ORDER BY idx)), grams AS (SELECT doc, gram, count(*) AS count FROM g WHERE nth <= greatest(size - 1, 1) GROUP BY ALL)"
 _G = f"WITH {MENTIONS_SQL}, hours AS (SELECT unnest(range(0, {SENTENCES})) AS sent), cells AS (SELECT doc, entity, h.sent FROM (SELECT DISTINCT doc, entity FROM mentions) CROSS JOIN hours h)"
-QUERIES = {f.__name__: f for f in (mention_pairs, best_link, best_link_constrained, closest_antecedent, chain_ngrams, grid_ngrams_representative, grid_trigrams_representative, grid_ngrams_full, adjacency_counts, subject_ngrams, ngram_diff_full_outer, all_chains, top_chains, singleton_merge, cluster_merge_search, perturbed_labels)}
+QUERIES = {f.__name__: f for f in (mention_pairs, best_link, best_link_constrained, closest_antecedent, chain_ngrams, grid_ngrams_representative, grid_trigrams_representative, grid_ngrams_full, adjacency_counts, subject_ngrams, ngram_diff_full_outer, all_chains, top_chains, singleton_merge, cluster_merge_search, cluster_merge_exhaustive, perturbed_labels)}
 SQL = {
     "mention_pairs": f"{_P} SELECT doc, prev, idx, entity = prev_entity AS same, round(score, 4) + 0.0 AS score FROM pairs",
     "best_link": f"{_P}, r AS (SELECT *, row_number() OVER (PARTITION BY doc, idx ORDER BY score DESC, prev) AS k FROM pairs WHERE score > 0) SELECT doc, idx, prev AS link, round(score, 4) + 0.0 AS score FROM r WHERE k = 1",

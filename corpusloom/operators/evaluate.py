@@ -139,6 +139,34 @@ def kfold_kth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kfold(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "idx", F.col("kth").alias("fold"))
 
 
+def random_folds(df: DataFrame, key: str, k: int = 5, seed: int = 7) -> DataFrame:
+    """key, fold: contiguous folds of the rows in the order of a digest of key and seed, which any engine repeats.
+
+    Rows are numbered inside the 4096 parts that the digest's first three letters make; a part adds the rows before it.
+    """
+    rows = df.select(key, F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))).alias("_d")).withColumn("_part", F.substring("_d", 1, 3))
+    counts = rows.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(every).alias("_total"))
+    idx = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("_d", key)) - 1
+    numbered = rows.join(counts, F.col("_part") == F.col("_p")).withColumn("_idx", idx)
+    q, r = F.floor(F.col("_total") / k), F.col("_total") % k
+    edge = r * (q + 1)
+    fold = F.when(F.col("_idx") < edge, F.floor(F.col("_idx") / (q + 1))).otherwise(r + F.floor((F.col("_idx") - edge) / F.greatest(q, F.lit(1))))
+    return numbered.select(key, fold.cast("long").alias("fold"))
+
+
+def kfold_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return random_folds(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def plain_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n, accuracy: the share of rows whose lists of values are equal, here language and its guess."""
+    rows = guesses(spark, sf_dir).select((F.array("gold") == F.array("pred")).cast("int").alias("hit"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 6).alias("accuracy"))
+
+
 def kfold_manual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folds cut by separator rows (documents over 9000 characters): the number of separators up to a row."""
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 9000).cast("int").alias("sep")).withColumn("_block", F.floor(F.col("doc_id") / 65536))
@@ -155,7 +183,7 @@ _SEG = r"""WITH t AS (SELECT conv_id, turn, list_filter(string_split(text, ' '),
     tags AS (SELECT conv_id, turn, pos, regexp_matches(w[pos + 1], '^\p{Lu}') AS gold, regexp_matches(w[pos + 1], '^\p{Lu}') AND len(w[pos + 1]) > 3 AS guess FROM u),
     gold AS (SELECT conv_id, turn, min(pos) AS first, max(pos) AS last FROM (SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS k FROM tags WHERE gold) GROUP BY conv_id, turn, k),
     guess AS (SELECT conv_id, turn, min(pos) AS first, max(pos) AS last FROM (SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS k FROM tags WHERE guess) GROUP BY conv_id, turn, k)"""
-QUERIES = {f.__name__: f for f in (confusion_counts, prf_table, overall_stats, bio_segments, bio_segment_prf, bcubed, bcubed_by_type, moments, correlation, kfold_sequential, kfold_kth, kfold_manual)}
+QUERIES = {f.__name__: f for f in (confusion_counts, prf_table, overall_stats, bio_segments, bio_segment_prf, bcubed, bcubed_by_type, moments, correlation, kfold_sequential, kfold_kth, kfold_random, kfold_manual, plain_accuracy)}
 SQL = {
     "confusion_counts": f"{_GUESS} SELECT gold, pred, count(*) AS n FROM g GROUP BY ALL",
     "prf_table": f"""{_GUESS}, s AS (SELECT label, sum(g) AS n_gold, sum(p) AS n_pred, sum(h) AS n_hit FROM (
@@ -175,5 +203,7 @@ SQL = {
     "correlation": f"WITH {MENTIONS_SQL} SELECT mtype, round(corr(v, idx), 6) AS r, round(regr_slope(v, idx), 6) AS slope, round(regr_intercept(v, idx), 6) AS intercept FROM mentions GROUP BY 1",
     "kfold_sequential": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, ntile(5) OVER (ORDER BY doc_id) - 1 AS fold FROM documents",
     "kfold_kth": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, (row_number() OVER (ORDER BY doc_id) - 1) % 5 AS fold FROM documents",
+    "kfold_random": "SELECT doc_id, ntile(5) OVER (ORDER BY md5(doc_id || ':7'), doc_id) - 1 AS fold FROM documents",
+    "plain_accuracy": f"{_GUESS} SELECT count(*) AS n, round(avg(([gold] = [pred])::INT), 6) AS accuracy FROM g",
     "kfold_manual": "SELECT doc_id, sum((n_chars > 9000)::INT) OVER (ORDER BY doc_id)::BIGINT AS fold FROM documents",
 }

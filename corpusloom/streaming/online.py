@@ -1,16 +1,51 @@
-"""Streams: naive Bayes counts and windowed event counts that follow their source."""
+"""Streams: counts, windowed counts, and learners whose state outlives a batch."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.learners import UNITS
+
+
+def streamed_counts(stream: DataFrame) -> DataFrame:
+    """label, feature, n of a stream of (label, features): the counts of naive Bayes, kept up to date."""
+    return stream.select("label", F.explode("features").alias("feature")).groupBy("label", "feature").agg(F.count(F.lit(1)).alias("n"))
+
+
+def windowed_counts(events: DataFrame, time: str = "ts", late: str = "1 hour", size: str = "1 day") -> DataFrame:
+    """window, event_type, n; rows later than `late` behind the newest are dropped."""
+    return events.withWatermark(time, late).groupBy(F.window(time, size), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def streamed_learner(stream: DataFrame, rule: str = "perceptron", **given) -> DataFrame:
+    """target, seen, feature, weight (feature null for the bias) after each batch, of a stream of (target, idx, features, y).
+
+    A target's unit is the state of its key; examples of a batch are learned from in the order of idx.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        unit = pickle.loads(state.get[0]) if state.exists else UNITS[rule](**given)
+        rows = pd.concat(list(frames)).sort_values("idx")  # one batch of one target
+        for x, y in zip(rows["features"], rows["y"], strict=True):
+            unit.learn(dict.fromkeys(x, 1.0), y)
+        state.update((pickle.dumps(unit),))
+        weights, bias = unit.averages()
+        made = [(key[0], unit.n, None, float(bias)), *[(key[0], unit.n, f, float(w)) for f, w in sorted(weights.items())]]
+        yield pd.DataFrame(made, columns=["target", "seen", "feature", "weight"])
+
+    rows = stream.select("target", "idx", "features", F.col("y").cast("double").alias("y"))
+    return rows.groupBy("target").applyInPandasWithState(run, "target string, seen long, feature string, weight double", "unit binary", "update", "NoTimeout")
+
 
-def streamed_counts(examples: DataFrame) -> DataFrame:
-    """label, feature, n of a stream (label, features); run it in complete or update mode."""
-    return examples.select("label", F.explode("features").alias("feature")).groupBy("label", "feature").agg(F.count(F.lit(1)).alias("n"))
+def saving(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each batch's rows as a table of its own below path, so that a model is saved as it grows."""
 
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """window, event_type, n, total of a stream of events, rows later than the watermark left out."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return save

@@ -4,12 +4,15 @@ from itertools import product
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from corpusloom.functions.split import ends_sentence, split_by_case, split_sentences, split_words_of
+from corpusloom.functions.split import bracketed, ends_sentence, entities_cleaned, plain_tokens, split_by_case, split_sentences, split_words_of, tag_name
 from corpusloom.operators.constraints import best_links, linearize, solve, truth
-from corpusloom.operators.coref import merge_search, merge_singletons, pairs
+from corpusloom.operators import training
+from corpusloom.operators.coref import every_merge, merge_search, merge_singletons, pairs, small_merges
 from corpusloom.operators.inference import NotOptimal, Program, assign, cnf, dnf, factored, k_best, negated, propositional, rerank, simplified
 from corpusloom.operators.learners import LinearUnit, default_learner, mux_scores, one_vs_all, predict, score_rows, t_quantile, train_groups, train_sequence
+from corpusloom.plans import features
 from corpusloom.plans.registry import ORACLE_SQL, QUERIES
 from corpusloom.plans.spec import Classifier, extract
 from corpusloom.sources import readers
@@ -296,19 +299,131 @@ def test_spec(spark):
 
 def test_readers(spark, tmp_path):
     (tmp_path / "pos").write_text("(DT the) (NN cat)\n(VB runs)\n")
-    assert [(r.sent, r.pos, r.tag, r.form) for r in readers.read_pos_brackets(spark, str(tmp_path / "pos")).orderBy("sent", "pos").collect()] == [(0, 0, "DT", "the"), (0, 1, "NN", "cat"), (1, 0, "VB", "runs")]
+    found = [(r.sent, r.pos, r.tag, r.form, r.start, r.end) for r in readers.read_pos_brackets(spark, str(tmp_path / "pos")).orderBy("sent", "pos").collect()]
+    assert found == [(0, 0, "DT", "the", 0, 2), (0, 1, "NN", "cat", 4, 6), (1, 0, "VB", "runs", 0, 3)]
     (tmp_path / "cols").write_text("a  b\n\nc d\n")
     assert [r.fields for r in readers.read_columns(spark, str(tmp_path / "cols")).orderBy("line").collect()] == [["a", "b"], [], ["c", "d"]]
     (tmp_path / "scores").write_text("d|m|n -1.5\n")
-    assert readers.read_pair_scores(spark, str(tmp_path / "scores")).count() == 2
-    (tmp_path / "a.xml").write_text('<doc><entity ID="e1" TYPE="PER"><entity_mention ID="m1" TYPE="NAM"><extent><charseq START="3" END="9">x</charseq></extent><head><charseq START="5" END="9">x</charseq></head></entity_mention></entity></doc>')
-    (tmp_path / "b.xml").write_text('<doc><entity ID="e2" TYPE="PER"/></doc>')
-    text = (tmp_path / "a.xml").read_text().replace(" ID=", " ID=")
-    assert "START" in text
-    row = readers.read_mention_xml(spark, str(tmp_path / "a.xml")).first()
-    assert (row.entity, row.mention, row.head_start, row.extent_end) == ("e1", "m1", 5, 9)
-    coded, lexicon = readers.pre_extract(spark.createDataFrame([(0, ["x", "y"]), (1, ["y", "z"])], "idx long, features array<string>"))
-    assert {r.idx: r.features for r in coded.collect()} == {0: [0, 1], 1: [1, 2]}
+    assert {(r.m1, r.m2, r.positive, r.negative) for r in readers.signed_scores(readers.read_pair_scores(spark, str(tmp_path / "scores"))).collect()} == {("m", "n", 0.0, -1.5), ("n", "m", 0.0, -1.5)}
+    coded, lexicon = readers.pre_extract(spark.createDataFrame([(0, ["x", "y"]), (1, ["y", "z"]), (9, ["w", "x"])], "idx long, features array<string>"), width=4)
+    assert {r.idx: r.features for r in coded.collect()} == {0: [0, 1], 1: [1, 2], 9: [3, 0]}
+    assert {r.idx: r.features for r in readers.read_examples(coded, lexicon).collect()} == {0: ["x", "y"], 1: ["y", "z"], 9: ["w", "x"]}
+    (tmp_path / "ex").write_text("1|2 3\n0|4\n-1\n1|2\n")
+    assert [(r.idx, r.fold, r.labels, r.features) for r in readers.read_example_lines(spark, str(tmp_path / "ex")).orderBy("idx").collect()] == [(0, 0, [1], [2, 3]), (1, 0, [0], [4]), (3, 1, [1], [2])]
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    wanted = [f"line {i} {'x' * (i % 50)}" for i in range(3000)]
+    (tmp_path / "big").write_text("\n".join(wanted) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        found = readers.lines(spark, str(tmp_path / "big"))
+        assert found.select("path").distinct().count() == 1
+        assert [r.value for r in found.orderBy("line").collect()] == wanted and found.agg({"line": "max"}).first()[0] == 2999
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def _annotation(doc, mention):
+    span = '<charseq START="5" END="9">Smith</charseq>'
+    return f'<source><document DOCID="{doc}"><entity ID="e1" TYPE="PER"><entity_mention ID="{mention}" TYPE="NAM"><extent>{span}</extent><head>{span}</head></entity_mention></entity></document></source>'
+
+
+def test_annotations(spark, tmp_path):
+    for part, name in (("train", "a"), ("test", "b")):
+        (tmp_path / part).mkdir()
+        (tmp_path / part / f"{name}.pred.apf.xml").write_text(_annotation(f"D{name}", f"m{name}"))
+    row = readers.read_mention_xml(spark, str(tmp_path / "train")).first()
+    assert (row.doc, row.entity, row.mention, row.head, row.head_start, row.extent_end) == ("Da", "e1", "ma", "Smith", 5, 9)
+    (tmp_path / "list").write_text("# names\n\nb.sgm\n")
+    found = readers.read_predicted_mentions(spark, str(tmp_path), readers.read_file_list(spark, str(tmp_path / "list"))).collect()
+    assert [(r.part, r.name, r.mention) for r in found] == [("test", "b", "mb")]
+    (tmp_path / "doc.sgm").write_text("<DOC><ID>x1</ID>\n<TEXT>\nThe <b>cat</b> ran.\n</TEXT></DOC>")
+    text = readers.read_tagged_text(spark, str(tmp_path / "doc.sgm")).first()
+    assert text.text == "\nThe cat ran.\n" and text.offset == 3
+    mentions_ = spark.createDataFrame([("p", "m", 6)], "path string, mention string, head_start int")
+    words_ = spark.createDataFrame([("p", "The", 1, 3), ("p", "cat", 5, 7)], "path string, form string, start int, end int")
+    assert [r.form for r in readers.align_mentions(mentions_, words_).collect()] == ["cat"]
+    both = readers.with_predictions(spark.createDataFrame([("d", 0, 1), ("d", 1, 1)], "doc string, idx int, entity int"), spark.createDataFrame([("d", 0, 7)], "doc string, idx int, entity int"), ["doc", "idx"])
+    assert {r.idx: r.entity for r in both.collect()} == {0: 7, 1: None}
+
+
+def test_sinks(spark, tmp_path):
+    weights = spark.createDataFrame([("t", "f", 0.5), ("t", None, 1.0)], "target string, feature string, weight double")
+    readers.write_model(weights, str(tmp_path / "model"), rule="perceptron", rounds=2)
+    back, parameters = readers.read_model(spark, str(tmp_path / "model"))
+    assert parameters == {"rule": "perceptron", "rounds": "2"} and sorted(map(str, back.collect())) == sorted(map(str, weights.collect()))
+    readers.write_model_text(weights, str(tmp_path / "text"))
+    assert spark.read.text(str(tmp_path / "text")).count() == 2
+    row = spark.createDataFrame([(bytearray(b"\x00\xffa"), "00FF61")], "b binary, h string").select(readers.to_hex(F.col("b")).alias("h"), readers.from_hex(F.col("h")).alias("b")).first()
+    assert row.h == "00ff61" and bytes(row.b) == b"\x00\xffa"
+    page = readers.as_html(spark.createDataFrame([("d", 1, 7, "<b>"), ("d", 0, 8, "he")], "doc string, idx int, entity int, mtype string")).first().html
+    assert page.index("he") < page.index("&lt;b&gt;") and page.count("hsl(") == 2
+    assert readers.fixed_width([("a", 0.5), ("bcd", None)], ["name", "f"], 2, (1,)).split("\n") == ["name     f", "----  ----", "a     0.50", "----  ----", "bcd      -"]
+    assert 'plot "p" using 1:2' in readers.plot_script("p", 1.5, 0.0, 0.25)
+
+
+def test_small_functions(spark):
+    row = spark.createDataFrame([("NNP", "a(b", "AT&amp;T &AMP; x")], "t string, f string, e string").select(tag_name(F.col("t")).alias("n"), bracketed(F.col("t"), F.col("f")).alias("b"), entities_cleaned(F.col("e")).alias("e")).first()
+    assert (row.n, row.b, row.e) == ("Proper noun, singular", "(NNP a-LRB-b)", "AT&T & x")
+    assert plain_tokens(spark.createDataFrame([("a",)], "form string")).columns == ["form", "type", "label"]
+
+
+def test_feature_algebra(spark):
+    c = F.col
+    rows = spark.createDataFrame([("x", 2.0, ["a", "b"], [3.0, 4.0])], "d string, r double, da array<string>, ra array<double>")
+    d, r, da, ra = features.discrete("d", c("d"), ("w", "x")), features.real("r", c("r")), features.discrete_array("da", c("da")), features.real_array("ra", c("ra"))
+    made = {name: rows.select(x.alias("f")).first().f for name, x in {
+        "dd": features.conjunction(d, d), "same": features.conjunction(d, d, same=True), "dr": features.conjunction(d, r), "rr": features.conjunction(r, r), "dada": features.conjunction(da, da), "rra": features.conjunction(r, ra),
+        "order": features.in_order(features.union(r, ra, d, da)), "mux": features.muxed({"x": r, "y": d}, c("d")), "none": features.muxed({"y": d}, c("d")),
+    }.items()}
+    assert [(f.id, f.value, f.place, f.total) for f in made["dd"]] == [("d&d", "x&x", 3, 4)] and made["same"] == []
+    assert [(f.id, f.value, f.strength) for f in made["dr"]] == [("d_x&r", None, 2.0)] and made["rr"][0].strength == 4.0
+    assert [(f.value, f["at"], f.length) for f in made["dada"]] == [("a&a", 0, 4), ("a&b", 1, 4), ("b&a", 2, 4), ("b&b", 3, 4)]
+    assert [(f.strength, f["at"], f.length) for f in made["rra"]] == [(6.0, 0, 2), (8.0, 1, 2)]
+    assert [f.id for f in made["order"]] == ["da", "da", "d", "ra", "ra", "r"]
+    assert [f.id for f in made["mux"]] == ["r"] and made["none"] == []
+    row = rows.select(features.dot(features.union(r, ra, da), features.union(ra, r, r, d)).alias("dot"), features.equal_bags(features.union(r, d), features.union(d, r)).alias("same"), features.equal_bags(d, features.union(d, d)).alias("other"), features.place_of(F.lit("q"), ("w", "x")).alias("p"), features.holds_all(features.union(r, d), d).alias("all")).first()
+    assert (row.dot, row.same, row.other, row.p, row["all"]) == (2 * 4 + 9 + 16, True, False, -1, True)
+
+
+def test_training_order():
+    make = lambda name, *depends: training.Learner(name, None, None, depends=depends)
+    names = lambda *x: [y.name for y in training.in_order(x)]
+    assert names(make("c", "b"), make("b", "a"), make("a")) == ["a", "b", "c"]
+    assert names(make("x", "y"), make("y", "x"), make("z")) == ["z", "x", "y"] and names(make("p", "gone")) == ["p"]
+
+
+def test_training_options(spark):
+    rows = spark.createDataFrame([(i, 10 * i, i % 2, float(i), "pq"[i % 2], ["odd" if i % 2 else "even", f"n{i}"]) for i in range(24)], "idx long, doc_id long, y int, v double, lang string, words array<string>")
+    words_ = lambda: F.col("words")
+    learners_ = [training.Learner("bin", F.col("y"), words_, rule="perceptron", rounds=2), training.Learner("net", F.col("lang"), words_, "discrete", rounds=3), training.Learner("reg", F.col("v"), words_, "real")]
+    found = training.train(rows, learners_, 3, "sequential", metric=lambda df: F.col("hits") * 0 + 0.25)
+    assert {(r.accuracy, r["mean"], r["std"]) for r in found.summaries["bin"].collect()} == {(0.25, 0.25, 0.0)}
+    made = {r.doc_id: r.prediction for r in training.predictions(learners_[1], rows.withColumn("features", words_()), found.weights["net"]).collect()}
+    assert made == {10 * i: "pq"[i % 2] for i in range(24)}
+    own = training.Learner("bin", F.col("y"), words_, rule="perceptron", evaluate=lambda s, t: F.concat(t, F.lit(":"), (s >= 0).cast("string")))
+    assert {r.prediction for r in training.predictions(own, rows.withColumn("features", words_()), found.weights["bin"]).collect()} == {"bin:true", "bin:false"}
+    manual = training.with_folds(rows.withColumn("fold", F.col("idx") % 4), "manual", 4)
+    assert manual.where("own = 3").count() == 6
+
+
+def test_every_merge():
+    group = pd.DataFrame({"doc": ["d"] * 4, "idx": range(4), "pred": [0, 1, 2, 3], "v": [1.0, 1.1, 5.0, 9.0]})
+    value, best = dict(enumerate(group["v"])), {}
+
+    def go(state, level):
+        s = round(sum(max(value[i] for i in c) - min(value[i] for i in c) for c in state), 4)
+        best[level] = min(best.get(level, s), s)
+        if level < 2:
+            for i in range(len(state)):
+                for j in range(i):
+                    go([c for k, c in enumerate(state) if k not in (i, j)] + [state[i] | state[j]], level + 1)
+
+    go([{i} for i in range(4)], 0)
+    assert every_merge(group, 2)["spread"].tolist() == [best[0], best[1], best[2]]
+    assert every_merge(group, 2, small_merges)["clusters"].tolist() == [4, 3, 2]
 
 
 def test_every_sql_has_a_query():
@@ -341,3 +456,26 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("counts").count() == 3
+
+
+def test_streamed_learner(spark, tmp_path):
+    from corpusloom.streaming.online import saving, streamed_learner
+
+    rows = [("t", i, list(x), y) for i, (x, y) in enumerate(ROWS)]
+    schema = "target string, idx long, features array<string>, y double"
+    for i in (0, 2):
+        spark.createDataFrame(rows[i : i + 2], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = streamed_learner(stream).writeStream.outputMode("update").foreachBatch(saving(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "check")).start()
+    query.processAllAvailable()
+    query.stop()
+    last = spark.read.parquet(str(tmp_path / "out")).where("seen = 4").collect()
+    unit = train_sequence(ROWS, "perceptron")
+    assert {r.feature: r.weight for r in last} == pytest.approx({None: unit.bias, **unit.w})
+
+
+def test_windowed_counts(spark):
+    from corpusloom.streaming.online import windowed_counts
+
+    rows = spark.createDataFrame([("2024-01-01 01:00:00", "a"), ("2024-01-01 23:00:00", "a"), ("2024-01-02 00:00:00", "b")], "t string, event_type string").withColumn("ts", F.to_timestamp("t"))
+    assert sorted((r.event_type, r.n) for r in windowed_counts(rows).collect()) == [("a", 2), ("b", 1)]

@@ -189,6 +189,36 @@ def test_leaks(spark):
     assert {r.doc_id for r in decontaminate.drop_leaks(docs(spark, rows), bench).collect()} == {3, 4, 6}
 
 
+def test_search_against_alignment_at_every_place():
+    """Each window against each text by the full edit-distance table."""
+
+    def least_edits(pattern, text):
+        row = np.zeros(len(text) + 1, int)
+        for i, c in enumerate(pattern):
+            new = [i + 1]
+            for j, d in enumerate(text):
+                new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+            row = np.array(new)
+        return int(row.min())
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randrange(2, 8)))
+    items = [(i, " ".join(word() for _ in range(rng.choice([3, 12, 25, 60])))) for i in range(12)]
+    windows = decontaminate.Windows(items)
+    for _ in range(40):
+        own = rng.choice(items)[1]
+        begin = rng.randrange(max(1, len(own) - 70))
+        piece = list(own[begin : begin + rng.randrange(40, 120)])
+        for _ in range(rng.randrange(7)):
+            at = rng.randrange(len(piece))
+            piece[at : at + 1] = rng.choice([[], ["x"], ["y", piece[at]]])
+        text = " ".join(word() for _ in range(10)) + " " + "".join(piece) + " " + " ".join(word() for _ in range(10))
+        x = decontaminate._points(decontaminate.normal(text))
+        found = {m[0]: min(m[3], 99) for m in windows.search(x)}
+        wanted = {w for w, t in enumerate(windows.texts) if least_edits(t, x) <= windows.edits[w]}
+        assert set(found) == wanted
+
+
 def test_leak_at_a_document_start(spark):
     item = "The quick brown fox jumps over the lazy dog while seven wizards"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
@@ -508,3 +538,83 @@ def test_order_matters(spark):
     a, b = rows.select(fingerprint.order_minhash(fingerprint.F.col("a")), fingerprint.order_minhash(fingerprint.F.col("b"))).first()
     same = sum(x == y for x, y in zip(a, b, strict=True)) / 32
     assert 0.2 < same < 0.8  # the same k-mers but for two; pairs across the cut changed their order
+
+
+def write_tables(spark, folder, rows, labels, items):
+    docs(spark, rows).withColumnRenamed("id", "n_chars").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """Each stage's rows against brute force on what the one before kept: odd rows, repeats and clashing columns included."""
+    import sentencepiece
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(3, 8)))
+    item = " ".join(word() for _ in range(30))
+    rows, labels = list(ODD), []
+    for i in range(300):
+        text = [word() for _ in range(30)]
+        toxic = i % 6 == 0
+        if toxic:
+            text[2], text[7] = "scum", "IDIOT!"
+        rows.append((100 + i, " ".join(text)))
+        labels.append((100 + i, int(i % 4 > 0), int(toxic)))
+    base = [word() for _ in range(60)]
+    rows += [(600 + i, " ".join([*base[:i], "new", *base[i + 1 :]])) for i in range(5)] + [(700, word() + " " + item + " " + word()), (701, item[5:110]), (702, rows[30][1]), (702, rows[30][1])]
+    write_tables(spark, tmp_path, rows, labels, [(1, item), (2, None), (3, "")])
+    seen, given = spark.read.parquet(f"{tmp_path}/documents.parquet"), None
+    names = [n for n, _ in pipeline.STAGES]
+    assert names == ["toxicity", "near_duplicates", "decontamination", "encoding"]
+    key = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    for name, stage in pipeline.STAGES:
+        given, before = seen, key(seen)
+        seen = stage(spark, given, str(tmp_path))
+        if name == "encoding":
+            break
+        seen.write.parquet(f"{tmp_path}/{name}")
+        seen = spark.read.parquet(f"{tmp_path}/{name}")
+        assert seen.columns == given.columns
+        kept = key(seen)
+        if name == "toxicity":
+            assert before - kept == Counter({(k, t): n for (k, t), n in before.items() if "scum" in (t or "")})
+        elif name == "near_duplicates":
+            with_id = [x for x in before if x[0] is not None]
+            best = {x[0] for x in brute_components(with_id) if x[3]}
+            assert kept == Counter({x: 1 if x[0] is not None else n for x, n in before.items() if x[0] is None or x[0] in best})
+            assert sum(600 <= (k or 0) < 605 for k, _ in kept) == 1
+        else:
+            clean = decontaminate.normal(item)
+            leaks = {k for k, t in before if any(clean[i : i + 64] in decontaminate.normal(t) for i in range(len(clean) - 63))}
+            assert leaks == {700, 701} and {k for k, _ in before} - {k for k, _ in kept} == leaks
+    library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    assert Counter((r.doc_id, tuple(r.ids)) for r in seen.collect()) == Counter((r.doc_id, tuple(library.encode(r.text or ""))) for r in given.collect())
+    whole = pipeline.run(spark, str(tmp_path))
+    assert Counter((r.doc_id, tuple(r.ids), r.n_tokens, r.round_trip) for r in whole.collect()) == Counter((r.doc_id, tuple(r.ids), len(r.ids), True) for r in seen.collect())
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    write_tables(spark, tmp_path, [], [], [])
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_shards_are_written_whole(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    sharding.write_shards(docs(spark), str(tmp_path / "out"), 4)
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.count() == len(ODD) and found.where(F.col("shard") != sharding.shard_of("doc_id", 4)).count() == 0
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs(spark).withColumn("shard", F.lit(1)), str(tmp_path / "no"))
+    sharding.write_shards(empty(spark), str(tmp_path / "empty"))
+
+
+def test_repeated_keys_are_dealt_over_shards(spark):
+    rows = [(7, "same text here")] * 400 + [(i, f"word{i}") for i in range(20)]
+    manifest = token_shards.write_token_shards(docs(spark, rows), P.path("word_bpe_49k.json"), 1)
+    found = token_shards.read_token_shards(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in found] == sorted(k for k, _ in rows) and len({r.ids_crc32 for r in found if r.doc_id == 7}) == 2
+    assert manifest.where("low <= 7 AND high >= 7").count() > 1 and token_shards.lookup(manifest, 7) is not None

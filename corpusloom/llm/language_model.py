@@ -250,7 +250,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", he
 
     Learned from are the rows whose id's crc32 is no multiple of 10. Null and empty texts are the end token alone. Rows
     that repeat count as often as they come. An empty table has no rows; one that is all held out is scored by a model
-    of no counts. Other columns are ignored.
+    of no counts. Texts of any length are scored whole; of equally frequent words the first in byte order comes first,
+    for a vector of its own as for a place among the HEAD words. Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession

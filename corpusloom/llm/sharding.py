@@ -42,7 +42,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
 
     size: UTF-8 bytes of the text plus 1; text_crc32: of these bytes (of none for null); law: `key`, as doc_id and the
     shard count alone decide; slot: position from 0 in the shard, by doc_id (null first), text_crc32 and size, so that
-    rows that repeat get slots of their own; grown_shard: the shard with one shard more.
+    rows that repeat get slots of their own; grown_shard: the shard with one shard more. Null text counts as empty, a null
+    doc_id as one key; texts of any length are hashed whole; other columns are ignored, whatever their names; a table
+    without rows gives none.
     """
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
@@ -53,5 +55,11 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, key: str = "doc_id") -> None:
-    """docs as Parquet folders `shard=0` and so on below path; each task writes its part of any shard."""
+    """docs as Parquet folders `shard=0` and so on below path; each task writes its part of any shard.
+
+    All columns are kept but one named `shard`, which is refused. Rows without a key and repeated rows are written as they
+    are; a table without rows gives a folder without shards.
+    """
+    if "shard" in docs.columns:
+        raise ValueError("docs already has a column named shard")
     docs.withColumn("shard", shard_of(key, shards)).write.partitionBy("shard").parquet(path)

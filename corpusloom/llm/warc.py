@@ -158,7 +158,9 @@ def write_archives(pages: DataFrame) -> DataFrame:
     """The manifest (path, records, bytes) of packages below the shared folder, one for each partition with rows.
 
     Null html counts as empty, a null url as empty. Each try of a task writes a file of its own; the manifest, which
-    Spark commits, names those that count.
+    Spark commits, names those that count. Repeated rows and rows without page_id are records of their own; columns other
+    than page_id, url and html are ignored, whatever their names; of a table without rows the manifest is empty. Payloads of
+    any length are written whole.
     """
     spark = pages.sparkSession
     root = scratch(spark, "archives")
@@ -187,7 +189,10 @@ def write_archives(pages: DataFrame) -> DataFrame:
 
 
 def read_archives(manifest: DataFrame, content: bool = False) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload) of every record in the packages."""
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload) of every record in the packages.
+
+    An empty manifest gives no rows.
+    """
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * content
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

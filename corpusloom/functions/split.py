@@ -46,7 +46,7 @@ other    no       no      no       no
 _COLUMNS, *_ROWS = (line.split() for line in _TABLE.strip().splitlines())
 _VERDICTS = {(kind, mark): verdict for kind, *verdicts in _ROWS for mark, verdict in zip(_COLUMNS[1:], verdicts, strict=True)}
 _NEXT = (
-    ("period", re.compile(r"\.$")), ("dash", re.compile(r"--$")), ("bracket", re.compile(r"-RBR-$")), ("close", re.compile(r"[)}\]]$")),
+    ("period", re.compile(r"\.\Z")), ("dash", re.compile(r"--\Z")), ("bracket", re.compile(r"-RBR-\Z")), ("close", re.compile(r"[)}\]]\Z")),
     ("single", re.compile("'")), ("double", re.compile('["`]')), ("open", re.compile(r"[({\[]|-LBR-")),
 )
 
@@ -250,6 +250,15 @@ WDT Wh-determiner
 WP Wh-pronoun
 WP$ Possessive wh-pronoun
 WRB Wh-adverb
+# Pound sign
+$ Dollar sign
+\'\' Closing quotation mark
+`` Opening quotation mark
+( Opening bracket
+) Closing bracket
+, Comma
+. Sentence end
+: Colon, semicolon or dash
 """.strip().splitlines())
 
 
@@ -258,8 +267,42 @@ def tag_name(tag: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in TAGS.items() for x in pair]), tag)
 
 
-QUERIES = {f.__name__: f for f in (sentence_split, word_split, paragraph_tokens, bracket_rendering)}
+def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, sentences, tokens: how many sentences a document has, and tokens in all of them."""
+    return sentence_split(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.size(F.regexp_extract_all("text", F.lit(r"(?:[^\s-]-\n\s*|\S)+"), F.lit(0)))).alias("tokens"))
+
+
+def _names(values) -> str:
+    return ", ".join("'" + x.replace("'", "''") + "'" for x in sorted(values))
+
+
+def _sentences_sql() -> str:
+    """The table of rules as SQL: a verdict for each pair of next token and mark, tests as booleans."""
+    upper = r"regexp_matches({}, '^\p{{Lu}}')"
+    kinds = f"""CASE WHEN a IS NULL THEN 'end' WHEN a = '.' THEN 'period' WHEN a = '--' THEN 'dash' WHEN a = '-RBR-' THEN 'bracket'
+        WHEN a IN (')', '}}', ']') THEN 'close' WHEN starts_with(a, chr(39)) THEN 'single' WHEN left(a, 1) IN ('"', '`') THEN 'double'
+        WHEN left(a, 1) IN ('(', '{{', '[') OR starts_with(a, '-LBR-') THEN 'open' WHEN {upper.format("a")} THEN 'upper'
+        WHEN regexp_matches(a, '^[0-9]') THEN 'digit' ELSE 'other' END"""
+    verdicts = " ".join(f"WHEN kind = '{kind}' AND mark = '{mark}' THEN '{verdict}'" for (kind, mark), verdict in _VERDICTS.items())
+    initials = r"regexp_matches(stem, '^(?:[A-Z]\.)*[A-Z]$')"
+    tests = f"""CASE verdict WHEN 'yes' THEN true WHEN 'no' THEN false WHEN 'titled' THEN bare NOT IN ({_names(HONORIFICS)})
+        WHEN 'dashless' THEN b IS DISTINCT FROM '--' WHEN 'capital' THEN coalesce({upper.format("b")}, false) WHEN 'stem' THEN stem <> ''
+        WHEN 'resumes' THEN coalesce(left(b, 1) IN (chr(39), '"', '`') OR ({upper.format("b")} AND right(stem, 1) NOT IN (chr(39), '"')), false)
+        ELSE bare IN ({_names(TERMINALS)}) OR NOT (bare IN ({_names(HONORIFICS)}) OR bare <> stem OR starts_with(stem, '-LBR-')
+            OR (bare IN ('a.m', 'p.m') AND a IN ({_names(ZONES)})) OR ({initials} AND a <> 'The')) END"""
+    part = r"""regexp_extract(w, '(?s)^(.*)([.?!])([^.?!]*)$', {})"""
+    return rf"""WITH pars AS (SELECT doc_id, generate_subscripts(p, 1) AS par, unnest(p) AS p FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:[^\n]*\S[^\n]*(?:\n|$))+') AS p FROM documents)),
+        toks AS (SELECT doc_id, par, generate_subscripts(t, 1) AS pos, unnest(t) AS w FROM (SELECT doc_id, par, regexp_extract_all(p, '(?:[^\s-]-\n\s*|\S)+') AS t FROM pars)),
+        near AS (SELECT doc_id, w, lead(w) OVER x AS a, lead(w, 2) OVER x AS b, {part.format(1)} AS stem, {part.format(2)} AS sign, {part.format(3)} AS tail FROM toks WINDOW x AS (PARTITION BY doc_id, par ORDER BY pos)),
+        marked AS (SELECT *, {kinds} AS kind, CASE WHEN sign = '.' THEN 'period' ELSE 'asking' END || CASE WHEN tail = '' THEN '' ELSE '+' END AS mark, ltrim(stem, '"`{{[(' || chr(39)) AS bare FROM near),
+        ruled AS (SELECT *, CASE {verdicts} END AS verdict FROM marked),
+        ended AS (SELECT doc_id, a IS NULL OR (sign <> '' AND NOT (sign = '!' AND lower(bare) = 'yahoo') AND (tail = '' OR tail IN ({_names(_TAILS)})) AND {tests}) AS ends FROM ruled)
+        SELECT doc_id, count(*) FILTER (ends) AS sentences, count(*) AS tokens FROM ended GROUP BY 1"""
+
+
+QUERIES = {f.__name__: f for f in (sentence_split, sentence_counts, word_split, paragraph_tokens, bracket_rendering)}
 SQL: dict[str, str] = {
+    "sentence_counts": _sentences_sql(),
     "paragraph_tokens": r"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:[^\s-]-\n\s*|\S)+') AS w FROM documents)
         SELECT doc_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS form FROM t""",
     "bracket_rendering": f"""WITH {SENTENCES_SQL} SELECT doc_id, sent, array_to_string(list_transform(words, lambda w:

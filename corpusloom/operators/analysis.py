@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.coref import _clusters, chain_grams, gram_difference, merged_labels, pairs, representative_grams, subject_grams
+from corpusloom.operators.coref import _allowed, _clusters, chain_grams, gram_difference, merged_labels, pairs, representative_grams, subject_grams
 from corpusloom.operators.evaluate import _F, _GUESS, bcubed_rows, guesses, prf, ratio
 from corpusloom.sources.views import MENTIONS_SQL, SENTENCES, WORDS_SQL, mentions, split_words, table, words
 
@@ -50,6 +50,14 @@ def pronoun_company_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return company(rows.drop("pred").join(merged_labels(rows).select("doc", "idx", "pred"), ["doc", "idx"]), "pred").withColumn("source", F.lit("merged"))
 
 
+def best_link_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc, idx, cluster: the clusters of best links that go from no other type to a pronoun, after singletons were merged."""
+    rows = mentions(spark, sf_dir)
+    linked = _clusters(rows, _allowed(pairs(rows)), best=True)
+    again = rows.drop("pred").join(linked.select("doc", "idx", F.col("cluster").alias("pred")), ["doc", "idx"])
+    return merged_labels(again).select("doc", "idx", F.col("pred").alias("cluster"))
+
+
 def head_word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, word, clusters: capitalised head words and the clusters that have them: the first one and all later ones.
 
@@ -176,9 +184,13 @@ def drawn(*parts: Column | str) -> Column:
 
 
 def shuffled_copies(rows: DataFrame, copies: int = 1, seed: int = 7) -> DataFrame:
-    """rows with `copy` from 1: in each copy every mention's entity is drawn anew, with replacement, from the document's."""
-    ids = rows.groupBy("doc").agg(F.array_sort(F.collect_set("entity")).alias("ids"))
-    made = rows.join(ids, "doc").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    """rows with `copy` from 1: in each copy every mention's entity is drawn anew, with replacement, from the document's.
+
+    A document of s sentences (a column `sent`) has at most s * (s - 1) / 4 copies.
+    """
+    most = F.floor(F.count_distinct("sent") * (F.count_distinct("sent") - 1) / 4) if "sent" in rows.columns else F.lit(copies)
+    ids = rows.groupBy("doc").agg(F.array_sort(F.collect_set("entity")).alias("ids"), F.least(most, F.lit(copies)).cast("int").alias("_most"))
+    made = rows.join(ids, "doc").where("_most > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_most")))).drop("_most")
     return made.withColumn("entity", F.get("ids", F.pmod(drawn("doc", "idx", "copy", F.lit(seed)), F.size("ids")).cast("int"))).drop("ids")
 
 
@@ -352,7 +364,7 @@ def _segments_sql(name: str, least: int) -> str:
         {name} AS (SELECT conv_id, turn, kind AS type, min(pos) AS first, max(pos) AS last FROM (SELECT *, sum(opens::INT) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS k FROM {name}_o) WHERE kind <> 'O' GROUP BY conv_id, turn, kind, k)"""
 
 
-QUERIES = {f.__name__: f for f in (document_statistics, pronoun_company, pronoun_company_merged, head_word_clusters, gold_alignment, score_lookup, weighted_total, typed_segment_prf, performance_table, mass_results, timing_statistics, entity_shuffle, sentence_shuffle, coherence_features, coherence_accuracy, b3_label, merge_candidates, merge_correlation, best_merge, coherence_pairs, threshold_sweep)}
+QUERIES = {f.__name__: f for f in (document_statistics, pronoun_company, pronoun_company_merged, best_link_merged, head_word_clusters, gold_alignment, score_lookup, weighted_total, typed_segment_prf, performance_table, mass_results, timing_statistics, entity_shuffle, sentence_shuffle, coherence_features, coherence_accuracy, b3_label, merge_candidates, merge_correlation, best_merge, coherence_pairs, threshold_sweep)}
 SQL = {
     "document_statistics": f"""{_M}, chains AS (SELECT doc, entity, count(*) AS size, min(idx) AS first FROM mentions GROUP BY ALL),
         sizes AS (SELECT doc, count(*) AS entities, round(sum(size) / count(*), 4) AS per_entity, round(avg(size), 4) AS size_mean, round(stddev_samp(size), 4) AS size_std, round(skewness(size), 4) + 0.0 AS size_skew, round(kurtosis(size), 4) + 0.0 AS size_kurt FROM chains GROUP BY 1),

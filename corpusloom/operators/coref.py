@@ -57,8 +57,9 @@ def best_link_constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _best(_allowed(pairs(mentions(spark, sf_dir)))).drop("score")
 
 
-def _clusters(rows: DataFrame, made: DataFrame, threshold: float = 9.9) -> DataFrame:
-    near = made.where(F.col("score") > threshold).groupBy("doc", "idx").agg(F.max("prev").alias("link"))
+def _clusters(rows: DataFrame, made: DataFrame, threshold: float = 9.9, best: bool = False) -> DataFrame:
+    """Each mention's cluster: that of its nearest earlier partner over the threshold, or of its best one; else its own."""
+    near = _best(made).select("doc", "idx", "link") if best else made.where(F.col("score") > threshold).groupBy("doc", "idx").agg(F.max("prev").alias("link"))
 
     def chase(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("idx")

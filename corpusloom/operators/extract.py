@@ -84,6 +84,16 @@ def composite_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_word(spark, sf_dir, lambda w, i: composite(F.array(w), affixes(w), F.array(capitalized(w))))
 
 
+def subject_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, sent, pos, form: the words of a line that look like subjects: the first, and the one behind the first word
+    that ends in a comma, or the next where that is an article."""
+    rows = sentences(table(spark, sf_dir, "documents")).where(F.size("words") > 0)
+    comma = F.array_position(F.transform("words", lambda w: w.endswith(",")), True)  # from 1; 0 without
+    behind = F.when(comma > 0, comma + F.when(F.lower(F.get("words", comma.cast("int"))).isin("a", "the"), 1).otherwise(0)).cast("int")
+    spots = F.array_distinct(F.array_compact(F.array(F.lit(0), F.when(behind < F.size("words"), behind))))
+    return rows.select("doc_id", "sent", "words", F.explode(spots).alias("pos")).select("doc_id", "sent", "pos", F.get("words", "pos").alias("form"))
+
+
 def sparse_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dot product of each vector with that of the next id."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -110,7 +120,7 @@ def _per_word_sql(features: str) -> str:
         SELECT doc_id, sent, i - 1 AS pos, array_to_string({features}, ' ') AS features FROM each"""
 
 
-QUERIES = {f.__name__: f for f in (forms_window, capitalization_window, word_type_window, affix_features, conjunction_features, composite_features, sparse_dot, l2_norm)}
+QUERIES = {f.__name__: f for f in (forms_window, capitalization_window, word_type_window, affix_features, conjunction_features, composite_features, subject_words, sparse_dot, l2_norm)}
 SQL = {
     "forms_window": _window_sql("w"),
     "capitalization_window": _window_sql(_CAP),
@@ -118,6 +128,9 @@ SQL = {
     "affix_features": _per_word_sql(_AFFIX),
     "conjunction_features": _per_word_sql(f"[CASE WHEN i > 1 THEN words[i - 1] ELSE '^' END || '&' || {_CAP}, w || '&' || {_CAP}]"),
     "composite_features": _per_word_sql(f"list_concat(list_concat([w], {_AFFIX}), [{_CAP}])"),
+    "subject_words": f"""WITH {SENTENCES_SQL}, c AS (SELECT *, coalesce(list_position(list_transform(words, lambda w: ends_with(w, ',')), true), 0) AS k FROM sentences WHERE len(words) > 0),
+        b AS (SELECT *, CASE WHEN k > 0 THEN k + CASE WHEN lower(words[k + 1]) IN ('a', 'the') THEN 1 ELSE 0 END END AS p FROM c)
+        SELECT doc_id, sent, 0 AS pos, words[1] AS form FROM b UNION ALL SELECT doc_id, sent, p, words[p + 1] FROM b WHERE p < len(words)""",
     "sparse_dot": "SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "l2_norm": "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS norm2 FROM embeddings",
 }

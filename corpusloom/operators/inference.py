@@ -367,12 +367,14 @@ NORMALISERS = {
 @dataclass(frozen=True)
 class Inference:
     """head: the column whose rows form one problem; normalisers: learner to a name of NORMALISERS, `*` for the others;
-    constraint: takes {(learner, object): values} of a head and returns a tree."""
+    constraint: takes {(learner, object): values} of a head and returns a tree; solver: another function of scores and a
+    propositional tree that gives the values or raises NotOptimal."""
 
     head: str
     constraint: Callable[[dict], tuple]
     normalisers: dict[str, str] = field(default_factory=dict)
     naive: bool = False
+    solver: Callable[[dict, tuple], dict] | None = None
 
     def __call__(self, scores: DataFrame) -> DataFrame:
         """head, learner, object, value, score, optimal of rows (head, learner, object, value, score).
@@ -387,7 +389,7 @@ class Inference:
         for name in names:
             value = F.when(F.col("learner") == name, NORMALISERS[self.normalisers[name]](F.col("score"), own)).otherwise(value)
         rows = rows.select(self.head, "learner", "object", "value", value.alias("score"))
-        head, constraint, naive = self.head, self.constraint, self.naive
+        head, constraint, naive, solver = self.head, self.constraint, self.naive, self.solver
 
         def run(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values(["learner", "object", "value"])
@@ -397,7 +399,7 @@ class Inference:
             tree = propositional(constraint(held), held)
             key = group[head].iloc[0]
             try:
-                found = assign(held, tree, naive)
+                found = solver(held, tree) if solver else assign(held, tree, naive)
             except NotOptimal:
                 return pd.DataFrame([(key, a, b, None, None, False) for a, b in held], columns=[head, "learner", "object", "value", "score", "optimal"])
             return pd.DataFrame([(key, a, b, v, held[a, b][v], True) for (a, b), v in found.items()], columns=[head, "learner", "object", "value", "score", "optimal"])

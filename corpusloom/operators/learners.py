@@ -138,22 +138,26 @@ def _weights(target: str, unit: LinearUnit) -> pa.RecordBatch:
 
 
 def train_groups(rows: DataFrame, rule: str, rounds: int = 1, **given) -> DataFrame:
-    """target, feature, weight (feature null for the bias) of rows (target, idx, features, y), a unit for each target."""
+    """target, feature, weight (feature null for the bias) of rows (target, idx, features, y), a unit for each target.
+
+    Features have strength 1, or that of a column `strengths` of equal length.
+    """
+    strengths = F.col("strengths") if "strengths" in rows.columns else F.lit(None).cast("array<double>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, unit = None, None
         for batch in batches:
-            for target, x, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for target, x, y, strong in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if unit is None or target != now:
                     if unit is not None:
                         yield _weights(now, unit)
                     now, unit = target, UNITS[rule](**given)
-                unit.learn(dict.fromkeys(x, 1.0), y)
+                unit.learn(dict.fromkeys(x, 1.0) if strong is None else dict(zip(x, strong, strict=True)), y)
         if unit is not None:
             yield _weights(now, unit)
 
-    turns = rows.select("target", "idx", "features", F.col("y").cast("double").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("turn"))
-    return turns.repartition("target").sortWithinPartitions("target", "turn", "idx").select("target", "features", "y").mapInArrow(run, _WEIGHTS)
+    turns = rows.select("target", "idx", "features", F.col("y").cast("double").alias("y"), strengths.alias("strengths"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("turn"))
+    return turns.repartition("target").sortWithinPartitions("target", "turn", "idx").select("target", "features", "y", "strengths").mapInArrow(run, _WEIGHTS)
 
 
 def _each(rows: DataFrame, few: DataFrame, names: list[str]) -> DataFrame:

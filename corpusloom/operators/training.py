@@ -13,8 +13,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.analysis import SQL as ANALYSIS_SQL
+from corpusloom.operators.analysis import coherence_features
 from corpusloom.operators.evaluate import kfold, random_folds
-from corpusloom.operators.learners import STEP, _train_sql, cross_validate, default_learner, examples, one_vs_all, score_rows, summary, train_groups
+from corpusloom.operators.learners import STEP, _shown, _train_sql, cross_validate, default_learner, examples, one_vs_all, score_rows, summary, train_groups
 from corpusloom.operators.learners import predict as argmax
 
 
@@ -70,6 +72,11 @@ def with_folds(rows: DataFrame, strategy: str, k: int, key: str = "doc_id", seed
     return rows.join(folds.select(key, F.col("fold").alias("own")), key)
 
 
+def selected(rows: DataFrame, fold: int, training: bool) -> DataFrame:
+    """The rows (own) of a fold, or of all the others for training."""
+    return rows.where(F.col("own") != fold if training else F.col("own") == fold)
+
+
 def predictions(learner: Learner, rows: DataFrame, weights: DataFrame) -> DataFrame:
     """doc_id, prediction of rows (doc_id, features)."""
     rule, given = learner.settings()
@@ -125,6 +132,36 @@ def cross_validation_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train(examples(spark, sf_dir), [quality], 4, "random").summaries["quality"]
 
 
+def coherence_learner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """target, feature, weight of the averaged perceptron that tells a document from its shuffled copy by the differences of
+    their grid and chain bigrams, a real feature for each gram; every second pair is turned round."""
+    turned = F.col("doc").cast("long") % 2 == 1
+    grams = coherence_features(spark, sf_dir).where(F.col("kind").isin("grid2", "chain2"))
+    each = grams.select("doc", F.struct(F.concat("kind", F.lit(":"), "gram").alias("f"), F.when(turned, -F.col("diff")).otherwise(F.col("diff")).cast("double").alias("s")).alias("x"))
+    rows = each.groupBy("doc").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    rows = rows.select(F.lit("coherent").alias("target"), F.col("doc").cast("long").alias("idx"), F.col("x.f").alias("features"), F.col("x.s").alias("strengths"), F.when(turned, 0).otherwise(1).alias("y"))
+    return _shown(train_groups(rows, "averaged", rounds=2, rate=STEP))
+
+
+def _coherence_sql() -> str:
+    add = "list_transform(list_zip(w, x), lambda p: p[1] + step * p[2])"
+    return f"""{ANALYSIS_SQL["coherence_features"].replace("WITH", "WITH RECURSIVE", 1).replace(" SELECT * FROM (SELECT coalesce", ", diffs AS (SELECT * FROM (SELECT coalesce", 1)}),
+        each AS (SELECT doc::BIGINT AS d, kind || ':' || gram AS f, CASE WHEN doc::BIGINT % 2 = 1 THEN -diff ELSE diff END::DOUBLE AS s FROM diffs WHERE kind IN ('grid2', 'chain2')),
+        voc AS (SELECT list(f ORDER BY f) AS v FROM (SELECT DISTINCT f FROM each)),
+        maps AS (SELECT d, map_from_entries(list({{'k': f, 'v': s}})) AS m FROM each GROUP BY 1),
+        dense AS (SELECT d, row_number() OVER (ORDER BY d) AS k, (d % 2 = 0)::INT AS y, list_transform(v, lambda f: coalesce(m[f], 0.0)::DOUBLE) AS x FROM maps, voc),
+        turns AS (SELECT k + t * (SELECT count(*) FROM dense) AS k, x, y FROM dense, (SELECT unnest([0, 1]) AS t)),
+        run AS (
+            SELECT 0::BIGINT AS k, list_transform(v, lambda f: 0.0::DOUBLE) AS w, 0.0::DOUBLE AS b, list_transform(v, lambda f: 0.0::DOUBLE) AS late, 0.0::DOUBLE AS late_b FROM voc
+            UNION ALL
+            SELECT k + 1, {add}, b + step, list_transform(list_zip(late, x), lambda p: p[1] + k * step * p[2]), late_b + k * step
+            FROM (SELECT *, (CASE WHEN y = 1 AND s < 6 THEN {STEP} WHEN y = 0 AND s >= -6 THEN -{STEP} ELSE 0.0 END)::DOUBLE AS step
+                FROM (SELECT r.*, t.x, t.y, list_dot_product(r.w, t.x) + r.b AS s FROM run r JOIN turns t ON t.k = r.k + 1))),
+        final AS (SELECT k AS n, w, b, late, late_b FROM run QUALIFY k = max(k) OVER ())
+        SELECT * FROM (SELECT 'coherent' AS target, v[i] AS feature, round((n * w[i] - late[i]) / n, 6) AS weight FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM final), voc) WHERE weight <> 0
+        UNION ALL SELECT 'coherent', NULL, round((n * b - late_b) / n, 6) FROM final"""
+
+
 def _driver_sql() -> str:
     """Both chains of updates, the second over the features and the first's prediction."""
     first = _train_sql("perceptron", "SELECT 'quality' AS target, idx, doc_id, quality AS y, 0 AS first FROM docs", 2)
@@ -156,5 +193,5 @@ def _random_sql() -> str:
         SELECT fold, round(a, 5) AS accuracy, round(m, 5) AS mean, round(d, 5) AS std, round({t_quantile(3, 0.05)!r} * d / sqrt(k), 5) AS half FROM folds, s"""
 
 
-QUERIES = {f.__name__: f for f in (training_driver, cross_validation_random)}
-SQL = {"training_driver": _driver_sql(), "cross_validation_random": _random_sql()}
+QUERIES = {f.__name__: f for f in (training_driver, cross_validation_random, coherence_learner)}
+SQL = {"training_driver": _driver_sql(), "cross_validation_random": _random_sql(), "coherence_learner": _coherence_sql()}

@@ -47,3 +47,8 @@ class Classifier:
 def extract(df: DataFrame, *classifiers: Classifier) -> DataFrame:
     """df with `features`, those of all classifiers one after another, in a single projection."""
     return df.withColumn("features", F.concat(*[c.features() for c in classifiers]))
+
+
+def extract_once(df: DataFrame, *classifiers: Classifier) -> DataFrame:
+    """As extract, kept in memory or on disk after its first use; call unpersist() when it is no longer needed."""
+    return extract(df, *classifiers).persist()

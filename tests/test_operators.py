@@ -282,6 +282,22 @@ def test_splitters():
     assert split_sentences(None) == [] and split_words_of("") == []
 
 
+def test_sentence_rules_equal_their_sql(spark, tmp_path):
+    """Random texts of the tokens that the rules speak of, by the splitter and by SQL."""
+    import duckdb
+
+    rng = random.Random(2)
+    stems = ["it", "He", "Mr", "Jr", "U.S", "J", "A.B", "p.m", "yahoo", "Yahoo", '"Mr', "(A", "x'", "", "5", "-LBR-x", "'", "a.m"]
+    others = ["The", "the", "He", "EST", "--", "-RBR-", "-LBR-", ")", ".", "'", '"x', "`y", "(", "[z", "5", "word-\ncut"]
+    token = lambda: rng.choice(others) if rng.random() < 0.5 else rng.choice(stems) + rng.choice(".?!") + rng.choice(["", "", "", ")", "'", '"', "x", "-RBR-"])
+    rows = [(i, "".join(token() + rng.choice([" ", " ", " ", "\n", "\n\n"]) for _ in range(rng.randrange(1, 30)))) for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = {r[0]: r[1] for r in con.sql(f"SELECT doc_id, sentences FROM ({ORACLE_SQL['sentence_counts']})").fetchall()}
+    assert {i: len(split_sentences(t)) for i, t in rows} == expected
+
+
 def test_merge_search_depths():
     found = merge_search(pd.DataFrame({"doc": ["d"] * 4, "idx": range(4), "pred": [0, 1, 2, 3], "v": [1.0, 1.1, 5.0, 9.0]}))
     assert found["clusters"].tolist() == [4, 3, 2, 1] and found["spread"].iloc[1] == pytest.approx(0.1)

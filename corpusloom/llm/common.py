@@ -112,13 +112,15 @@ def ranked(df: DataFrame, keys: list, name: str, within: list[str] = ()) -> Data
     """df with `rank_no` long: its gapless position from 0 in the order of keys, for each value of `within` on its own.
 
     Rows are dealt by range of (within, keys), numbered inside each range, and each range adds the number of rows
-    before it; no task holds more than a range, and only one count for each range is ordered in one place.
+    before it; no task holds more than a range, and only one count for each range is ordered in one place. Rows that agree in
+    all keys are dealt over several ranges too.
     """
     spark = df.sparkSession
     from pyspark.sql import Window
 
     order = [*[F.col(c).asc_nulls_first() for c in within], *keys]
-    dealt = saved(df.repartitionByRange(partitions(spark), *order).withColumn("_part", F.spark_partition_id()), name)
+    salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
+    dealt = saved(salted.repartitionByRange(partitions(spark), *order, F.col("_salt")).drop("_salt").withColumn("_part", F.spark_partition_id()), name)
     counts = dealt.groupBy(*within, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import MAX_BROADCAST_BYTES, bucketed, forget, mix64, partitions, saved, seeds
+from corpusloom.llm.common import MAX_BROADCAST_BYTES, bucketed, forget, mix64, partitions, saved, seeds, trimmed
 
 WIDTH, T, BANDS, ROWS = 5, 128, 32, 4
 PERCENT = 75
@@ -85,6 +85,7 @@ def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()))
                 buckets.append(bands(sketch(own)).view(np.int64) if len(own) else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "buckets"])
+        trimmed()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, buckets array<long>")
@@ -96,6 +97,7 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
             for i in range(0, batch.num_rows, 256):
                 own = batch.slice(i, 256)
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array([shingles(x.as_py()).tobytes() for x in own.column(1)], pa.binary())], names=["id", "elements"])
+        trimmed()
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, elements binary")
 
@@ -152,6 +154,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep[i] = 100 * common >= PERCENT * (len(centre) + len(own) - common)
             if keep.any():
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+        trimmed()
 
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
@@ -288,7 +291,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component; of rows that share a kept id, one."""
+    """docs with one document of each component; of rows that share a kept id, one.
+
+    Null and empty texts are components of their own and stay; so do rows without id, unless an id has their set. All
+    columns stay as they were, whatever their names; a table without rows gives none.
+    """
     marked = saved(near_duplicates(docs, key, text), "near-duplicates")
     gone = marked.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(bounded(gone), F.col(key).eqNullSafe(F.col("_gone")), "left_anti")

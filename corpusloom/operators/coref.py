@@ -233,13 +233,16 @@ def singleton_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(scored.select("doc", "f1"), "doc")
 
 
-def merge_search(group: pd.DataFrame, width: int = 4, depth: int = 3) -> pd.DataFrame:
-    """Breadth-first beam over merges of two clusters by the mean value of their members: doc, depth, merges, spread."""
+def merge_search(group: pd.DataFrame, width: int = 4, depth: int = 3, keep=lambda state, i, j: True, score=None) -> pd.DataFrame:
+    """Breadth-first beam over merges of two clusters that `keep` lets pass: doc, depth, clusters, spread of the best state.
+
+    The spread of values in clusters stands for their incoherence; score: another function of a state, less being better.
+    """
     start = tuple(frozenset(x) for _, x in sorted(group.groupby("pred")["idx"]))
     value = dict(zip(group["idx"], group["v"], strict=True))
 
     def spread(state: tuple) -> float:
-        return sum(max(value[i] for i in c) - min(value[i] for i in c) for c in state)
+        return score(state) if score else sum(max(value[i] for i in c) - min(value[i] for i in c) for c in state)
 
     seen, beam, out = {frozenset(start)}, [start], []
     for level in range(depth + 1):
@@ -250,7 +253,7 @@ def merge_search(group: pd.DataFrame, width: int = 4, depth: int = 3) -> pd.Data
             for i in range(len(state)):
                 for j in range(i):
                     merged = tuple(c for k, c in enumerate(state) if k not in (i, j)) + (state[i] | state[j],)
-                    if frozenset(merged) not in seen:
+                    if keep(state, i, j) and frozenset(merged) not in seen:
                         seen.add(frozenset(merged))
                         following.append(merged)
         if not following:
@@ -294,20 +297,37 @@ def cluster_merge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions(spark, sf_dir).select("doc", "idx", "pred", "v").groupBy("doc").applyInPandas(lambda group: merge_search(group), "doc string, depth int, clusters int, spread double")
 
 
-def perturbed_labels(spark: SparkSession, sf_dir: str, rate: float = 0.1) -> DataFrame:
-    """Entities with a share of labels replaced by a copy of another mention's, seeded by hashes (no order dependence)."""
-    rows = mentions(spark, sf_dir).select("doc", "idx", "entity")
-    coin = F.pmod(F.xxhash64("doc", "idx", F.lit(1)), F.lit(1000)) < int(1000 * rate)
-    ids = rows.groupBy("doc").agg(F.array_sort(F.collect_set("entity")).alias("ids"))
-    other = F.get("ids", F.pmod(F.xxhash64("doc", "idx", F.lit(2)), F.size("ids")).cast("int"))
-    return rows.join(ids, "doc").select("doc", "idx", F.when(coin, other).otherwise(F.col("entity")).alias("entity"))
+def perturbed(rows: DataFrame, rate: int = 100, fresh: int = 350) -> DataFrame:
+    """doc, idx, entity: of 1000 labels `rate` are changed, of these `fresh` in 1000 to an id of their own (below 0) and the
+    others to the new label of a drawn earlier mention. Draws are digests of document, place and turn; the chain of copies
+    runs inside a document's array, in the JVM.
+    """
+    draw = lambda turn: F.conv(F.substring(F.md5(F.concat_ws(":", "doc", "idx", F.lit(turn))), 1, 8), 16, 10).cast("long")
+    each = rows.select("doc", F.struct(F.col("idx"), F.col("entity").cast("long").alias("e"), (draw(1) % 1000 < rate).alias("change"), (draw(2) % 1000 < fresh).alias("fresh"), draw(3).alias("d")).alias("x"))
+    mentions_ = each.groupBy("doc").agg(F.array_sort(F.collect_list("x")).alias("x"))
+
+    def step(done: Column, x: Column) -> Column:
+        own = F.when(x["fresh"] | (F.size(done) == 0), -(x["idx"].cast("long") + 1)).otherwise(F.get(done, (x["d"] % F.greatest(F.size(done), F.lit(1))).cast("int")))
+        return F.concat(done, F.array(F.when(x["change"], own).otherwise(x["e"])))
+
+    made = mentions_.select("doc", F.aggregate("x", F.array().cast("array<bigint>"), step).alias("labels"), F.col("x.idx").alias("at"))
+    return made.select("doc", F.explode(F.arrays_zip("at", "labels")).alias("y")).select("doc", F.col("y.at").alias("idx"), F.col("y.labels").alias("entity"))
+
+
+def perturbed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perturbed(mentions(spark, sf_dir))
 
 
 _P = f"WITH {MENTIONS_SQL}, pairs AS (SELECT a.*, b.idx AS prev, b.mtype AS prev_type, b.entity AS prev_entity, 10.0 - abs(a.v - b.v) AS score FROM mentions a JOIN mentions b ON a.doc = b.doc AND b.idx < a.idx)"
 _C = f"WITH {MENTIONS_SQL}, g AS (SELECT doc, mtype || coalesce(' ' || lead(mtype) OVER c, '') AS gram, row_number() OVER c AS nth, count(*) OVER (PARTITION BY doc, entity) AS size FROM mentions WINDOW c AS (PARTITION BY doc, entity ORDER BY idx)), grams AS (SELECT doc, gram, count(*) AS count FROM g WHERE nth <= greatest(size - 1, 1) GROUP BY ALL)"
 _G = f"WITH {MENTIONS_SQL}, hours AS (SELECT unnest(range(0, {SENTENCES})) AS sent), cells AS (SELECT doc, entity, h.sent FROM (SELECT DISTINCT doc, entity FROM mentions) CROSS JOIN hours h)"
 QUERIES = {f.__name__: f for f in (mention_pairs, best_link, best_link_constrained, closest_antecedent, chain_ngrams, grid_ngrams_representative, grid_trigrams_representative, grid_ngrams_full, adjacency_counts, subject_ngrams, ngram_diff_full_outer, all_chains, top_chains, singleton_merge, cluster_merge_search, cluster_merge_exhaustive, perturbed_labels)}
+_DRAW = "('0x' || substr(md5(concat_ws(':', doc, idx, {})), 1, 8))::BIGINT"
 SQL = {
+    "perturbed_labels": f"""WITH RECURSIVE {MENTIONS_SQL}, d AS (SELECT doc, idx, entity, {_DRAW.format(1)} % 1000 < 100 AS c, {_DRAW.format(2)} % 1000 < 350 AS f, {_DRAW.format(3)} AS d FROM mentions),
+        run AS (SELECT doc, 0 AS k, []::BIGINT[] AS l FROM (SELECT DISTINCT doc FROM mentions)
+            UNION ALL SELECT r.doc, k + 1, list_append(l, CASE WHEN NOT c THEN entity WHEN f OR k = 0 THEN -(k + 1) ELSE l[1 + (d.d % greatest(k, 1))] END) FROM run r JOIN d ON d.doc = r.doc AND d.idx = r.k),
+        done AS (SELECT doc, l FROM run QUALIFY k = max(k) OVER (PARTITION BY doc)) SELECT doc, (generate_subscripts(l, 1) - 1)::INT AS idx, unnest(l) AS entity FROM done""",
     "mention_pairs": f"{_P} SELECT doc, prev, idx, entity = prev_entity AS same, round(score, 4) + 0.0 AS score FROM pairs",
     "best_link": f"{_P}, r AS (SELECT *, row_number() OVER (PARTITION BY doc, idx ORDER BY score DESC, prev) AS k FROM pairs WHERE score > 0) SELECT doc, idx, prev AS link, round(score, 4) + 0.0 AS score FROM r WHERE k = 1",
     "best_link_constrained": f"{_P}, r AS (SELECT *, row_number() OVER (PARTITION BY doc, idx ORDER BY score DESC, prev) AS k FROM pairs WHERE score > 0 AND (mtype = 'error' OR prev_type <> 'error')) SELECT doc, idx, prev AS link FROM r WHERE k = 1",

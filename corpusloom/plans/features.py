@@ -162,6 +162,38 @@ def muxed(parts: dict[str, Column], select: Column) -> Column:
     return out
 
 
+#: Kinds of classifiers: what their features hold, and whether there is one, an array or any number of them.
+CONTENTS, SHAPES = ("discrete", "real", "mixed"), ("", "[]", "%")
+
+
+def kind_of(content: str, shape: str) -> str:
+    """A kind's name; mixed features are always of any number."""
+    return f"{content}%" if content == "mixed" else content + shape
+
+
+def parts_of(kind: str) -> tuple[str, str]:
+    shape = next(x for x in reversed(SHAPES) if kind.endswith(x))
+    content = kind[: len(kind) - len(shape)]
+    if content not in CONTENTS or (content == "mixed" and shape != "%"):
+        raise TypeError(f"no such kind: {kind}")
+    return content, shape
+
+
+def conjunction_kind(a: str, b: str) -> str:
+    """The kind of a conjunction: discrete features stay so, a real one makes it real, a mixed one mixed; the wider shape."""
+    (c, s), (d, t) = parts_of(a), parts_of(b)
+    content = "mixed" if "mixed" in (c, d) else "real" if "real" in (c, d) else "discrete"
+    return kind_of(content, max(s, t, key=SHAPES.index))
+
+
+def composite_kind(*kinds: str) -> str:
+    """The least kind that holds the features of all parts."""
+    found = [parts_of(x) for x in kinds]
+    contents = {c for c, _ in found}
+    shape = "%" if any(s == "%" for _, s in found) else "[]" if len(found) > 1 else found[0][1]
+    return kind_of(contents.pop(), shape) if len(contents) == 1 else "mixed%"
+
+
 FLAGS, STATES = ("A", "N", "R"), ("F", "O")
 
 

@@ -404,6 +404,16 @@ def test_feature_algebra(spark):
     assert (row.dot, row.same, row.other, row.p, row["all"]) == (2 * 4 + 9 + 16, True, False, -1, True)
 
 
+def test_kinds():
+    kinds = ["discrete", "discrete[]", "discrete%", "real", "real[]", "real%", "mixed%"]
+    assert [features.conjunction_kind("discrete", k) for k in kinds] == kinds
+    assert [features.conjunction_kind("real[]", k) for k in kinds] == ["real[]", "real[]", "real%", "real[]", "real[]", "real%", "mixed%"]
+    assert all(features.conjunction_kind(a, b) == features.conjunction_kind(b, a) for a in kinds for b in kinds)
+    assert features.composite_kind("discrete", "discrete") == "discrete[]" and features.composite_kind("discrete", "real") == "mixed%"
+    with pytest.raises(TypeError):
+        features.parts_of("mixed[]")
+
+
 def test_training_order():
     make = lambda name, *depends: training.Learner(name, None, None, depends=depends)
     names = lambda *x: [y.name for y in training.in_order(x)]

@@ -123,21 +123,70 @@ def split_sentences(text: str | None) -> list[dict]:
     return out
 
 
-_WORD = re.compile(
-    r"""(?:https?://|ftp://|www\.)[^\s<>"]*[^\s<>".,;:!?)]      # addresses stay whole
-      | \d+(?:[.,:/]\d+)*                                        # numbers keep inner marks
-      | [^\W\d_]+(?=n't\b) | n't\b                               # negations are cut
-      | '(?:s|d|ll|m|re|ve)\b                                    # other contractions too
-      | (?:[^\W\d_]\.){2,}                                       # initials keep their periods
-      | [^\W_]+(?:(?:-|'(?!(?:s|d|ll|m|re|ve)\b))[^\W_]+)*       # words keep inner hyphens and apostrophes
-      | \.{2,} | -{2,} | '{2,} | `{1,2} | \S""",
-    re.X,
-)
+# Protocols and generic domain names of addresses. Any two letters count as a country's domain.
+PROTOCOLS = ("telnet", "https", "file", "http", "nntp", "smtp")
+DOMAINS = ("museum", "travel", "aero", "arpa", "coop", "info", "jobs", "name", "biz", "com", "edu", "gov", "int", "mil", "net", "org", "pro")
+_ADDRESS = re.compile(rf"(?i)(?:{'|'.join(PROTOCOLS)})://\S+|[a-z0-9][a-z0-9-]*\.(?:{'|'.join(DOMAINS)}|[a-z]{{2}})(?:/\S+)?")
+
+_L = r"[^\W\d_]"  # a letter
+_ENDS = rf"(?!{_L}|')"  # neither a letter nor an apostrophe
+#: Where a word ends between two characters, whatever they belong to; each has no width.
+_GAPS = re.compile("|".join((
+    r"(?<=[^\s\d])(?=,)", r"(?<=\d)(?=,(?:\D|\Z))",  # a comma ends a word, but not between digits
+    r"(?<=,)(?=[^\s\d])", r"(?<=\D,)(?=\d)", r"(?<=^,)(?=\d)",
+    rf"(?<={_L})(?=n't{_ENDS})",  # negations
+    rf"(?<=s)(?='{_ENDS})", rf"(?<={_L})(?='(?:[dms]|ll|re|ve){_ENDS})", rf"(?<={_L}\.)(?='s{_ENDS})",  # possessives and contractions
+    r"(?<=[^\s,'])(?='')", rf"(?<=')(?=[^\s,'])(?!{_L})", r"(?<='')(?=[^\s,'])",  # quotes
+    r"(?<=[^\s,':/$.-])(?=\.\.\.)", r"(?<=\.\.\.)(?=[^\s,':/$.-])",  # an ellipsis
+)))
+#: Marks that are words of their own: those they stand beside without a cut, and where they belong to the word around them.
+_MARKS = {
+    ":": (",':", re.compile(r"(?s)(?<=.)\d(:)\d(?=.)|(?<=.)(?:tp|TP)(:)//")),
+    "/": (",':/", re.compile(r"(?s)(?<=.)\d(/)\d(?=.)|(?<=..)(?:tp|TP):(/)/|(?<=..)(?:tp|TP):/(/)")),
+    "-": (",':/-", re.compile(r"\w(-)(?=\w)|(?:^|(?<=\s))(-)(?=\.\d|\d.)")),
+    "$": (",':/-$", re.compile(r"(?:^|(?<=[\s-]))(\$)(?=\.\d|\d.)")),
+}
+_OTHER = r"[^\s\w,'.:/$-]"
+
+
+def word_gaps(text: str) -> set[int]:
+    """Places between 1 and the length at which a new word begins though no white space is before it."""
+    gaps = {m.start() for m in _GAPS.finditer(text)}
+    address = bytearray(len(text) + 1)
+    for m in _ADDRESS.finditer(text):
+        address[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+
+    def apart(at: int, beside: str) -> None:
+        """Cuts around the mark at a place, but not beside white space and the marks in `beside`."""
+        if at > 0 and not text[at - 1].isspace() and text[at - 1] not in beside:
+            gaps.add(at)
+        if at + 1 < len(text) and not text[at + 1].isspace() and text[at + 1] not in beside:
+            gaps.add(at + 1)
+
+    for mark, (beside, inner) in _MARKS.items():
+        held = {m.start(m.lastindex) for m in inner.finditer(text)} if mark in text else set()
+        for at in (i for i, c in enumerate(text) if c == mark and i not in held and not address[i]):
+            apart(at, beside)
+    last = text.rfind(".")
+    if last >= 0 and not any(c.isalnum() for c in text[last:]) and text[max(0, last - 2) : last] != "..":
+        apart(last, ",':/$-")
+    for m in re.finditer(rf"(?=({_OTHER})({_OTHER}))", text):
+        if m[1] != m[2] and not address[m.start()]:
+            gaps.add(m.start() + 1)
+    for m in re.finditer(rf"{_OTHER}\w|\w{_OTHER}", text):  # one after another: the second of a pair begins no other pair
+        if not address[m.start()]:
+            gaps.add(m.start() + 1)
+    return gaps
 
 
 def split_words_of(sentence: str | None) -> list[dict]:
-    """form, start, end (inclusive) of each word."""
-    return [{"form": m.group(), "start": m.start(), "end": m.end() - 1} for m in _WORD.finditer(sentence or "")]
+    """form, start, end (inclusive) of each word. Letters of all scripts count as letters."""
+    out = []
+    gaps = sorted(word_gaps(sentence or ""))
+    for m in re.finditer(r"\S+", sentence or ""):
+        cuts = [m.start(), *[g for g in gaps if m.start() < g < m.end()], m.end()]
+        out += [{"form": sentence[a:b], "start": a, "end": b - 1} for a, b in zip(cuts, cuts[1:], strict=False)]
+    return out
 
 
 def split_by_case(text: str | None, extents: list[tuple[int, int]] = ()) -> list[dict]:

@@ -275,12 +275,16 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, key: str =
     """The manifest: a row for each shard file written below the shared folder.
 
     tokenizer: the path of a file of the tokenizers library, the same on all machines. Null text counts as empty and
-    gives the end id alone; documents with equal keys follow each other by text. An empty table gives no shard.
+    gives the end id alone; documents with equal keys follow each other, by the checksum of their texts. An empty
+    table gives no shard. Texts of any length are encoded whole; columns other than key and text are ignored, whatever
+    their names. A key that repeats very often is dealt over several shards.
     """
     spark = docs.sparkSession
     root = scratch(spark, "token-shards")
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.repartitionByRange(partitions(spark), F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
+    rows = rows.withColumns({"sum": F.crc32(F.col("t").cast("binary")), "salt": F.pmod(F.monotonically_increasing_id(), F.lit(1024))})
+    order = [F.col("k").asc_nulls_first(), "sum", "salt"]
+    rows = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("k", "t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next((b for b in batches if b.num_rows), None)
@@ -338,7 +342,8 @@ def located(shard: Shard) -> Iterator[tuple[pa.Array, np.ndarray, list[np.ndarra
 def read_token_shards(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 for each document of the shards, found through their index.
 
-    start: the number of ids of all documents before it in key order.
+    start: the number of ids of all documents before it in key order. Repeated keys and null keys each have their rows; an
+    empty manifest gives none.
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     shards = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))

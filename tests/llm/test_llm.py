@@ -448,6 +448,45 @@ def test_every_token_is_learned_from(spark):
     assert score.argmax() == 2 and model.log_normaliser(2)[1] - score[2] < 0.3
 
 
+def test_every_chunk_is_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "_CHUNK", 10)
+    monkeypatch.setattr(language_model, "BATCH", 8)
+    monkeypatch.setattr(language_model, "LEAST_STEPS", 1)
+    seen = Counter()
+
+    class Watching(language_model.Trainer):
+        def step(self, a, b, w, rate):
+            super().step(a, b, w, rate)
+            seen.update(w.tolist())
+
+    monkeypatch.setattr(language_model, "Trainer", Watching)
+    texts = [np.array([i % 50 + 1] * 3 + [0], "<u2") for i in range(200)]
+    unigram = np.full(51, 1 / 51)
+    model = language_model.Model.fresh(unigram)
+
+    class Frame:  # runs the task's function here, so that its steps can be counted
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in texts], pa.binary())], names=["symbols"])
+            return self.made(list(run(iter([batch]))))
+
+        def made(self, batches):
+            import pyarrow as pa
+
+            frame = Frame()
+            frame.mapInArrow = lambda run, schema: frame.made(list(run(iter(batches))))
+            frame.repartition = lambda n: frame
+            frame.toArrow = lambda: pa.Table.from_batches(batches)
+            return frame
+
+    monkeypatch.setattr(language_model, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": lambda self: 0})())}))
+    found, _ = language_model._train(Frame(), model, [np.full_like(x, 1e-9) for x in model.parts()], unigram, "<u2", 0, True)
+    assert seen == Counter(np.concatenate(texts).tolist()) and not np.allclose(found.q, model.q)
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     bad = ["idiot", "scum", "trash"]

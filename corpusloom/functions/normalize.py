@@ -65,5 +65,7 @@ SQL = {
     "softmax_scores": f"{_S} SELECT doc, mtype, round(exp(s) / sum(exp(s)) OVER (PARTITION BY doc), 5) AS p FROM s",
     "sigmoid_scores": f"{_S} SELECT doc, mtype, round(1 / (1 + exp(-2 * s)), 5) AS p, round(ln(1 / (1 + exp(-s))), 5) AS log_p, round(1 / (1 + pow(3.0, -s)), 5) AS q FROM s",
     "score_argmax": f"{_S} SELECT doc, arg_min(mtype, (-s, mtype)) AS best FROM s GROUP BY 1",
-    "range_features": f"WITH {MENTIONS_SQL}, b AS (SELECT unnest(['a' || round(floor(v / 5.0) * 5.0, 2)::VARCHAR, 'b' || round((floor(v / 5.0 + 0.5) - 0.5) * 5.0, 2)::VARCHAR]) AS bucket, CASE WHEN entity % 2 = 0 THEN 1 ELSE -1 END AS sign FROM mentions) SELECT bucket, sum(sign)::BIGINT AS n FROM b GROUP BY 1",
+    "range_features": f"""WITH {MENTIONS_SQL},
+        b AS (SELECT unnest(['a' || round(floor(v / 5.0) * 5.0, 2)::VARCHAR, 'b' || round((floor(v / 5.0 + 0.5) - 0.5) * 5.0, 2)::VARCHAR]) AS bucket, CASE
+        WHEN entity % 2 = 0 THEN 1 ELSE -1 END AS sign FROM mentions) SELECT bucket, sum(sign)::BIGINT AS n FROM b GROUP BY 1""",
 }

@@ -99,7 +99,8 @@ def weighted_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = lambda *c: F.count(F.lit(1)).over(Window.partitionBy("doc", *c))
     each = rows.select("mtype", (w("entity", "pred") / w("pred")).alias("p"), (w("entity", "pred") / w("entity")).alias("r"))
     sums = each.groupBy("mtype").agg(F.count(F.lit(1)).alias("mentions"), F.avg("p").alias("p"), F.avg("r").alias("r"))
-    total = sums.agg(F.lit("total").alias("mtype"), F.sum("mentions").alias("mentions"), (F.sum(F.col("p") * F.col("mentions")) / F.sum("mentions")).alias("p"), (F.sum(F.col("r") * F.col("mentions")) / F.sum("mentions")).alias("r"))
+    total = sums.agg(F.lit("total").alias("mtype"), F.sum("mentions").alias("mentions"), (F.sum(F.col("p") * F.col("mentions")) / F.sum("mentions")).alias("p"),
+        (F.sum(F.col("r") * F.col("mentions")) / F.sum("mentions")).alias("r"))
     p, r = F.col("p"), F.col("r")
     return sums.unionByName(total).select("mtype", "mentions", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("f1"))
 
@@ -138,7 +139,8 @@ def typed_segment_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, keys = _tags(spark, sf_dir), ["conv_id", "turn"]
     gold = typed_segments(rows, "gold", keys).withColumn("g", F.lit(1))
     guess = typed_segments(rows, "guess", keys).withColumn("p", F.lit(1))
-    both = gold.join(guess, [*keys, "type", "first", "last"], "full_outer").groupBy("type").agg(F.count("g").alias("n_gold"), F.count("p").alias("n_pred"), F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("n_hit"))
+    both = gold.join(guess, [*keys, "type", "first", "last"], "full_outer").groupBy("type").agg(F.count("g").alias("n_gold"), F.count("p").alias("n_pred"),
+        F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("n_hit"))
     p, r = ratio(F.col("n_hit"), F.col("n_pred")), ratio(F.col("n_hit"), F.col("n_gold"))
     return both.select("type", "n_gold", "n_pred", "n_hit", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.try_divide(2 * p * r, p + r), 6).alias("f1"))
 
@@ -149,13 +151,16 @@ def performance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = guesses(spark, sf_dir)
     percent = lambda c: F.round(100 * F.coalesce(c, F.lit(0.0)), 3)
     null = F.col("label") == "none"
-    each = prf(rows).select("label", percent(F.col("precision")).alias("precision"), percent(F.col("recall")).alias("recall"), percent(F.col("f")).alias("f1"), "n_gold", "n_pred", F.when(null, 1).otherwise(0).alias("place"))
+    each = prf(rows).select("label", percent(F.col("precision")).alias("precision"), percent(F.col("recall")).alias("recall"), percent(F.col("f")).alias("f1"), "n_gold", "n_pred",
+        F.when(null, 1).otherwise(0).alias("place"))
     real = lambda c: F.col(c) != "none"
     hit = F.col("gold") == F.col("pred")
     sums = rows.agg(F.count_if(hit & real("pred")).alias("h"), F.count_if(real("pred")).alias("p"), F.count_if(real("gold")).alias("g"), F.count_if(hit).alias("a"), F.count(F.lit(1)).alias("n"))
     p, r = ratio(F.col("h"), F.col("p")), ratio(F.col("h"), F.col("g"))
-    overall = sums.select(F.lit("Overall").alias("label"), percent(p).alias("precision"), percent(r).alias("recall"), percent(F.try_divide(2 * p * r, p + r)).alias("f1"), F.col("g").alias("n_gold"), F.col("p").alias("n_pred"), F.lit(2).alias("place"))
-    accuracy = sums.select(F.lit("Accuracy").alias("label"), *[percent(ratio(F.col("a"), F.col("n"))).alias(c) for c in ("precision", "recall", "f1")], F.col("n").alias("n_gold"), F.col("n").alias("n_pred"), F.lit(3).alias("place"))
+    overall = sums.select(F.lit("Overall").alias("label"), percent(p).alias("precision"), percent(r).alias("recall"), percent(F.try_divide(2 * p * r, p + r)).alias("f1"),
+        F.col("g").alias("n_gold"), F.col("p").alias("n_pred"), F.lit(2).alias("place"))
+    accuracy = sums.select(F.lit("Accuracy").alias("label"), *[percent(ratio(F.col("a"), F.col("n"))).alias(c) for c in ("precision", "recall", "f1")], F.col("n").alias("n_gold"),
+        F.col("n").alias("n_pred"), F.lit(3).alias("place"))
     return each.unionByName(overall).unionByName(accuracy)
 
 
@@ -165,7 +170,8 @@ _MARKERS = {"en": " the ", "de": " der ", "fr": " les ", "es": " que "}
 def mass_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """classifier, s0 to s7: the share of right answers of each one-word language test on eight parts of the documents."""
     rows = table(spark, sf_dir, "documents").select(F.pmod("doc_id", F.lit(8)).alias("setting"), "lang", "text")
-    each = rows.select("setting", F.explode(F.array(*[F.struct(F.lit(k).alias("classifier"), ((F.col("lang") == k) == F.coalesce(F.col("text").contains(m), F.lit(False))).cast("int").alias("hit")) for k, m in _MARKERS.items()])).alias("x"))
+    each = rows.select("setting", F.explode(F.array(*[F.struct(F.lit(k).alias("classifier"), ((F.col("lang") == k) == F.coalesce(F.col("text").contains(m),
+        F.lit(False))).cast("int").alias("hit")) for k, m in _MARKERS.items()])).alias("x"))
     made = each.groupBy("x.classifier").pivot("setting", list(range(8))).agg(F.round(F.avg("x.hit"), 6))
     return made.select("classifier", *[F.col(str(i)).alias(f"s{i}") for i in range(8)])
 
@@ -248,8 +254,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     """doc, a, b, size, score, gain: each pair of predicted clusters, the size of the merged one, the highest pair score over
     the border, and what merging adds to the sums of B-cubed precision and recall.
 
-    From counts of (gold, predicted) cells; the score from each cluster's sorted values would need pairs, so it takes the
-    nearest values: 10 less the least distance, found by a merge of both sorted lists in one window.
+    From counts of (gold, predicted) cells, without pairs of mentions; the score is 10 less the least distance of two values.
     """
     cells = rows.groupBy("doc", "pred", "entity").agg(F.count(F.lit(1)).alias("o"))
     sizes = rows.groupBy("doc", "pred").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("v")).alias("values"))
@@ -258,7 +263,8 @@ def candidates(rows: DataFrame) -> DataFrame:
     each = sizes.join(squares, ["doc", "pred"])
     one = each.select("doc", F.col("pred").alias("a"), F.col("n").alias("na"), F.col("q").alias("qa"), F.col("values").alias("va"))
     two = each.select("doc", F.col("pred").alias("b"), F.col("n").alias("nb"), F.col("q").alias("qb"), F.col("values").alias("vb"))
-    met = cells.select("doc", F.col("pred").alias("a"), "entity", F.col("o").alias("oa")).join(cells.select("doc", F.col("pred").alias("b"), "entity", F.col("o").alias("ob")), ["doc", "entity"]).where("a < b").join(gold, ["doc", "entity"])
+    met = cells.select("doc", F.col("pred").alias("a"), "entity", F.col("o").alias("oa")).join(cells.select("doc", F.col("pred").alias("b"), "entity", F.col("o").alias("ob")),
+        ["doc", "entity"]).where("a < b").join(gold, ["doc", "entity"])
     met = met.groupBy("doc", "a", "b").agg(F.sum(2 * F.col("oa") * F.col("ob")).alias("cross"), F.sum(2 * F.col("oa") * F.col("ob") / F.col("g")).alias("dr"))
     both = one.join(two, "doc").where("a < b").join(met, ["doc", "a", "b"], "left")
     cross, dr = F.coalesce("cross", F.lit(0)), F.coalesce("dr", F.lit(0.0))
@@ -283,7 +289,8 @@ def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc, r, slope, intercept of the gain on the score, over a document's candidates."""
-    return candidates(mentions(spark, sf_dir)).groupBy("doc").agg(F.round(F.corr("gain", "score"), 4).alias("r"), F.round(F.regr_slope("gain", "score"), 4).alias("slope"), F.round(F.regr_intercept("gain", "score"), 4).alias("intercept"))
+    return candidates(mentions(spark, sf_dir)).groupBy("doc").agg(F.round(F.corr("gain", "score"), 4).alias("r"), F.round(F.regr_slope("gain", "score"), 4).alias("slope"),
+        F.round(F.regr_intercept("gain", "score"), 4).alias("intercept"))
 
 
 def best_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,7 +349,8 @@ def _grams_sql(source: str, kind: str) -> str:
 _CANDIDATES = f"""{_M}, cells AS (SELECT doc, pred, entity, count(*) AS o FROM mentions GROUP BY ALL), sizes AS (SELECT doc, pred, count(*) AS n FROM mentions GROUP BY ALL),
     gold AS (SELECT doc, entity, count(*) AS g FROM mentions GROUP BY ALL), squares AS (SELECT doc, pred, sum(o * o) AS q FROM cells GROUP BY ALL),
     near AS (SELECT x.doc, x.pred AS a, y.pred AS b, min(abs(x.v - y.v)) AS d FROM mentions x JOIN mentions y ON x.doc = y.doc AND x.pred < y.pred GROUP BY ALL),
-    met AS (SELECT x.doc, x.pred AS a, y.pred AS b, sum(2 * x.o * y.o) AS c, sum(2 * x.o * y.o / g) AS dr FROM cells x JOIN cells y ON x.doc = y.doc AND x.entity = y.entity AND x.pred < y.pred JOIN gold ON gold.doc = x.doc AND gold.entity = x.entity GROUP BY ALL),
+    met AS (SELECT x.doc, x.pred AS a, y.pred AS b, sum(2 * x.o * y.o) AS c, sum(2 * x.o * y.o / g) AS dr FROM cells x JOIN cells y ON x.doc = y.doc AND x.entity = y.entity
+            AND x.pred < y.pred JOIN gold ON gold.doc = x.doc AND gold.entity = x.entity GROUP BY ALL),
     cand AS (SELECT near.doc, near.a, near.b, sa.n + sb.n AS size, round(10.0 - d, 4) + 0.0 AS score,
         round((qa.q + qb.q + coalesce(c, 0)) / (sa.n + sb.n) - qa.q / sa.n - qb.q / sb.n + coalesce(dr, 0), 6) + 0.0 AS gain
         FROM near JOIN sizes sa ON sa.doc = near.doc AND sa.pred = a JOIN sizes sb ON sb.doc = near.doc AND sb.pred = b JOIN squares qa ON qa.doc = near.doc AND qa.pred = a JOIN squares qb ON qb.doc = near.doc AND qb.pred = b
@@ -360,47 +368,62 @@ def _kind_sql(least: int) -> str:
 
 def _segments_sql(name: str, least: int) -> str:
     """Segments from runs: a word opens one where its type isn't the one before or its place divides by 4."""
-    return f"""{name}_k AS (SELECT conv_id, turn, pos, {_kind_sql(least)} AS kind FROM w), {name}_o AS (SELECT *, kind <> 'O' AND (pos % 4 = 0 OR kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY conv_id, turn ORDER BY pos)) AS opens FROM {name}_k),
-        {name} AS (SELECT conv_id, turn, kind AS type, min(pos) AS first, max(pos) AS last FROM (SELECT *, sum(opens::INT) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS k FROM {name}_o) WHERE kind <> 'O' GROUP BY conv_id, turn, kind, k)"""
+    return f"""{name}_k AS (SELECT conv_id, turn, pos, {_kind_sql(least)} AS kind FROM w), {name}_o AS (SELECT *, kind <> 'O' AND (pos % 4 = 0 OR kind IS DISTINCT
+            FROM lag(kind) OVER (PARTITION BY conv_id, turn ORDER BY pos)) AS opens FROM {name}_k),
+        {name} AS (SELECT conv_id, turn, kind AS type, min(pos) AS first, max(pos) AS last FROM (SELECT *, sum(opens::INT) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS k
+            FROM {name}_o) WHERE kind <> 'O' GROUP BY conv_id, turn, kind, k)"""
 
 
-QUERIES = {f.__name__: f for f in (document_statistics, pronoun_company, pronoun_company_merged, best_link_merged, head_word_clusters, gold_alignment, score_lookup, weighted_total, typed_segment_prf, performance_table, mass_results, timing_statistics, entity_shuffle, sentence_shuffle, coherence_features, coherence_accuracy, b3_label, merge_candidates, merge_correlation, best_merge, coherence_pairs, threshold_sweep)}
+QUERIES = {f.__name__: f for f in (document_statistics, pronoun_company, pronoun_company_merged, best_link_merged, head_word_clusters, gold_alignment, score_lookup, weighted_total,
+    typed_segment_prf, performance_table, mass_results, timing_statistics, entity_shuffle, sentence_shuffle, coherence_features, coherence_accuracy, b3_label, merge_candidates,
+    merge_correlation, best_merge, coherence_pairs, threshold_sweep)}
 SQL = {
     "document_statistics": f"""{_M}, chains AS (SELECT doc, entity, count(*) AS size, min(idx) AS first FROM mentions GROUP BY ALL),
-        sizes AS (SELECT doc, count(*) AS entities, round(sum(size) / count(*), 4) AS per_entity, round(avg(size), 4) AS size_mean, round(stddev_samp(size), 4) AS size_std, round(skewness(size), 4) + 0.0 AS size_skew, round(kurtosis(size), 4) + 0.0 AS size_kurt FROM chains GROUP BY 1),
+        sizes AS (SELECT doc, count(*) AS entities, round(sum(size) / count(*), 4) AS per_entity, round(avg(size), 4) AS size_mean, round(stddev_samp(size), 4) AS size_std,
+            round(skewness(size), 4) + 0.0 AS size_skew, round(kurtosis(size), 4) + 0.0 AS size_kurt FROM chains GROUP BY 1),
         longest AS (SELECT doc, entity FROM chains QUALIFY row_number() OVER (PARTITION BY doc ORDER BY size DESC, first) = 1),
-        places AS (SELECT doc, round(avg(place), 9) AS top_mean, round(stddev_samp(place), 9) AS top_std FROM (SELECT *, idx / (max(idx) OVER (PARTITION BY doc) + 1) AS place FROM mentions) JOIN longest USING (doc, entity) GROUP BY 1)
+        places AS (SELECT doc, round(avg(place), 9) AS top_mean, round(stddev_samp(place), 9) AS top_std FROM (SELECT *, idx / (max(idx) OVER (PARTITION BY doc) + 1) AS place
+            FROM mentions) JOIN longest USING (doc, entity) GROUP BY 1)
         SELECT * FROM sizes JOIN places USING (doc)""",
     "pronoun_company": f"""{_M}, c AS (SELECT 'gold' AS source, mtype, count(*) OVER w AS size, count(*) FILTER (mtype <> 'error') OVER w AS others FROM mentions WINDOW w AS (PARTITION BY doc, entity)
         UNION ALL SELECT 'predicted', mtype, count(*) OVER w, count(*) FILTER (mtype <> 'error') OVER w FROM mentions WINDOW w AS (PARTITION BY doc, pred))
         SELECT source, CASE WHEN size = 1 THEN 'alone' WHEN others = 0 THEN 'pronouns' ELSE 'others' END AS kind, count(*) AS count FROM c WHERE mtype = 'error' GROUP BY ALL""",
     "head_word_clusters": rf"WITH {WORDS_SQL} SELECT doc_id, form AS word, count(DISTINCT sent % 5) AS clusters FROM words WHERE pos = 0 AND regexp_matches(form, '^\p{{Lu}}') GROUP BY ALL",
-    "gold_alignment": f"""{_M}, g AS (SELECT doc, sent, row_number() OVER (PARTITION BY doc, sent ORDER BY idx) AS at FROM mentions WHERE idx % 11 <> 0), p AS (SELECT doc, sent, row_number() OVER (PARTITION BY doc, sent ORDER BY idx) AS at FROM mentions WHERE idx % 7 <> 0)
+    "gold_alignment": f"""{_M}, g AS (SELECT doc, sent, row_number() OVER (PARTITION BY doc, sent ORDER BY idx) AS at FROM mentions WHERE idx % 11 <> 0), p AS (SELECT doc, sent,
+            row_number() OVER (PARTITION BY doc, sent ORDER BY idx) AS at FROM mentions WHERE idx % 7 <> 0)
         SELECT coalesce(g.doc, p.doc) AS doc, count(*) FILTER (g.at IS NOT NULL AND p.at IS NOT NULL) AS matched, count(*) FILTER (p.at IS NULL) AS missing, count(*) FILTER (g.at IS NULL) AS extra
         FROM g FULL JOIN p ON g.doc = p.doc AND g.sent = p.sent AND g.at = p.at GROUP BY 1""",
-    "score_lookup": f"""{_M}, a AS (SELECT x.doc, x.idx AS m1, x.idx + 1 AS m2, CASE WHEN (2 * x.idx + 1) % 3 <> 0 THEN round(10.0 - abs(x.v - y.v), 4) END AS score FROM mentions x LEFT JOIN mentions y ON y.doc = x.doc AND y.idx = x.idx + 1 WHERE x.idx + 1 < 120)
+    "score_lookup": f"""{_M}, a AS (SELECT x.doc, x.idx AS m1, x.idx + 1 AS m2, CASE WHEN (2 * x.idx + 1) % 3 <> 0 THEN round(10.0 - abs(x.v - y.v), 4) END AS score FROM mentions x
+            LEFT JOIN mentions y ON y.doc = x.doc AND y.idx = x.idx + 1 WHERE x.idx + 1 < 120)
         SELECT doc, m1, m2, score, round(score + 5.5, 4) AS true_score, round(-5.5 - score, 4) AS false_score, coalesce(score + 5.5, -1) >= 0 AS linked FROM a""",
     "weighted_total": f"""{_M}, o AS (SELECT mtype, count(*) OVER (PARTITION BY doc, entity, pred) AS o, count(*) OVER (PARTITION BY doc, pred) AS p, count(*) OVER (PARTITION BY doc, entity) AS g FROM mentions),
         s AS (SELECT coalesce(mtype, 'total') AS mtype, count(*) AS mentions, avg(o / p) AS p, avg(o / g) AS r FROM o GROUP BY GROUPING SETS ((mtype), ()))
         SELECT mtype, mentions, round(p, 6) AS precision, round(r, 6) AS recall, {_F} AS f1 FROM s""",
-    "typed_segment_prf": f"""WITH t AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '') AS l FROM conversations), w AS (SELECT conv_id, turn, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS x FROM t),
+    "typed_segment_prf": f"""WITH t AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '') AS l FROM conversations), w AS (SELECT conv_id, turn,
+            generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS x FROM t),
         {_segments_sql("gold", 1)}, {_segments_sql("guess", 4)},
         s AS (SELECT coalesce(g.type, p.type) AS type, count(g.type) AS n_gold, count(p.type) AS n_pred, count(*) FILTER (g.type IS NOT NULL AND p.type IS NOT NULL) AS n_hit
             FROM gold g FULL JOIN guess p ON g.conv_id = p.conv_id AND g.turn = p.turn AND g.type = p.type AND g.first = p.first AND g.last = p.last GROUP BY 1),
         x AS (SELECT *, n_hit / nullif(n_pred, 0) AS p, n_hit / nullif(n_gold, 0) AS r FROM s)
         SELECT type, n_gold, n_pred, n_hit, round(p, 6) AS precision, round(r, 6) AS recall, {_F} AS f1 FROM x""",
-    "performance_table": f"""{_GUESS}, s AS (SELECT label, sum(g) AS n_gold, sum(p) AS n_pred, sum(h) AS h FROM (SELECT gold AS label, 1 AS g, 0 AS p, (gold = pred)::INT AS h FROM g UNION ALL SELECT pred, 0, 1, 0 FROM g) GROUP BY 1),
+    "performance_table": f"""{_GUESS}, s AS (SELECT label, sum(g) AS n_gold, sum(p) AS n_pred, sum(h) AS h FROM (SELECT gold AS label, 1 AS g, 0 AS p, (gold = pred)::INT AS h
+            FROM g UNION ALL SELECT pred, 0, 1, 0 FROM g) GROUP BY 1),
         each AS (SELECT label, n_gold, n_pred, h, CASE WHEN label = 'none' THEN 1 ELSE 0 END AS place FROM s
             UNION ALL SELECT 'Overall', count(*) FILTER (gold <> 'none'), count(*) FILTER (pred <> 'none'), count(*) FILTER (gold = pred AND pred <> 'none'), 2 FROM g
             UNION ALL SELECT 'Accuracy', count(*), count(*), count(*) FILTER (gold = pred), 3 FROM g),
-        r AS (SELECT *, coalesce(round(h / nullif(n_pred, 0), CASE WHEN place < 2 THEN 6 ELSE 15 END), 0) AS p, coalesce(round(h / nullif(n_gold, 0), CASE WHEN place < 2 THEN 6 ELSE 15 END), 0) AS q, coalesce(round(2 * h / nullif(n_gold + n_pred, 0), CASE WHEN place < 2 THEN 6 ELSE 15 END), 0) AS f FROM each)
+        r AS (SELECT *, coalesce(round(h / nullif(n_pred, 0), CASE WHEN place < 2 THEN 6 ELSE 15 END), 0) AS p, coalesce(round(h / nullif(n_gold, 0), CASE
+            WHEN place < 2 THEN 6 ELSE 15 END), 0) AS q, coalesce(round(2 * h / nullif(n_gold + n_pred, 0), CASE WHEN place < 2 THEN 6 ELSE 15 END), 0) AS f FROM each)
         SELECT place, label, round(100 * p, 3) AS precision, round(100 * q, 3) AS recall, round(100 * CASE WHEN h = 0 THEN 0 ELSE f END, 3) AS f1, n_gold::BIGINT AS n_gold, n_pred::BIGINT AS n_pred FROM r""",
     "mass_results": "WITH c AS (SELECT unnest(['en', 'de', 'fr', 'es']) AS classifier, unnest([' the ', ' der ', ' les ', ' que ']) AS m), h AS (SELECT classifier, doc_id % 8 AS s, ((lang = classifier) = coalesce(contains(text, m), false))::INT AS hit FROM documents, c) SELECT classifier, " + ", ".join(f"round(avg(hit) FILTER (s = {i}), 6) AS s{i}" for i in range(8)) + " FROM h GROUP BY 1",
-    "timing_statistics": f"{_M}, t AS (SELECT doc, round(sum(v), 4) AS time FROM mentions GROUP BY 1) SELECT round(avg(time), 4) AS mean, min(time) AS least, max(time) AS greatest, (SELECT doc FROM t ORDER BY time, doc LIMIT 1) AS fastest, (SELECT doc FROM t ORDER BY time DESC, doc LIMIT 1) AS slowest FROM t",
+    "timing_statistics": f"""{_M}, t AS (SELECT doc, round(sum(v), 4) AS time FROM mentions GROUP BY 1) SELECT round(avg(time), 4) AS mean, min(time) AS least,
+        max(time) AS greatest, (SELECT doc FROM t ORDER BY time, doc LIMIT 1) AS fastest, (SELECT doc FROM t ORDER BY time DESC, doc LIMIT 1) AS slowest FROM t""",
     "entity_shuffle": f"{_M}, {_COPY} SELECT doc, copy, idx, entity FROM copies",
     "sentence_shuffle": f"""{_M}, s AS (SELECT doc, sent, count(*) AS n, {_DRAW.format("concat_ws(':', doc, sent, 7)")} AS d FROM mentions GROUP BY doc, sent)
         SELECT doc, sent, row_number() OVER w - 1 AS place, (sum(n) OVER w - n)::BIGINT AS start FROM s WINDOW w AS (PARTITION BY doc ORDER BY d, sent)""",
-    "coherence_features": f"{_M}, {_COPY}, first AS (SELECT * FROM copies WHERE copy = 1), " + ", ".join(f"{k}_a AS ({_grams_sql('mentions', k)}), {k}_b AS ({_grams_sql('first', k)})" for k in ("grid2", "grid3", "chain2", "chain3", "subject2")) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT coalesce(a.doc, b.doc) AS doc, '{k}' AS kind, coalesce(a.gram, b.gram) AS gram, coalesce(a.n, 0) - coalesce(b.n, 0) AS diff FROM {k}_a a FULL JOIN {k}_b b ON a.doc = b.doc AND a.gram = b.gram" for k in ("grid2", "grid3", "chain2", "chain3", "subject2")) + ") WHERE diff <> 0",
+    "coherence_features": f"{_M}, {_COPY}, first AS (SELECT * FROM copies WHERE copy = 1), " + ", ".join(f"{k}_a AS ({_grams_sql('mentions', k)}), {k}_b AS ({_grams_sql('first', k)})" for k in ("grid2",
+        "grid3", "chain2", "chain3",
+        "subject2")) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT coalesce(a.doc, b.doc) AS doc, '{k}' AS kind, coalesce(a.gram, b.gram) AS gram, coalesce(a.n, 0) - coalesce(b.n, 0) AS diff FROM {k}_a a FULL JOIN {k}_b b ON a.doc = b.doc AND a.gram = b.gram" for k in ("grid2",
+        "grid3", "chain2", "chain3", "subject2")) + ") WHERE diff <> 0",
     "coherence_accuracy": f"""{_M}, {_COPY}, o AS (SELECT doc, count(*) FILTER (same) AS own FROM (SELECT doc, lag(entity) OVER (PARTITION BY doc ORDER BY idx) = entity AS same FROM mentions) GROUP BY 1),
         c AS (SELECT doc, copy, count(*) FILTER (same) AS theirs FROM (SELECT doc, copy, lag(entity) OVER (PARTITION BY doc, copy ORDER BY idx) = entity AS same FROM copies) GROUP BY ALL)
         SELECT count(*) AS pairs, count(*) FILTER (own >= theirs) AS n_right, round(avg((own >= theirs)::INT), 6) AS accuracy FROM c JOIN o USING (doc)""",
@@ -410,11 +433,13 @@ SQL = {
     "merge_candidates": f"{_CANDIDATES} SELECT *, true AS by_none, size <= 2 AS by_size, gain >= 0 AS by_gain, score >= 9.9 AS by_score FROM cand",
     "merge_correlation": f"{_CANDIDATES} SELECT doc, round(corr(gain, score), 4) AS r, round(regr_slope(gain, score), 4) AS slope, round(regr_intercept(gain, score), 4) AS intercept FROM cand GROUP BY 1",
     "best_merge": f"{_CANDIDATES} SELECT doc, a, b, gain FROM cand QUALIFY row_number() OVER (PARTITION BY doc ORDER BY gain DESC, a, b) = 1",
-    "coherence_pairs": f"""{_CANDIDATES}, d AS (SELECT *, {_DRAW.format("concat_ws(':', doc, a, b)")} % 2 = 1 AS swapped FROM cand WHERE size <= 2) SELECT doc, a, b, swapped, CASE WHEN swapped THEN gain > 0 ELSE gain < 0 END AS label FROM d""",
+    "coherence_pairs": f"""{_CANDIDATES}, d AS (SELECT *, {_DRAW.format("concat_ws(':', doc, a, b)")} % 2 = 1 AS swapped FROM cand WHERE size <= 2) SELECT doc, a, b, swapped, CASE
+            WHEN swapped THEN gain > 0 ELSE gain < 0 END AS label FROM d""",
     "threshold_sweep": f"""WITH RECURSIVE {MENTIONS_SQL}, near AS (SELECT t, a.doc, a.idx, max(b.idx) AS link FROM (SELECT unnest([{", ".join(f"{t}::DOUBLE" for t in THRESHOLDS)}]) AS t), mentions a JOIN mentions b ON a.doc = b.doc AND b.idx < a.idx WHERE 10.0 - abs(a.v - b.v) > t GROUP BY ALL),
         roots AS (SELECT t.t, m.doc, m.idx, n.link FROM (SELECT unnest([{", ".join(f"{t}::DOUBLE" for t in THRESHOLDS)}]) AS t) t CROSS JOIN mentions m LEFT JOIN near n ON n.t = t.t AND n.doc = m.doc AND n.idx = m.idx),
         chase AS (SELECT t, doc, idx, idx AS cluster FROM roots WHERE link IS NULL UNION ALL SELECT r.t, r.doc, r.idx, c.cluster FROM roots r JOIN chase c ON r.t = c.t AND r.doc = c.doc AND r.link = c.idx),
-        o AS (SELECT t, m.doc, count(*) OVER (PARTITION BY t, m.doc, entity, cluster) AS o, count(*) OVER (PARTITION BY t, m.doc, cluster) AS p, count(*) OVER (PARTITION BY t, m.doc, entity) AS g FROM mentions m JOIN chase c ON c.doc = m.doc AND c.idx = m.idx),
+        o AS (SELECT t, m.doc, count(*) OVER (PARTITION BY t, m.doc, entity, cluster) AS o, count(*) OVER (PARTITION BY t, m.doc, cluster) AS p, count(*) OVER (PARTITION BY t,
+            m.doc, entity) AS g FROM mentions m JOIN chase c ON c.doc = m.doc AND c.idx = m.idx),
         d AS (SELECT t, doc, count(*) AS n, round(avg(o / p), 6) AS p, round(avg(o / g), 6) AS r FROM o GROUP BY ALL), s AS (SELECT t AS threshold, sum(p * n) / sum(n) AS p, sum(r * n) / sum(n) AS r FROM d GROUP BY 1)
         SELECT threshold, round(p, 4) AS precision, round(r, 4) AS recall, round(2 * p * r / nullif(p + r, 0), 4) AS f1 FROM s""",
 }

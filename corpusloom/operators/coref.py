@@ -117,7 +117,8 @@ def grid_ngrams_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All combinations of an entity's types in consecutive sentences, all-`X` kept."""
     grid = _grid(mentions(spark, sf_dir), F.collect_set("mtype"))
     own = lambda c: F.coalesce(c, F.array(F.lit("X")))
-    grams = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SENTENCES - 2)), lambda s: F.flatten(F.transform(own(F.get("cells", s)), lambda a: F.transform(own(F.get("cells", s + 1)), lambda b: F.concat_ws(" ", a, b))))))
+    grams = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SENTENCES - 2)), lambda s: F.flatten(F.transform(own(F.get("cells", s)), lambda a: F.transform(own(F.get("cells",
+        s + 1)), lambda b: F.concat_ws(" ", a, b))))))
     return grid.select("doc", F.explode(grams).alias("gram")).groupBy("doc", "gram").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -132,7 +133,8 @@ def subject_grams(rows: DataFrame, keys: tuple = ("doc",)) -> DataFrame:
     """keys, gram, count: bigrams of the subjects (most specific, then first mention) of consecutive sentences, `+` for the same entity."""
     subject = rows.groupBy(*keys, "sent").agg(F.min(F.struct("rank", "idx", "mtype", "entity")).alias("s"))
     after = Window.partitionBy(*keys).orderBy("sent")
-    made = subject.select(*keys, "sent", F.lead("sent").over(after).alias("next"), F.col("s.mtype").alias("a"), F.lead("s.mtype").over(after).alias("b"), (F.lead("s.entity").over(after) == F.col("s.entity")).alias("same"))
+    made = subject.select(*keys, "sent", F.lead("sent").over(after).alias("next"), F.col("s.mtype").alias("a"), F.lead("s.mtype").over(after).alias("b"),
+        (F.lead("s.entity").over(after) == F.col("s.entity")).alias("same"))
     gram = F.concat(F.col("a"), F.lit(" "), F.col("b"), F.when(F.col("same"), "+").otherwise("-"))
     return made.where("next = sent + 1").groupBy(*keys, gram.alias("gram")).agg(F.count(F.lit(1)).alias("count"))
 
@@ -158,7 +160,8 @@ def ngram_diff_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc, entity, first, size, chain of each coreference chain."""
-    return mentions(spark, sf_dir).groupBy("doc", "entity").agg(F.min("idx").alias("first"), F.count(F.lit(1)).alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "mtype"))), lambda x: x["mtype"]), " ").alias("chain"))
+    return mentions(spark, sf_dir).groupBy("doc", "entity").agg(F.min("idx").alias("first"), F.count(F.lit(1)).alias("size"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "mtype"))), lambda x: x["mtype"]), " ").alias("chain"))
 
 
 def top_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,7 +324,9 @@ def perturbed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 _P = f"WITH {MENTIONS_SQL}, pairs AS (SELECT a.*, b.idx AS prev, b.mtype AS prev_type, b.entity AS prev_entity, 10.0 - abs(a.v - b.v) AS score FROM mentions a JOIN mentions b ON a.doc = b.doc AND b.idx < a.idx)"
 _C = f"WITH {MENTIONS_SQL}, g AS (SELECT doc, mtype || coalesce(' ' || lead(mtype) OVER c, '') AS gram, row_number() OVER c AS nth, count(*) OVER (PARTITION BY doc, entity) AS size FROM mentions WINDOW c AS (PARTITION BY doc, entity ORDER BY idx)), grams AS (SELECT doc, gram, count(*) AS count FROM g WHERE nth <= greatest(size - 1, 1) GROUP BY ALL)"
 _G = f"WITH {MENTIONS_SQL}, hours AS (SELECT unnest(range(0, {SENTENCES})) AS sent), cells AS (SELECT doc, entity, h.sent FROM (SELECT DISTINCT doc, entity FROM mentions) CROSS JOIN hours h)"
-QUERIES = {f.__name__: f for f in (mention_pairs, best_link, best_link_constrained, closest_antecedent, chain_ngrams, grid_ngrams_representative, grid_trigrams_representative, grid_ngrams_full, adjacency_counts, subject_ngrams, ngram_diff_full_outer, all_chains, top_chains, singleton_merge, cluster_merge_search, cluster_merge_exhaustive, perturbed_labels)}
+QUERIES = {f.__name__: f for f in (mention_pairs, best_link, best_link_constrained, closest_antecedent, chain_ngrams, grid_ngrams_representative, grid_trigrams_representative,
+    grid_ngrams_full, adjacency_counts, subject_ngrams, ngram_diff_full_outer, all_chains, top_chains, singleton_merge, cluster_merge_search, cluster_merge_exhaustive,
+    perturbed_labels)}
 _DRAW = "('0x' || substr(md5(concat_ws(':', doc, idx, {})), 1, 8))::BIGINT"
 SQL = {
     "perturbed_labels": f"""WITH RECURSIVE {MENTIONS_SQL}, d AS (SELECT doc, idx, entity, {_DRAW.format(1)} % 1000 < 100 AS c, {_DRAW.format(2)} % 1000 < 350 AS f, {_DRAW.format(3)} AS d FROM mentions),
@@ -329,20 +334,28 @@ SQL = {
             UNION ALL SELECT r.doc, k + 1, list_append(l, CASE WHEN NOT c THEN entity WHEN f OR k = 0 THEN -(k + 1) ELSE l[1 + (d.d % greatest(k, 1))] END) FROM run r JOIN d ON d.doc = r.doc AND d.idx = r.k),
         done AS (SELECT doc, l FROM run QUALIFY k = max(k) OVER (PARTITION BY doc)) SELECT doc, (generate_subscripts(l, 1) - 1)::INT AS idx, unnest(l) AS entity FROM done""",
     "mention_pairs": f"{_P} SELECT doc, prev, idx, entity = prev_entity AS same, round(score, 4) + 0.0 AS score FROM pairs",
-    "best_link": f"{_P}, r AS (SELECT *, row_number() OVER (PARTITION BY doc, idx ORDER BY score DESC, prev) AS k FROM pairs WHERE score > 0) SELECT doc, idx, prev AS link, round(score, 4) + 0.0 AS score FROM r WHERE k = 1",
-    "best_link_constrained": f"{_P}, r AS (SELECT *, row_number() OVER (PARTITION BY doc, idx ORDER BY score DESC, prev) AS k FROM pairs WHERE score > 0 AND (mtype = 'error' OR prev_type <> 'error')) SELECT doc, idx, prev AS link FROM r WHERE k = 1",
+    "best_link": f"""{_P}, r AS (SELECT *, row_number() OVER (PARTITION BY doc, idx ORDER BY score DESC, prev) AS k FROM pairs WHERE score > 0) SELECT doc, idx, prev AS link,
+        round(score, 4) + 0.0 AS score FROM r WHERE k = 1""",
+    "best_link_constrained": f"""{_P}, r AS (SELECT *, row_number() OVER (PARTITION BY doc, idx ORDER BY score DESC, prev) AS k FROM pairs WHERE score > 0 AND (mtype = 'error'
+        OR prev_type <> 'error')) SELECT doc, idx, prev AS link FROM r WHERE k = 1""",
     "closest_antecedent": f"{_P.replace('WITH', 'WITH RECURSIVE', 1)}, near AS (SELECT doc, idx, max(prev) AS link FROM pairs WHERE score > 9.9 GROUP BY ALL), roots AS (SELECT m.doc, m.idx, n.link FROM mentions m LEFT JOIN near n USING (doc, idx)), chase AS (SELECT doc, idx, idx AS cluster FROM roots WHERE link IS NULL UNION ALL SELECT r.doc, r.idx, c.cluster FROM roots r JOIN chase c ON r.doc = c.doc AND r.link = c.idx) SELECT * FROM chase",
     "chain_ngrams": f"{_C} SELECT * FROM grams",
-    "grid_ngrams_representative": f"""{_G}, t AS (SELECT c.doc, c.entity, c.sent, coalesce(list_extract(['purchase', 'signup', 'click', 'view', 'error'], (1 + min(m.rank))::INT), 'X') AS k FROM cells c LEFT JOIN mentions m USING (doc, entity, sent) GROUP BY ALL),
+    "grid_ngrams_representative": f"""{_G}, t AS (SELECT c.doc, c.entity, c.sent, coalesce(list_extract(['purchase', 'signup', 'click', 'view', 'error'],
+            (1 + min(m.rank))::INT), 'X') AS k FROM cells c LEFT JOIN mentions m USING (doc, entity, sent) GROUP BY ALL),
         g AS (SELECT doc, k || ' ' || lead(k) OVER (PARTITION BY doc, entity ORDER BY sent) AS gram FROM t) SELECT doc, gram, count(*) AS count FROM g WHERE gram IS NOT NULL AND gram <> 'X X' GROUP BY ALL""",
     "grid_ngrams_full": f"""{_G}, t AS (SELECT DISTINCT c.doc, c.entity, c.sent, coalesce(m.mtype, 'X') AS k FROM cells c LEFT JOIN mentions m USING (doc, entity, sent))
         SELECT a.doc, a.k || ' ' || b.k AS gram, count(*) AS count FROM t a JOIN t b ON a.doc = b.doc AND a.entity = b.entity AND b.sent = a.sent + 1 GROUP BY ALL""",
-    "adjacency_counts": f"WITH {MENTIONS_SQL}, t AS (SELECT doc, lag(mtype) OVER w AS first, mtype AS second, lag(entity) OVER w = entity AS same FROM mentions WINDOW w AS (PARTITION BY doc, sent ORDER BY idx)) SELECT doc, first, second, same, count(*) AS count FROM t WHERE first IS NOT NULL GROUP BY ALL",
+    "adjacency_counts": f"""WITH {MENTIONS_SQL}, t AS (SELECT doc, lag(mtype) OVER w AS first, mtype AS second, lag(entity) OVER w = entity AS same FROM mentions
+        WINDOW w AS (PARTITION BY doc, sent ORDER BY idx)) SELECT doc, first, second, same, count(*) AS count FROM t WHERE first IS NOT NULL GROUP BY ALL""",
     "subject_ngrams": f"""WITH {MENTIONS_SQL}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, sent ORDER BY rank, idx) AS k FROM mentions) WHERE k = 1)
         SELECT a.doc, a.mtype || ' ' || b.mtype || CASE WHEN a.entity = b.entity THEN '+' ELSE '-' END AS gram, count(*) AS count FROM s a JOIN s b ON a.doc = b.doc AND b.sent = a.sent + 1 GROUP BY ALL""",
-    "ngram_diff_full_outer": f"{_C}, o AS (SELECT lpad((doc::BIGINT - 1)::VARCHAR, 8, '0') AS doc, gram, count AS c1 FROM grams WHERE doc::BIGINT > 0) SELECT coalesce(g.doc, o.doc) AS doc, coalesce(g.gram, o.gram) AS gram, coalesce(count, 0) - coalesce(c1, 0) AS diff FROM grams g FULL JOIN o ON g.doc = o.doc AND g.gram = o.gram",
-    "grid_trigrams_representative": f"""{_G}, t AS (SELECT c.doc, c.entity, c.sent, coalesce(list_extract(['purchase', 'signup', 'click', 'view', 'error'], (1 + min(m.rank))::INT), 'X') AS k FROM cells c LEFT JOIN mentions m USING (doc, entity, sent) GROUP BY ALL),
-        g AS (SELECT doc, k || ' ' || lead(k) OVER w || ' ' || lead(k, 2) OVER w AS gram FROM t WINDOW w AS (PARTITION BY doc, entity ORDER BY sent)) SELECT doc, gram, count(*) AS count FROM g WHERE gram IS NOT NULL AND gram <> 'X X X' GROUP BY ALL""",
+    "ngram_diff_full_outer": f"""{_C}, o AS (SELECT lpad((doc::BIGINT - 1)::VARCHAR, 8, '0') AS doc, gram, count AS c1 FROM grams WHERE doc::BIGINT > 0) SELECT coalesce(g.doc,
+        o.doc) AS doc, coalesce(g.gram, o.gram) AS gram, coalesce(count, 0) - coalesce(c1, 0) AS diff FROM grams g FULL JOIN o ON g.doc = o.doc AND g.gram = o.gram""",
+    "grid_trigrams_representative": f"""{_G}, t AS (SELECT c.doc, c.entity, c.sent, coalesce(list_extract(['purchase', 'signup', 'click', 'view', 'error'],
+            (1 + min(m.rank))::INT), 'X') AS k FROM cells c LEFT JOIN mentions m USING (doc, entity, sent) GROUP BY ALL),
+        g AS (SELECT doc, k || ' ' || lead(k) OVER w || ' ' || lead(k, 2) OVER w AS gram FROM t WINDOW w AS (PARTITION BY doc, entity ORDER BY sent)) SELECT doc, gram,
+            count(*) AS count FROM g WHERE gram IS NOT NULL AND gram <> 'X X X' GROUP BY ALL""",
     "all_chains": f"WITH {MENTIONS_SQL} SELECT doc, entity, min(idx) AS first, count(*) AS size, string_agg(mtype, ' ' ORDER BY idx) AS chain FROM mentions GROUP BY ALL",
-    "top_chains": f"WITH {MENTIONS_SQL}, c AS (SELECT doc, entity, min(idx) AS first, count(*) AS size FROM mentions GROUP BY ALL HAVING count(*) >= 5), r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY size DESC, first) AS place FROM c) SELECT doc, entity, size, place FROM r WHERE place <= 3",
+    "top_chains": f"""WITH {MENTIONS_SQL}, c AS (SELECT doc, entity, min(idx) AS first, count(*) AS size FROM mentions GROUP BY ALL HAVING count(*) >= 5), r AS (SELECT *,
+        row_number() OVER (PARTITION BY doc ORDER BY size DESC, first) AS place FROM c) SELECT doc, entity, size, place FROM r WHERE place <= 3""",
 }

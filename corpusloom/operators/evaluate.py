@@ -16,7 +16,9 @@ def ratio(a: Column, b: Column) -> Column:
 def prf(pairs: DataFrame, beta: float = 1.0) -> DataFrame:
     """label, n_gold, n_pred, n_hit, precision, recall, f of rows (gold, pred); one shuffle of partial counts."""
     counts = pairs.groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("n"))
-    each = counts.select(F.explode(F.array(F.struct(F.col("gold").alias("label"), F.col("n").alias("g"), F.lit(0).cast("long").alias("p"), F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0).alias("h")), F.struct(F.col("pred").alias("label"), F.lit(0).cast("long").alias("g"), F.col("n").alias("p"), F.lit(0).cast("long").alias("h")))).alias("x")).select("x.*")
+    each = counts.select(F.explode(F.array(F.struct(F.col("gold").alias("label"), F.col("n").alias("g"), F.lit(0).cast("long").alias("p"), F.when(F.col("gold") == F.col("pred"),
+        F.col("n")).otherwise(0).alias("h")), F.struct(F.col("pred").alias("label"), F.lit(0).cast("long").alias("g"), F.col("n").alias("p"),
+        F.lit(0).cast("long").alias("h")))).alias("x")).select("x.*")
     total = each.groupBy("label").agg(F.sum("g").alias("n_gold"), F.sum("p").alias("n_pred"), F.sum("h").alias("n_hit"))
     p, r, b = ratio(F.col("n_hit"), F.col("n_pred")), ratio(F.col("n_hit"), F.col("n_gold")), beta * beta
     return total.select("label", "n_gold", "n_pred", "n_hit", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.try_divide((b + 1) * p * r, b * p + r), 6).alias("f"))
@@ -79,7 +81,8 @@ def bcubed_rows(rows: DataFrame, gold: str = "entity", pred: str = "pred", doc:
     g, p = F.sum("n").over(Window.partitionBy(doc, gold)), F.sum("n").over(Window.partitionBy(doc, pred))
     each = overlap.select(doc, "n", (F.col("n") * F.col("n") / p).alias("pp"), (F.col("n") * F.col("n") / g).alias("rr"))
     sums = each.groupBy(doc).agg(F.sum("n").alias("mentions"), F.sum("pp").alias("p"), F.sum("rr").alias("r"))
-    return sums.select(doc, "mentions", F.round(ratio(F.col("p"), F.col("mentions")), 6).alias("precision"), F.round(ratio(F.col("r"), F.col("mentions")), 6).alias("recall"), F.round(F.try_divide(2 * F.col("p") * F.col("r"), (F.col("p") + F.col("r")) * F.col("mentions")), 6).alias("f1"))
+    return sums.select(doc, "mentions", F.round(ratio(F.col("p"), F.col("mentions")), 6).alias("precision"), F.round(ratio(F.col("r"), F.col("mentions")), 6).alias("recall"),
+        F.round(F.try_divide(2 * F.col("p") * F.col("r"), (F.col("p") + F.col("r")) * F.col("mentions")), 6).alias("f1"))
 
 
 def bcubed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,21 +186,24 @@ _SEG = r"""WITH t AS (SELECT conv_id, turn, list_filter(string_split(text, ' '),
     tags AS (SELECT conv_id, turn, pos, regexp_matches(w[pos + 1], '^\p{Lu}') AS gold, regexp_matches(w[pos + 1], '^\p{Lu}') AND len(w[pos + 1]) > 3 AS guess FROM u),
     gold AS (SELECT conv_id, turn, min(pos) AS first, max(pos) AS last FROM (SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS k FROM tags WHERE gold) GROUP BY conv_id, turn, k),
     guess AS (SELECT conv_id, turn, min(pos) AS first, max(pos) AS last FROM (SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS k FROM tags WHERE guess) GROUP BY conv_id, turn, k)"""
-QUERIES = {f.__name__: f for f in (confusion_counts, prf_table, overall_stats, bio_segments, bio_segment_prf, bcubed, bcubed_by_type, moments, correlation, kfold_sequential, kfold_kth, kfold_random, kfold_manual, plain_accuracy)}
+QUERIES = {f.__name__: f for f in (confusion_counts, prf_table, overall_stats, bio_segments, bio_segment_prf, bcubed, bcubed_by_type, moments, correlation, kfold_sequential,
+    kfold_kth, kfold_random, kfold_manual, plain_accuracy)}
 SQL = {
     "confusion_counts": f"{_GUESS} SELECT gold, pred, count(*) AS n FROM g GROUP BY ALL",
     "prf_table": f"""{_GUESS}, s AS (SELECT label, sum(g) AS n_gold, sum(p) AS n_pred, sum(h) AS n_hit FROM (
         SELECT gold AS label, 1 AS g, 0 AS p, (gold = pred)::INT AS h FROM g UNION ALL SELECT pred, 0, 1, 0 FROM g) GROUP BY 1),
         x AS (SELECT *, n_hit / nullif(n_pred, 0) AS p, n_hit / nullif(n_gold, 0) AS r FROM s)
         SELECT label, n_gold::BIGINT AS n_gold, n_pred::BIGINT AS n_pred, n_hit::BIGINT AS n_hit, round(p, 6) AS precision, round(r, 6) AS recall, {_F} AS f FROM x""",
-    "overall_stats": f"""{_GUESS}, x AS (SELECT sum((gold = pred AND pred <> 'none')::INT) / nullif(sum((pred <> 'none')::INT), 0) AS p, sum((gold = pred AND pred <> 'none')::INT) / nullif(sum((gold <> 'none')::INT), 0) AS r, avg((gold = pred)::INT) AS a FROM g)
+    "overall_stats": f"""{_GUESS}, x AS (SELECT sum((gold = pred AND pred <> 'none')::INT) / nullif(sum((pred <> 'none')::INT), 0) AS p, sum((gold = pred
+            AND pred <> 'none')::INT) / nullif(sum((gold <> 'none')::INT), 0) AS r, avg((gold = pred)::INT) AS a FROM g)
         SELECT round(p, 6) AS precision, round(r, 6) AS recall, {_F} AS f1, round(a, 6) AS accuracy FROM x""",
     "bio_segments": f"{_SEG} SELECT * FROM gold",
     "bio_segment_prf": f"""{_SEG}, s AS (SELECT (SELECT count(*) FROM gold) AS n_gold, (SELECT count(*) FROM guess) AS n_pred, (SELECT count(*) FROM gold JOIN guess USING (conv_id, turn, first, last)) AS n_hit),
         x AS (SELECT *, n_hit / nullif(n_pred, 0) AS p, n_hit / nullif(n_gold, 0) AS r FROM s) SELECT n_gold, n_pred, n_hit, round(p, 6) AS precision, round(r, 6) AS recall, {_F} AS f1 FROM x""",
     "bcubed": f"""WITH {MENTIONS_SQL}, o AS (SELECT doc, count(*) OVER (PARTITION BY doc, entity, pred) AS o, count(*) OVER (PARTITION BY doc, pred) AS p, count(*) OVER (PARTITION BY doc, entity) AS g FROM mentions),
         s AS (SELECT doc, count(*) AS mentions, avg(o / p) AS p, avg(o / g) AS r FROM o GROUP BY 1) SELECT doc, mentions, round(p, 6) AS precision, round(r, 6) AS recall, {_F} AS f1 FROM s""",
-    "bcubed_by_type": f"""WITH {MENTIONS_SQL}, o AS (SELECT mtype, count(*) OVER (PARTITION BY doc, entity, pred) AS o, count(*) OVER (PARTITION BY doc, pred) AS p, count(*) OVER (PARTITION BY doc, entity) AS g FROM mentions)
+    "bcubed_by_type": f"""WITH {MENTIONS_SQL}, o AS (SELECT mtype, count(*) OVER (PARTITION BY doc, entity, pred) AS o, count(*) OVER (PARTITION BY doc, pred) AS p,
+            count(*) OVER (PARTITION BY doc, entity) AS g FROM mentions)
         SELECT mtype, count(*) AS mentions, round(avg(o / p), 6) AS precision, round(avg(o / g), 6) AS recall FROM o GROUP BY 1""",
     "moments": f"WITH {MENTIONS_SQL} SELECT doc, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(skewness(v), 4) AS skew, round(kurtosis(v), 4) AS kurt FROM mentions GROUP BY 1",
     "correlation": f"WITH {MENTIONS_SQL} SELECT mtype, round(corr(v, idx), 6) AS r, round(regr_slope(v, idx), 6) AS slope, round(regr_intercept(v, idx), 6) AS intercept FROM mentions GROUP BY 1",

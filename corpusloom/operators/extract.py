@@ -112,7 +112,8 @@ def _window_sql(value: str) -> str:
 
 
 _CAP = r"CASE WHEN regexp_matches(w, '^\p{Lu}') THEN 'true' ELSE 'false' END"
-_AFFIX = "list_filter([CASE WHEN len(w) > 3 THEN 'p|' || w[1:3] END, CASE WHEN len(w) > 4 THEN 'p|' || w[1:4] END, " + ", ".join(f"CASE WHEN len(w) > {n} THEN 's|' || right(w, {n}) END" for n in (1, 2, 3, 4)) + "], lambda x: x IS NOT NULL)"
+_AFFIX = "list_filter([CASE WHEN len(w) > 3 THEN 'p|' || w[1:3] END, CASE WHEN len(w) > 4 THEN 'p|' || w[1:4] END, " + ", ".join(f"CASE WHEN len(w) > {n} THEN 's|' || right(w, {n}) END" for n in (1,
+    2, 3, 4)) + "], lambda x: x IS NOT NULL)"
 
 
 def _per_word_sql(features: str) -> str:

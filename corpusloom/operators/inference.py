@@ -415,10 +415,13 @@ def _language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, learner, object, value, score: languages of both halves of a text by one word each, and its size."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     half = F.floor(F.length("text") / 2).cast("int")
-    parts = rows.select("doc_id", F.expr("substring(text, 1, cast(floor(length(text) / 2) as int))").alias("one"), F.expr("substring(text, cast(floor(length(text) / 2) as int) + 1)").alias("two"), (half > 1000).alias("large"))
+    parts = rows.select("doc_id", F.expr("substring(text, 1, cast(floor(length(text) / 2) as int))").alias("one"),
+        F.expr("substring(text, cast(floor(length(text) / 2) as int) + 1)").alias("two"), (half > 1000).alias("large"))
     times = lambda c, w: F.size(F.split(c, w)) - 1
-    made = [F.struct(F.lit("lang").alias("learner"), F.lit(o).alias("object"), F.lit(k).alias("value"), (F.least(times(F.col(c), w), F.lit(20)) / 10 + F.lit(step * i)).alias("score")) for o, c, step in (("1", "one", 0.011), ("2", "two", 0.013)) for i, (k, w) in enumerate(_WORDS.items())]
-    made += [F.struct(F.lit("size").alias("learner"), F.lit("0").alias("object"), F.lit(v).alias("value"), F.when(F.col("large") == (v == "large"), s).otherwise(0.017).alias("score")) for v, s in (("large", 0.31), ("small", 0.29))]
+    made = [F.struct(F.lit("lang").alias("learner"), F.lit(o).alias("object"), F.lit(k).alias("value"), (F.least(times(F.col(c), w),
+        F.lit(20)) / 10 + F.lit(step * i)).alias("score")) for o, c, step in (("1", "one", 0.011), ("2", "two", 0.013)) for i, (k, w) in enumerate(_WORDS.items())]
+    made += [F.struct(F.lit("size").alias("learner"), F.lit("0").alias("object"), F.lit(v).alias("value"), F.when(F.col("large") == (v == "large"),
+        s).otherwise(0.017).alias("score")) for v, s in (("large", 0.31), ("small", 0.29))]
     return parts.select("doc_id", F.explode(F.array(*made)).alias("x")).select("doc_id", "x.*")
 
 
@@ -451,7 +454,8 @@ def constraint_satisfied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores_sql() -> str:
-    counts = " UNION ALL ".join(f"SELECT doc_id, 'lang' AS learner, '{o}' AS object, '{k}' AS value, least(len(string_split({c}, '{w}')) - 1, 20) / 10 + {step * i!r} AS score FROM parts" for o, c, step in (("1", "one", 0.011), ("2", "two", 0.013)) for i, (k, w) in enumerate(_WORDS.items()))
+    counts = " UNION ALL ".join(f"SELECT doc_id, 'lang' AS learner, '{o}' AS object, '{k}' AS value, least(len(string_split({c}, '{w}')) - 1, 20) / 10 + {step * i!r} AS score FROM parts" for o,
+        c, step in (("1", "one", 0.011), ("2", "two", 0.013)) for i, (k, w) in enumerate(_WORDS.items()))
     sizes = " UNION ALL ".join(f"SELECT doc_id, 'size', '0', '{v}', CASE WHEN large = {str(v == 'large').lower()} THEN {s} ELSE 0.017 END FROM parts" for v, s in (("large", 0.31), ("small", 0.29)))
     return f"""parts AS (SELECT doc_id, substring(t, 1, len(t) // 2) AS one, substring(t, len(t) // 2 + 1) AS two, len(t) // 2 > 1000 AS large FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
         s AS ({counts} UNION ALL {sizes})"""
@@ -464,7 +468,8 @@ SQL = {
         a AS (SELECT x.doc_id, x.value AS v1, y.value AS v2, z.value AS v0, x.z AS z1, y.z AS z2, z.z AS z0 FROM n x JOIN n y ON x.doc_id = y.doc_id AND x.learner = 'lang' AND x.object = '1' AND y.object = '2'
             JOIN n z ON z.doc_id = x.doc_id AND z.object = '0' WHERE x.value = y.value AND (x.value NOT IN ('en', 'es') OR z.value = 'large')
             QUALIFY row_number() OVER (PARTITION BY x.doc_id ORDER BY x.z + y.z + z.z DESC, x.value, z.value) = 1)
-        SELECT doc_id, 'lang' AS learner, '1' AS object, v1 AS value, round(z1, 6) AS score, true AS optimal FROM a UNION ALL SELECT doc_id, 'lang', '2', v2, round(z2, 6), true FROM a UNION ALL SELECT doc_id, 'size', '0', v0, round(z0, 6), true FROM a""",
+        SELECT doc_id, 'lang' AS learner, '1' AS object, v1 AS value, round(z1, 6) AS score, true AS optimal FROM a UNION ALL SELECT doc_id, 'lang', '2', v2, round(z2, 6), true
+            FROM a UNION ALL SELECT doc_id, 'size', '0', v0, round(z0, 6), true FROM a""",
     "free_inference": f"""WITH {_scores_sql()} SELECT doc_id, learner, object, value, round(1 / (1 + exp(-score)), 6) AS score, true AS optimal FROM s
         QUALIFY row_number() OVER (PARTITION BY doc_id, learner, object ORDER BY score DESC, value) = 1""",
     "constraint_satisfied": f"""WITH {_scores_sql()}, b AS (SELECT doc_id, learner || object AS k, value FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, learner, object ORDER BY score DESC, value) = 1),

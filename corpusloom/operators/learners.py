@@ -437,7 +437,8 @@ _BOTH = "SELECT 'quality' AS target, idx, doc_id, quality AS y, 0 AS first FROM
 _FOLDS = "SELECT f::VARCHAR AS target, idx, doc_id, quality AS y, 0 AS first FROM docs, (SELECT unnest(range(5)) AS f) WHERE idx % 5 <> f"
 _SCORED = "scored AS (SELECT d.doc_id, target, list_dot_product(w, x) + b AS score FROM dense d, final)"
 _BEST = "SELECT doc_id, target AS prediction FROM scored {where} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, target) = 1"
-QUERIES = {f.__name__: f for f in (perceptron_train, averaged_perceptron_train, winnow_train, mira_train, sgd_train, network_train, network_candidates, network_scores, mux_train, mux_predict, multilabel_train, cross_validation)}
+QUERIES = {f.__name__: f for f in (perceptron_train, averaged_perceptron_train, winnow_train, mira_train, sgd_train, network_train, network_candidates, network_scores, mux_train,
+    mux_predict, multilabel_train, cross_validation)}
 SQL: dict[str, str] = {
     "perceptron_train": _weights_sql("perceptron", _QUALITY, 2),
     "averaged_perceptron_train": _weights_sql("averaged", _QUALITY, 2),
@@ -448,7 +449,8 @@ SQL: dict[str, str] = {
     "network_candidates": f"""{_train_sql('perceptron', _LANGS, 2)}, {_SCORED} {_BEST.format(where="WHERE target IN ('de', 'fr')")}""",
     "network_scores": f"{_train_sql('perceptron', _LANGS, 2)}, {_SCORED} SELECT doc_id, target, round(score, 4) AS score FROM scored",
     "mux_train": _weights_sql("perceptron", _MUX, 1),
-    "mux_predict": f"{_train_sql('perceptron', _MUX, 1)}, {_SCORED} SELECT d.doc_id, CASE WHEN score IS NULL THEN 'unseen' WHEN score >= 0 THEN 'true' ELSE 'false' END AS prediction FROM docs d LEFT JOIN scored s ON s.doc_id = d.doc_id AND s.target = d.lang",
+    "mux_predict": f"""{_train_sql('perceptron', _MUX, 1)}, {_SCORED} SELECT d.doc_id, CASE WHEN score IS NULL THEN 'unseen'
+        WHEN score >= 0 THEN 'true' ELSE 'false' END AS prediction FROM docs d LEFT JOIN scored s ON s.doc_id = d.doc_id AND s.target = d.lang""",
     "multilabel_train": f"{_train_sql('perceptron', _BOTH, 2)}, {_SCORED} SELECT doc_id, string_agg(target, ',' ORDER BY target) AS labels FROM scored WHERE score >= 0 GROUP BY 1",
     "cross_validation": f"""{_train_sql('averaged', _FOLDS, 1)},
         tested AS (SELECT target::BIGINT AS fold, ((list_dot_product(list_transform(list_zip(w, late), lambda p: n * p[1] - p[2]), x) + n * b - late_b) / n >= 0) = (quality = 1) AS hit

@@ -116,7 +116,8 @@ def train(rows: DataFrame, learners: Sequence[Learner], k: int = 0, strategy: st
 
 def _chain() -> list[Learner]:
     """Quality from word ends; then toxicity from these and the predicted quality. Given in the wrong order."""
-    toxic = Learner("toxic", F.col("toxic"), lambda: F.concat(F.col("features"), F.array(F.concat(F.lit("quality="), F.col("predicted_quality").cast("string")))), rule="perceptron", parameters={"rate": STEP}, depends=("quality",))
+    toxic = Learner("toxic", F.col("toxic"), lambda: F.concat(F.col("features"), F.array(F.concat(F.lit("quality="), F.col("predicted_quality").cast("string")))),
+        rule="perceptron", parameters={"rate": STEP}, depends=("quality",))
     return [toxic, Learner("quality", F.col("quality"), lambda: F.col("features"), rule="perceptron", parameters={"rate": STEP}, rounds=2)]
 
 

@@ -104,7 +104,8 @@ def keys_of(features: Column) -> Column:
 def in_order(features: Column) -> Column:
     """Discrete features before real ones, arrays before scalars, then by package, identifier, place and value."""
     kind = lambda f: F.when(f["value"].isNull(), 2).otherwise(0) + F.when(f["at"].isNull(), 1).otherwise(0)
-    order = F.transform(features, lambda f: F.struct(kind(f).alias("k"), f["pkg"].alias("p"), f["id"].alias("i"), F.coalesce(f["at"], F.lit(-1)).alias("a"), F.coalesce(f["value"], F.lit("")).alias("v"), f["strength"].alias("s"), f.alias("f")))
+    order = F.transform(features, lambda f: F.struct(kind(f).alias("k"), f["pkg"].alias("p"), f["id"].alias("i"), F.coalesce(f["at"], F.lit(-1)).alias("a"), F.coalesce(f["value"],
+        F.lit("")).alias("v"), f["strength"].alias("s"), f.alias("f")))
     return F.transform(F.array_sort(order), lambda x: x["f"])
 
 
@@ -131,7 +132,8 @@ def holds_all(a: Column, b: Column) -> Column:
 def dot(a: Column, b: Column) -> Column:
     """Sum of products of the strengths of features with equal keys; repeated ones count each time."""
     def summed(features: Column) -> Column:
-        return F.aggregate(features, F.create_map().cast("map<string,double>"), lambda m, f: F.map_concat(F.map_filter(m, lambda k, v: k != key_of(f)), F.create_map(key_of(f), F.coalesce(F.element_at(m, key_of(f)), F.lit(0.0)) + f["strength"])))
+        return F.aggregate(features, F.create_map().cast("map<string,double>"), lambda m, f: F.map_concat(F.map_filter(m, lambda k, v: k != key_of(f)), F.create_map(key_of(f),
+            F.coalesce(F.element_at(m, key_of(f)), F.lit(0.0)) + f["strength"])))
 
     return F.aggregate(F.map_values(F.map_zip_with(summed(a), summed(b), lambda k, x, y: F.coalesce(x, F.lit(0.0)) * F.coalesce(y, F.lit(0.0)))), F.lit(0.0), lambda s, x: s + x)
 
@@ -238,7 +240,8 @@ def feature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(F.filter(F.split("text", " "), lambda w: w != "")).alias("w"))
     rows = rows.withColumn("p", F.coalesce(F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn")), F.array().cast("array<string>")))
     a, b = F.transform("w", lambda x: discrete("w", x)[0]), F.transform("p", lambda x: discrete("w", x)[0])
-    return rows.select("conv_id", "turn", F.size(common(a, b)).alias("n_common"), F.size(rest(a, b)).alias("n_rest"), holds_all(a, b).alias("holds_all"), equal_bags(a, F.reverse(a)).alias("same_bag"), F.size(union(a, b)).alias("n_union"))
+    return rows.select("conv_id", "turn", F.size(common(a, b)).alias("n_common"), F.size(rest(a, b)).alias("n_rest"), holds_all(a, b).alias("holds_all"), equal_bags(a,
+        F.reverse(a)).alias("same_bag"), F.size(union(a, b)).alias("n_union"))
 
 
 def feature_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,8 +283,10 @@ SQL = {
     "feature_order": "SELECT l_orderkey, l_linenumber, 'flag,state,both,both,amount,tax' AS ids FROM lineitem",
     "feature_sets": """WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split(text, ' '), lambda w: w <> '')) AS w FROM conversations),
         u AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY conv_id ORDER BY turn), []) AS p FROM t)
-        SELECT conv_id, turn, len(list_intersect(w, p)) AS n_common, len(list_filter(w, lambda x: NOT list_contains(p, x))) AS n_rest, len(list_filter(p, lambda x: NOT list_contains(w, x))) = 0 AS holds_all, true AS same_bag, len(w) + len(p) AS n_union FROM u""",
-    "feature_dot": f"""WITH {WORDS_SQL}, c AS (SELECT doc_id, form, count(*) AS n FROM words GROUP BY ALL), d AS (SELECT a.doc_id, sum(a.n * b.n) AS dot FROM c a JOIN c b ON b.doc_id = a.doc_id + 1 AND a.form = b.form GROUP BY 1)
+        SELECT conv_id, turn, len(list_intersect(w, p)) AS n_common, len(list_filter(w, lambda x: NOT list_contains(p, x))) AS n_rest, len(list_filter(p,
+            lambda x: NOT list_contains(w, x))) = 0 AS holds_all, true AS same_bag, len(w) + len(p) AS n_union FROM u""",
+    "feature_dot": f"""WITH {WORDS_SQL}, c AS (SELECT doc_id, form, count(*) AS n FROM words GROUP BY ALL), d AS (SELECT a.doc_id, sum(a.n * b.n) AS dot FROM c a
+            JOIN c b ON b.doc_id = a.doc_id + 1 AND a.form = b.form GROUP BY 1)
         SELECT doc_id, coalesce(dot, 0)::DOUBLE AS dot FROM (SELECT DISTINCT doc_id FROM c) LEFT JOIN d USING (doc_id)""",
     "muxed_features": f"""{_f("'amount'", strength="l_quantity", where=" WHERE l_returnflag = 'A'")} UNION ALL {_f("'tax'", strength="l_tax", where=" WHERE l_returnflag = 'R'")}""",
 }

@@ -30,7 +30,8 @@ class Classifier:
 
     def __and__(self, other: Classifier) -> Classifier:
         """Conjunction: all pairs of values; a classifier with itself skips equal pairs."""
-        both = lambda: F.flatten(F.transform(self.values(), lambda x: F.transform(other.values(), lambda y: F.when((x != y) if self == other else F.lit(True), F.concat_ws("&", x.cast("string"), y.cast("string"))))))
+        both = lambda: F.flatten(F.transform(self.values(), lambda x: F.transform(other.values(), lambda y: F.when((x != y) if self == other else F.lit(True), F.concat_ws("&",
+            x.cast("string"), y.cast("string"))))))
         return Classifier(f"{self.name}&{other.name}", lambda: F.filter(both(), lambda v: v.isNotNull()), max(self.kind, other.kind, "discrete[]", key=KINDS.index))
 
     def cast(self, kind: str) -> Classifier:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line, value of text files, which may be cut into splits: a line's number is its place in its split and the
     number of lines in the splits before it. A final line break adds no line."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_serial"), F.regexp_replace("value", "\r$", "").alias("value"))
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_serial"), F.regexp_replace("value", "\r$", "").alias("value"))
     inside = Window.partitionBy("path", "_block").orderBy("_serial")
     counts = rows.groupBy(F.col("path").alias("_path"), F.col("_block").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_path").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split

@@ -70,7 +70,8 @@ def _all(scores):
 
 @pytest.mark.parametrize(
     "rule",
-    [("is", "x", "a"), ("not", ("is", "x", "a")), ("implies", ("is", "x", "a"), ("is", "y", "b")), ("iff", ("is", "x", "a"), ("is", "y", "a")), ("atleast", 2, ("is", "x", "b"), ("is", "y", "b"), ("is", "x", "c")), ("atmost", 0, ("is", "x", "a"), ("is", "y", "a")), ("and",), ("or",), ("const", False)],
+    [("is", "x", "a"), ("not", ("is", "x", "a")), ("implies", ("is", "x", "a"), ("is", "y", "b")), ("iff", ("is", "x", "a"), ("is", "y", "a")), ("atleast", 2, ("is", "x", "b"),
+        ("is", "y", "b"), ("is", "x", "c")), ("atmost", 0, ("is", "x", "a"), ("is", "y", "a")), ("and",), ("or",), ("const", False)],
 )
 def test_solver_and_rows_equal_brute_force(rule):
     scores = {"x": {"a": 3.0, "b": 2.0, "c": 1.0}, "y": {"a": 1.0, "b": 0.5, "c": 2.5}}
@@ -389,7 +390,8 @@ def test_sinks(spark, tmp_path):
 
 
 def test_small_functions(spark):
-    row = spark.createDataFrame([("NNP", "a(b", "AT&amp;T &AMP; x")], "t string, f string, e string").select(tag_name(F.col("t")).alias("n"), bracketed(F.col("t"), F.col("f")).alias("b"), entities_cleaned(F.col("e")).alias("e")).first()
+    row = spark.createDataFrame([("NNP", "a(b", "AT&amp;T &AMP; x")], "t string, f string, e string").select(tag_name(F.col("t")).alias("n"), bracketed(F.col("t"),
+        F.col("f")).alias("b"), entities_cleaned(F.col("e")).alias("e")).first()
     assert (row.n, row.b, row.e) == ("Proper noun, singular", "(NNP a-LRB-b)", "AT&T & x")
     assert plain_tokens(spark.createDataFrame([("a",)], "form string")).columns == ["form", "type", "label"]
 
@@ -399,7 +401,8 @@ def test_feature_algebra(spark):
     rows = spark.createDataFrame([("x", 2.0, ["a", "b"], [3.0, 4.0])], "d string, r double, da array<string>, ra array<double>")
     d, r, da, ra = features.discrete("d", c("d"), ("w", "x")), features.real("r", c("r")), features.discrete_array("da", c("da")), features.real_array("ra", c("ra"))
     made = {name: rows.select(x.alias("f")).first().f for name, x in {
-        "dd": features.conjunction(d, d), "same": features.conjunction(d, d, same=True), "dr": features.conjunction(d, r), "rr": features.conjunction(r, r), "dada": features.conjunction(da, da), "rra": features.conjunction(r, ra),
+        "dd": features.conjunction(d, d), "same": features.conjunction(d, d, same=True), "dr": features.conjunction(d, r), "rr": features.conjunction(r, r),
+            "dada": features.conjunction(da, da), "rra": features.conjunction(r, ra),
         "order": features.in_order(features.union(r, ra, d, da)), "mux": features.muxed({"x": r, "y": d}, c("d")), "none": features.muxed({"y": d}, c("d")),
     }.items()}
     assert [(f.id, f.value, f.place, f.total) for f in made["dd"]] == [("d&d", "x&x", 3, 4)] and made["same"] == []
@@ -408,7 +411,9 @@ def test_feature_algebra(spark):
     assert [(f.strength, f["at"], f.length) for f in made["rra"]] == [(6.0, 0, 2), (8.0, 1, 2)]
     assert [f.id for f in made["order"]] == ["da", "da", "d", "ra", "ra", "r"]
     assert [f.id for f in made["mux"]] == ["r"] and made["none"] == []
-    row = rows.select(features.dot(features.union(r, ra, da), features.union(ra, r, r, d)).alias("dot"), features.equal_bags(features.union(r, d), features.union(d, r)).alias("same"), features.equal_bags(d, features.union(d, d)).alias("other"), features.place_of(F.lit("q"), ("w", "x")).alias("p"), features.holds_all(features.union(r, d), d).alias("all")).first()
+    row = rows.select(features.dot(features.union(r, ra, da), features.union(ra, r, r, d)).alias("dot"), features.equal_bags(features.union(r, d), features.union(d,
+        r)).alias("same"), features.equal_bags(d, features.union(d, d)).alias("other"), features.place_of(F.lit("q"), ("w", "x")).alias("p"), features.holds_all(features.union(r,
+        d), d).alias("all")).first()
     assert (row.dot, row.same, row.other, row.p, row["all"]) == (2 * 4 + 9 + 16, True, False, -1, True)
 
 
@@ -476,7 +481,8 @@ def test_query_equals_sql(spark, name):
     made = QUERIES[name](spark, base)
     names = sorted(made.columns)
     expected = con.sql(f"SELECT {', '.join(names)} FROM r").fetchall()
-    key = lambda rows: sorted(tuple("-" if v is None else f"{float(v):.4g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in map(lambda v: float(v) if type(v).__name__ == "Decimal" else v, r)) for r in rows)
+    key = lambda rows: sorted(tuple("-" if v is None else f"{float(v):.4g}" if isinstance(v, (int, float)) and not isinstance(v,
+        bool) else str(v) for v in map(lambda v: float(v) if type(v).__name__ == "Decimal" else v, r)) for r in rows)
     assert key(made.select(*names).collect()) == key(expected)
     assert math.isfinite(len(expected))
 

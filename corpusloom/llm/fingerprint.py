@@ -158,8 +158,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     are ignored.
     """
     pairs = edited_pairs(docs)
-    prints = pairs.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), order_minhash(F.col("text")).alias("own"), order_minhash(F.col("edited")).alias("changed"))
+    prints = pairs.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        order_minhash(F.col("text")).alias("own"), order_minhash(F.col("edited")).alias("changed"))
     prints = saved(prints, "fingerprints")
     by_id = prints.groupBy(F.col("doc_id").alias("_id")).agg(F.min("own").alias("following"))
     joined = prints.join(by_id, F.col("next_id").eqNullSafe(F.col("_id")))
-    return joined.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"))
+    return joined.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"))

@@ -70,7 +70,8 @@ class WordEncoder:
         self.end = array(self.kind, [end_id]).tobytes()
         steps = json.loads(self.tokenizer.to_str())
         split = (steps["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
-        self.by_word = (steps["normalizer"] or {}).get("normalizers") == _NORMAL and split[0].get("pattern") == {"Regex": _SPLIT} and len(split) == 2 and not split[1].get("add_prefix_space", True) and all(x["special"] and "<" in x["content"] for x in steps["added_tokens"])
+        self.by_word = (steps["normalizer"] or {}).get("normalizers") == _NORMAL and split[0].get("pattern") == {"Regex": _SPLIT} and len(split) == 2 and not split[1].get("add_prefix_space",
+            True) and all(x["special"] and "<" in x["content"] for x in steps["added_tokens"])
         self.bar = np.frombuffer(self._ids(["0"])[0], self.dtype)[0] if self.by_word else None
         self.newer: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}

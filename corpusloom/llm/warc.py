@@ -204,7 +204,8 @@ def read_archives(manifest: DataFrame, content: bool = False) -> DataFrame:
                 found = []
                 for line in map(json.loads, lines[i : i + 256]):
                     found.append(parse_record(package.file.read_at(line["length"], begin + line["offset"])))
-                columns = [pa.array([x.page_id for x in found], pa.int64()), pa.array([x.url for x in found], pa.string()), pa.array([x.payload_bytes for x in found], pa.int64()), pa.array([x.digest for x in found], pa.string()), pa.array([x.kind for x in found], pa.string()), pa.array([x.refers_to for x in found], pa.int64())]
+                columns = [pa.array([x.page_id for x in found], pa.int64()), pa.array([x.url for x in found], pa.string()), pa.array([x.payload_bytes for x in found], pa.int64()),
+                    pa.array([x.digest for x in found], pa.string()), pa.array([x.kind for x in found], pa.string()), pa.array([x.refers_to for x in found], pa.int64())]
                 columns += [pa.array([x.payload for x in found], pa.binary())] * content
                 yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: len(columns)])
 

@@ -13,7 +13,8 @@ import pytest
 from corpusloom.llm import decontaminate, fingerprint, language_model, near_dup, pieces, sharding, token_shards, toxicity, url_filter, warc
 
 P = pytest.importorskip("public_tokenizers")
-ODD = [(1, "One two three four five six"), (2, None), (3, ""), (4, "   \n "), (5, "a"), (6, "ONE two three four five six"), (6, "ONE two three four five six"), (7, "日本 éé ▁x \x01\n  y"), (None, "no id here at all ok"), (9, "w " * 30000)]
+ODD = [(1, "One two three four five six"), (2, None), (3, ""), (4, "   \n "), (5, "a"), (6, "ONE two three four five six"), (6, "ONE two three four five six"), (7,
+    "日本 éé ▁x \x01\n  y"), (None, "no id here at all ok"), (9, "w " * 30000)]
 
 
 def docs(spark, rows=ODD):
@@ -28,7 +29,8 @@ def empty(spark):
 def test_url_filter(spark, limit, monkeypatch):
     monkeypatch.setattr(url_filter, "HOT", 1)
     rules = [url_filter.Rule(*r) for r in (("net/", "block"), ("example.net/en/", "allow"), ("org/fr/", "allow"), ("*.shop.com/*/buy/", "block"), ("*/odd/end", "block"))]
-    urls = ["http://A.Example.net/en/x?q", "https://net", "http://x.net/", None, "no url", "http://notnet/", "http://a.shop.com/q/buy/1", "http://b.org/fr/#x", "http://b.org/fra", "http://b.org/fr/#x", "http://q/odd/end\r\n", "http://long.net/" + "a/" * 30000]
+    urls = ["http://A.Example.net/en/x?q", "https://net", "http://x.net/", None, "no url", "http://notnet/", "http://a.shop.com/q/buy/1", "http://b.org/fr/#x", "http://b.org/fra",
+        "http://b.org/fr/#x", "http://q/odd/end\r\n", "http://long.net/" + "a/" * 30000]
     rows = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, rule string")
     found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(rows, rules, max_bytes=limit).collect()}
     assert len(found) == len(urls)
@@ -132,7 +134,8 @@ def test_warc(spark):
     for key, url, html in rows:
         body = (html or "").encode()
         revisit = len(body) >= 100 and html == big and key != 1
-        expected.append((key, "".join(c if c >= " " else "%0A" for c in url or ""), len(body), hashlib.sha256(body).hexdigest(), "revisit" if revisit else "response", 1 if revisit else None, None if revisit else bytearray(body)))
+        expected.append((key, "".join(c if c >= " " else "%0A" for c in url or ""), len(body), hashlib.sha256(body).hexdigest(), "revisit" if revisit else "response",
+            1 if revisit else None, None if revisit else bytearray(body)))
     assert found == sorted(expected, key=str)
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 

@@ -374,6 +374,33 @@ def _segments_sql(name: str, least: int) -> str:
             FROM {name}_o) WHERE kind <> 'O' GROUP BY conv_id, turn, kind, k)"""
 
 
+def _f1_sql(gold: str, pred: str) -> str:
+    """B-cubed F1 of two lists of labels."""
+    n = f"len({gold})"
+    both = f"len(list_filter(range(1, {n} + 1), lambda y: {gold}[y] = {gold}[x] AND {pred}[y] = {pred}[x]))"
+    mean = lambda labels: f"list_sum(list_transform(range(1, {n} + 1), lambda x: {both} / len(list_filter(range(1, {n} + 1), lambda y: {labels}[y] = {labels}[x])))) / {n}"
+    return f"(2 * {mean(pred)} * {mean(gold)} / ({mean(pred)} + {mean(gold)}))"
+
+
+def merged_sql(source: str) -> str:
+    """Common tables of the singleton merge over rows (doc, idx, entity, pred, mtype), `after` (doc, idx, entity, mtype, pred) last."""
+    others = "list_filter(range(1, len(g) + 1), lambda j: g[j] = g[i] AND j <> i)"
+    return f"""lists AS (SELECT doc, list(entity ORDER BY idx) AS g, list(pred::BIGINT ORDER BY idx) AS p, list(mtype ORDER BY idx) AS m FROM {source} GROUP BY doc),
+        steps AS (SELECT doc, g, i, row_number() OVER (PARTITION BY doc ORDER BY i) AS s FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM lists) WHERE m[i] = 'error' AND len({others}) > 0 AND len(list_filter(p, lambda x: x = p[i])) = 1),
+        merge AS (
+            SELECT doc, 0::BIGINT AS s, p, 0::BIGINT AS merged, 0::BIGINT AS bad FROM lists
+            UNION ALL
+            SELECT doc, s + 1, CASE WHEN best.f > now + 1e-10 THEN list_concat(list_append(p[1:i - 1], -best.c), p[i + 1:]) ELSE p END, merged + CASE WHEN best.f > now + 1e-10 THEN 1 ELSE 0 END, bad + CASE WHEN best.f <= now + 1e-10 THEN 1 ELSE 0 END
+            FROM (SELECT *, CASE WHEN single THEN {_f1_sql("g", "p")} END AS now,
+                    CASE WHEN single THEN list_max(list_transform(tried, lambda t: {{'f': round({_f1_sql("g", "t.q")}, 11), 'c': -t.c}})) END AS best
+                FROM (SELECT *, list_transform(labels, lambda c: {{'c': c, 'q': list_concat(list_append(p[1:i - 1], c), p[i + 1:])}}) AS tried
+                    FROM (SELECT r.doc, r.s, r.p, r.merged, r.bad, t.g, t.i, len(list_filter(r.p, lambda x: x = r.p[t.i])) = 1 AS single,
+                            list_distinct(list_transform(list_filter(range(1, len(t.g) + 1), lambda j: t.g[j] = t.g[t.i] AND j <> t.i), lambda j: r.p[j])) AS labels
+                        FROM merge r JOIN steps t ON t.doc = r.doc AND t.s = r.s + 1)))),
+        merges AS (SELECT doc, p, merged, bad FROM merge QUALIFY s = max(s) OVER (PARTITION BY doc)),
+        after AS (SELECT x.doc, x.idx, x.entity, x.mtype, d.p[x.idx + 1] AS pred FROM {source} x JOIN merges d USING (doc))"""
+
+
 QUERIES = {f.__name__: f for f in (document_statistics, pronoun_company, pronoun_company_merged, best_link_merged, head_word_clusters, gold_alignment, score_lookup, weighted_total,
     typed_segment_prf, performance_table, mass_results, timing_statistics, entity_shuffle, sentence_shuffle, coherence_features, coherence_accuracy, b3_label, merge_candidates,
     merge_correlation, best_merge, coherence_pairs, threshold_sweep)}
@@ -433,6 +460,16 @@ SQL = {
     "merge_candidates": f"{_CANDIDATES} SELECT *, true AS by_none, size <= 2 AS by_size, gain >= 0 AS by_gain, score >= 9.9 AS by_score FROM cand",
     "merge_correlation": f"{_CANDIDATES} SELECT doc, round(corr(gain, score), 4) AS r, round(regr_slope(gain, score), 4) AS slope, round(regr_intercept(gain, score), 4) AS intercept FROM cand GROUP BY 1",
     "best_merge": f"{_CANDIDATES} SELECT doc, a, b, gain FROM cand QUALIFY row_number() OVER (PARTITION BY doc ORDER BY gain DESC, a, b) = 1",
+    "singleton_merge": f"""WITH RECURSIVE {MENTIONS_SQL}, {merged_sql("mentions")}, b AS ({_b3_sql("after")}) SELECT doc, merged, bad, f1 FROM merges JOIN b USING (doc)""",
+    "pronoun_company_merged": f"""WITH RECURSIVE {MENTIONS_SQL}, {merged_sql("mentions")},
+        c AS (SELECT mtype, count(*) OVER w AS size, count(*) FILTER (mtype <> 'error') OVER w AS others FROM after WINDOW w AS (PARTITION BY doc, pred))
+        SELECT 'merged' AS source, CASE WHEN size = 1 THEN 'alone' WHEN others = 0 THEN 'pronouns' ELSE 'others' END AS kind, count(*) AS count FROM c WHERE mtype = 'error' GROUP BY ALL""",
+    "best_link_merged": f"""WITH RECURSIVE {MENTIONS_SQL},
+        best AS (SELECT a.doc, a.idx, b.idx AS link FROM mentions a JOIN mentions b ON a.doc = b.doc AND b.idx < a.idx WHERE 10.0 - abs(a.v - b.v) > 0 AND (a.mtype = 'error' OR b.mtype <> 'error')
+            QUALIFY row_number() OVER (PARTITION BY a.doc, a.idx ORDER BY 10.0 - abs(a.v - b.v) DESC, b.idx) = 1),
+        roots AS (SELECT m.doc, m.idx, b.link FROM mentions m LEFT JOIN best b USING (doc, idx)),
+        chase AS (SELECT doc, idx, idx AS cluster FROM roots WHERE link IS NULL UNION ALL SELECT r.doc, r.idx, c.cluster FROM roots r JOIN chase c ON r.doc = c.doc AND r.link = c.idx),
+        linked AS (SELECT m.doc, m.idx, entity, mtype, cluster AS pred FROM mentions m JOIN chase USING (doc, idx)), {merged_sql("linked")} SELECT doc, idx, pred AS cluster FROM after""",
     "coherence_pairs": f"""{_CANDIDATES}, d AS (SELECT *, {_DRAW.format("concat_ws(':', doc, a, b)")} % 2 = 1 AS swapped FROM cand WHERE size <= 2) SELECT doc, a, b, swapped, CASE
             WHEN swapped THEN gain > 0 ELSE gain < 0 END AS label FROM d""",
     "threshold_sweep": f"""WITH RECURSIVE {MENTIONS_SQL}, near AS (SELECT t, a.doc, a.idx, max(b.idx) AS link FROM (SELECT unnest([{", ".join(f"{t}::DOUBLE" for t in THRESHOLDS)}]) AS t), mentions a JOIN mentions b ON a.doc = b.doc AND b.idx < a.idx WHERE 10.0 - abs(a.v - b.v) > t GROUP BY ALL),

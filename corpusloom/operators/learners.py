@@ -232,9 +232,10 @@ def sgd_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_vs_all(rows: DataFrame, label: str, rule: str = "perceptron", rounds: int = 1, parts: int | None = None, **given) -> DataFrame:
     """Weights of a network: a unit for each label, made when the label is first seen, so that it misses earlier examples.
 
-    Labels are dealt over `parts` tasks; each reads all examples once and trains the units of its labels.
+    Labels are dealt over `parts` tasks, as many as there are labels but at most the shuffle partitions; each reads all
+    examples once and trains the units of its labels.
     """
-    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.select(label).distinct().count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, units = None, {}

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import partitions, saved, trimmed
 
 FEWEST, CLASSES, HEAD = 95, 32, 150_000
-DIMENSION, ROUNDS, BATCH, NOISE, LEAST_STEPS = 16, 2, 8192, 32, 400
+DIMENSION, ROUNDS, BATCH, NOISE, LEAST_STEPS, RATE = 16, 2, 2048, 64, 400, 0.15
 _CHUNK = 1 << 20  # tokens that are put into random order at once
 SMOOTH = 0.1
 END = b"\n"  # no word holds white space
@@ -85,6 +85,25 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _most_frequent(counts: DataFrame, head: int) -> dict[bytes, int]:
+    """The `head` words of the highest counts, ties by the word, in that order.
+
+    How many words have each count says which counts are wholly inside; no task sorts more than the words of one count.
+    """
+    left, least, rest = head, 0, 0
+    for n, words_ in sorted(counts.groupBy("n").agg(F.count(F.lit(1))).collect(), reverse=True):
+        if words_ > left:
+            least, rest = n, left
+            break
+        left -= words_
+    found = counts.where(F.col("n") > least).toArrow()
+    pairs = list(zip(found["n"].to_pylist(), found["word"].to_pylist(), strict=True))
+    if rest:
+        found = counts.where(F.col("n") == least).orderBy("word").limit(rest).toArrow()
+        pairs += zip(found["n"].to_pylist(), found["word"].to_pylist(), strict=True)
+    return {word: n for n, word in sorted(pairs, key=lambda x: (-x[0], x[1]))}
+
+
 @dataclass
 class Model:
     """Symbols 0 to n - 1 are predicted; symbol n is the start, which stands twice before each text."""
@@ -125,12 +144,15 @@ def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount((rows[:, None] * d + np.arange(d)).ravel(), weights=values.ravel(), minlength=n * d).reshape(n, d).astype(np.float32)
 
 
+NAMES = ("r", "q", "b", "c1", "c2")
+
+
 class Trainer:
-    """Noise-contrastive steps from a model on; `met` counts the symbols seen before a token and as one."""
+    """Noise-contrastive steps from a model on; `before` and `at` count the symbols seen before a token and as one."""
 
-    def __init__(self, model: Model, unigram: np.ndarray, seed: int):
-        self.p = {k: v.copy() for k, v in zip("r q b c1 c2".split(), model.parts(), strict=True)}
-        self.squares = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
+    def __init__(self, model: Model, squares: list[np.ndarray], unigram: np.ndarray, seed: int):
+        self.p = {k: v.copy() for k, v in zip(NAMES, model.parts(), strict=True)}
+        self.squares = {k: v.copy() for k, v in zip(NAMES, squares, strict=True)}  # sums of squared gradients
         self.noise, self.random = np.cumsum(unigram), np.random.default_rng(seed)
         self.log_noise = np.log(NOISE * unigram).astype(np.float32)
         self.before, self.at = np.zeros(len(unigram) + 1), np.zeros(len(unigram))
@@ -151,48 +173,45 @@ class Trainer:
         gradient["r"] = _sums(np.concatenate([a, b]), np.concatenate([pushed @ p["c1"].T, pushed @ p["c2"].T]), n + 1)
         for k, g in gradient.items():
             g = (g / len(w)).astype(np.float32)
-            self.squares[k] = 0.98 * self.squares[k] + 0.02 * g * g
-            p[k] += np.float32(rate) * g / (np.sqrt(self.squares[k]) + np.float32(1e-5))
+            self.squares[k] += g * g
+            p[k] += np.float32(rate) * g / np.sqrt(self.squares[k])
         self.before += np.bincount(a, minlength=n + 1) + np.bincount(b, minlength=n + 1)
         self.at += np.bincount(w, minlength=n)
 
 
-def _train(coded: DataFrame, model: Model, unigram: np.ndarray, dtype: str, turn: int) -> Model:
-    """The average of what all tasks make of the model in one round; coded: `symbols`, a row for each training text."""
-    shared = coded.sparkSession.sparkContext.broadcast((model, unigram))
+def _train(coded: DataFrame, model: Model, squares: list[np.ndarray], unigram: np.ndarray, dtype: str, turn: int, last: bool) -> tuple[Model, list[np.ndarray]]:
+    """The average of what all tasks make of the model in one round; coded: `symbols`, a row for each training text.
+
+    A task holds the symbols of its input split, two bytes for each token; the rate falls over its steps, in the last round
+    to a tenth. Steps are adaptive by sums of squared gradients, which are averaged too and go on in the next round.
+    """
+    shared = coded.sparkSession.sparkContext.broadcast((model, squares, unigram))
     shapes = [x.shape for x in model.parts()]
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, unigram = shared.value
-        task = TaskContext.get().partitionId()
-        trainer = Trainer(model, unigram, 1000 * turn + task)
-        held, size, done = [], 0, 0
-        scale = 0.03 / (1 + 2 * turn)
-
-        def go(texts: list[np.ndarray], least: int) -> int:
-            a, b, w = in_context(texts, len(unigram))
-            if not len(w):
-                return 0
-            steps, order = 0, []
-            while steps < max(least, -(-len(w) // BATCH)):
-                if len(order) < min(BATCH, len(w)):
-                    order = trainer.random.permutation(len(w))
-                pick, order = order[:BATCH], order[BATCH:]
-                trainer.step(a[pick], b[pick], w[pick], scale * (0.1 + 0.9 / (1 + (done + steps) / 200)))
-                steps += 1
-            return steps
-
-        for batch in batches:
-            for x in batch.column(0):
-                held.append(np.frombuffer(x.as_buffer(), dtype))
-                size += len(held[-1])
-                if size >= _CHUNK:
-                    done += go(held, 0)
-                    held, size = [], 0
-        done += go(held, LEAST_STEPS - done)
-        if done:
-            weights = [trainer.before + 1e-3, trainer.at + 1e-3, trainer.at + 1e-3, trainer.at.sum(), trainer.at.sum()]
-            yield sent([trainer.p[k] for k in "r q b c1 c2".split()], weights)
+        model, squares, unigram = shared.value
+        trainer = Trainer(model, squares, unigram, 100_003 * turn + TaskContext.get().partitionId())
+        texts = [np.frombuffer(x.as_buffer(), dtype) for batch in batches for x in batch.column(0)]
+        total = sum(map(len, texts))
+        if not total:
+            return
+        steps, done, begin, whole = max(LEAST_STEPS, -(-total // BATCH)), 0, 0, False
+        while not whole or done < steps:
+            own, size = [], 0
+            while begin < len(texts) and (not own or size < _CHUNK):
+                own.append(texts[begin])
+                size += len(texts[begin])
+                begin += 1
+            if begin == len(texts):
+                begin, whole = 0, True
+            a, b, w = in_context(own, len(unigram))
+            order = trainer.random.permutation(len(w))
+            for i in range(0, len(w), BATCH):
+                pick = order[i : i + BATCH]
+                trainer.step(a[pick], b[pick], w[pick], RATE * (1 - (0.9 if last else 0.5) * min(1.0, done / steps)))
+                done += 1
+        weights = [trainer.before + 1e-3, trainer.at + 1e-3, trainer.at + 1e-3, trainer.at.sum(), trainer.at.sum()]
+        yield sent([*(trainer.p[k] for k in NAMES), *(trainer.squares[k] for k in NAMES)], weights * 2)
         trimmed()
 
     def sent(parts: list[np.ndarray], weights: list) -> pa.RecordBatch:
@@ -210,22 +229,23 @@ def _train(coded: DataFrame, model: Model, unigram: np.ndarray, dtype: str, turn
 
     schema = "sums binary, weights binary"
     found = coded.mapInArrow(learn, schema).repartition(16).mapInArrow(add, schema).toArrow()
-    sums, weights = (sum((np.frombuffer(x.as_buffer(), np.float64) for x in found[c]), np.zeros(1)) for c in ("sums", "weights"))
     if not len(found):
-        return model
+        return model, squares
+    sums, weights = (sum(np.frombuffer(x.as_buffer(), np.float64) for x in found[c]) for c in ("sums", "weights"))
     out, at, by = [], 0, 0
-    for shape, wide in zip(shapes, (shapes[0][0], shapes[1][0], shapes[2][0], 1, 1), strict=True):
+    for shape, wide in zip(shapes * 2, (shapes[0][0], shapes[1][0], shapes[2][0], 1, 1) * 2, strict=True):
         n = int(np.prod(shape))
         out.append((sums[at : at + n].reshape(shape).T / weights[by : by + wide]).T.astype(np.float32))
         at, by = at + n, by + wide
-    return Model(*out)
+    return Model(*out[:5]), out[5:]
 
 
 def fit(coded: DataFrame, unigram: np.ndarray, dtype: str = "<u2", rounds: int = ROUNDS, dimension: int = DIMENSION) -> Model:
     """The model of all training texts; coded: `symbols` binary, the symbols of a text, the end last."""
     model = Model.fresh(unigram, dimension)
+    squares = [np.full_like(x, 1e-9) for x in model.parts()]
     for turn in range(rounds):
-        model = _train(coded, model, unigram, dtype, turn)
+        model, squares = _train(coded, model, squares, unigram, dtype, turn, turn == rounds - 1)
     return model
 
 
@@ -256,8 +276,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", he
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
     counts = saved(_counted(rows), "counts")
-    common = counts.orderBy(F.col("n").desc(), F.col("word").asc()).limit(head).toArrow()
-    common = dict(zip(common["word"].to_pylist(), common["n"].to_pylist(), strict=True))
+    common = _most_frequent(counts, head)
     ends = counts.where(F.col("word") == F.lit(END)).select("n").first()
     common = {END: ends[0] if ends else 0} | {w: n for w, n in common.items() if w != END}
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -304,7 +323,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", he
                         rare.update(missed)
                         symbols[spots] = [first_class + class_of(w, classes) for w in missed]
                         found = found[found >= 0]
-                    made.append((serial, doc_id, held_out(doc_id), n, n - len(spots) - (not any_end), float(base_of[found].sum()), float(inner_of[found].sum()), list(rare), list(rare.values()), symbols.astype(dtype).tobytes()))
+                    made.append((serial, doc_id, held_out(doc_id), n, n - len(spots) - (not any_end), float(base_of[found].sum()), float(inner_of[found].sum()), list(rare),
+                        list(rare.values()), symbols.astype(dtype).tobytes()))
                     serial += 1
                 columns = list(zip(*made, strict=True))
                 types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
@@ -330,7 +350,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", he
                 yield pa.RecordBatch.from_arrays([*own.columns[:6], pa.array(sums + own.column(7).to_numpy())], names=["serial", "doc_id", "held_out", "n_tokens", "known", "base", "own"])
         trimmed()
 
-    scored = coded.select("serial", "doc_id", "held_out", "n_tokens", "known", "base", "symbols", "inner").mapInArrow(judge, "serial long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double")
+    scored = coded.select("serial", "doc_id", "held_out", "n_tokens", "known", "base", "symbols", "inner").mapInArrow(judge,
+        "serial long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double")
     rare = coded.select("serial", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("serial", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     met = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     size_of = F.get(F.lit([float(x) for x in sizes]), in_class)
@@ -341,4 +362,5 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", he
     )
     out = scored.join(more, F.col("serial") == F.col("_serial"), "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return out.select("doc_id", "held_out", "n_tokens", plus("known", "known_more").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), plus("base", "base_more").alias("base_score"), plus("own", "own_more").alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", plus("known", "known_more").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), plus("base",
+        "base_more").alias("base_score"), plus("own", "own_more").alias("score"))

@@ -109,7 +109,8 @@ def bounded(ids: DataFrame) -> DataFrame:
 
 def _stars(links: DataFrame) -> bool:
     """Whether every node is either the centre of a star or linked to one centre."""
-    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"),
+        F.lit(1).alias("down")))).alias("e")).select("e.*")
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()
 
 
@@ -184,7 +185,8 @@ def _profiles(sets: DataFrame) -> DataFrame:
             for batch in batches:
                 found = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
                 inside = [np.isin(x, known.value) for x in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(i.sum()) for i in inside], pa.int64()), pa.array([x[~i] for x, i in zip(found, inside, strict=True)], pa.list_(pa.int64()))], names=["_id", "common", "rare"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(i.sum()) for i in inside], pa.int64()), pa.array([x[~i] for x, i in zip(found, inside,
+                    strict=True)], pa.list_(pa.int64()))], names=["_id", "common", "rare"])
 
         return sets.select("id", "elements").mapInArrow(split, "_id long, common long, rare array<long>")
 
@@ -217,6 +219,52 @@ def _starred(placed: DataFrame, fits, centres: int) -> DataFrame:
     return met.groupBy("b").agg(F.min(F.struct((-F.col("times")).alias("t"), "a")).alias("x")).select("x.a", "b")
 
 
+def _crossing(placed: DataFrame, sets: DataFrame, fits) -> DataFrame:
+    """Pairs (a, b) of two components that may reach the similarity; `held` is a bucket's size.
+
+    In buckets of up to CROWD members, all pairs of the bucket. In larger ones a pair either shares a rare element, and is
+    found by it (an element of COMMON sets or more isn't rare, so none makes many pairs), or overlaps in common elements
+    alone; then both sets consist of them to PERCENT at least, and only such members of a bucket are paired.
+    """
+    few, many = placed.where(F.col("held") <= CROWD).drop("held"), placed.where(F.col("held") > CROWD).drop("held")
+    differ = F.col("comp") < F.col("other")
+
+    def renamed(rows: DataFrame) -> DataFrame:
+        return rows.withColumnsRenamed({"id": "a", "n": "m", "comp": "other", "common": "common_a", "rare": "rare_a"})
+
+    pairs = few.join(renamed(few), "bucket").where(differ & fits).select("a", F.col("id").alias("b"))
+    if many.isEmpty():
+        return pairs
+    profiles = saved(_profiles(sets.join(many.select("id").distinct(), "id", "left_semi")), "profiles")
+    many = many.join(profiles, F.col("id") == F.col("_id")).drop("_id")
+    enough = "7 * (least(common, common_a) + {}) >= 3 * (n + m)"  # the overlap of two sets of similarity 3/4, at most
+    each = many.dropDuplicates(["id"]).select("id", "n", "comp", "common", F.explode("rare").alias("element"))
+    by_rare = each.join(renamed(each), "element").where(differ & fits).groupBy("a", F.col("id").alias("b"), "n", "m", "common", "common_a").agg(F.count(F.lit(1)).alias("shared"))
+    by_rare = by_rare.where(F.expr(enough.format("shared"))).select("a", "b")
+    plain = many.where(100 * F.col("common") >= PERCENT * F.col("n"))
+    bound = F.expr(f"CASE WHEN {enough.format('least(size(rare), size(rare_a))')} THEN {enough.format('size(array_intersect(rare, rare_a))')} ELSE false END")
+    by_common = plain.join(renamed(plain), "bucket").where(differ & fits & bound).select("a", F.col("id").alias("b"))
+    return pairs.union(by_rare).union(by_common)
+
+
+def _starred(placed: DataFrame, fits, centres: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's centre and a member of another component.
+
+    With one centre, the smallest id, only the centre that b meets in most buckets; with more, the first by hash in each
+    of so many parts of the bucket, and all that b meets.
+    """
+    one = F.struct((F.col("id") if centres == 1 else F.xxhash64("id", F.lit(1))).alias("o"), "id", "n", "comp")
+    part = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(centres))
+    firsts = [F.min(F.when(part == i, one)).alias(f"c{i}") for i in range(centres)]
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), *firsts).where("_low < _high")
+    mixed = mixed.select("bucket", F.explode(F.array_compact(F.array(*[f"c{i}" for i in range(centres)]))).alias("c"))
+    mixed = mixed.select("bucket", F.col("c.id").alias("a"), F.col("c.n").alias("m"), F.col("c.comp").alias("other"))
+    met = placed.join(mixed, "bucket").where((F.col("comp") != F.col("other")) & fits).groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    if centres > 1:
+        return met.select("a", "b")
+    return met.groupBy("b").agg(F.min(F.struct((-F.col("times")).alias("t"), "a")).alias("x")).select("x.a", "b")
+
+
 def _crossing(placed: DataFrame, sets: DataFrame, fits) -> DataFrame:
     """Pairs (a, b) of one bucket and two components that may reach the similarity; `held` is a bucket's size."""
     few, many = placed.where(F.col("held") <= CROWD).drop("held"), placed.where(F.col("held") > CROWD).drop("held")

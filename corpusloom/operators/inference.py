@@ -1,8 +1,8 @@
 """Constrained inference as a user declares and calls it: learners' scores, normalisers, constraints, exact 0-1 programs.
 
 An Inference names the head column, a normaliser for each learner and a constraint, a function of a head's variables that
-returns a tree (see constraints.py). Calling it on a table of scores groups by head, so that each head's problem is one
-row group of bounded size and heads are solved in parallel; no cache of live problems is needed.
+returns a tree (see constraints.py). Calling it on a table of scores deals them by head, so that each head's problem
+is read as one run of rows and heads are solved in parallel; no cache of live problems is needed.
 
 Trees may also hold ("same", var, var) and ("equal", value, value); `for_all`, `exists`, `at_least` and `at_most` expand a
 quantifier over a collection, and a constraint that calls another is a function call.
@@ -15,7 +15,7 @@ import itertools
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -383,29 +383,47 @@ class Inference:
         and `optimal` is false.
         """
         own = Window.partitionBy(self.head, "learner", "object")
-        rows = scores.dropDuplicates([self.head, "learner", "object", "value"])
+        n = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = scores.repartition(n, self.head).dropDuplicates([self.head, "learner", "object", "value"])  # the one shuffle
         names = [x for x in self.normalisers if x != "*"]
         value = NORMALISERS[self.normalisers.get("*", "identity")](F.col("score"), own)
         for name in names:
             value = F.when(F.col("learner") == name, NORMALISERS[self.normalisers[name]](F.col("score"), own)).otherwise(value)
-        rows = rows.select(self.head, "learner", "object", "value", value.alias("score"))
+        rows = rows.select(self.head, "learner", "object", "value", value.cast("double").alias("score"))
         head, constraint, naive, solver = self.head, self.constraint, self.naive, self.solver
 
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(["learner", "object", "value"])
-            held: dict = {}
-            for learner, obj, value, score in zip(group["learner"], group["object"], group["value"], group["score"], strict=True):
-                held.setdefault((learner, obj), {})[value] = float(score)
+        def solved(key, held: dict) -> list[tuple]:
             tree = propositional(constraint(held), held)
-            key = group[head].iloc[0]
             try:
                 found = solver(held, tree) if solver else assign(held, tree, naive)
             except NotOptimal:
-                return pd.DataFrame([(key, a, b, None, None, False) for a, b in held], columns=[head, "learner", "object", "value", "score", "optimal"])
-            return pd.DataFrame([(key, a, b, v, held[a, b][v], True) for (a, b), v in found.items()], columns=[head, "learner", "object", "value", "score", "optimal"])
-
-        kind = dict(scores.dtypes)[head]
-        return rows.groupBy(head).applyInPandas(run, f"{head} {kind}, learner string, object string, value string, score double, optimal boolean")
+                return [(key, a, b, None, None, False) for a, b in held]
+            return [(key, a, b, v, held[a, b][v], True) for (a, b), v in found.items()]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """One head after another of a sorted partition; no more than a head's scores and a batch's answers are held."""
+            key, held, made, kind = None, {}, [], None
+
+            def sent() -> pa.RecordBatch:
+                types = [kind, pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_()]
+                columns = zip(*made, strict=True) if made else [()] * 6
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[head, "learner", "object", "value", "score", "optimal"])
+
+            for batch in batches:
+                kind, made = batch.schema.field(0).type, []
+                for now, learner, obj, value, score in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if held and now != key:
+                        made += solved(key, held)
+                        held = {}
+                    key = now
+                    held.setdefault((learner, obj), {})[value] = score
+                yield sent()
+            if held:
+                made = solved(key, held)
+                yield sent()
+
+        ordered = rows.sortWithinPartitions(self.head, "learner", "object", "value")
+        return ordered.mapInArrow(run, f"{head} {dict(scores.dtypes)[head]}, learner string, object string, value string, score double, optimal boolean")
 
 
 _WORDS = {"de": " der ", "en": " the ", "es": " que ", "fr": " les "}

@@ -10,7 +10,7 @@ from corpusloom.functions.split import bracketed, ends_sentence, entities_cleane
 from corpusloom.operators.constraints import best_links, linearize, solve, truth
 from corpusloom.operators import training
 from corpusloom.operators.coref import every_merge, merge_search, merge_singletons, pairs, small_merges
-from corpusloom.operators.inference import NotOptimal, Program, assign, cnf, dnf, factored, k_best, negated, propositional, rerank, simplified
+from corpusloom.operators.inference import Inference, NotOptimal, Program, assign, cnf, dnf, factored, k_best, negated, propositional, rerank, simplified
 from corpusloom.operators.learners import LinearUnit, default_learner, mux_scores, one_vs_all, predict, score_rows, t_quantile, train_groups, train_sequence
 from corpusloom.plans import features
 from corpusloom.plans.registry import ORACLE_SQL, QUERIES
@@ -223,6 +223,18 @@ def test_equal_variables_and_values():
     assert simplified(propositional(("is", "x", "q"), domains)) == ("const", False)
 
 
+def test_inference_over_a_table(spark):
+    rows = [(h, "L", o, v, float(s)) for h in (1, 2, 3) for o, v, s in (("x", "a", h), ("x", "b", 2), ("y", "a", 1), ("y", "b", 2))] + [(3, "L", "x", "a", 3.0)]
+    scores = spark.createDataFrame(rows, "h int, learner string, object string, value string, score double")
+    same = lambda held: ("same", ("L", "x"), ("L", "y"))
+    found = {(r.h, r.object): (r.value, r.optimal) for r in Inference("h", same)(scores).collect()}
+    assert found == {(h, o): ("b", True) for h in (1, 2) for o in "xy"} | {(3, o): ("a", True) for o in "xy"} or found[3, "x"][0] == found[3, "y"][0]
+    none = Inference("h", lambda held: ("const", False))(scores).collect()
+    assert len(none) == 6 and not any(r.optimal for r in none) and {r.value for r in none} == {None}
+    first = Inference("h", same, solver=lambda held, tree: {v: min(own) for v, own in held.items()})(scores).collect()
+    assert {r.value for r in first} == {"a"} and Inference("h", same)(scores.limit(0)).count() == 0
+
+
 def test_program_contract():
     program = Program(maximize=False)
     own = program.add_discrete([3.0, 1.0, 2.0])

@@ -247,42 +247,6 @@ def _crossing(placed: DataFrame, sets: DataFrame, fits) -> DataFrame:
     return pairs.union(by_rare).union(by_common)
 
 
-def _starred(placed: DataFrame, fits, centres: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's centre and a member of another component.
-
-    With one centre, the smallest id, only the centre that b meets in most buckets; with more, the first by hash in each
-    of so many parts of the bucket, and all that b meets.
-    """
-    one = F.struct((F.col("id") if centres == 1 else F.xxhash64("id", F.lit(1))).alias("o"), "id", "n", "comp")
-    part = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(centres))
-    firsts = [F.min(F.when(part == i, one)).alias(f"c{i}") for i in range(centres)]
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), *firsts).where("_low < _high")
-    mixed = mixed.select("bucket", F.explode(F.array_compact(F.array(*[f"c{i}" for i in range(centres)]))).alias("c"))
-    mixed = mixed.select("bucket", F.col("c.id").alias("a"), F.col("c.n").alias("m"), F.col("c.comp").alias("other"))
-    met = placed.join(mixed, "bucket").where((F.col("comp") != F.col("other")) & fits).groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("times"))
-    if centres > 1:
-        return met.select("a", "b")
-    return met.groupBy("b").agg(F.min(F.struct((-F.col("times")).alias("t"), "a")).alias("x")).select("x.a", "b")
-
-
-def _crossing(placed: DataFrame, sets: DataFrame, fits) -> DataFrame:
-    """Pairs (a, b) of one bucket and two components that may reach the similarity; `held` is a bucket's size."""
-    few, many = placed.where(F.col("held") <= CROWD).drop("held"), placed.where(F.col("held") > CROWD).drop("held")
-    differ = F.col("comp") < F.col("other")
-
-    def renamed(rows: DataFrame) -> DataFrame:
-        return rows.withColumnsRenamed({"id": "a", "n": "m", "comp": "other", "common": "common_a", "rare": "rare_a"})
-
-    pairs = few.join(renamed(few), "bucket").where(differ & fits).select("a", F.col("id").alias("b"))
-    if many.isEmpty():
-        return pairs
-    profiles = saved(_profiles(sets.join(many.select("id").distinct(), "id", "left_semi")), "profiles")
-    many = many.join(profiles, F.col("id") == F.col("_id")).drop("_id")
-    bound = F.expr("""CASE WHEN 7 * (least(common, common_a) + least(size(rare), size(rare_a))) < 3 * (n + m) THEN false
-                      ELSE 7 * (least(common, common_a) + size(array_intersect(rare, rare_a))) >= 3 * (n + m) END""")
-    return pairs.union(many.join(renamed(many), "bucket").where(differ & fits & bound).select("a", F.col("id").alias("b")))
-
-
 def _placed(members: DataFrame, merged: DataFrame | None) -> DataFrame:
     """members with the component of each, the id itself where nothing was linked."""
     if merged is None:

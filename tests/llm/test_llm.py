@@ -269,6 +269,36 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_dup.near_duplicates(empty(spark)).count() == 0 and near_dup.near_duplicates(docs(spark)).count() == len(ODD)
 
 
+def test_crowded_buckets_do_not_make_all_pairs(spark, monkeypatch):
+    """Documents of 64 shared and 36 own words fill buckets but link with none: what is paired must not grow with the square."""
+    made, plain = [], near_dup._crossing
+
+    def counted(*args):
+        pairs = plain(*args).persist()
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_dup, "_crossing", counted)
+    shared = " ".join(f"s{i}" for i in range(64))
+    for n in (250, 500):
+        rows = [(i, shared + "".join(f" o{i}x{j}" for j in range(36))) for i in range(n)] + [(n, shared + " end"), (n + 1, shared + " End now")]
+        found = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(spark, rows)).collect()}
+        assert found == {i: min(i, n) for i in range(n + 2)}
+    assert made[1] <= 2.5 * made[0] + 50
+    assert made[1] < 500 * 499 // 2 // 10
+
+
+def test_no_name_is_defined_twice():
+    """A second definition of a function silently replaces the first."""
+    import ast
+    from pathlib import Path
+
+    for path in Path(near_dup.__file__).parents[1].rglob("*.py"):
+        for block in [x for x in ast.walk(ast.parse(path.read_text())) if isinstance(x, ast.Module | ast.ClassDef)]:
+            names = [x.name for x in block.body if isinstance(x, ast.FunctionDef | ast.ClassDef)]
+            assert len(names) == len(set(names)), path
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(0)
     for n in (1, 3, 40, 2000):

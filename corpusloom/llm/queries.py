@@ -75,7 +75,26 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_ALL = (op1_url_filter, op2_token_shards, op3_warc, op4_decontaminate, op5_near_dup, op6_sentencepiece, op7_sharding, op8_language_model, op9_toxicity, op10_fingerprints)
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.html_text import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.filter_audit import audit_filters
+
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_ALL = (op1_url_filter, op2_token_shards, op3_warc, op4_decontaminate, op5_near_dup, op6_sentencepiece, op7_sharding, op8_language_model, op9_toxicity, op10_fingerprints,
+    op11_html_text, op12_whitening, op13_filter_audit)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {
@@ -120,4 +139,41 @@ ORACLE_SQL: dict[str, str] = {
         ), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
         SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)
     """,
+    "op11_html_text": r"""
+        WITH cut AS (
+            SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(p|h1)>') AS parts FROM pages
+        ), plain AS (
+            SELECT page_id, url, list_transform(parts, lambda b: regexp_replace(replace(b, '<br>', ' '), '<[^>]*>', '', 'g')) AS parts FROM cut
+        ), decoded AS (
+            SELECT page_id, url, list_transform(parts, lambda b: regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g')) AS parts FROM plain
+        ), spaced AS (
+            SELECT page_id, url, list_filter(list_transform(parts, lambda b: trim(regexp_replace(b, '[\x09-\x0D\x20]+', ' ', 'g'))), lambda b: b <> '') AS parts FROM decoded
+        )
+        SELECT page_id, url, array_to_string(parts, chr(10)) AS text, length(array_to_string(parts, chr(10))) AS n_chars FROM spaced
+    """,
+    "op13_filter_audit": r"""
+        WITH body AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents
+        ), marks AS (
+            SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1
+        ), flags AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                   CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END ||
+                   CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END ||
+                   CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+            FROM body LEFT JOIN marks USING (doc_id)
+        ), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ), steps AS (SELECT filter_order, s::INT AS step, filter_order[s] AS own, filter_order[1:s - 1] AS before FROM orders, range(1, 6) r(s)), replayed AS (
+            SELECT part, filter_order, step, own, good, toxic, fails, contains(fails, own) AS bad, len(translate(fails, before, '')) < len(fails) AS gone FROM flags, steps
+        ), counts AS (
+            SELECT part, filter_order, step, own, count(*) FILTER (NOT bad AND NOT gone) AS kept, count(*) FILTER (bad AND NOT gone) AS removed, count(*) FILTER (bad AND gone) AS redundant,
+                   count(*) FILTER (fails = own) AS unique_fails, count(*) FILTER (bad AND NOT gone AND good = 1) AS good_lost,
+                   count(*) FILTER (bad AND NOT gone AND toxic = 1) AS toxic_lost FROM replayed GROUP BY ALL
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counts
+    """,
 }

@@ -690,3 +690,133 @@ def test_repeated_keys_are_dealt_over_shards(spark):
     found = token_shards.read_token_shards(manifest).orderBy("start").collect()
     assert [r.doc_id for r in found] == sorted(k for k, _ in rows) and len({r.ids_crc32 for r in found if r.doc_id == 7}) == 2
     assert manifest.where("low <= 7 AND high >= 7").count() > 1 and token_shards.lookup(manifest, 7) is not None
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><nav><a href=/>Home</a></nav>Site</header>
+<div class="cookie-notice">We use cookies <button>OK</button></div><main><h1>Head &amp line</h1><article class="post"><header class="entry-header"><p class="byline">By X</p></header>
+<p title="a > b">First para <a href="q">with link</a> and
+ more<br>text.<p>Second <b>bold</b><i>glued</i> &lt;tag&gt; &#233;&nbsp;z<ul><li>one<li>two</ul><div class="adSlot">Buy</div><aside>side</aside>
+<form>Name <input><label>q</label></form><span class="ad">inline ad</span> tail <!-- c <p> --><script>if (a<b) "</p>"</script>a < b<footer>tags</footer></article>
+<section id="comments"><article class="comment"><p>A long comment about this article and its many words and so on and on.</p></article></section></main>
+<div class="sidebar">Many words here in this sidebar to read, but they are no main text at all</div><div>a plain block of text that stands outside of the article</div><footer>&copy; 2020</footer>"""
+
+
+def test_main_text(spark):
+    from corpusloom.llm import html_text
+
+    plain = "<body><div><a>Home</a> | <a>News</a></div><h1>A story</h1><p>The council met on Monday to talk about the new bridge, which is late.</p><p>Nobody came.</p><p>The next meeting will be held in a month, it said.</p><div><a>Next story</a></div>"
+    article = ["Head & line", "By X", "First para with link and more text.", "Second boldglued <tag> é z", "one", "two", "tail a < b"]
+    long = "<article>" + "".join(f"<p>w{i}" for i in range(50000)) + "</article>"
+    tags = "<div>" * 30000 + "deep " * 30 + "</div>" * 30000
+    cases = {PAGE: article, plain: ["A story", "The council met on Monday to talk about the new bridge, which is late.", "Nobody came.", "The next meeting will be held in a month, it said."],
+        None: [], "": [], "<!-- never closed": [], "<script>x": [], "<p>": [], long: [f"w{i}" for i in range(50000)], tags: [" ".join(["deep"] * 30)], "</p></div><article>&am</article>": ["&am"],
+        "<div id=content><p>a</p><div class='share-links'>b</div></div>c": ["a"], "<article><p>x<p hidden>y</p><div style='display: none'>z</div></article>": ["x"]}
+    rows = [(i, f"http://{i}", s, "old", 1) for i, s in enumerate(cases)] + [(None, None, PAGE, "old", 1), (0, "http://0", PAGE, "old", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, words int")
+    found = html_text.extract_pages(pages).collect()
+    assert len(found) == len(rows)
+    expected = {(r[0], r[1], "\n".join(cases[r[2]])) for r in rows}
+    assert {(r.page_id, r.url, r.text) for r in found} == expected and all(r.n_chars == len(r.text) for r in found)
+    assert html_text.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_tree_follows_its_table():
+    from corpusloom.llm import html_text
+
+    tree, rng = html_text.grown(), np.random.default_rng(5)
+    for page in html_text.LABELLED:
+        own = np.array(page, dtype=float)
+        assert ((tree.predict(html_text.featured(own[:, :5])) >= 0.5) == (own[:, 5] == 1)).mean() >= 0.75
+    x = np.column_stack([c for _ in range(3) for c in (rng.integers(0, 400, 2000), rng.random(2000))] + [rng.integers(-1, 2, 2000), rng.integers(0, 2, 2000), rng.integers(0, 2, 2000)])
+    kept = tree.predict(x) >= 0.5
+    for (scope, named), label in html_text.ANYWHERE.items():
+        assert (kept[(x[:, 6] == scope) & (x[:, 7] == named)] == (label == 1)).all()
+    grown = html_text.Tree(x[:200, :6], (x[:200, 2] > 50) ^ (x[:200, 3] > 0.5), depth=30)
+    assert ((grown.predict(x[:200, :6]) >= 0.5) == ((x[:200, 2] > 50) ^ (x[:200, 3] > 0.5))).all()
+
+
+def test_whitening_against_an_eigendecomposition(spark):
+    from corpusloom.llm import whitening
+
+    rng = np.random.default_rng(2)
+    base = (rng.normal(size=(700, 20)) @ rng.normal(size=(20, 20)) + 30).astype(np.float32)
+    rows = [(i, v.tolist(), 1, "x") for i, v in enumerate(np.vstack([base, np.repeat(base[:1], 300, axis=0)]))] + [(2000, None, 1, "x"), (2001, [], 1, "x"), (2002, [float("nan")] * 20, 1, "x"), (2003,
+        [None] + [1.0] * 19, 1, "x"), (2004, [float("-inf")] * 20, 1, "x"), (None, base[3].tolist(), 1, "x"), (2005, [1.0, 2.0], 1, "x"), (2006, [2.0, 5.0], 1, "x"), (2007, [3.0], 1, "x")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, n int, component string").repartition(13)
+    found = whitening.whiten(table).toPandas()
+    x = np.floor(64 * np.vstack([base, np.repeat(base[:1], 300, axis=0)]).astype(float)).astype(int) + 1000000
+    fit = np.unique(x, axis=0)
+    n, sums = len(fit), fit.sum(axis=0)
+    centred = (fit * n - sums) / n
+    e, v = np.linalg.eigh(centred.T @ centred / n)
+    e, v = e[::-1], v[:, ::-1]
+    expected = ((x * n - sums) / n) @ v[:, :16] / np.sqrt(e[:16])
+    own = found[found.vec_id < 1000].sort_values(["vec_id", "component"], kind="stable")
+    got = own.whitened.to_numpy().reshape(1000, 16)
+    sign = np.sign((got * expected).sum(axis=0))
+    assert np.abs(got - expected * sign).max() < 1e-8
+    assert (own.n == n).all() and own.explained.to_numpy()[:16] == pytest.approx(e[:16] / e.sum(), rel=1e-9) and own.identity_error.max() < 1e-9
+    assert own.deviation.tolist() == np.repeat(((x * n - sums) ** 2).sum(axis=1), 16).tolist() and [int(d) for d in own.deviation_wide] == own.deviation.tolist()
+    assert found.vec_id.isna().sum() == 16 and not set(found.vec_id) & set(range(2000, 2005))
+    two = found[found.vec_id.isin([2005, 2006])].sort_values(["vec_id", "component"])
+    assert two.whitened.abs().tolist()[::2] == pytest.approx([1, 1]) and two.whitened.isna().tolist() == [False, True] * 2 and two.explained.tolist() == pytest.approx([1, 0] * 2)
+    one = found[found.vec_id == 2007].iloc[0]
+    assert np.isnan(one.whitened) and np.isnan(one.explained) and one.deviation == 0
+    assert whitening.whiten(table.limit(0)).count() == 0
+
+
+def test_merging_loses_nothing():
+    from corpusloom.llm import whitening
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(-50, 50, (400, 7)) + rng.integers(0, 10**9, 7)
+    parts = [whitening.summary(p) for p in (x[:1], x[1:4], x[4:300], x[300:])]
+    state = parts[0]
+    for p in parts[1:]:
+        state = whitening.merged(state, p)
+    whole = whitening.summary(x)
+    assert state[0] == 400 and state[1].tolist() == x.sum(axis=0).tolist() == whole[1].tolist()
+    assert state[2] == pytest.approx(whole[2], rel=1e-10) and np.abs(np.abs((state[3] * whole[3]).sum(axis=1)) - 1).max() < 1e-10
+    huge = np.array([[1 << 40, 0], [-(1 << 40), 3]])
+    model = {"n": 1 << 31, "near": np.zeros(2, np.int64), "over": np.array([5, 6])}
+    assert whitening._deviation(huge, model) == [((1 << 71) - 5) ** 2 + 36, ((1 << 71) + 5) ** 2 + (3 * (1 << 31) - 6) ** 2]
+
+
+def test_filter_audit(spark):
+    from itertools import permutations
+
+    from corpusloom.llm import filter_audit
+
+    rng = random.Random(9)
+    texts = [None, "", "a | b", "ABC def", "w " * 250, "same text here"] + [" ".join(rng.choice(("A", "b", "$", "c%d" % i)) + str(rng.randrange(400)) for i in range(rng.randrange(300))) for _ in range(12)]
+    rows = [(i, rng.choice(texts), rng.choice(["en", "de", None]), "x", 1) for i in range(80)] + [(7, "same text here", "en", "x", 1), (None, "same text here", "en", "x", 1), (90, "v" * 100000, "long", "x", 1)]
+    labels = [(i, rng.randrange(2), rng.randrange(2)) for i in range(0, 80, 2)] + [(2, 1, 1), (2, 0, 0), (None, 1, 1), (500, 1, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, part string, bits int")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    good, toxic = {d for d, q, _ in labels if q == 1 and d is not None}, {d for d, _, t in labels if t == 1 and d is not None}
+    fails = []
+    for key, text, *_ in rows:
+        t = text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        own = "A" * (len(w) < 200) + "B" * (100 * len(set(w)) < 50 * len(w)) + "C" * (100 * len(re.findall("[A-Z]", t)) > 3 * len(t)) + "D" * bool(re.search("[#$%&*|]", t))
+        fails.append(own + "E" * (key is not None and any(k is not None and k < key and (o or "") == t for k, o, *_ in rows)))
+    expected, shares = {}, Counter()
+    for part in {r[2] or "" for r in rows}:
+        own = [(r[0], f) for r, f in zip(rows, fails, strict=True) if (r[2] or "") == part]
+        for order in map("".join, permutations("ABCDE")):
+            left = own
+            for step, x in enumerate(order, 1):
+                gone = [(k, f) for k, f in left if x in f]
+                left = [(k, f) for k, f in left if x not in f]
+                before = [f for _, f in own if x in f and set(f) & set(order[: step - 1])]
+                expected[part, order, step] = (len(left), len(gone), len(before), sum(f == x for _, f in own), sum(k in good for k, _ in gone), sum(k in toxic for k, _ in gone))
+                shares[part, x] += len(gone)
+    found = filter_audit.audit_filters(table, known).collect()
+    assert len(found) == len(expected)
+    for r in found:
+        assert (r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost) == expected[r.part, r.filter_order, r.step]
+        assert r.shapley == shares[r.part, r.filter_order[r.step - 1]]
+    assert filter_audit.audit_filters(table.limit(0), known).count() == 0
+    assert {r.good_lost for r in filter_audit.audit_filters(table, known.limit(0)).collect()} == {0}
+    with pytest.raises(ValueError):
+        filter_audit.audit_filters(table, known, {"E": lambda t, w: F.lit(True)})

@@ -65,6 +65,7 @@ LABELLED: tuple[tuple[tuple[int, int, int, int, int, int], ...], ...] = (
     ((3, 2, 0, 0, 0, 0), (3, 0, 0, 0, 1, 1), (12, 1, 0, 0, 0, 1), (10, 0, 0, 0, 0, 1), (2, 0, 0, 0, 0, 1), (13, 0, 0, 0, 0, 1), (4, 0, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0)),
     ((4, 0, 0, 0, 1, 0), (3, 3, 0, 0, 0, 0), (4, 4, 0, 0, 0, 0), (5, 0, 0, 0, 1, 1), (21, 0, 0, 0, 0, 1), (3, 0, 0, 0, 1, 1), (16, 1, 0, 0, 0, 1), (3, 0, 0, 0, 1, 0), (6, 6, 0, 0, 0, 0), (5, 0, 0, 0, 0, 0)),
     ((30, 0, 0, 0, 0, 1), (40, 0, 0, 0, 0, 1)), ((22, 0, 0, 0, 0, 1), (35, 2, 0, 0, 0, 1), (28, 0, 0, 0, 0, 1)), ((18, 0, 0, 0, 0, 1), (65, 0, 0, 0, 0, 1), (5, 0, 0, 0, 0, 0)),
+    ((9, 0, 0, 0, 1, 1), (75, 0, 0, 0, 0, 1), (20, 0, 0, 0, 0, 1), (88, 3, 0, 0, 0, 1), (12, 0, 0, 0, 0, 1), (95, 0, 0, 0, 0, 1), (47, 0, 0, 0, 0, 1), (5, 0, 0, 0, 0, 0)),
     ((26, 1, 0, 0, 0, 1),), ((1, 1, 0, 1, 0, 0), (34, 0, 0, 0, 0, 1)), ((16, 0, 0, 0, 0, 1), (2, 0, 0, 0, 0, 1), (48, 0, 0, 0, 0, 1)),
     ((40, 0, -1, 0, 0, 0), (35, 1, -1, 0, 0, 0), (12, 0, 1, 0, 0, 1), (22, 0, -1, 0, 0, 0), (31, 0, -1, 0, 0, 0)), ((1, 0, -1, 0, 0, 0), (60, 0, 1, 0, 0, 1), (3, 3, -1, 0, 0, 0)),
     ((1, 0, 1, 0, 0, 1), (15, 15, 1, 0, 0, 1), (2, 2, 1, 0, 0, 1), (1, 0, 1, 1, 0, 0), (2, 2, 1, 1, 0, 0), (500, 0, 1, 0, 0, 1), (200, 0, 1, 1, 0, 0), (300, 0, -1, 0, 0, 0)),

@@ -15,6 +15,13 @@ def softmax(score: Column, by: list[str]) -> Column:
     return F.exp(score - top) / F.sum(F.exp(score - top)).over(group)
 
 
+def log_softmax(score: Column, by: list[str]) -> Column:
+    """The logarithm of softmax, without the detour over a share that may be too small to hold."""
+    group = Window.partitionBy(*by)
+    top = F.max(score).over(group)
+    return score - top - F.log(F.sum(F.exp(score - top)).over(group))
+
+
 def sigmoid(score: Column, alpha: float = 1.0) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-alpha * score))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.coref import _allowed, _clusters, chain_grams, gram_difference, merged_labels, pairs, representative_grams, subject_grams
 from corpusloom.operators.evaluate import _F, _GUESS, bcubed_rows, guesses, prf, ratio
-from corpusloom.sources.views import MENTIONS_SQL, SENTENCES, WORDS_SQL, mentions, split_words, table, words
+from corpusloom.sources.views import MENTIONS_SQL, WORDS_SQL, mentions, split_words, table, words
 
 
 def moments_of(value: str, prefix: str = "") -> list[Column]:
@@ -88,7 +88,7 @@ def score_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mentions(spark, sf_dir)
     stored = pairs(rows).where("(idx + prev) % 3 <> 0").select("doc", F.col("idx").alias("m1"), F.col("prev").alias("m2"), F.round("score", 4).alias("score"))
     stored = stored.unionByName(stored.select("doc", F.col("m2").alias("m1"), F.col("m1").alias("m2"), "score"))
-    asked = rows.select("doc", F.col("idx").alias("m1"), (F.col("idx") + 1).alias("m2")).where("m2 < 120")
+    asked = rows.select("doc", F.col("idx").alias("m1"), F.lead("idx").over(Window.partitionBy("doc").orderBy("idx")).alias("m2")).where("m2 IS NOT NULL")
     found = shifted(asked.join(stored, ["doc", "m1", "m2"], "left"))
     return found.select("doc", "m1", "m2", "score", F.round("true_score", 4).alias("true_score"), F.round("false_score", 4).alias("false_score"), (F.coalesce("true_score", F.lit(-1.0)) >= 0).alias("linked"))
 
@@ -339,7 +339,7 @@ def _grams_sql(source: str, kind: str) -> str:
         s = f"(SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY doc, sent ORDER BY rank, idx, mtype, entity) = 1)"
         return f"SELECT a.doc, a.mtype || ' ' || b.mtype || CASE WHEN a.entity = b.entity THEN '+' ELSE '-' END AS gram, count(*) AS n FROM {s} a JOIN {s} b ON a.doc = b.doc AND b.sent = a.sent + 1 GROUP BY ALL"
     n = int(kind[-1])
-    cells = f"(SELECT doc, entity, sent FROM (SELECT DISTINCT doc, entity FROM {source}), (SELECT unnest(range({SENTENCES})) AS sent))"
+    cells = f"(SELECT doc, entity, unnest(range(0, last + 1)) AS sent FROM (SELECT DISTINCT doc, entity FROM {source}) JOIN (SELECT doc, max(sent) AS last FROM {source} GROUP BY 1) USING (doc))"
     name = "coalesce(list_extract(['purchase', 'signup', 'click', 'view', 'error'], (1 + min(m.rank))::INT), 'X')"
     gram = " || ' ' || ".join(["k", *[f"lead(k, {i}) OVER w" for i in range(1, n)]])
     return f"""SELECT doc, gram, count(*) AS n FROM (SELECT doc, {gram} AS gram FROM (SELECT c.doc, c.entity, c.sent, {name} AS k FROM {cells} c LEFT JOIN {source} m USING (doc, entity, sent) GROUP BY ALL)
@@ -420,8 +420,8 @@ SQL = {
             row_number() OVER (PARTITION BY doc, sent ORDER BY idx) AS at FROM mentions WHERE idx % 7 <> 0)
         SELECT coalesce(g.doc, p.doc) AS doc, count(*) FILTER (g.at IS NOT NULL AND p.at IS NOT NULL) AS matched, count(*) FILTER (p.at IS NULL) AS missing, count(*) FILTER (g.at IS NULL) AS extra
         FROM g FULL JOIN p ON g.doc = p.doc AND g.sent = p.sent AND g.at = p.at GROUP BY 1""",
-    "score_lookup": f"""{_M}, a AS (SELECT x.doc, x.idx AS m1, x.idx + 1 AS m2, CASE WHEN (2 * x.idx + 1) % 3 <> 0 THEN round(10.0 - abs(x.v - y.v), 4) END AS score FROM mentions x
-            LEFT JOIN mentions y ON y.doc = x.doc AND y.idx = x.idx + 1 WHERE x.idx + 1 < 120)
+    "score_lookup": f"""{_M}, a AS (SELECT * FROM (SELECT doc, idx AS m1, lead(idx) OVER n AS m2, CASE WHEN (idx + lead(idx) OVER n) % 3 <> 0 THEN round(10.0 - abs(v - lead(v) OVER n), 4) END AS score FROM mentions
+            WINDOW n AS (PARTITION BY doc ORDER BY idx)) WHERE m2 IS NOT NULL)
         SELECT doc, m1, m2, score, round(score + 5.5, 4) AS true_score, round(-5.5 - score, 4) AS false_score, coalesce(score + 5.5, -1) >= 0 AS linked FROM a""",
     "weighted_total": f"""{_M}, o AS (SELECT mtype, count(*) OVER (PARTITION BY doc, entity, pred) AS o, count(*) OVER (PARTITION BY doc, pred) AS p, count(*) OVER (PARTITION BY doc, entity) AS g FROM mentions),
         s AS (SELECT coalesce(mtype, 'total') AS mtype, count(*) AS mentions, avg(o / p) AS p, avg(o / g) AS r FROM o GROUP BY GROUPING SETS ((mtype), ()))

@@ -58,22 +58,20 @@ def solve(scores: dict, constraints: list[tuple]) -> tuple[dict, float, bool]:
     for v in reversed(order):
         rest.append(rest[-1] + max(scores[v].values()))
     rest.reverse()
+    ranked = [sorted(scores[v].items(), key=lambda x: (-x[1], str(x[0]))) for v in order]
     best: tuple[dict, float, bool] = ({}, float("-inf"), False)
-    values: dict = {}
-
-    def go(at: int, total: float) -> None:
-        nonlocal best
-        if total + rest[at] <= best[1] or any(truth(c, values) is False for c in constraints):
-            return
+    open_ = [(0, 0.0, ())]  # branches to try, the next one last: place, total, the values up to that place
+    while open_:
+        at, total, own = open_.pop()
+        if total + rest[at] <= best[1]:
+            continue
+        values = dict(zip(order, own, strict=False))
+        if any(truth(c, values) is False for c in constraints):
+            continue
         if at == len(order):
-            best = (dict(values), total, True)
-            return
-        for value, score in sorted(scores[order[at]].items(), key=lambda x: (-x[1], str(x[0]))):
-            values[order[at]] = value
-            go(at + 1, total + score)
-            del values[order[at]]
-
-    go(0, 0.0)
+            best = (values, total, True)
+            continue
+        open_ += [(at + 1, total + score, (*own, value)) for value, score in reversed(ranked[at])]
     return best
 
 

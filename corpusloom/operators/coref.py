@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.sources.views import MENTIONS_SQL, SENTENCES, TYPES, mentions
+from corpusloom.sources.views import MENTIONS_SQL, TYPES, mentions
 
 
 def pair_score(v: Column, w: Column) -> Column:
@@ -91,17 +91,25 @@ def chain_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid(rows: DataFrame, cell: Column, keys: tuple = ("doc",)) -> DataFrame:
-    """keys, entity, cells: the cell of each of the document's sentences, null where the entity is absent."""
+    """keys, entity, cells: the cell of each sentence up to the last one of the document that has a mention, null where the
+    entity is absent. A document's last sentence is a maximum that tasks find first, so a long document meets in no task."""
     held = rows.groupBy(*keys, "entity", "sent").agg(cell.alias("cell"))
     by = held.groupBy(*keys, "entity").agg(F.map_from_entries(F.collect_list(F.struct("sent", "cell"))).alias("m"))
-    return by.select(*keys, "entity", F.transform(F.sequence(F.lit(0), F.lit(SENTENCES - 1)), lambda s: F.get(F.transform(F.array(s), lambda t: F.element_at("m", t)), F.lit(0))).alias("cells"))
+    last = rows.groupBy(*keys).agg(F.max("sent").alias("last"))
+    return by.join(last, list(keys)).select(*keys, "entity", F.transform(F.sequence(F.lit(0), F.col("last")), lambda s: F.element_at("m", s)).alias("cells"))
+
+
+def _starts(n: int) -> Column:
+    """Places of `cells` where n cells in a row begin; none in a document of fewer sentences."""
+    size = F.size("cells")
+    return F.when(size >= n, F.sequence(F.lit(0), size - F.lit(n))).otherwise(F.array().cast("array<int>"))
 
 
 def representative_grams(rows: DataFrame, n: int = 2, keys: tuple = ("doc",)) -> DataFrame:
     """keys, gram, count: n-grams of each entity's most specific type in consecutive sentences, `X` where absent, all-`X` dropped."""
     grid = _grid(rows, F.min("rank"), keys)
     name = lambda c: F.coalesce(F.get(F.array(*[F.lit(x) for x in TYPES]), c.cast("int")), F.lit("X"))
-    grams = F.transform(F.sequence(F.lit(0), F.lit(SENTENCES - n)), lambda s: F.concat_ws(" ", *[name(F.get("cells", s + F.lit(k))) for k in range(n)]))
+    grams = F.transform(_starts(n), lambda s: F.concat_ws(" ", *[name(F.get("cells", s + F.lit(k))) for k in range(n)]))
     return grid.select(*keys, F.explode(grams).alias("gram")).where(F.col("gram") != " ".join("X" * n)).groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -117,7 +125,7 @@ def grid_ngrams_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All combinations of an entity's types in consecutive sentences, all-`X` kept."""
     grid = _grid(mentions(spark, sf_dir), F.collect_set("mtype"))
     own = lambda c: F.coalesce(c, F.array(F.lit("X")))
-    grams = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SENTENCES - 2)), lambda s: F.flatten(F.transform(own(F.get("cells", s)), lambda a: F.transform(own(F.get("cells",
+    grams = F.flatten(F.transform(_starts(2), lambda s: F.flatten(F.transform(own(F.get("cells", s)), lambda a: F.transform(own(F.get("cells",
         s + 1)), lambda b: F.concat_ws(" ", a, b))))))
     return grid.select("doc", F.explode(grams).alias("gram")).groupBy("doc", "gram").agg(F.count(F.lit(1)).alias("count"))
 
@@ -323,7 +331,7 @@ def perturbed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _P = f"WITH {MENTIONS_SQL}, pairs AS (SELECT a.*, b.idx AS prev, b.mtype AS prev_type, b.entity AS prev_entity, 10.0 - abs(a.v - b.v) AS score FROM mentions a JOIN mentions b ON a.doc = b.doc AND b.idx < a.idx)"
 _C = f"WITH {MENTIONS_SQL}, g AS (SELECT doc, mtype || coalesce(' ' || lead(mtype) OVER c, '') AS gram, row_number() OVER c AS nth, count(*) OVER (PARTITION BY doc, entity) AS size FROM mentions WINDOW c AS (PARTITION BY doc, entity ORDER BY idx)), grams AS (SELECT doc, gram, count(*) AS count FROM g WHERE nth <= greatest(size - 1, 1) GROUP BY ALL)"
-_G = f"WITH {MENTIONS_SQL}, hours AS (SELECT unnest(range(0, {SENTENCES})) AS sent), cells AS (SELECT doc, entity, h.sent FROM (SELECT DISTINCT doc, entity FROM mentions) CROSS JOIN hours h)"
+_G = f"WITH {MENTIONS_SQL}, ends AS (SELECT doc, max(sent) AS last FROM mentions GROUP BY 1), cells AS (SELECT doc, entity, unnest(range(0, last + 1)) AS sent FROM (SELECT DISTINCT doc, entity FROM mentions) JOIN ends USING (doc))"
 QUERIES = {f.__name__: f for f in (mention_pairs, best_link, best_link_constrained, closest_antecedent, chain_ngrams, grid_ngrams_representative, grid_trigrams_representative,
     grid_ngrams_full, adjacency_counts, subject_ngrams, ngram_diff_full_outer, all_chains, top_chains, singleton_merge, cluster_merge_search, cluster_merge_exhaustive,
     perturbed_labels)}

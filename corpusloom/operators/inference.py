@@ -12,13 +12,15 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.normalize import log_softmax, sigmoid, softmax
 from corpusloom.operators.constraints import linearize, truth
 from corpusloom.sources.views import table
 
@@ -181,13 +183,18 @@ class NotOptimal(Exception):
     """A program without a solution was asked for its values."""
 
 
+class TooWide(Exception):
+    """A program was not solved within the number of branches that it may try."""
+
+
 @dataclass
 class Program:
     """A 0-1 program: maximise (or minimise) a sum of weights under linear rows; solved exactly by branch and bound.
 
     Values are bound part by part: rows that share no variable are solved apart. Inside a part, variables of one discrete
-    choice are tried together, best first; a branch ends where its bound, the best values of what is open, can't beat the
-    best known solution, or where some row can no longer be met.
+    choice are tried together, best first; a branch ends where a bound on what is open can't beat the best known
+    solution, or where some row can no longer be met. Wide parts charge each row a price for what it uses, which gives a bound that
+    knows of the rows. Branches are kept on a list, so depth has no limit; their number has one, `most`, beyond which solve() raises TooWide.
     """
 
     maximize: bool = True
@@ -195,8 +202,11 @@ class Program:
     groups: list[list[int]] = field(default_factory=list)  # of each group exactly one is 1
     rows: list[tuple[dict[int, float], str, float]] = field(default_factory=list)
     values: list[int] | None = None
+    most: int = 2_000_000
 
     def add_boolean(self, weight: float = 0.0) -> int:
+        if math.isnan(weight):
+            raise ValueError("a weight is no number")
         self.weights.append(weight)
         return len(self.weights) - 1
 
@@ -259,46 +269,98 @@ class Program:
 
     def _part(self, sets: list, members: list[int], rows: list, sign: float) -> list[int] | None:
         gain = lambda own: sum(sign * self.weights[x] for x in own)
-        sets = sorted(sets, key=lambda s: -(max(map(gain, s)) - min(map(gain, s))))
-        rest = [0.0]
-        for s in reversed(sets):
-            rest.append(rest[-1] + max(map(gain, s)))
-        rest.reverse()
-        inside = {x: [] for x in members}
+        options = [[(own, gain(own)) for own in sorted(s, key=lambda own: -gain(own))] for s in sorted(sets, key=lambda s: -(max(map(gain, s)) - min(map(gain, s))))]
+        inside: dict[int, list[tuple[int, float]]] = {x: [] for x in members}
         for r, (c, _) in enumerate(rows):
-            for x in c:
-                inside[x].append(r)
-        # the least that open choices can still add to a row
-        least = [[0.0] * len(rows)]
-        for s in reversed(sets):
-            lows = [min(sum(c.get(x, 0.0) for x in own) for own in s) for c, _ in rows]
-            least.append([a + b for a, b in zip(least[-1], lows, strict=True)])
-        least.reverse()
-        best: list = [-float("inf"), None]
-        chosen: list[int] = []
-        sums = [0.0] * len(rows)
-
-        def go(at: int, total: float) -> None:
-            if total + rest[at] <= best[0] + 1e-12 and best[1] is not None:
-                return
-            if any(sums[r] + least[at][r] > rows[r][1] + 1e-9 for r in range(len(rows))):
-                return
-            if at == len(sets):
-                best[0], best[1] = total, list(chosen)
-                return
-            for own in sorted(sets[at], key=lambda own: -gain(own)):
-                for x in own:
-                    for r in inside[x]:
-                        sums[r] += rows[r][0][x]
-                chosen.extend(own)
-                go(at + 1, total + gain(own))
-                del chosen[len(chosen) - len(own) :]
-                for x in own:
-                    for r in inside[x]:
-                        sums[r] -= rows[r][0][x]
-
-        go(0, 0.0)
-        return best[1]
+            for x, coefficient in c.items():
+                inside[x].append((r, coefficient))
+        uses = [[_total(inside, own) for own, _ in s] for s in options]  # of each option: row to coefficient
+        touched = [sorted(set().union(*u)) for u in uses]
+        lows = [{r: min(u.get(r, 0.0) for u in us) for r in rs} for us, rs in zip(uses, touched, strict=True)]
+        prices = _prices(options, uses, [b for _, b in rows]) if len(options) > WIDE else [0.0] * len(rows)
+        plain, priced = [0.0], [0.0]  # the most that options from a place on can still add, without and with prices
+        for s, us in zip(reversed(options), reversed(uses), strict=True):
+            plain.append(plain[-1] + s[0][1])
+            priced.append(priced[-1] + max(g - sum(prices[r] * v for r, v in u.items()) for (_, g), u in zip(s, us, strict=True)))
+        plain.reverse()
+        priced.reverse()
+        bounds = [b for _, b in rows]
+        credit = sum(p * b for p, b in zip(prices, bounds, strict=True))
+        lowest = [0.0] * len(rows)  # what a row has at least, if the open options add the least to it
+        for low in lows:
+            for r, v in low.items():
+                lowest[r] += v
+        if any(v > b + 1e-9 for v, b in zip(lowest, bounds, strict=True)):
+            return None
+        best, found, total, paid, tried = -math.inf, None, 0.0, 0.0, 0
+        at, pick = 0, [-1] * (len(options) + 1)
+        while at >= 0:
+            if pick[at] >= 0:  # takes the last option of this place back
+                use = uses[at][pick[at]]
+                total -= options[at][pick[at]][1]
+                for r in touched[at]:
+                    lowest[r] -= use.get(r, 0.0) - lows[at][r]
+                paid -= sum(prices[r] * v for r, v in use.items())
+            pick[at] += 1
+            if pick[at] == len(options[at]):
+                pick[at] = -1
+                at -= 1
+                continue
+            tried += 1
+            if tried > self.most:
+                raise TooWide(f"{len(options)} choices under {len(rows)} rows were not decided within {self.most} branches")
+            use = uses[at][pick[at]]
+            total += options[at][pick[at]][1]
+            for r in touched[at]:
+                lowest[r] += use.get(r, 0.0) - lows[at][r]
+            paid += sum(prices[r] * v for r, v in use.items())
+            if any(lowest[r] > bounds[r] + 1e-9 for r in touched[at]):
+                continue
+            if found is not None and (total + plain[at + 1] <= best + 1e-12 or total - paid + credit + priced[at + 1] <= best + 1e-9 * max(1.0, abs(best))):
+                continue
+            if at + 1 == len(options):
+                best, found = total, [x for s, p in zip(options, pick, strict=False) for x in s[p][0]]
+                continue
+            at += 1
+        return found
+
+
+#: Parts of more choices than this get prices.
+WIDE = 24
+
+
+def _total(inside: dict[int, list[tuple[int, float]]], own: tuple[int, ...]) -> dict[int, float]:
+    out: dict[int, float] = {}
+    for x in own:
+        for r, coefficient in inside[x]:
+            out[r] = out.get(r, 0.0) + coefficient
+    return out
+
+
+def _prices(options: list, uses: list, bounds: list[float], sweeps: int = 3) -> list[float]:
+    """A price from 0 for each row, one row after another at the point where the options that are best at these prices just
+    use up the row: any prices give a bound, and these a close one."""
+    prices = [0.0] * len(bounds)
+    members: list[list[int]] = [[] for _ in bounds]
+    for i, us in enumerate(uses):
+        for r in set().union(*us):
+            members[r].append(i)
+    for _ in range(sweeps if len(bounds) > 1 else 1):
+        for r, own in enumerate(members):
+            # of each choice that names the row: what its options gain at the other rows' prices, and what they use of this one
+            lines = [[(g - sum(prices[q] * v for q, v in u.items() if q != r), u.get(r, 0.0)) for (_, g), u in zip(options[i], uses[i], strict=True)] for i in own]
+            fixed = lambda p: -sum(max((g - p * v, -v) for g, v in line)[1] for line in lines)  # noqa: B023, E731
+            if fixed(0.0) <= bounds[r]:
+                prices[r] = 0.0
+                continue
+            low, high = 0.0, 1.0
+            while fixed(high) > bounds[r] and high < 1e12:
+                low, high = high, 2 * high
+            for _ in range(60):
+                middle = (low + high) / 2
+                low, high = (middle, high) if fixed(middle) > bounds[r] else (low, middle)
+            prices[r] = high
+    return prices
 
 
 def assign(scores: dict, constraint: tuple, naive: bool = False) -> dict:
@@ -356,12 +418,7 @@ def rerank(scores: dict, constraint: tuple, k: int, alpha: float, coherence: Cal
 
 # --------------------------------------------------------------------------------------------- inference over tables
 
-NORMALISERS = {
-    "identity": lambda s, own: s,
-    "softmax": lambda s, own: F.exp(s) / F.sum(F.exp(s)).over(own),
-    "log_softmax": lambda s, own: F.log(F.exp(s) / F.sum(F.exp(s)).over(own)),
-    "sigmoid": lambda s, own: 1 / (1 + F.exp(-s)),
-}
+NORMALISERS: dict[str, Callable[[Column, list[str]], Column]] = {"identity": lambda s, by: s, "softmax": softmax, "log_softmax": log_softmax, "sigmoid": lambda s, by: sigmoid(s)}
 
 
 @dataclass(frozen=True)
@@ -379,10 +436,10 @@ class Inference:
     def __call__(self, scores: DataFrame) -> DataFrame:
         """head, learner, object, value, score, optimal of rows (head, learner, object, value, score).
 
-        Repeated variables count once. Where no assignment satisfies a head's constraint, its variables have null values
+        Repeated variables count once. A score that is null or no number, before or after it is normalised, is refused. Where no assignment satisfies a head's constraint, its variables have null values
         and `optimal` is false.
         """
-        own = Window.partitionBy(self.head, "learner", "object")
+        own = [self.head, "learner", "object"]
         n = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = scores.repartition(n, self.head).dropDuplicates([self.head, "learner", "object", "value"])  # the one shuffle
         names = [x for x in self.normalisers if x != "*"]
@@ -416,6 +473,8 @@ class Inference:
                         made += solved(key, held)
                         held = {}
                     key = now
+                    if score is None or math.isnan(score):
+                        raise ValueError(f"no number as score of {value!r} for {learner!r}, {obj!r} of {now!r}")
                     held.setdefault((learner, obj), {})[value] = score
                 yield sent()
             if held:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.split import bracketed, ends_sentence, entities_cleaned, plain_tokens, split_by_case, split_sentences, split_words_of, tag_name
 from corpusloom.operators.constraints import best_links, linearize, solve, truth
 from corpusloom.operators import training
-from corpusloom.operators.coref import every_merge, merge_search, merge_singletons, pairs, small_merges
-from corpusloom.operators.inference import Inference, NotOptimal, Program, assign, cnf, dnf, factored, k_best, negated, propositional, rerank, simplified
+from corpusloom.operators.coref import every_merge, merge_search, merge_singletons, pairs, representative_grams, small_merges
+from corpusloom.operators.inference import Inference, NotOptimal, Program, TooWide, assign, cnf, dnf, factored, k_best, negated, propositional, rerank, simplified
 from corpusloom.operators.learners import LinearUnit, default_learner, mux_scores, one_vs_all, predict, score_rows, t_quantile, train_groups, train_sequence
 from corpusloom.plans import features
 from corpusloom.plans.registry import ORACLE_SQL, QUERIES
@@ -531,3 +531,79 @@ def test_windowed_counts(spark):
 
     rows = spark.createDataFrame([("2024-01-01 01:00:00", "a"), ("2024-01-01 23:00:00", "a"), ("2024-01-02 00:00:00", "b")], "t string, event_type string").withColumn("ts", F.to_timestamp("t"))
     assert sorted((r.event_type, r.n) for r in windowed_counts(rows).collect()) == [("a", 2), ("b", 1)]
+
+
+def test_wide_programs():
+    """Thousands of choices under one row: no recursion, the same optimum as sorting."""
+    rng = random.Random(1)
+    weights = [rng.uniform(-1, 3) for _ in range(5000)]
+    program = Program()
+    for w in weights:
+        program.add_boolean(w)
+    program.add_row({i: 1.0 for i in range(5000)}, "<=", 5)
+    assert program.solve()
+    assert {i for i, v in enumerate(program.values) if v} == set(sorted(range(5000), key=lambda i: -weights[i])[:5])
+    program.reset()
+    for _ in range(1200):
+        program.add_boolean(1.0)
+    program.add_row({i: 1.0 for i in range(1200)}, "<=", 5)
+    program.add_row({i: 1.0 for i in range(600)}, ">=", 2)
+    assert program.solve() and sum(program.values) == 5 and sum(program.values[:600]) >= 2
+    hard = Program(most=500)
+    for i in range(60):
+        hard.add_boolean(1.0 + i % 7 / 10)
+    hard.add_row({i: 2.0 * (3 + i % 11) for i in range(60)}, "=", 301)  # even numbers never add up to an odd one
+    with pytest.raises(TooWide):
+        hard.solve()
+    scores = {i: {0: 0.0, 1: 1.0 - i / 5000} for i in range(1500)}
+    values, total, found = solve(scores, [])
+    assert found and sum(values.values()) == 1500
+    with pytest.raises(ValueError):
+        program.add_boolean(float("nan"))
+
+
+@pytest.mark.parametrize("rule", range(12))
+def test_priced_bound_keeps_the_optimum(rule, monkeypatch):
+    """Branch and bound with prices, by brute force, over programs of several rows and choices."""
+    from corpusloom.operators import inference
+
+    monkeypatch.setattr(inference, "WIDE", 0)
+    rng = random.Random(rule)
+    program = Program(maximize=rule % 2 == 0)
+    for _ in range(4):
+        program.add_discrete([rng.uniform(-2, 2) for _ in range(3)])
+    for _ in range(4):
+        program.add_boolean(rng.uniform(-2, 2))
+    for _ in range(4):
+        program.add_row({i: rng.choice((-1.0, 1.0, 2.0)) for i in rng.sample(range(16), 6)}, rng.choice(("<=", ">=", "=")), rng.randrange(3))
+    sums = {"<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "=": lambda a, b: a == b}
+    best = None
+    for picks in product(range(3), range(3), range(3), range(3), *[(0, 1)] * 4):
+        values = [int(i % 3 == picks[i // 3]) for i in range(12)] + list(picks[4:])
+        if all(sums[op](sum(c * values[i] for i, c in own.items()), b) for own, op, b in program.rows):
+            total = sum(w * v for w, v in zip(program.weights, values, strict=True))
+            best = total if best is None else max(best, total) if program.maximize else min(best, total)
+    assert program.solve() == (best is not None)
+    if best is not None:
+        assert sum(w * v for w, v in zip(program.weights, program.values, strict=True)) == pytest.approx(best)
+
+
+def test_normalisers_of_large_scores(spark):
+    rows = [(1, "l", "o", "a", 800.0), (1, "l", "o", "b", 1.0), (2, "l", "o", "a", -800.0), (2, "l", "o", "b", -801.0), (3, "l", "o", "a", 5.0), (3, "l", "o", "b", 5.0)]
+    scores = spark.createDataFrame(rows, "head long, learner string, object string, value string, score double")
+    for name, expected in (("softmax", {1: 1.0, 2: 1 / (1 + math.exp(-1)), 3: 0.5}), ("log_softmax", {1: 0.0, 2: -math.log(1 + math.exp(-1)), 3: -math.log(2)}), ("sigmoid", {1: 1.0, 2: 0.0, 3: 1 / (1 + math.exp(-5))})):
+        found = Inference("head", lambda held: ("const", True), {"*": name})(scores).collect()
+        assert {r.head: r.value for r in found} == {1: "a", 2: "a", 3: "a"} and all(r.optimal for r in found)
+        assert {r.head: r.score for r in found} == pytest.approx(expected)
+    with pytest.raises(Exception, match="no number"):
+        Inference("head", lambda held: ("const", True))(scores.withColumn("score", F.lit(float("nan")))).collect()
+
+
+def test_grids_reach_every_sentence(spark):
+    """Ten mentions of one entity in sentences 20 to 29, a document of one sentence, and one of two."""
+    rows = [("a", 20 + i, i, 1, "click", 2) for i in range(10)] + [("b", 0, 0, 1, "view", 3), ("c", 1, 0, 1, "view", 3)]
+    table = spark.createDataFrame(rows, "doc string, sent int, idx int, entity long, mtype string, rank long")
+    found = {(r.doc, r.gram): r["count"] for r in representative_grams(table).collect()}
+    assert found == {("a", "click click"): 9, ("a", "X click"): 1, ("c", "X view"): 1}
+    found = {(r.doc, r.gram): r["count"] for r in representative_grams(table, 3).collect()}
+    assert found == {("a", "click click click"): 8, ("a", "X click click"): 1, ("a", "X X click"): 1}

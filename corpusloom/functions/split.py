@@ -1,14 +1,13 @@
-"""Rule-based sentence and word splitting, in Arrow batches."""
+"""Rule-based sentence splitting, tokens, tags and renderings."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from corpusloom.functions.lexing import ENDING, PIECE, TOKEN, WORDY, let, running, words
 from corpusloom.sources.views import SENTENCES_SQL, sentences, table
 
 # Abbreviations before which a period doesn't end a sentence.
@@ -25,7 +24,7 @@ ZONES = frozenset("AST CST EST HST MST PST ADT CDT EDT HDT MDT PDT UTC UTC-11".s
 # Bracket names of tagged text, and the mark that belongs to a name.
 _CLOSE = frozenset([")", "}", "]", "-RBR-"])
 _TAILS = _CLOSE | {"'", "\'\'", "\'\'\'", '"', "\'\""}
-_TOKEN = re.compile(r"(?:[^\s-]-\n\s*|\S)+")
+_TOKEN = re.compile(TOKEN)
 
 #: Whether a mark ends a sentence, by the kind of the next token (rows) and the mark, bare or closed by a quote or bracket
 #: (columns). What isn't yes or no names a test of _TESTS.
@@ -109,7 +108,7 @@ def ends_sentence(word: str, at: int, after: str | None, second: str | None) ->
 def split_sentences(text: str | None) -> list[dict]:
     """text, start, end (inclusive) of each sentence; blank lines always end one."""
     out = []
-    for paragraph in re.finditer(r"(?:[^\n]*\S[^\n]*(?:\n|$))+", text or ""):
+    for paragraph in re.finditer(r"(?:[^\n]*[^\x09-\x0D\x20][^\n]*(?:\n|$))+", text or ""):
         tokens = [(m.start() + paragraph.start(), m.group()) for m in _TOKEN.finditer(paragraph.group())]
         begin = 0
         for i, (_, word) in enumerate(tokens):
@@ -123,72 +122,6 @@ def split_sentences(text: str | None) -> list[dict]:
     return out
 
 
-# Protocols and generic domain names of addresses. Any two letters count as a country's domain.
-PROTOCOLS = ("telnet", "https", "file", "http", "nntp", "smtp")
-DOMAINS = ("museum", "travel", "aero", "arpa", "coop", "info", "jobs", "name", "biz", "com", "edu", "gov", "int", "mil", "net", "org", "pro")
-_ADDRESS = re.compile(rf"(?i)(?:{'|'.join(PROTOCOLS)})://\S+|[a-z0-9][a-z0-9-]*\.(?:{'|'.join(DOMAINS)}|[a-z]{{2}})(?:/\S+)?")
-
-_L = r"[^\W\d_]"  # a letter
-_ENDS = rf"(?!{_L}|')"  # neither a letter nor an apostrophe
-#: Where a word ends between two characters, whatever they belong to; each has no width.
-_GAPS = re.compile("|".join((
-    r"(?<=[^\s\d])(?=,)", r"(?<=\d)(?=,(?:\D|\Z))",  # a comma ends a word, but not between digits
-    r"(?<=,)(?=[^\s\d])", r"(?<=\D,)(?=\d)", r"(?<=^,)(?=\d)",
-    rf"(?<={_L})(?=n't{_ENDS})",  # negations
-    rf"(?<=s)(?='{_ENDS})", rf"(?<={_L})(?='(?:[dms]|ll|re|ve){_ENDS})", rf"(?<={_L}\.)(?='s{_ENDS})",  # possessives and contractions
-    r"(?<=[^\s,'])(?='')", rf"(?<=')(?=[^\s,'])(?!{_L})", r"(?<='')(?=[^\s,'])",  # quotes
-    r"(?<=[^\s,':/$.-])(?=\.\.\.)", r"(?<=\.\.\.)(?=[^\s,':/$.-])",  # an ellipsis
-)))
-#: Marks that are words of their own: those they stand beside without a cut, and where they belong to the word around them.
-_MARKS = {
-    ":": (",':", re.compile(r"(?s)(?<=.)\d(:)\d(?=.)|(?<=.)(?:tp|TP)(:)//")),
-    "/": (",':/", re.compile(r"(?s)(?<=.)\d(/)\d(?=.)|(?<=..)(?:tp|TP):(/)/|(?<=..)(?:tp|TP):/(/)")),
-    "-": (",':/-", re.compile(r"\w(-)(?=\w)|(?:^|(?<=\s))(-)(?=\.\d|\d.)")),
-    "$": (",':/-$", re.compile(r"(?:^|(?<=[\s-]))(\$)(?=\.\d|\d.)")),
-}
-_OTHER = r"[^\s\w,'.:/$-]"
-
-
-def word_gaps(text: str) -> set[int]:
-    """Places between 1 and the length at which a new word begins though no white space is before it."""
-    gaps = {m.start() for m in _GAPS.finditer(text)}
-    address = bytearray(len(text) + 1)
-    for m in _ADDRESS.finditer(text):
-        address[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-
-    def apart(at: int, beside: str) -> None:
-        """Cuts around the mark at a place, but not beside white space and the marks in `beside`."""
-        if at > 0 and not text[at - 1].isspace() and text[at - 1] not in beside:
-            gaps.add(at)
-        if at + 1 < len(text) and not text[at + 1].isspace() and text[at + 1] not in beside:
-            gaps.add(at + 1)
-
-    for mark, (beside, inner) in _MARKS.items():
-        held = {m.start(m.lastindex) for m in inner.finditer(text)} if mark in text else set()
-        for at in (i for i, c in enumerate(text) if c == mark and i not in held and not address[i]):
-            apart(at, beside)
-    last = text.rfind(".")
-    if last >= 0 and not any(c.isalnum() for c in text[last:]) and text[max(0, last - 2) : last] != "..":
-        apart(last, ",':/$-")
-    for m in re.finditer(rf"(?=({_OTHER})({_OTHER}))", text):
-        if m[1] != m[2] and not address[m.start()]:
-            gaps.add(m.start() + 1)
-    for m in re.finditer(rf"{_OTHER}\w|\w{_OTHER}", text):  # one after another: the second of a pair begins no other pair
-        if not address[m.start()]:
-            gaps.add(m.start() + 1)
-    return gaps
-
-
-def split_words_of(sentence: str | None) -> list[dict]:
-    """form, start, end (inclusive) of each word. Letters of all scripts count as letters."""
-    out = []
-    gaps = sorted(word_gaps(sentence or ""))
-    for m in re.finditer(r"\S+", sentence or ""):
-        cuts = [m.start(), *[g for g in gaps if m.start() < g < m.end()], m.end()]
-        out += [{"form": sentence[a:b], "start": a, "end": b - 1} for a, b in zip(cuts, cuts[1:], strict=False)]
-    return out
-
-
 def split_by_case(text: str | None, extents: list[tuple[int, int]] = ()) -> list[dict]:
     """As split_sentences; text with hardly any capitals (under one for 300 small letters) is cut at every . ! ? outside
     the extents (first and last place) of mentions."""
@@ -207,35 +140,96 @@ def split_by_case(text: str | None, extents: list[tuple[int, int]] = ()) -> list
     return out
 
 
-def _spans(name: str) -> T.DataType:
-    return T.ArrayType(T.StructType().add(name, T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType()))
+_BLANKS = r"^[\x09-\x0D\x20]+"
+
+
+def _map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
+def _kind(token: Column) -> Column:
+    """kind_of as a column."""
+    first = F.substring(token, 1, 1)
+    return (
+        F.when(token.isNull(), "end").when(token == ".", "period").when(token == "--", "dash").when(token == "-RBR-", "bracket").when(token.isin(")", "}", "]"), "close")
+        .when(first == "'", "single").when(first.isin('"', "`"), "double").when(first.isin("(", "{", "[") | token.startswith("-LBR-"), "open")
+        .when(first.rlike(r"^\p{Lu}"), "upper").when(first.rlike(r"^\p{Nd}"), "digit").otherwise("other")
+    )
+
+
+def _ends(word: Column, after: Column, second: Column) -> Column:
+    """ends_sentence as a column, for the last mark of a word; true for the last word of a paragraph, false without a mark."""
+    part = lambda g: F.regexp_extract(word, r"(?s)^(.*)([.?!])([^.?!]*)\z", g)
 
+    def ruled(stem: Column, sign: Column, tail: Column) -> Column:
+        bare = F.regexp_replace(stem, "^[\"'`{\\[(]+", "")
+        upper = lambda c: F.coalesce(F.substring(c, 1, 1).rlike(r"^\p{Lu}"), F.lit(False))
+        opened, titled = (bare != stem) | stem.startswith("-LBR-"), bare.isin(*HONORIFICS)
+        abbreviates = titled | opened | (bare.isin("a.m", "p.m") & after.isin(*ZONES)) | (stem.rlike(r"^(?:[A-Z]\.)*+[A-Z]\z") & (after != "The"))
+        tests = {
+            "yes": F.lit(True), "titled": ~titled, "dashless": ~second.eqNullSafe(F.lit("--")), "capital": upper(second), "stem": stem != "", "settled": bare.isin(*TERMINALS) | ~abbreviates,
+            "resumes": F.coalesce(_kind(second).isin("single", "double") | (upper(second) & ~F.substring(stem, -1, 1).isin("'", '"')), F.lit(False)),
+        }
+        column = F.concat(F.when(sign == ".", "period").otherwise("asking"), F.when(tail == "", "").otherwise("+"))
+        verdict = F.element_at(_map({f"{kind} {mark}": v for (kind, mark), v in _VERDICTS.items()}), F.concat(_kind(after), F.lit(" "), column))
+        holds = let(verdict, lambda v: F.coalesce(*[F.when(v == name, test) for name, test in tests.items()], F.lit(False)))
+        return ~((sign == "!") & (F.lower(bare) == "yahoo")) & ((tail == "") | tail.isin(*_TAILS)) & holds
 
-@F.pandas_udf(_spans("text"))
-def sentences_of(texts: pd.Series) -> pd.Series:
-    return texts.map(split_sentences)
+    marked = let(F.struct(part(1).alias("stem"), part(2).alias("sign"), part(3).alias("tail")), lambda x: ruled(x["stem"], x["sign"], x["tail"]))
+    return F.when(after.isNull(), True).when(word.rlike("[.?!]"), marked).otherwise(False)
 
 
-@F.pandas_udf(_spans("form"))
-def words_of(texts: pd.Series) -> pd.Series:
-    return texts.map(split_words_of)
+def sentence_spans(text: Column) -> Column:
+    """split_sentences as a column: array<struct<text, start, end>>; JVM expressions inside the row, places by lengths."""
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\x09-\x0D\x20]*" + TOKEN), F.lit(0))
+
+    def token(p: Column) -> Column:
+        """word, gap, and whether a blank line is before it."""
+        word = F.regexp_replace(p, _BLANKS, "")
+        return F.struct(word.alias("word"), (F.length(p) - F.length(word)).alias("gap"), F.regexp_extract(p, _BLANKS, 0).rlike(r"\n[^\n]*\n").alias("breaks"))
+
+    def spans(t: Column, p: Column) -> Column:
+        n = F.size(t)
+
+        def next_word(i: Column, k: int) -> Column:
+            """The k-th word behind the i-th, null beyond the paragraph."""
+            same = F.lit(True)
+            for j in range(1, k + 1):
+                same = same & ~F.coalesce(F.get(t, i + j)["breaks"], F.lit(True))
+            return F.when(same, F.get(t, i + k)["word"])
+
+        ends = F.filter(F.transform(t, lambda x, i: F.when(_ends(x["word"], next_word(i, 1), next_word(i, 2)), i)), lambda i: i.isNotNull())
+
+        def made(e: Column, starts: Column) -> Column:
+            def one(last: Column, k: Column) -> Column:
+                first = F.when(k == 0, F.lit(0)).otherwise(F.get(e, k - 1) + 1)
+                own = F.array_join(F.slice(p, first + 1, last - first + 1), "")
+                skip = F.get(t, first)["gap"]
+                return F.struct(own.substr(skip + 1, F.length(own)).alias("text"), (F.get(starts, first) + skip).alias("start"), (F.get(starts, first) + F.length(own) - 1).alias("end"))
+
+            return F.transform(e, one)
+
+        found = let(ends, lambda e: let(running(F.transform(p, F.length)), lambda starts: made(e, starts)))
+        return F.when(n > 0, found).otherwise(F.array().cast("array<struct<text:string,start:int,end:int>>"))
+
+    return let(pieces, lambda p: let(F.transform(p, token), lambda t: spans(t, p)))
 
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, sent, text, start, end."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentences_of(F.coalesce("text", F.lit("")))).alias("sent", "s"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentence_spans(F.col("text"))).alias("sent", "s"))
     return rows.select("doc_id", "sent", "s.text", "s.start", "s.end")
 
 
 def word_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn, pos, form, start, end of the words of conversations."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(words_of(F.coalesce("text", F.lit("")))).alias("pos", "w"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(words(F.col("text"))).alias("pos", "w"))
     return rows.select("conv_id", "turn", "pos", "w.form", "w.start", "w.end")
 
 
 def paragraph_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, pos, form: the tokens of each text; a word cut by a hyphen at a line's end is one. JVM expressions only."""
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?:[^\s-]-\n\s*|\S)+"), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+(?:(?<=[^\s-]-)\n\s*\S*)*+"), F.lit(0))
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("pos", "form"))
 
 
@@ -318,14 +312,14 @@ def tag_name(tag: Column) -> Column:
 
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, sentences, tokens: how many sentences a document has, and tokens in all of them."""
-    return sentence_split(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.size(F.regexp_extract_all("text", F.lit(r"(?:[^\s-]-\n\s*|\S)+"), F.lit(0)))).alias("tokens"))
+    return sentence_split(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.size(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))).alias("tokens"))
 
 
 def _names(values) -> str:
     return ", ".join("'" + x.replace("'", "''") + "'" for x in sorted(values))
 
 
-def _sentences_sql() -> str:
+def _sentences_sql(last: str) -> str:
     """The table of rules as SQL: a verdict for each pair of next token and mark, tests as booleans."""
     upper = r"regexp_matches({}, '^\p{{Lu}}')"
     kinds = f"""CASE WHEN a IS NULL THEN 'end' WHEN a = '.' THEN 'period' WHEN a = '--' THEN 'dash' WHEN a = '-RBR-' THEN 'bracket'
@@ -340,18 +334,39 @@ def _sentences_sql() -> str:
         ELSE bare IN ({_names(TERMINALS)}) OR NOT (bare IN ({_names(HONORIFICS)}) OR bare <> stem OR starts_with(stem, '-LBR-')
             OR (bare IN ('a.m', 'p.m') AND a IN ({_names(ZONES)})) OR ({initials} AND a <> 'The')) END"""
     part = r"""regexp_extract(w, '(?s)^(.*)([.?!])([^.?!]*)$', {})"""
-    return rf"""WITH pars AS (SELECT doc_id, generate_subscripts(p, 1) AS par, unnest(p) AS p FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:[^\n]*\S[^\n]*(?:\n|$))+') AS p FROM documents)),
-        toks AS (SELECT doc_id, par, generate_subscripts(t, 1) AS pos, unnest(t) AS w FROM (SELECT doc_id, par, regexp_extract_all(p, '(?:[^\s-]-\n\s*|\S)+') AS t FROM pars)),
-        near AS (SELECT doc_id, w, lead(w) OVER x AS a, lead(w, 2) OVER x AS b, {part.format(1)} AS stem, {part.format(2)} AS sign, {part.format(3)} AS tail FROM toks WINDOW x AS (PARTITION BY doc_id, par ORDER BY pos)),
+    blank = r"[\x09-\x0D\x20]"
+    piece = rf"{blank}*(?:[^\x09-\x0D\x20-](?:-\n[\x09\x0B-\x0D\x20]*[^\x09-\x0D\x20-])*(?:-\n[\x09\x0B-\x0D\x20]*-)?|[^\x09-\x0D\x20])+"
+    return rf"""WITH cut AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{piece}') AS p FROM documents),
+        each AS (SELECT doc_id, t, generate_subscripts(p, 1) AS pos, unnest(p) AS p FROM cut),
+        toks AS (SELECT doc_id, t, pos, w, begin, begin + len(p) - len(w) AS start, sum(br::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS par FROM (SELECT *, regexp_replace(p, '^{blank}+', '') AS w,
+            regexp_matches(regexp_extract(p, '^{blank}*'), '(?s)\n.*\n') AS br, (sum(len(p)) OVER (PARTITION BY doc_id ORDER BY pos) - len(p))::BIGINT AS begin FROM each)),
+        near AS (SELECT *, lead(w) OVER x AS a, lead(w, 2) OVER x AS b, {part.format(1)} AS stem, {part.format(2)} AS sign, {part.format(3)} AS tail FROM toks WINDOW x AS (PARTITION BY doc_id, par ORDER BY pos)),
         marked AS (SELECT *, {kinds} AS kind, CASE WHEN sign = '.' THEN 'period' ELSE 'asking' END || CASE WHEN tail = '' THEN '' ELSE '+' END AS mark, ltrim(stem, '"`{{[(' || chr(39)) AS bare FROM near),
         ruled AS (SELECT *, CASE {verdicts} END AS verdict FROM marked),
-        ended AS (SELECT doc_id, a IS NULL OR (sign <> '' AND NOT (sign = '!' AND lower(bare) = 'yahoo') AND (tail = '' OR tail IN ({_names(_TAILS)})) AND {tests}) AS ends FROM ruled)
-        SELECT doc_id, count(*) FILTER (ends) AS sentences, count(*) AS tokens FROM ended GROUP BY 1"""
-
-
+        ended AS (SELECT *, a IS NULL OR (sign <> '' AND NOT (sign = '!' AND lower(bare) = 'yahoo') AND (tail = '' OR tail IN ({_names(_TAILS)})) AND {tests}) AS ends FROM ruled),
+        placed AS (SELECT *, (sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY pos) - ends::INT)::INT AS sent FROM ended)
+        {last}"""
+
+
+_COUNTS = "SELECT doc_id, count(*) FILTER (ends) AS sentences, count(*) AS tokens FROM placed GROUP BY 1"
+_SPANS = """SELECT doc_id, sent, substring(any_value(t), min(start) + 1, max(start + len(w)) - min(start)) AS text, min(start)::INT AS start, (max(start + len(w)) - 1)::INT AS end FROM placed GROUP BY doc_id, sent"""
+_WORDS = rf"""WITH cut AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '{PIECE.replace("'", "''").replace(")*+", ")*").replace(")++", ")+")}') AS p FROM conversations),
+        each AS (SELECT conv_id, turn, generate_subscripts(p, 1) AS i, unnest(p) AS p FROM cut),
+        body AS (SELECT *, regexp_replace(p, '^[\x09-\x0D\p{{Z}}]+', '') AS w, max(CASE WHEN regexp_matches(p, '[\p{{L}}\p{{M}}\p{{N}}_]') THEN i END) OVER r AS word, coalesce(max(CASE WHEN contains(p, '.') THEN i END) OVER r, 0) AS dot
+            FROM each WINDOW r AS (PARTITION BY conv_id, turn)),
+        parts AS (SELECT *, regexp_matches(w, '{WORDY.replace("'", "''").replace(")*+", ")*")}') AS wordy, regexp_extract(w, '{ENDING.replace("'", "''")}', 1) AS base, regexp_extract(w, '{ENDING.replace("'", "''")}', 2) AS clitic,
+            len(regexp_extract(w, '{ENDING.replace("'", "''")}', 3)) AS n FROM body),
+        glue AS (SELECT *, CASE WHEN n = 0 OR n >= 3 OR (n = 1 AND i = word AND dot <= word) THEN '' ELSE '.' END AS g FROM parts),
+        forms AS (SELECT conv_id, turn, i, len(p) - len(w) AS gap, list_filter(CASE WHEN NOT wordy THEN [w] WHEN base <> '' AND clitic <> '' THEN [base, clitic || g, repeat('.', n - len(g))]
+            ELSE [base || clitic || g, repeat('.', n - len(g))] END, lambda x: x <> '') AS f FROM glue),
+        flat AS (SELECT conv_id, turn, i, gap, generate_subscripts(f, 1) AS j, unnest(f) AS form FROM forms),
+        ends AS (SELECT *, sum(len(form) + CASE WHEN j = 1 THEN gap ELSE 0 END) OVER o AS stop, row_number() OVER o - 1 AS pos FROM flat WINDOW o AS (PARTITION BY conv_id, turn ORDER BY i, j))
+        SELECT conv_id, turn, pos::INT AS pos, form, (stop - len(form))::INT AS start, (stop - 1)::INT AS end FROM ends"""
 QUERIES = {f.__name__: f for f in (sentence_split, sentence_counts, word_split, paragraph_tokens, bracket_rendering)}
 SQL: dict[str, str] = {
-    "sentence_counts": _sentences_sql(),
+    "sentence_counts": _sentences_sql(_COUNTS),
+    "sentence_split": _sentences_sql(_SPANS),
+    "word_split": _WORDS,
     "paragraph_tokens": r"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:[^\s-]-\n\s*|\S)+') AS w FROM documents)
         SELECT doc_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS form FROM t""",
     "bracket_rendering": f"""WITH {SENTENCES_SQL} SELECT doc_id, sent, array_to_string(list_transform(words, lambda w:

@@ -6,7 +6,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions.split import bracketed, ends_sentence, entities_cleaned, plain_tokens, split_by_case, split_sentences, split_words_of, tag_name
+from corpusloom.functions.lexing import split_words_of, words
+from corpusloom.functions.split import bracketed, ends_sentence, entities_cleaned, plain_tokens, sentence_spans, split_by_case, split_sentences, tag_name
 from corpusloom.operators.constraints import best_links, linearize, solve, truth
 from corpusloom.operators import training
 from corpusloom.operators.coref import every_merge, merge_search, merge_singletons, pairs, representative_grams, small_merges
@@ -279,7 +280,7 @@ def test_splitters():
         "They're (or we'd) at 5:30: see http://x.org/a:b-c!": "They 're ( or we 'd ) at 5:30 : see http://x.org/a:b-c!",
         "the Joneses' 1/2 and/or --- -5 x-y US$5 \"so\"": "the Joneses ' 1/2 and / or --- -5 x-y US $ 5 \" so \"",
         "''Oh,'' 5,6 ,7 a,b 8, U.S.'s it's. end..": "'' Oh , '' 5,6 , 7 a , b 8 , U.S. 's it 's. end. .",
-        "été café's 50% a#b":  "été café 's 50 % a #b",
+        "été café's 50% a#b":  "été café 's 50 % a # b",
         "": "", " ": "", ".": ".", "'": "'",
     }
     for text, forms in words_.items():
@@ -319,6 +320,33 @@ def test_sentence_rules_equal_their_sql(spark, tmp_path):
     assert {i: len(split_sentences(t)) for i, t in rows} == expected
 
 
+def test_spans_in_rows_equal_plain_loops(spark, tmp_path):
+    """Words and sentences of odd texts: the columns, the functions for one text, and for sentences SQL."""
+    import duckdb
+
+    rng = random.Random(6)
+    parts = ["it", "He", "Mr", "U.S", "a.m", "can't", "John's", "n't", "'s", "5", "1,000.5", "$3", "-7", "(", ")", "--", "...", ".", "..", "!", "?!", "a-b", "http://x.y/z.", "w.com/q,", "é", "日本", "a\u0301", "''", "x_y", "5:30pm",
+        "-LBR-", "-RBR-", "cut-\n", "o-\n p", "\u00a0", "\n\n", " \n \n", "\t", "The", "Yahoo!", "😀", "x'", '"', "`", "#", "##"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randrange(40))) for _ in range(700)]
+    texts += [None, "", " ", "v" * 200000, "a-" * 30000, "ab. " * 2000, "x" + "-\ny" * 3000, "a." * 30000, "1,2" * 9000]
+    rows = list(enumerate(texts))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = table.select("doc_id", words(F.col("text")).alias("w"), sentence_spans(F.col("text")).alias("s")).collect()
+    for r in found:
+        text = texts[r.doc_id] or ""
+        assert [x.asDict() for x in r.w] == split_words_of(text), text[:200]
+        assert [x.asDict() for x in r.s] == split_sentences(text), text[:200]
+        assert all(text[x.start : x.end + 1] == x.form for x in r.w) and "".join(x.form for x in r.w) == "".join(c for c in text if not (c.isspace() or c == "\u00a0"))
+    table.where("doc_id < 700").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    con.execute("CREATE VIEW conversations AS SELECT doc_id AS conv_id, 0 AS turn, text FROM documents")
+    expected = sorted(con.sql(ORACLE_SQL["sentence_split"]).fetchall())
+    assert sorted((r.doc_id, k, *s) for r in found if r.doc_id < 700 for k, s in enumerate(r.s)) == expected
+    expected = sorted(con.sql(ORACLE_SQL["word_split"]).fetchall())
+    assert sorted((r.doc_id, 0, k, *w) for r in found if r.doc_id < 700 for k, w in enumerate(r.w)) == expected
+
+
 def test_merge_search_depths():
     found = merge_search(pd.DataFrame({"doc": ["d"] * 4, "idx": range(4), "pred": [0, 1, 2, 3], "v": [1.0, 1.1, 5.0, 9.0]}))
     assert found["clusters"].tolist() == [4, 3, 2, 1] and found["spread"].iloc[1] == pytest.approx(0.1)

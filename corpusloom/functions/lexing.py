@@ -7,6 +7,7 @@ are running sums of lengths. A word's end (an enclitic, a period, an ellipsis) i
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 import regex
@@ -18,6 +19,7 @@ PROTOCOLS = ("telnet", "https", "file", "http", "nntp", "smtp")
 DOMAINS = ("museum", "travel", "aero", "arpa", "coop", "info", "jobs", "name", "biz", "com", "edu", "gov", "int", "mil", "net", "org", "pro")
 
 _SPACE, _BLACK, _LETTER = r"[\x09-\x0D\p{Z}]", r"[^\x09-\x0D\p{Z}]", r"[\p{L}\p{M}\p{N}_]"
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c in "\t\n\v\f\r" or unicodedata.category(c)[0] == "Z")
 _DOTS = r"\.*"
 #: The shapes of a word, the first that fits; `{s}` is the white space before it. Loops over groups never give back what they
 #: took, so that a word of any length needs no stack.
@@ -39,7 +41,7 @@ WORDY = rf"^[-$.]{{0,3}}{_LETTER}+(?:(?:[-'.,:/]|\.'){_LETTER}+)*+{_DOTS}$"
 #: A token of running text; one that a hyphen cuts at a line's end goes on in the next line.
 _W = r"\x09-\x0D\x20"
 TOKEN = rf"[^{_W}]+(?:(?<=[^{_W}-]-)\n[\x09\x0B-\x0D\x20]*[^{_W}]+)*+"
-_ROW = 256
+_ROW = 48
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -77,13 +79,14 @@ def words(text: Column) -> Column:
         last_word, last_dot = last(lambda x: x.rlike(_LETTER)), last(lambda x: x.contains("."))
 
         def forms(piece: Column, i: Column, final: Column) -> Column:
-            body = F.regexp_replace(piece, f"^{_SPACE}+", "")
+            body = F.ltrim(piece, F.lit(_SPACES))
             base, clitic, dots = (F.regexp_extract(body, ENDING, g) for g in (1, 2, 3))
             n = F.length(dots)
             glued = F.when((n == 0) | (n >= 3) | ((n == 1) & (i + 1 == final)), F.lit("")).otherwise(F.lit("."))
             parts = F.when((clitic != "") & (base != ""), F.array(base, F.concat(clitic, glued))).otherwise(F.array(F.concat(base, clitic, glued)))
             rest = F.repeat(F.lit("."), n - F.length(glued))
-            made = F.when(body.rlike(WORDY), F.filter(F.concat(parts, F.array(rest)), lambda x: x != "")).otherwise(F.array(body))
+            whole = ~body.contains(".") & ~body.contains("'")  # nothing to cut off
+            made = F.when(whole | ~body.rlike(WORDY), F.array(body)).otherwise(F.filter(F.concat(parts, F.array(rest)), lambda x: x != ""))
             return F.struct((F.length(piece) - F.length(body)).alias("gap"), made.alias("forms"))
 
         whole = F.when(last_dot <= last_word, last_word).otherwise(F.lit(-1))  # the last word, if no period follows it

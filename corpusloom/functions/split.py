@@ -140,7 +140,6 @@ def split_by_case(text: str | None, extents: list[tuple[int, int]] = ()) -> list
     return out
 
 
-_BLANKS = r"^[\x09-\x0D\x20]+"
 
 
 def _map(pairs: dict[str, str]) -> Column:
@@ -185,8 +184,8 @@ def sentence_spans(text: Column) -> Column:
 
     def token(p: Column) -> Column:
         """word, gap, and whether a blank line is before it."""
-        word = F.regexp_replace(p, _BLANKS, "")
-        return F.struct(word.alias("word"), (F.length(p) - F.length(word)).alias("gap"), F.regexp_extract(p, _BLANKS, 0).rlike(r"\n[^\n]*\n").alias("breaks"))
+        word = F.ltrim(p, F.lit("\t\n\v\f\r "))
+        return F.struct(word.alias("word"), (F.length(p) - F.length(word)).alias("gap"), (p.contains("\n") & p.rlike(r"^[\x09-\x0D\x20]*\n[\x09-\x0D\x20]*\n")).alias("breaks"))
 
     def spans(t: Column, p: Column) -> Column:
         n = F.size(t)

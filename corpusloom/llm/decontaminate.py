@@ -186,7 +186,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     windows: how many of the item's windows were found; edits: of the best of them; begin and end: what they span in the
     normalised text. Null, empty and very short items (under Q characters) are in no document; equal items are each
     reported; null item ids are one item. Rows of docs that repeat are each reported; null and empty texts hold nothing,
-    and of a table without rows none are. Columns other than key and text are ignored, whatever their names.
+    and of a table without rows none are. Columns other than key and text are ignored, whatever their names. Texts of any
+    length are searched whole; an item of Q characters or more is found wherever its letters stand, inside of words too.
     """
     paths = _blocks(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), block_bytes)
     gap = "\0" * (WINDOW + 4 * EDITS)
@@ -268,7 +269,8 @@ def _blocks(benchmark: DataFrame, limit: int) -> list[str]:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that hold a window of a benchmark item; a document without id is kept only if none such leaks.
 
-    Null and empty texts are kept; all columns stay as they were, repeated rows too.
+    Null and empty texts are kept; all columns stay as they were, repeated rows too; texts of any length are searched whole;
+    a table without rows gives none, and without benchmark items all rows stay.
     """
     ids = saved(find_leaks(docs, benchmark, key, text).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
     return docs.join(bounded(ids), F.col(key).eqNullSafe(F.col("_leak")), "left_anti")

@@ -260,7 +260,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Linked are documents with 100 * intersection >= 75 * union; component_id is the smallest id reachable. Null and
     empty texts are linked with nothing. Rows that repeat an id are one document: their links count together, and all of
     them are kept if the id is its component's smallest. A row without id is never linked by others and is kept unless
-    its set is that of a row with an id.
+    its set is that of a row with an id. Texts are read whole, however long: a text's set is held by one task, as 8 bytes
+    for each distinct shingle. A table without rows gives none.
     """
     found = saved(_sketches(docs, key, text), "sketches")
     classes = found.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))

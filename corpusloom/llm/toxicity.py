@@ -146,9 +146,11 @@ def score_chain(chain: list[Link], own: np.ndarray) -> list[float]:
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> list[Link]:
     """The chain for categories (name to 0/1 column of labels), fitted on at most `sample` labelled documents.
 
-    What comes to the driver is a set of 32-bit features for each of them, of one row where rows share an id.
+    What comes to the driver is a set of 32-bit features for each of them, of one row where rows share an id. Of labels that
+    share an id, each category counts by its largest value.
     """
-    own = labels.select(F.col(key).cast("long").alias("_id"), *[c.cast("int").alias(n) for n, c in categories.items()]).where("_id IS NOT NULL").dropDuplicates(["_id"])
+    own = labels.select(F.col(key).cast("long").alias("_id"), *[c.cast("int").alias(n) for n, c in categories.items()]).where("_id IS NOT NULL")
+    own = own.groupBy("_id").agg(*[F.max(n).alias(n) for n in categories])
     own = own.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text")).join(bounded(own), F.col("_doc") == F.col("_id")).select("_id", "_text", *categories.keys())
 
@@ -198,7 +200,7 @@ def rate_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """doc_id, p_low_quality, p_toxic, toxic for each row of docs.
 
     Null and empty texts have no features and get the intercepts' probability. Without labels nothing is toxic. Labels
-    without documents, repeated labels (one of them counts) and null labels are no failure. Repeated rows each have their
+    without documents, repeated labels (low quality or toxic if one of them says so) and null labels are no failure. Repeated rows each have their
     row; texts of any length are read whole; columns other than key and text are ignored, whatever their names; a table
     without rows gives none.
     """
@@ -208,7 +210,8 @@ def rate_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that are toxic, all columns as they were.
 
-    Null and empty texts are judged by the intercepts; repeated rows are judged alike and all kept or dropped.
+    Null and empty texts are judged by the intercepts; repeated rows are judged alike and all kept or dropped; texts of any
+    length are read whole; a table without rows gives none.
     """
     chain = train(docs, labels, categories(), key=key, text=text)
     model = docs.sparkSession.sparkContext.broadcast(chain)

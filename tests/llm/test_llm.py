@@ -541,6 +541,85 @@ def test_toxicity(spark):
     assert toxicity.rate_toxicity(empty(spark), label).count() == 0
 
 
+def test_repeated_labels_count_by_the_largest(spark):
+    rows = [(i, f"word{i % 7} " * 3 + ("bad1 bad2" if i % 4 == 0 else "fine")) for i in range(200)]
+    one = [(i, int(i % 3 > 0), int(i % 4 == 0)) for i in range(200)]
+    more = one + [(i, 1, 0) for i in range(200)]
+    found = [toxicity.train(docs(spark, rows), spark.createDataFrame(x, "doc_id long, quality int, toxic int").repartition(n), toxicity.categories()) for x, n in ((one, 2), (more, 1), (more, 4))]
+    for chain in found[1:]:
+        for a, b in zip(found[0], chain, strict=True):
+            assert a.hashes.tolist() == b.hashes.tolist() and a.weights.tolist() == b.weights.tolist() and a.bias == b.bias
+
+
+def plain_chain(sets, labels, folds):
+    """The chain by loops over a dense matrix: of each category the chosen features, weights, weights of earlier links and bias."""
+    n, before, chain = len(sets), [[] for _ in sets], []
+    for label in labels:
+        usable = [i for i in range(n) if label[i] in (0, 1)]
+
+        def fitted(train, label=label, before=before):
+            y = [label[i] for i in train]
+            share, chi = sum(y) / len(y), {}
+            for f in sorted(set().union(*[sets[i] for i in train])):
+                held = sum(f in sets[i] for i in train)
+                hits = sum(f in sets[i] and label[i] == 1 for i in train)
+                if toxicity.LEAST <= held <= 0.5 * len(y):
+                    chi[f] = (hits - held * share) ** 2 / max(held * share * (1 - share) * (1 - held / len(y)), 1e-9)
+            best = sorted(sorted((f for f in chi if chi[f] > 10.8), key=lambda f: (-chi[f], f))[: toxicity.FEATURES])
+            x = np.array([[f in sets[i] for f in best] for i in train], dtype=float).reshape(len(train), len(best))
+            extra = np.array([before[i] for i in train], dtype=float).reshape(len(train), len(before[0]))
+            w, u, b = np.zeros(len(best)), np.zeros(extra.shape[1]), math.log((sum(y) + 0.5) / (len(y) - sum(y) + 0.5))
+            scale = np.sqrt(x.sum(axis=0) + 0.5)
+            rate, at = 1 / max(1.0, np.sqrt(max([1.0, *(x @ (1 / scale))]))), (w, u, b)
+            for t in range(120):
+                r = np.array(y) - 1 / (1 + np.exp(-np.clip(x @ at[0] + extra @ at[1] + at[2], -30, 30)))
+                new = (at[0] + rate * 4 * (x.T @ r - 0.5 * at[0]) / scale**2, at[1] + rate * (extra.T @ r - 0.5 * at[1]) / ((extra**2).sum(axis=0) + 0.5), at[2] + rate * 4 * r.mean())
+                at = tuple(p + t / (t + 3) * (p - q) for p, q in zip(new, (w, u, b), strict=True))
+                w, u, b = new
+            return best, w, u, b
+
+        odds = []
+        for i in range(n):
+            best, w, u, b = fitted([j for j in usable if j % folds != i % folds]) if i < folds else models[i % folds]  # noqa: F821
+            if i < folds:
+                models = [(best, w, u, b)] if i == 0 else [*models, (best, w, u, b)]  # noqa: F821
+            odds.append(sum(v for f, v in zip(best, w, strict=True) if f in sets[i]) + float(np.dot(u, before[i])) + b)
+        chain.append(fitted(usable))
+        before = [[*x, min(20, max(-20, o))] for x, o in zip(before, odds, strict=True)]
+    return chain
+
+
+def test_chain_against_a_dense_matrix():
+    rng = random.Random(12)
+    texts, low, toxic = [], [], []
+    for i in range(240):
+        bad = i % 4 == 0
+        texts.append(" ".join([f"w{rng.randrange(40)}" for _ in range(12)] + (["scum"] if bad and rng.random() < 0.9 else []) + (["spam!"] if i % 3 == 0 else [])))
+        low.append(int(i % 3 == 0) if i % 11 else -1)
+        toxic.append(int(bad) if i % 13 else -1)
+    own = [toxicity.features(t) for t in texts]
+    chain = toxicity.fit_chain(np.repeat(np.arange(240), [len(x) for x in own]), np.concatenate(own), {"low": np.array(low), "toxic": np.array(toxic)})
+    expected = plain_chain([set(x.tolist()) for x in own], [low, toxic], toxicity.FOLDS)
+    for link, (best, w, u, b) in zip(chain, expected, strict=True):
+        assert link.hashes.tolist() == best and link.weights == pytest.approx(w, abs=1e-8) and link.earlier == pytest.approx(u, abs=1e-8) and link.bias == pytest.approx(b, abs=1e-8)
+    held = {f: v for f, v in zip(expected[0][0], expected[0][1], strict=True)}
+    first = sum(held.get(f, 0.0) for f in own[5].tolist()) + expected[0][3]
+    second = sum(v for f, v in zip(expected[1][0], expected[1][1], strict=True) if f in set(own[5].tolist())) + expected[1][2][0] * first + expected[1][3]
+    assert toxicity.score_chain(chain, own[5]) == pytest.approx([1 / (1 + math.exp(-first)), 1 / (1 + math.exp(-second))])
+
+
+def test_texts_of_megabytes(spark):
+    """Texts of several MB pass the searches of near-duplicates, leaks and fingerprints whole: what tells them apart stands at their end."""
+    big = " ".join(f"w{i * 7919 % 100003}" for i in range(400000))
+    rows = [(1, big), (2, big + " tail one two three"), (3, " ".join(reversed(big.split())) + " the passage of the benchmark is hidden here at the very end of all")]
+    found = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(spark, rows)).collect()}
+    assert found == {1: 1, 2: 1, 3: 3}
+    bench = spark.createDataFrame([(7, "the passage of the benchmark is hidden here at the very end")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs(spark, rows), bench).collect()} == {(3, 7)}
+    prints = [r.fingerprint for r in fingerprint.fingerprint_documents(docs(spark, rows)).orderBy("doc_id").collect()]
+    assert len(set(prints)) >= 2
+
+
 def test_fingerprints(spark):
     rows = [(k, t) for k, t in ODD if k != 6] + [(20, "alpha beta gamma delta " * 20), (21, "alpha beta gamma delta " * 20), (22, " ".join(f"w{i}" for i in range(300)))]
     found = {r.doc_id: r for r in fingerprint.fingerprint_documents(docs(spark, rows)).collect()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.shared import numbered
 from corpusloom.sources.views import MENTIONS_SQL, mentions, split_words, table
 
 
@@ -110,28 +111,19 @@ def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions(spark, sf_dir).groupBy("mtype").agg(F.round(F.corr("v", "idx"), 6).alias("r"), F.round(F.regr_slope("v", "idx"), 6).alias("slope"), F.round(F.regr_intercept("v", "idx"), 6).alias("intercept"))
 
 
-def with_index(df: DataFrame, key: str, width: int = 65536) -> DataFrame:
-    """df with idx, the gapless place by an integer key, without ordering all rows in one task.
-
-    Rows are numbered inside blocks of `width` key values; a block adds the number of rows before it.
-    """
-    block = F.floor(F.col(key) / width)
-    rows = df.withColumn("_block", block)
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
-    counts = rows.groupBy(F.col("_block").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    local = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_block").orderBy(key)) - 1)
-    return local.join(counts, F.col("_block") == F.col("_b")).withColumn("idx", F.col("_before") + F.col("_row")).drop("_block", "_b", "_before", "_row")
-
-
 def kfold(df: DataFrame, key: str, k: int = 5) -> DataFrame:
     """key, idx, sequential, kth, random: fold numbers by three strategies (the random one by a hash of the key)."""
-    rows = with_index(df.select(key), key)
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    rows = numbered(df.select(key), [key])
+    return _cut(rows, k).select(key, "idx", F.col("fold").alias("sequential"), F.pmod("idx", F.lit(k)).alias("kth"), F.pmod(F.xxhash64(key), F.lit(k)).alias("random"))
+
+
+def _cut(rows: DataFrame, k: int) -> DataFrame:
+    """rows (idx, ...) with `fold`: k runs of equal length, the first ones longer by one row if the number doesn't divide."""
+    total = rows.agg(F.count(F.lit(1)).alias("_total"))
     q, r = F.floor(F.col("_total") / k), F.col("_total") % k
     edge = r * (q + 1)
-    sequential = F.when(F.col("idx") < edge, F.floor(F.col("idx") / (q + 1))).otherwise(r + F.floor((F.col("idx") - edge) / F.greatest(q, F.lit(1))))
-    return rows.crossJoin(F.broadcast(total)).select(key, "idx", sequential.cast("long").alias("sequential"), F.pmod("idx", F.lit(k)).alias("kth"), F.pmod(F.xxhash64(key), F.lit(k)).alias("random"))
+    fold = F.when(F.col("idx") < edge, F.floor(F.col("idx") / (q + 1))).otherwise(r + F.floor((F.col("idx") - edge) / F.greatest(q, F.lit(1))))
+    return rows.crossJoin(F.broadcast(total)).withColumn("fold", fold.cast("long")).drop("_total")
 
 
 def kfold_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,21 +135,9 @@ def kfold_kth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def random_folds(df: DataFrame, key: str, k: int = 5, seed: int = 7) -> DataFrame:
-    """key, fold: contiguous folds of the rows in the order of a digest of key and seed, which any engine repeats.
-
-    Rows are numbered inside the 4096 parts that the digest's first three letters make; a part adds the rows before it.
-    """
-    rows = df.select(key, F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))).alias("_d")).withColumn("_part", F.substring("_d", 1, 3))
-    counts = rows.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counts = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(every).alias("_total"))
-    idx = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("_d", key)) - 1
-    numbered = rows.join(counts, F.col("_part") == F.col("_p")).withColumn("_idx", idx)
-    q, r = F.floor(F.col("_total") / k), F.col("_total") % k
-    edge = r * (q + 1)
-    fold = F.when(F.col("_idx") < edge, F.floor(F.col("_idx") / (q + 1))).otherwise(r + F.floor((F.col("_idx") - edge) / F.greatest(q, F.lit(1))))
-    return numbered.select(key, fold.cast("long").alias("fold"))
+    """key, fold: contiguous folds of the rows in the order of a digest of key and seed, which any engine repeats."""
+    rows = df.select(key, F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))).alias("_d"))
+    return _cut(numbered(rows, ["_d", key]), k).select(key, "fold")
 
 
 def kfold_random(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,11 +152,8 @@ def plain_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kfold_manual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folds cut by separator rows (documents over 9000 characters): the number of separators up to a row."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 9000).cast("int").alias("sep")).withColumn("_block", F.floor(F.col("doc_id") / 65536))
-    counts = rows.groupBy(F.col("_block").alias("_b")).agg(F.sum("sep").alias("_n"))
-    counts = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    local = rows.withColumn("_own", F.sum("sep").over(Window.partitionBy("_block").orderBy("doc_id")))
-    return local.join(counts, F.col("_block") == F.col("_b")).select("doc_id", (F.col("_before") + F.col("_own")).alias("fold"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce((F.col("n_chars") > 9000).cast("long"), F.lit(0)).alias("sep"))
+    return numbered(rows, ["doc_id"], "before", F.col("sep")).select("doc_id", (F.col("before") + F.col("sep")).alias("fold"))
 
 
 _GUESS = "WITH g AS (SELECT lang AS gold, CASE WHEN contains(text, ' the ') THEN 'en' WHEN contains(text, ' der ') THEN 'de' WHEN contains(text, ' les ') THEN 'fr' WHEN contains(text, ' que ') THEN 'es' ELSE 'none' END AS pred FROM documents)"

@@ -12,11 +12,13 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.evaluate import with_index
+from corpusloom.sources.readers import pre_extract
+from corpusloom.sources.shared import numbered
 from corpusloom.sources.views import split_words, table
 
 
@@ -125,7 +127,7 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """idx, doc_id, lang, quality, toxic, n_chars, features (distinct two-letter word endings) of labelled documents."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     ends = F.array_sort(F.array_distinct(F.transform(split_words(F.regexp_replace("text", "\n", " ")), lambda w: F.substring(w, -2, 2))))
-    return with_index(docs.select("doc_id", "lang", "quality", "toxic", "n_chars", ends.alias("features")), "doc_id")
+    return numbered(docs.select("doc_id", "lang", "quality", "toxic", "n_chars", ends.alias("features")), ["doc_id"])
 
 
 _WEIGHTS = "target string, feature string, weight double"
@@ -229,33 +231,138 @@ def sgd_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(train_groups(rows, "sgd", rate=0.001))
 
 
+class UnitMatrix:
+    """Units of one rule as rows of dense arrays, indexed by feature ids. Each does what a LinearUnit does, to the last digit."""
+
+    def __init__(self, units: int, width: int, rule: str, **given):
+        self.like = UNITS[rule](**given)
+        self.w = np.full((units, width), self.like.start)
+        self.touched = np.zeros((units, width), bool)
+        self.late = np.zeros((units, width) if self.like.rule == "averaged" else (0, 0))
+        self.bias, self.late_bias, self.n = np.full(units, self.like.bias), np.zeros(units), np.zeros(units)
+
+    def learn(self, ids: np.ndarray, strengths: list[float] | None, y: np.ndarray, active: np.ndarray) -> None:
+        """One example with distinct ids for the units `active`; y: a truth value or target for each of these."""
+        u, s = self.like, np.array([1.0] * len(ids) if strengths is None else strengths)
+        raw = np.array([sum(row) for row in (self.w[np.ix_(active, ids)] * s).tolist()], dtype=float) + self.bias[active]
+        if u.rule == "sgd":
+            step = u.rate * (y - raw)
+        elif u.rule == "mira":
+            sign = np.where(y != 0, 1, -1)
+            tau = np.minimum(1.0, np.maximum(0.0, (u.beta / 2 - sign * (raw - u.threshold)) / (sum((s * s).tolist()) + 1))) * u.rate
+            step = np.where(tau > 1e-9, sign * tau, 0.0)
+        else:
+            up, down = (y != 0) & (raw < u.threshold + u.positive), (y == 0) & (raw >= u.threshold - u.negative)
+            if u.rule == "winnow":
+                for on, base in ((up, u.alpha), (down, u.beta)):
+                    rows = active[on]
+                    self.w[np.ix_(rows, ids)] *= np.array([base**v for v in s.tolist()])
+                    self.bias[rows] *= base
+                    self.touched[np.ix_(rows, ids)] = True
+                self.n[active] += 1
+                return
+            step = np.where(up, u.rate, np.where(down, -u.rate, 0.0))
+        moved = (step != 0) if u.rule != "sgd" else np.ones(len(active), bool)
+        rows, step = active[moved], step[moved]
+        self.w[np.ix_(rows, ids)] += step[:, None] * s
+        self.touched[np.ix_(rows, ids)] = True
+        if u.rule == "averaged":
+            self.late[np.ix_(rows, ids)] += (self.n[rows] * step)[:, None] * s
+        self.bias[rows] += step
+        self.late_bias[rows] += self.n[rows] * step
+        self.n[active] += 1
+
+    def weights(self, row: int, target: str) -> pa.RecordBatch:
+        """target, feature_id, weight of one unit, a null id for the bias: what its predictions use of what it has touched."""
+        ids, n = np.flatnonzero(self.touched[row]), self.n[row]
+        own, bias = self.w[row, ids], self.bias[row]
+        if self.like.rule == "averaged" and n:
+            own, bias = (n * own - self.late[row, ids]) / n, (n * bias - self.late_bias[row]) / n
+        return pa.RecordBatch.from_arrays([pa.array([target] * (len(ids) + 1), pa.string()), pa.array([None, *ids.tolist()], pa.int64()), pa.array([float(bias), *own.tolist()])], names=["target", "feature_id", "weight"])
+
+
+_ID_WEIGHTS = "target string, feature_id long, weight double"
+#: What the matrix of one task may take.
+MATRIX_BYTES = 512 << 20
+
+
+def coded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (idx, features, ...) with ids in place of features, each once, and the lexicon (feature, feature_id)."""
+    ids, lexicon = pre_extract(rows.select("idx", F.array_distinct("features").alias("features")))
+    strong = rows.drop("features").join(ids.withColumnRenamed("features", "_ids"), "idx", "left")
+    return strong.withColumn("features", F.coalesce("_ids", F.array().cast("array<bigint>"))).drop("_ids"), lexicon
+
+
+def named(weights: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """target, feature, weight of weights by id; the bias has no feature."""
+    return weights.join(lexicon, "feature_id", "left").select("target", "feature", "weight")
+
+
+def train_ids(rows: DataFrame, lexicon: DataFrame, rule: str, rounds: int = 1, **given) -> DataFrame:
+    """As train_groups, over rows (target, idx, features, y) whose features are ids of the lexicon: a unit is a dense vector."""
+    width = lexicon.count()
+    strengths = F.col("strengths") if "strengths" in rows.columns else F.lit(None).cast("array<double>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, unit, only = None, None, np.array([0])
+        for batch in batches:
+            for target, ids, y, strong in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if unit is None or target != now:
+                    if unit is not None:
+                        yield unit.weights(0, now)
+                    now, unit = target, UnitMatrix(1, width, rule, **given)
+                unit.learn(np.array(ids, dtype=np.intp), strong, np.array([y]), only)
+        if unit is not None:
+            yield unit.weights(0, now)
+
+    turns = rows.select("target", "idx", "features", F.col("y").cast("double").alias("y"), strengths.alias("strengths"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("turn"))
+    made = turns.repartition("target").sortWithinPartitions("target", "turn", "idx").select("target", "features", "y", "strengths").mapInArrow(run, _ID_WEIGHTS)
+    return named(made, lexicon)
+
+
 def one_vs_all(rows: DataFrame, label: str, rule: str = "perceptron", rounds: int = 1, parts: int | None = None, **given) -> DataFrame:
     """Weights of a network: a unit for each label, made when the label is first seen, so that it misses earlier examples.
 
-    Labels are dealt over `parts` tasks, as many as there are labels but at most the shuffle partitions; each reads all
-    examples once and trains the units of its labels.
+    Features become ids of a shared lexicon, and the units of a task are rows of one matrix, so examples are sent once for each
+    matrix and not for each label. Labels are dealt over `parts` matrices, as many as MATRIX_BYTES calls for.
     """
-    n = parts or max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.select(label).distinct().count()))
+    ids, lexicon = coded(rows.select("idx", "features", F.col(label).cast("string").alias("own")))
+    width, labels = lexicon.count(), rows.select(label).distinct().count()
+    n = parts or max(1, -(-labels * width * 25 // MATRIX_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, units = None, {}
+        now, places, units = None, {}, None
         for batch in batches:
             for part, x, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if part != now:
-                    for target, unit in sorted(units.items()):
-                        yield _weights(target, unit)
-                    now, units = part, {}
-                if own is not None and own not in units and zlib.crc32(own.encode()) % n == part:
-                    units[own] = UNITS[rule](**given)
-                found = dict.fromkeys(x, 1.0)
-                for target, unit in units.items():
-                    unit.learn(found, float(target == own))
-        for target, unit in sorted(units.items()):
-            yield _weights(target, unit)
-
-    each = rows.select("idx", "features", F.col(label).cast("string").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("turn"))
+                    for target, place in sorted(places.items()):
+                        yield units.weights(place, target)
+                    now, places, units = part, {}, None
+                if own is not None and own not in places and zlib.crc32(own.encode()) % n == part:
+                    units = _widened(units, len(places), width, rule, given)
+                    places[own] = len(places)
+                if places:
+                    y = np.zeros(len(places))
+                    if own in places:
+                        y[places[own]] = 1
+                    units.learn(np.array(x, dtype=np.intp), None, y, np.arange(len(places)))
+        for target, place in sorted(places.items()):
+            yield units.weights(place, target)
+
+    each = ids.select("idx", "features", "own", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("turn"))
     each = each.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return each.repartition(n, "part").sortWithinPartitions("part", "turn", "idx").select("part", "features", "own").mapInArrow(run, _WEIGHTS)
+    return named(each.repartition(n, "part").sortWithinPartitions("part", "turn", "idx").select("part", "features", "own").mapInArrow(run, _ID_WEIGHTS), lexicon)
+
+
+def _widened(units: UnitMatrix | None, used: int, width: int, rule: str, given: dict) -> UnitMatrix:
+    """The matrix with room for one row more than the `used` ones; rows double when they run out."""
+    if units is not None and used < len(units.bias):
+        return units
+    fresh = UnitMatrix(max(4, 2 * used), width, rule, **given)
+    for name in ("w", "touched", "late", "bias", "late_bias", "n") if units is not None else ():
+        if getattr(fresh, name).size:
+            getattr(fresh, name)[:used] = getattr(units, name)[:used]
+    return fresh
 
 
 def _network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators.analysis import SQL as ANALYSIS_SQL
 from corpusloom.operators.analysis import coherence_features
 from corpusloom.operators.evaluate import kfold, random_folds
-from corpusloom.operators.learners import STEP, _shown, _train_sql, cross_validate, default_learner, examples, one_vs_all, score_rows, summary, train_groups
+from corpusloom.operators.learners import STEP, _shown, _train_sql, coded, cross_validate, default_learner, examples, one_vs_all, score_rows, summary, train_groups, train_ids
 from corpusloom.operators.learners import predict as argmax
 
 
@@ -91,11 +91,12 @@ def predictions(learner: Learner, rows: DataFrame, weights: DataFrame) -> DataFr
     return scored.select("doc_id", (F.col("score") >= threshold).cast("int").alias("prediction"))
 
 
-def train(rows: DataFrame, learners: Sequence[Learner], k: int = 0, strategy: str = "kth", alpha: float = 0.05, metric: Callable[[DataFrame], Column] | None = None) -> Trained:
+def train(rows: DataFrame, learners: Sequence[Learner], k: int = 0, strategy: str = "kth", alpha: float = 0.05, metric: Callable[[DataFrame], Column] | None = None, pre_extract: bool = False) -> Trained:
     """Trains all learners on rows (doc_id, idx and what their columns read).
 
     A learner's features may read a column `predicted_NAME` of each learner it depends on. k folds of cross-validation
-    come first for binary learners; metric: from rows (fold, hits, tested) to a column, accuracy if it isn't given.
+    come first for binary learners; metric: from rows (fold, hits, tested) to a column, accuracy if it isn't given. pre_extract: features are first replaced by
+    ids of a lexicon, and units are dense vectors; the weights are the same.
     """
     weights, summaries = {}, {}
     for learner in in_order(learners):
@@ -106,6 +107,8 @@ def train(rows: DataFrame, learners: Sequence[Learner], k: int = 0, strategy: st
             summaries[learner.name] = summary(folds if metric is None else folds.select("fold", metric(folds).alias("hits"), F.lit(1).alias("tested")), alpha)
         if learner.kind == "discrete":
             made = one_vs_all(own.withColumn("label", learner.label), "label", rule, learner.rounds, **given)
+        elif pre_extract:
+            made = train_ids(*coded(own.select("target", "idx", "features", "y")), rule, learner.rounds, **given)
         else:
             made = train_groups(own, rule, learner.rounds, **given)
         weights[learner.name] = made

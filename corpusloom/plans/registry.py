@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.functions import normalize, split
-from corpusloom.operators import analysis, bayes, constraints, coref, evaluate, extract, inference, learners, training
+from corpusloom.operators import analysis, bayes, constraints, coref, evaluate, extract, inference, intervals, learners, training
 from corpusloom.plans import features
 
-_MODULES = (extract, bayes, evaluate, coref, constraints, normalize, learners, split, features, analysis, inference, training)
+_MODULES = (extract, bayes, evaluate, coref, constraints, normalize, learners, split, features, analysis, inference, training, intervals)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.SQL.items()}
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.shared import numbered
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line, value of text files, which may be cut into splits: a line's number is its place in its split and the
@@ -115,19 +117,14 @@ def write_model_text(weights: DataFrame, path: str) -> None:
     weights.orderBy("target", "feature").write.mode("overwrite").option("sep", "\t").csv(path)
 
 
-def pre_extract(features: DataFrame, order: str = "idx", width: int = 65536) -> tuple[DataFrame, DataFrame]:
+def pre_extract(features: DataFrame, order: str = "idx") -> tuple[DataFrame, DataFrame]:
     """(examples with ids, lexicon): features of rows (idx, features) replaced by dense ids, by first appearance.
 
-    First appearances are found by a group-by and numbered inside blocks of `width` examples; a block adds the number of
-    features that first appear before it.
+    First appearances are found by a group-by and numbered over ranges of examples.
     """
     each = features.select(order, F.posexplode("features").alias("at", "feature"))
-    firsts = each.groupBy("feature").agg(F.min(F.struct(order, "at")).alias("first")).withColumn("_block", F.floor(F.col(f"first.{order}") / width))
-    counts = firsts.groupBy(F.col("_block").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
-    counts = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    local = firsts.withColumn("_row", F.row_number().over(Window.partitionBy("_block").orderBy("first")) - 1)
-    lexicon = local.join(counts, F.col("_block") == F.col("_b")).select("feature", (F.col("_before") + F.col("_row")).alias("feature_id"))
+    firsts = each.groupBy("feature").agg(F.min(F.struct(order, "at")).alias("first"))
+    lexicon = numbered(firsts, ["first"], "feature_id").select("feature", "feature_id")
     coded = each.join(lexicon, "feature").groupBy(order).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "feature_id"))), lambda x: x["feature_id"]).alias("features"))
     return coded, lexicon
 
@@ -141,13 +138,9 @@ def read_examples(examples: DataFrame, lexicon: DataFrame, order: str = "idx") -
 def read_example_lines(spark: SparkSession, path: str) -> DataFrame:
     """idx, fold, labels, features of text lines of integers `labels... | features...`; a line `-1` begins the next fold."""
     rows = lines(spark, path).select(F.col("line").alias("idx"), "value")
-    cut = rows.withColumns({"sep": (F.trim("value") == "-1").cast("int"), "_block": F.floor(F.col("idx") / 65536)})
-    counts = cut.groupBy(F.col("_block").alias("_b")).agg(F.sum("sep").alias("_n"))
-    counts = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.sum("sep").over(Window.partitionBy("_block").orderBy("idx"))
     numbers = lambda i: F.transform(F.filter(F.split(F.split("value", r"\|")[i], " "), lambda x: x != ""), lambda x: x.cast("int"))
-    made = cut.withColumn("_own", own).join(counts, F.col("_block") == F.col("_b")).where("sep = 0")
-    return made.select("idx", (F.col("_before") + F.col("_own")).alias("fold"), numbers(0).alias("labels"), numbers(1).alias("features"))
+    made = numbered(rows.withColumn("sep", (F.trim("value") == "-1").cast("long")), ["idx"], "fold", F.col("sep")).where("sep = 0")
+    return made.select("idx", "fold", numbers(0).alias("labels"), numbers(1).alias("features"))
 
 
 def to_hex(value: Column) -> Column:

@@ -12,7 +12,8 @@ from corpusloom.operators.constraints import best_links, linearize, solve, truth
 from corpusloom.operators import training
 from corpusloom.operators.coref import every_merge, merge_search, merge_singletons, pairs, representative_grams, small_merges
 from corpusloom.operators.inference import Inference, NotOptimal, Program, TooWide, assign, cnf, dnf, factored, k_best, negated, propositional, rerank, simplified
-from corpusloom.operators.learners import LinearUnit, default_learner, mux_scores, one_vs_all, predict, score_rows, t_quantile, train_groups, train_sequence
+from corpusloom.operators.intervals import adjacent, interval_join
+from corpusloom.operators.learners import LinearUnit, UnitMatrix, coded, default_learner, mux_scores, one_vs_all, predict, score_rows, t_quantile, train_groups, train_ids, train_sequence
 from corpusloom.plans import features
 from corpusloom.plans.registry import ORACLE_SQL, QUERIES
 from corpusloom.plans.spec import Classifier, extract
@@ -370,7 +371,7 @@ def test_readers(spark, tmp_path):
     assert [r.fields for r in readers.read_columns(spark, str(tmp_path / "cols")).orderBy("line").collect()] == [["a", "b"], [], ["c", "d"]]
     (tmp_path / "scores").write_text("d|m|n -1.5\n")
     assert {(r.m1, r.m2, r.positive, r.negative) for r in readers.signed_scores(readers.read_pair_scores(spark, str(tmp_path / "scores"))).collect()} == {("m", "n", 0.0, -1.5), ("n", "m", 0.0, -1.5)}
-    coded, lexicon = readers.pre_extract(spark.createDataFrame([(0, ["x", "y"]), (1, ["y", "z"]), (9, ["w", "x"])], "idx long, features array<string>"), width=4)
+    coded, lexicon = readers.pre_extract(spark.createDataFrame([(0, ["x", "y"]), (1, ["y", "z"]), (9, ["w", "x"])], "idx long, features array<string>"))
     assert {r.idx: r.features for r in coded.collect()} == {0: [0, 1], 1: [1, 2], 9: [3, 0]}
     assert {r.idx: r.features for r in readers.read_examples(coded, lexicon).collect()} == {0: ["x", "y"], 1: ["y", "z"], 9: ["w", "x"]}
     (tmp_path / "ex").write_text("1|2 3\n0|4\n-1\n1|2\n")
@@ -635,3 +636,90 @@ def test_grids_reach_every_sentence(spark):
     assert found == {("a", "click click"): 9, ("a", "X click"): 1, ("c", "X view"): 1}
     found = {(r.doc, r.gram): r["count"] for r in representative_grams(table, 3).collect()}
     assert found == {("a", "click click click"): 8, ("a", "X click click"): 1, ("a", "X X click"): 1}
+
+
+@pytest.mark.parametrize("rule", ["perceptron", "averaged", "winnow", "mira", "sgd"])
+def test_dense_units_equal_dictionaries(spark, rule):
+    """To the last digit, with strengths of any kind, by units and by tables."""
+    import numpy as np
+
+    rng = random.Random(rule)
+    names = [f"f{i}" for i in range(12)]
+    rows = []
+    for _ in range(60):
+        own = rng.sample(range(12), rng.randrange(6))
+        rows.append((own, [rng.uniform(-1.5, 1.5) if rule != "winnow" else rng.choice((1.0, 0.5, 2.0)) for _ in own], float(rng.randrange(2))))
+    plain, dense = train_sequence([({names[i]: v for i, v in zip(x, s, strict=True)}, y) for x, s, y in rows], rule), UnitMatrix(3, 12, rule)
+    for x, s, y in rows:
+        dense.learn(np.array(x, dtype=int), s, np.array([y, 1 - y]), np.array([0, 2]))
+    found = dense.weights(0, "t")
+    weights, bias = plain.averages()
+    assert dict(zip(found["feature_id"].to_pylist(), found["weight"].to_pylist(), strict=True)) == {None: bias} | {names.index(f): w for f, w in weights.items()}
+    assert dense.n.tolist() == [60, 0, 60] and not dense.touched[1].any()
+    table = spark.createDataFrame([(t, i, [names[j] for j in x], s, y) for t in ("p", "q") for i, (x, s, y) in enumerate(rows)], "target string, idx long, features array<string>, strengths array<double>, y double")
+    one = table.where("target = 'p'").drop("strengths")
+    key = lambda df: sorted((r.target, r.feature or "", r.weight) for r in df.collect())
+    assert key(train_ids(*coded(one), rule, 2)) == key(train_groups(one, rule, 2))
+
+
+def test_pre_extracted_training(spark):
+    """The driver's result is the same with ids; a network's examples are sent once for each matrix, whatever the labels."""
+    rng = random.Random(8)
+    rows = [(i, i, [rng.choice("abcdefgh") + str(rng.randrange(3)) for _ in range(rng.randrange(8))], rng.randrange(2), rng.choice(["x", "y", "z", None] if i else ["x"])) for i in range(80)]
+    table = spark.createDataFrame(rows, "doc_id long, idx long, features array<string>, good int, lang string")
+    learner = training.Learner("good", F.col("good"), lambda: F.col("features"), rule="averaged", rounds=3)
+    key = lambda df: sorted((r.target, r.feature or "", r.weight) for r in df.collect())
+    assert key(training.train(table, [learner], pre_extract=True).weights["good"]) == key(training.train(table, [learner]).weights["good"])
+    one = one_vs_all(table, "lang", rounds=2, rate=0.125)
+    assert key(one) == key(one_vs_all(table, "lang", rounds=2, parts=3, rate=0.125))
+    units = {}
+    for _ in range(2):
+        for r in rows:
+            if r[4] and r[4] not in units:
+                units[r[4]] = LinearUnit(rate=0.125)
+            for name, unit in units.items():
+                unit.learn(dict.fromkeys(r[2], 1.0), float(name == r[4]))
+    assert key(one) == sorted((t, f or "", w) for t, u in units.items() for f, w in [(None, u.bias), *u.w.items()])
+
+
+def test_numbers_over_ranges(spark, monkeypatch):
+    """Keys spread over 63 bits, ties and nulls are numbered without a gap, and one row for each range is ordered in one place."""
+    from corpusloom.sources import shared
+
+    sizes = []
+    plain = shared.range_starts
+    monkeypatch.setattr(shared, "range_starts", lambda dealt: sizes.append(plain(dealt).count()) or plain(dealt))
+    rng = random.Random(4)
+    keys = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(3000)] + [7] * 500 + [None] * 3
+    table = spark.createDataFrame([(k, i % 3) for i, k in enumerate(keys)], "key long, w int").repartition(5)
+    found = shared.numbered(table, ["key"]).collect()
+    ordered = sorted(found, key=lambda r: r.idx)
+    assert [r.idx for r in ordered] == list(range(len(keys))) and [r.key for r in ordered] == [None] * 3 + sorted(k for k in keys if k is not None)
+    summed = shared.numbered(table.where("key <> 7"), ["key"], "before", F.col("w")).collect()
+    total = 0
+    for r in sorted(summed, key=lambda r: r.key):
+        assert r.before == total
+        total += r.w
+    assert max(sizes) <= 4 and shared.numbered(table.limit(0), ["key"]).count() == 0
+
+
+def test_interval_join_equals_all_pairs(spark):
+    """Spans of all sizes, a hot document, nulls, ends before starts and repeated rows; bins of several widths."""
+    rng = random.Random(5)
+
+    def spans(n, seed):
+        out = []
+        for i in range(n):
+            s = rng.randrange(300)
+            out.append((rng.choice(["a", "a", "a", "b", None]), i, s, s + rng.choice([0, 1, 5, 40, 250])))
+        return [*out, out[0], ("a", n, None, 5), ("a", n + 1, 9, None), ("a", n + 2, 20, 10)]
+
+    one, two = spans(60, 1), spans(50, 2)
+    left, right = spark.createDataFrame(one, "doc string, x long, s int, e int"), spark.createDataFrame(two, "doc string, y long, t int, f int")
+    proper = lambda r: r[0] is not None and None not in r[2:] and r[2] <= r[3]
+    for touch, size in ((0, 32), (2, 7), (0, 1000), (10, 1)):
+        found = sorted((r.doc, r.x, r.y) for r in interval_join(left, right, ["doc"], ("s", "e"), ("t", "f"), touch, size).collect())
+        assert found == sorted((a[0], a[1], b[1]) for a in one for b in two if proper(a) and proper(b) and a[0] == b[0] and a[2] <= b[3] + touch and b[2] <= a[3] + touch)
+    near = adjacent(spark.createDataFrame([("d", 0, 9, 0), ("d", 0, 4, 0), ("d", 4, 12, 5), ("d", 13, 13, 13), ("d", 20, 21, 20)], "doc string, start int, end int, head_start int"), ["doc"], touch=1)
+    assert sorted((r.start1, r.end1, r.start2, r.end2, r.relation) for r in near.collect()) == [
+        (0, 4, 4, 12, "crosses"), (0, 9, 0, 4, "contains"), (0, 9, 4, 12, "crosses"), (4, 12, 13, 13, "touches")]

@@ -244,70 +244,6 @@ def singleton_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(scored.select("doc", "f1"), "doc")
 
 
-def merge_search(group: pd.DataFrame, width: int = 4, depth: int = 3, keep=lambda state, i, j: True, score=None) -> pd.DataFrame:
-    """Breadth-first beam over merges of two clusters that `keep` lets pass: doc, depth, clusters, spread of the best state.
-
-    The spread of values in clusters stands for their incoherence; score: another function of a state, less being better.
-    """
-    start = tuple(frozenset(x) for _, x in sorted(group.groupby("pred")["idx"]))
-    value = dict(zip(group["idx"], group["v"], strict=True))
-
-    def spread(state: tuple) -> float:
-        return score(state) if score else sum(max(value[i] for i in c) - min(value[i] for i in c) for c in state)
-
-    seen, beam, out = {frozenset(start)}, [start], []
-    for level in range(depth + 1):
-        best = min(beam, key=lambda s: (spread(s), sorted(map(min, s))))
-        out.append((group["doc"].iloc[0], level, len(best), round(spread(best), 4)))
-        following = []
-        for state in beam:
-            for i in range(len(state)):
-                for j in range(i):
-                    merged = tuple(c for k, c in enumerate(state) if k not in (i, j)) + (state[i] | state[j],)
-                    if keep(state, i, j) and frozenset(merged) not in seen:
-                        seen.add(frozenset(merged))
-                        following.append(merged)
-        if not following:
-            break
-        beam = sorted(following, key=lambda s: (spread(s), sorted(map(min, s))))[:width]
-    return pd.DataFrame(out, columns=["doc", "depth", "clusters", "spread"])
-
-
-def every_merge(group: pd.DataFrame, depth: int = 2, keep=lambda state, i, j: True) -> pd.DataFrame:
-    """As merge_search without a beam: depth first through all merges that `keep` lets pass, each state once."""
-    start = tuple(frozenset(x) for _, x in sorted(group.groupby("pred")["idx"]))
-    value = dict(zip(group["idx"], group["v"], strict=True))
-    best: dict[int, tuple[float, int]] = {}
-    seen, open_ = {frozenset(start)}, [(start, 0)]
-    while open_:
-        state, level = open_.pop()
-        found = (sum(max(value[i] for i in c) - min(value[i] for i in c) for c in state), len(state))
-        best[level] = min(best.get(level, found), found)
-        if level < depth:
-            for i in range(len(state)):
-                for j in range(i):
-                    merged = tuple(c for k, c in enumerate(state) if k not in (i, j)) + (state[i] | state[j],)
-                    if keep(state, i, j) and frozenset(merged) not in seen:
-                        seen.add(frozenset(merged))
-                        open_.append((merged, level + 1))
-    return pd.DataFrame([(group["doc"].iloc[0], level, n, round(s, 4)) for level, (s, n) in sorted(best.items())], columns=["doc", "depth", "clusters", "spread"])
-
-
-def small_merges(state: tuple, i: int, j: int) -> bool:
-    """Lets clusters of one mention merge."""
-    return len(state[i]) + len(state[j]) <= 2
-
-
-def cluster_merge_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best state of each depth among all merges of two single mentions."""
-    rows = mentions(spark, sf_dir).select("doc", "idx", "pred", "v")
-    return rows.groupBy("doc").applyInPandas(lambda group: every_merge(group, 2, small_merges), "doc string, depth int, clusters int, spread double")
-
-
-def cluster_merge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mentions(spark, sf_dir).select("doc", "idx", "pred", "v").groupBy("doc").applyInPandas(lambda group: merge_search(group), "doc string, depth int, clusters int, spread double")
-
-
 def perturbed(rows: DataFrame, rate: int = 100, fresh: int = 350) -> DataFrame:
     """doc, idx, entity: of 1000 labels `rate` are changed, of these `fresh` in 1000 to an id of their own (below 0) and the
     others to the new label of a drawn earlier mention. Draws are digests of document, place and turn; the chain of copies
@@ -333,7 +269,7 @@ _P = f"WITH {MENTIONS_SQL}, pairs AS (SELECT a.*, b.idx AS prev, b.mtype AS prev
 _C = f"WITH {MENTIONS_SQL}, g AS (SELECT doc, mtype || coalesce(' ' || lead(mtype) OVER c, '') AS gram, row_number() OVER c AS nth, count(*) OVER (PARTITION BY doc, entity) AS size FROM mentions WINDOW c AS (PARTITION BY doc, entity ORDER BY idx)), grams AS (SELECT doc, gram, count(*) AS count FROM g WHERE nth <= greatest(size - 1, 1) GROUP BY ALL)"
 _G = f"WITH {MENTIONS_SQL}, ends AS (SELECT doc, max(sent) AS last FROM mentions GROUP BY 1), cells AS (SELECT doc, entity, unnest(range(0, last + 1)) AS sent FROM (SELECT DISTINCT doc, entity FROM mentions) JOIN ends USING (doc))"
 QUERIES = {f.__name__: f for f in (mention_pairs, best_link, best_link_constrained, closest_antecedent, chain_ngrams, grid_ngrams_representative, grid_trigrams_representative,
-    grid_ngrams_full, adjacency_counts, subject_ngrams, ngram_diff_full_outer, all_chains, top_chains, singleton_merge, cluster_merge_search, cluster_merge_exhaustive,
+    grid_ngrams_full, adjacency_counts, subject_ngrams, ngram_diff_full_outer, all_chains, top_chains, singleton_merge,
     perturbed_labels)}
 _DRAW = "('0x' || substr(md5(concat_ws(':', doc, idx, {})), 1, 8))::BIGINT"
 SQL = {

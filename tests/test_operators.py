@@ -2,7 +2,6 @@ import math
 import random
 from itertools import product
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,15 +9,16 @@ from corpusloom.functions.lexing import split_words_of, words
 from corpusloom.functions.split import bracketed, ends_sentence, entities_cleaned, plain_tokens, sentence_spans, split_by_case, split_sentences, tag_name
 from corpusloom.operators.constraints import best_links, linearize, solve, truth
 from corpusloom.operators import training
-from corpusloom.operators.coref import every_merge, merge_search, merge_singletons, pairs, representative_grams, small_merges
+from corpusloom.operators.coref import merge_singletons, pairs, representative_grams
 from corpusloom.operators.inference import Inference, NotOptimal, Program, TooWide, assign, cnf, dnf, factored, k_best, negated, propositional, rerank, simplified
 from corpusloom.operators.intervals import adjacent, interval_join
 from corpusloom.operators.learners import LinearUnit, UnitMatrix, coded, default_learner, mux_scores, one_vs_all, predict, score_rows, t_quantile, train_groups, train_ids, train_sequence
+from corpusloom.operators.merging import search, single_mentions, start_states
 from corpusloom.plans import features
 from corpusloom.plans.registry import ORACLE_SQL, QUERIES
 from corpusloom.plans.spec import Classifier, extract
 from corpusloom.sources import readers
-from corpusloom.sources.views import mentions
+from corpusloom.sources.views import TYPES, mentions
 
 ROWS = [({"a": 1.0}, 1.0), ({"b": 1.0}, 0.0), ({"a": 1.0, "b": 1.0}, 1.0), ({"b": 1.0}, 0.0)]
 
@@ -348,11 +348,6 @@ def test_spans_in_rows_equal_plain_loops(spark, tmp_path):
     assert sorted((r.doc_id, 0, k, *w) for r in found if r.doc_id < 700 for k, w in enumerate(r.w)) == expected
 
 
-def test_merge_search_depths():
-    found = merge_search(pd.DataFrame({"doc": ["d"] * 4, "idx": range(4), "pred": [0, 1, 2, 3], "v": [1.0, 1.1, 5.0, 9.0]}))
-    assert found["clusters"].tolist() == [4, 3, 2, 1] and found["spread"].iloc[1] == pytest.approx(0.1)
-
-
 def test_spec(spark):
     import pyspark.sql.functions as F
 
@@ -489,21 +484,36 @@ def test_training_options(spark):
     assert manual.where("own = 3").count() == 6
 
 
-def test_every_merge():
-    group = pd.DataFrame({"doc": ["d"] * 4, "idx": range(4), "pred": [0, 1, 2, 3], "v": [1.0, 1.1, 5.0, 9.0]})
-    value, best = dict(enumerate(group["v"])), {}
-
-    def go(state, level):
-        s = round(sum(max(value[i] for i in c) - min(value[i] for i in c) for c in state), 4)
-        best[level] = min(best.get(level, s), s)
-        if level < 2:
-            for i in range(len(state)):
-                for j in range(i):
-                    go([c for k, c in enumerate(state) if k not in (i, j)] + [state[i] | state[j]], level + 1)
-
-    go([{i} for i in range(4)], 0)
-    assert every_merge(group, 2)["spread"].tolist() == [best[0], best[1], best[2]]
-    assert every_merge(group, 2, small_merges)["clusters"].tolist() == [4, 3, 2]
+def _plain_search(types, start, weights, depth, width, keep):
+    """The best (total, clusters) of each level, by loops over states as frozensets of frozensets."""
+    def worth(c):
+        t = [types[i] for i in sorted(c)]
+        return weights[len(TYPES) ** 2 + t[0]] if len(t) == 1 else sum(weights[a * len(TYPES) + b] for a, b in zip(t, t[1:], strict=False))
+
+    total = lambda s: sum(map(worth, s))
+    order = lambda s: (-total(s), sorted(map(sorted, s)))
+    beam, out = [frozenset(map(frozenset, start))], []
+    for level in range(depth + 1):
+        best = min(beam, key=order)
+        out.append((level, len(best), total(best)))
+        following = {s - {a, b} | {a | b} for s in beam for a in s for b in s if a != b and keep(a, b)}
+        if not following:
+            break
+        beam = sorted(following, key=order)[:width]
+    return out
+
+
+@pytest.mark.parametrize("width", [1, 3, None])
+def test_merge_search_equals_loops(spark, width):
+    rng = random.Random(3)
+    weights = [rng.randrange(-50, 50) for _ in range(len(TYPES) * (len(TYPES) + 1))]
+    made = {d: [(rng.randrange(len(TYPES)), rng.randrange(4)) for _ in range(n)] for d, n in (("a", 7), ("b", 6), ("c", 1), ("d", 2))}
+    rows = [(d, 10 * i, p, k) for d, own in made.items() for i, (k, p) in enumerate(own)]
+    states = start_states(spark.createDataFrame(rows, "doc string, idx int, pred long, rank long"), weights)
+    for keep, plain in ((None, lambda a, b: True), (single_mentions, lambda a, b: len(a) + len(b) == 2)):
+        found = search(states, weights, 3, width, keep).collect()
+        expected = {(d, *x) for d, own in made.items() for x in _plain_search([k for k, _ in own], [[i for i, (_, q) in enumerate(own) if q == p] for p in {p for _, p in own}], weights, 3, width, plain)}
+        assert {(r.doc, r.depth, r.clusters, r.total) for r in found} == expected and len(found) == len(expected)
 
 
 def test_every_sql_has_a_query():

@@ -326,7 +326,7 @@ class Program:
 
 
 #: Parts of more choices than this get prices.
-WIDE = 24
+WIDE = 48
 
 
 def _total(inside: dict[int, list[tuple[int, float]]], own: tuple[int, ...]) -> dict[int, float]:

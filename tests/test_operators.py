@@ -10,6 +10,7 @@ from corpusloom.functions.split import bracketed, ends_sentence, entities_cleane
 from corpusloom.operators.constraints import best_links, linearize, solve, truth
 from corpusloom.operators import training
 from corpusloom.operators.coref import merge_singletons, pairs, representative_grams
+from corpusloom.operators.grounding import at_least, at_most, for_all, ground, implies, parts, solve_parts
 from corpusloom.operators.inference import Inference, NotOptimal, Program, TooWide, assign, cnf, dnf, factored, k_best, negated, propositional, rerank, simplified
 from corpusloom.operators.intervals import adjacent, interval_join
 from corpusloom.operators.learners import LinearUnit, UnitMatrix, coded, default_learner, mux_scores, one_vs_all, predict, score_rows, t_quantile, train_groups, train_ids, train_sequence
@@ -733,3 +734,39 @@ def test_interval_join_equals_all_pairs(spark):
     near = adjacent(spark.createDataFrame([("d", 0, 9, 0), ("d", 0, 4, 0), ("d", 4, 12, 5), ("d", 13, 13, 13), ("d", 20, 21, 20)], "doc string, start int, end int, head_start int"), ["doc"], touch=1)
     assert sorted((r.start1, r.end1, r.start2, r.end2, r.relation) for r in near.collect()) == [
         (0, 4, 4, 12, "crosses"), (0, 9, 0, 4, "contains"), (0, 9, 4, 12, "crosses"), (4, 12, 13, 13, "touches")]
+
+
+def test_grounding_equals_brute_force(spark):
+    """Random rules over few literals: parts against a search of the graph, values against all assignments; a long chain, a head without a solution."""
+    rng = random.Random(7)
+    names = "abcdefg"
+    heads, pairs_ = {}, {}
+    for h in range(6):
+        heads[h] = {n: round(rng.uniform(-2, 2), 3) for n in names}
+        pairs_[h] = [(rng.choice(names), rng.choice(names), rng.randrange(3)) for _ in range(4)]
+    heads[9], pairs_[9] = {"a": 1.0, "b": 1.0}, [("a", "b", 0)]
+    worth = spark.createDataFrame([(h, n, w) for h, own in heads.items() for n, w in own.items()], "head int, literal string, worth double")
+    rows = spark.createDataFrame([(h, a, b, k) for h, own in pairs_.items() for a, b, k in own], "head int, literal string, given string, k int")
+    rules = [at_most("most", rows.where("head < 9"), ["k"]), at_least("some", rows, ["k"]), implies("if", rows.where("head < 9")), for_all("no", rows.where("head = 9"), False)]
+    clauses = ground(*rules)
+    found = solve_parts(worth, clauses).collect()
+    for h, own in heads.items():
+        groups = {k: sorted({a for a, _, q in pairs_[h] if q == k}) for _, _, k in pairs_[h]}
+        ok = lambda v: all(any(v[x] for x in g) for g in groups.values()) and (h < 9 and all(sum(v[x] for x in g) <= 1 for g in groups.values()) and all(not v[b] or v[a] for a, b, _ in pairs_[h]))  # noqa: B023, E731
+        totals = [sum(w for (n, w), x in zip(own.items(), picks, strict=True) if x) for picks in product((0, 1), repeat=len(own)) if ok(dict(zip(own, picks, strict=True)))]
+        mine = [r for r in found if r.head == h]
+        assert len(mine) == len(own)
+        if totals:
+            assert all(r.optimal for r in mine) and sum(own[r.literal] for r in mine if r.value) == pytest.approx(max(totals))
+        else:
+            assert not all(r.optimal for r in mine)
+    reach = {(h, n): {n} for h, own in pairs_.items() for p in own for n in p[:2]}
+    near = [(h, {a, b}) for h, own in pairs_.items() if h < 9 for a, b, _ in own] + [(h, {a for a, _, q in own if q == k}) for h, own in pairs_.items() for k in range(3)]
+    for _ in range(9):
+        for h, g in near:
+            for x in g:
+                reach[h, x] = set().union(reach[h, x], *[reach[h, y] for y in g])
+    got = {(r.head, r.literal): r.part for r in parts(clauses).collect()}
+    assert got == {k: min(v) for k, v in reach.items() if k in got} and {k for k in reach if k[0] < 9} <= set(got)
+    chain = spark.createDataFrame([(1, f"{i:04d}", f"{i + 1:04d}") for i in range(200)], "head int, given string, literal string")
+    assert {r.part for r in parts(implies("next", chain)).collect()} == {"0000"}

@@ -15,10 +15,13 @@ import itertools
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from corpusloom.functions.normalize import log_softmax, sigmoid, softmax
 from corpusloom.operators.constraints import linearize, truth
@@ -390,25 +393,32 @@ def assign(scores: dict, constraint: tuple, naive: bool = False) -> dict:
 
 
 def k_best(scores: dict, constraint: tuple, k: int) -> list[tuple[float, dict]]:
-    """The k assignments of the highest total score that satisfy the constraint, best first, by best-first search."""
+    """The k assignments of the highest total score that satisfy the constraint, best first, by best-first search. Totals equal to nine places
+    are ordered by the values."""
     order = sorted(scores, key=str)
     ranked = [sorted(scores[v].items(), key=lambda x: (-x[1], str(x[0]))) for v in order]
     rest = [0.0]
     for own in reversed(ranked):
         rest.append(rest[-1] + own[0][1])
     rest.reverse()
-    heap, out, serial = [(-rest[0], 0, 0.0, ())], [], itertools.count(1)
-    while heap and len(out) < k:
+    heap, out, tied, serial = [(-rest[0], 0, 0.0, ())], [], [], itertools.count(1)
+    while heap or tied:
+        if tied and (not heap or -heap[0][0] < tied[0][0] - 1e-9):  # nothing that is left is as good
+            out += sorted(tied, key=lambda x: [str(x[1][v]) for v in order])
+            tied = []
+            if len(out) >= k:
+                break
+            continue
         _, _, total, own = heapq.heappop(heap)
         values = dict(zip(order, own, strict=False))
         if truth(constraint, values) is False:
             continue
         if len(own) == len(order):
-            out.append((total, values))
+            tied.append((total, values))
             continue
         for value, score in ranked[len(own)]:
             heapq.heappush(heap, (-(total + score + rest[len(own) + 1]), next(serial), total + score, (*own, value)))
-    return out
+    return out[:k]
 
 
 def rerank(scores: dict, constraint: tuple, k: int, alpha: float, coherence: Callable[[dict], float]) -> dict:
@@ -439,15 +449,7 @@ class Inference:
         Repeated variables count once. A score that is null or no number, before or after it is normalised, is refused. Where no assignment satisfies a head's constraint, its variables have null values
         and `optimal` is false.
         """
-        own = [self.head, "learner", "object"]
-        n = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = scores.repartition(n, self.head).dropDuplicates([self.head, "learner", "object", "value"])  # the one shuffle
-        names = [x for x in self.normalisers if x != "*"]
-        value = NORMALISERS[self.normalisers.get("*", "identity")](F.col("score"), own)
-        for name in names:
-            value = F.when(F.col("learner") == name, NORMALISERS[self.normalisers[name]](F.col("score"), own)).otherwise(value)
-        rows = rows.select(self.head, "learner", "object", "value", value.cast("double").alias("score"))
-        head, constraint, naive, solver = self.head, self.constraint, self.naive, self.solver
+        constraint, naive, solver = self.constraint, self.naive, self.solver
 
         def solved(key, held: dict) -> list[tuple]:
             tree = propositional(constraint(held), held)
@@ -457,32 +459,63 @@ class Inference:
                 return [(key, a, b, None, None, False) for a, b in held]
             return [(key, a, b, v, held[a, b][v], True) for (a, b), v in found.items()]
 
+        return self._by_head(scores, solved, {"learner": "string", "object": "string", "value": "string", "score": "double", "optimal": "boolean"})
+
+    def k_best(self, scores: DataFrame, k: int) -> DataFrame:
+        """head, rank, total, values of the k assignments of the highest total score, best first; fewer where fewer satisfy the
+        constraint. values: map from `learner object` to the value."""
+        constraint = self.constraint
+
+        def ranked(key, held: dict) -> list[tuple]:
+            found = k_best(held, propositional(constraint(held), held), k)
+            return [(key, i + 1, total, [(f"{a} {b}", v) for (a, b), v in values.items()]) for i, (total, values) in enumerate(found)]
+
+        return self._by_head(scores, ranked, {"rank": "int", "total": "double", "values": "map<string,string>"})
+
+    def _by_head(self, scores: DataFrame, answer: Callable[[Any, dict], list[tuple]], columns: dict[str, str]) -> DataFrame:
+        """The answers for each head, one head after another of a sorted partition; no more than a head's scores and a batch's answers are held."""
+        own = [self.head, "learner", "object"]
+        n = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = scores.repartition(n, self.head).dropDuplicates([self.head, "learner", "object", "value"])  # the one shuffle
+        value = NORMALISERS[self.normalisers.get("*", "identity")](F.col("score"), own)
+        for name in [x for x in self.normalisers if x != "*"]:
+            value = F.when(F.col("learner") == name, NORMALISERS[self.normalisers[name]](F.col("score"), own)).otherwise(value)
+        rows = rows.select(self.head, "learner", "object", "value", value.cast("double").alias("score"))
+        names = [self.head, *columns]
+        types = [to_arrow_type(DataType.fromDDL(t)) for t in columns.values()]
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """One head after another of a sorted partition; no more than a head's scores and a batch's answers are held."""
-            key, held, made, kind = None, {}, [], None
+            key, held, kind = None, {}, None
 
-            def sent() -> pa.RecordBatch:
-                types = [kind, pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_()]
-                columns = zip(*made, strict=True) if made else [()] * 6
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[head, "learner", "object", "value", "score", "optimal"])
+            def sent(made: list[tuple]) -> pa.RecordBatch:
+                found = zip(*made, strict=True) if made else [()] * len(names)
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, [kind, *types], strict=True)], names=names)
 
             for batch in batches:
                 kind, made = batch.schema.field(0).type, []
                 for now, learner, obj, value, score in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if held and now != key:
-                        made += solved(key, held)
+                        made += answer(key, held)
                         held = {}
                     key = now
                     if score is None or math.isnan(score):
                         raise ValueError(f"no number as score of {value!r} for {learner!r}, {obj!r} of {now!r}")
                     held.setdefault((learner, obj), {})[value] = score
-                yield sent()
+                yield sent(made)
             if held:
-                made = solved(key, held)
-                yield sent()
+                yield sent(answer(key, held))
 
         ordered = rows.sortWithinPartitions(self.head, "learner", "object", "value")
-        return ordered.mapInArrow(run, f"{head} {dict(scores.dtypes)[head]}, learner string, object string, value string, score double, optimal boolean")
+        return ordered.mapInArrow(run, ", ".join([f"{self.head} {dict(scores.dtypes)[self.head]}", *[f"{c} {t}" for c, t in columns.items()]]))
+
+
+def reranked(ranked: DataFrame, head: str, coherence: Column, alpha: float) -> DataFrame:
+    """Of each head's assignments (head, rank, total, values, and what `coherence` reads), the one of the highest
+    alpha * total + (1 - alpha) * coherence, the better ranked of equals; with the columns coherence and combined."""
+    rows = ranked.withColumn("coherence", coherence.cast("double"))
+    rows = rows.withColumn("combined", alpha * F.col("total") + (1 - alpha) * F.col("coherence"))
+    best = rows.groupBy(head).agg(F.min(F.struct((-F.col("combined")).alias("c"), "rank", "total", "coherence", "combined", F.map_entries("values").alias("v"))).alias("b"))
+    return best.select(head, "b.rank", "b.total", "b.coherence", "b.combined", F.map_from_entries("b.v").alias("values"))
 
 
 _WORDS = {"de": " der ", "en": " the ", "es": " que ", "fr": " les "}
@@ -521,6 +554,30 @@ def free_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "learner", "object", "value", F.round("score", 6).alias("score"), "optimal")
 
 
+K, ALPHA = 6, 0.55
+
+
+def _large_if_english(held: dict) -> tuple:
+    """A half in English or Spanish makes a text large; a large text has a half in one of them."""
+    some = exists([("lang", "1"), ("lang", "2")], lambda h: exists(["en", "es"], lambda v: ("is", h, v)))
+    return ("iff", some, ("is", ("size", "0"), "large"))
+
+
+def k_best_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, rank, total, one, two, size of the K best assignments of each document."""
+    found = Inference("doc_id", _large_if_english).k_best(_language_scores(spark, sf_dir), K)
+    return found.select("doc_id", "rank", F.round("total", 6).alias("total"), *[F.element_at("values", F.lit(k)).alias(n) for k, n in (("lang 1", "one"), ("lang 2", "two"), ("size 0", "size"))])
+
+
+def reranked_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, rank, total, coherence, combined of the best of these by score and coherence: halves that agree, and with the stored language."""
+    found = Inference("doc_id", _large_if_english).k_best(_language_scores(spark, sf_dir), K).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    one, two = F.element_at("values", F.lit("lang 1")), F.element_at("values", F.lit("lang 2"))
+    coherence = F.when(one == two, 0.5).otherwise(0.0) + F.when(one == F.col("lang"), 0.25).otherwise(0.0) + F.when(two == F.col("lang"), 0.125).otherwise(0.0)
+    best = reranked(found, "doc_id", coherence, ALPHA)
+    return best.select("doc_id", "rank", F.round("total", 6).alias("total"), F.round("coherence", 6).alias("coherence"), F.round("combined", 6).alias("combined"))
+
+
 def constraint_satisfied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, holds: whether the best values of each variable on their own satisfy the constraint; SQL booleans."""
     rows = _language_scores(spark, sf_dir)
@@ -539,7 +596,10 @@ def _scores_sql() -> str:
 
 
 _LANG = "SELECT *, CASE WHEN learner = 'lang' THEN exp(score) / sum(exp(score)) OVER (PARTITION BY doc_id, learner, object) ELSE score END AS z FROM s"
-QUERIES = {f.__name__: f for f in (constrained_inference, free_inference, constraint_satisfied)}
+_KBEST = f"""WITH {_scores_sql()}, a AS (SELECT x.doc_id, x.value AS one, y.value AS two, z.value AS size, x.score + y.score + z.score AS total FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.learner = 'lang'
+        AND x.object = '1' AND y.learner = 'lang' AND y.object = '2' JOIN s z ON z.doc_id = x.doc_id AND z.object = '0' WHERE (x.value IN ('en', 'es') OR y.value IN ('en', 'es')) = (z.value = 'large')),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(total, 9) DESC, one, two, size) AS rank FROM a QUALIFY rank <= {K})"""
+QUERIES = {f.__name__: f for f in (constrained_inference, free_inference, constraint_satisfied, k_best_assignments, reranked_inference)}
 SQL = {
     "constrained_inference": f"""WITH {_scores_sql()}, n AS ({_LANG}),
         a AS (SELECT x.doc_id, x.value AS v1, y.value AS v2, z.value AS v0, x.z AS z1, y.z AS z2, z.z AS z0 FROM n x JOIN n y ON x.doc_id = y.doc_id AND x.learner = 'lang' AND x.object = '1' AND y.object = '2'
@@ -552,4 +612,9 @@ SQL = {
     "constraint_satisfied": f"""WITH {_scores_sql()}, b AS (SELECT doc_id, learner || object AS k, value FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, learner, object ORDER BY score DESC, value) = 1),
         w AS (SELECT doc_id, max(value) FILTER (k = 'lang1') AS a, max(value) FILTER (k = 'lang2') AS b, max(value) FILTER (k = 'size0') AS z FROM b GROUP BY 1)
         SELECT doc_id, a = b AND (a NOT IN ('en', 'es') OR z = 'large') AND (b NOT IN ('en', 'es') OR z = 'large') AS holds FROM w""",
+    "k_best_assignments": f"{_KBEST} SELECT doc_id, rank::INT AS rank, round(total, 6) AS total, one, two, size FROM r",
+    "reranked_inference": f"""{_KBEST}, c AS (SELECT doc_id, rank, total, CASE WHEN one = two THEN 0.5 ELSE 0 END + CASE WHEN one = lang THEN 0.25 ELSE 0 END + CASE WHEN two = lang THEN 0.125 ELSE 0 END AS coherence
+            FROM r JOIN documents USING (doc_id)), d AS (SELECT *, {ALPHA} * total + (1 - {ALPHA}) * coherence AS combined FROM c)
+        SELECT doc_id, rank::INT AS rank, round(total, 6) AS total, round(coherence, 6)::DOUBLE AS coherence, round(combined, 6) AS combined FROM d
+            QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(combined, 12) DESC, rank) = 1""",
 }

@@ -11,7 +11,7 @@ from corpusloom.operators.constraints import best_links, linearize, solve, truth
 from corpusloom.operators import training
 from corpusloom.operators.coref import merge_singletons, pairs, representative_grams
 from corpusloom.operators.grounding import at_least, at_most, for_all, ground, implies, parts, solve_parts
-from corpusloom.operators.inference import Inference, NotOptimal, Program, TooWide, assign, cnf, dnf, factored, k_best, negated, propositional, rerank, simplified
+from corpusloom.operators.inference import Inference, NotOptimal, Program, TooWide, assign, cnf, dnf, factored, k_best, negated, propositional, rerank, reranked, simplified
 from corpusloom.operators.intervals import adjacent, interval_join
 from corpusloom.operators.learners import LinearUnit, UnitMatrix, coded, default_learner, mux_scores, one_vs_all, predict, score_rows, t_quantile, train_groups, train_ids, train_sequence
 from corpusloom.operators.merging import search, single_mentions, start_states
@@ -770,3 +770,20 @@ def test_grounding_equals_brute_force(spark):
     assert got == {k: min(v) for k, v in reach.items() if k in got} and {k for k in reach if k[0] < 9} <= set(got)
     chain = spark.createDataFrame([(1, f"{i:04d}", f"{i + 1:04d}") for i in range(200)], "head int, given string, literal string")
     assert {r.part for r in parts(implies("next", chain)).collect()} == {"0000"}
+
+
+def test_k_best_over_a_table(spark):
+    """All assignments in order, ties by the values; reranked by a column beside them."""
+    rng = random.Random(2)
+    scores = {h: {v: {x: rng.choice((0.0, 0.25, 0.5)) for x in "pqr"} for v in ("a", "b", "c")} for h in range(4)}
+    rows = [(h, "l", v, x, s) for h, own in scores.items() for v, vals in own.items() for x, s in vals.items()]
+    rule = lambda held: ("implies", ("is", ("l", "a"), "p"), ("not", ("is", ("l", "b"), "p")))
+    found = Inference("h", rule).k_best(spark.createDataFrame(rows, "h int, learner string, object string, value string, score double"), 7)
+    combined = {}
+    for h, own in scores.items():
+        every = sorted((-sum(own[v][x] for v, x in zip("abc", picks, strict=True)), picks) for picks in product("pqr", repeat=3) if not (picks[0] == "p" and picks[1] == "p"))[:7]
+        mine = sorted((r for r in found.collect() if r.h == h), key=lambda r: r["rank"])
+        assert [(-r.total, tuple(r["values"][f"l {v}"] for v in "abc")) for r in mine] == every
+        combined[h] = max(0.3 * -t + 0.7 * (p[2] == "r") for t, p in every)
+    best = reranked(found, "h", F.when(F.element_at("values", F.lit("l c")) == "r", 1.0).otherwise(0.0), 0.3).collect()
+    assert {r.h: r.combined for r in best} == pytest.approx(combined) and all(len(r["values"]) == 3 for r in best)

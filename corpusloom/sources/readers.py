@@ -89,11 +89,21 @@ def with_predictions(mentions: DataFrame, predicted: DataFrame, on: list[str], c
     return mentions.drop(column).join(predicted.select(*on, column), on, "left")
 
 
+def tagged_body(text: Column) -> tuple[Column, Column]:
+    """The body between <TEXT> and </TEXT> without tags, and how many characters without tags are before it; in the JVM."""
+    strip = lambda c: F.regexp_replace(c, "<[^>]*>", "")
+    begin = F.instr(text, "<TEXT>")
+    after = text.substr(begin + 6, F.length(text))
+    stop = F.instr(after, "</TEXT>")
+    inside = F.when((begin > 0) & (stop > 0), after.substr(F.lit(1), stop - 1)).otherwise("")
+    return strip(inside), F.when((begin > 0) & (stop > 0), F.length(strip(text.substr(F.lit(1), begin - 1)))).otherwise(0)
+
+
 def read_tagged_text(spark: SparkSession, path: str) -> DataFrame:
-    """path, text, offset: the body between <TEXT> and </TEXT> without tags; offset counts tag-free characters before it."""
+    """path, text, offset: tagged_body of each file."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))  # a row for each document
-    strip = lambda c: F.regexp_replace(c, "<[^>]*>", "")
-    return rows.select("path", strip(F.regexp_extract("text", "(?s)<TEXT>(.*?)</TEXT>", 1)).alias("text"), F.length(strip(F.regexp_extract("text", "(?s)^(.*?)<TEXT>", 1))).alias("offset"))
+    body, offset = tagged_body(F.col("text"))
+    return rows.select("path", body.alias("text"), offset.alias("offset"))
 
 
 def align_mentions(mentions: DataFrame, words: DataFrame) -> DataFrame:

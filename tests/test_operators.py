@@ -787,3 +787,38 @@ def test_k_best_over_a_table(spark):
         combined[h] = max(0.3 * -t + 0.7 * (p[2] == "r") for t, p in every)
     best = reranked(found, "h", F.when(F.element_at("values", F.lit("l c")) == "r", 1.0).otherwise(0.0), 0.3).collect()
     assert {r.h: r.combined for r in best} == pytest.approx(combined) and all(len(r["values"]) == 3 for r in best)
+
+
+def test_records_across_every_cut(spark, tmp_path):
+    """Whatever the size of the ranges, records are read once: lines, blocks, blank lines with blanks, other line ends, no end of the last line."""
+    from corpusloom.sources import formats
+
+    class Pairs(formats.RecordSource):
+        kind, blocks, columns = "pairs", False, "key string, value string"
+
+        def rows(self, lines):
+            if "=" in lines[0]:
+                yield tuple(lines[0].split("=", 1))
+
+    text = "\n\na x\nb y\n\n  \nc\r\nd é\r\n\r\n日本 z\n\n\nlast 1\nline"
+    for name, own in (("one.txt", text), ("two.txt", ""), ("three.txt", "\n\n"), ("_hidden", "no no"), ("sub/four.txt", "k\n" * 30)):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(own.encode())
+    whole = None
+    for size in (1, 2, 3, 5, 7, 10**6):
+        with open(tmp_path / "in" / "one.txt", "rb") as file:
+            found = [r for at in range(0, len(text.encode()), size) for r in formats.records(file, at, at + size, True)]
+            lines = [r for at in range(0, len(text.encode()), size) for r in formats.records(file, at, at + size, False)]
+        assert [[x.decode() for x in r[1]] for r in found] == [["a x", "b y"], ["c", "d é"], ["日本 z"], ["last 1", "line"]]
+        assert [r[1][0].decode() for r in lines] == ["a x", "b y", "c", "d é", "日本 z", "last 1", "line"]
+        whole = whole or found
+        assert found == whole
+    formats.register(spark, Pairs)
+    for size in (4, 1000):
+        rows = spark.read.format("columns").option("rangeBytes", size).load(str(tmp_path / "in")).collect()
+        assert sorted((r.offset, r.pos, r.fields) for r in rows if r.path.endswith("one.txt")) == [(2, 0, ["a", "x"]), (2, 1, ["b", "y"]), (14, 0, ["c"]), (14, 1, ["d", "é"]), (25, 0, ["日本", "z"]), (36, 0, ["last", "1"]), (36, 1, ["line"])]
+        assert sum(r.path.endswith("four.txt") for r in rows) == 30 and not any("hidden" in r.path for r in rows)
+    (tmp_path / "p.txt").write_text("a=1\nnone\nb=2=3\n")
+    assert sorted((r.key, r.value) for r in spark.read.format("pairs").option("rangeBytes", 3).load(f"file://{tmp_path}/p.txt").collect()) == [("a", "1"), ("b", "2=3")]
+    (tmp_path / "e.txt").write_text("1 2 | 3 x 4\n\n| 5\n-1\n")
+    assert [(r.labels, r.features) for r in spark.read.format("examples").load(str(tmp_path / "e.txt")).orderBy("offset").collect()] == [([1, 2], [3, 4]), ([], [5]), ([-1], [])]

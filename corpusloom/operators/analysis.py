@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.coref import _allowed, _clusters, chain_grams, gram_difference, merged_labels, pairs, representative_grams, subject_grams
-from corpusloom.operators.evaluate import _F, _GUESS, bcubed_rows, guesses, prf, ratio
+from corpusloom.operators.coref import _allowed, _clusters, chain_grams, chased, merged_labels, nearest, pairs, representative_grams, subject_grams
+from corpusloom.operators.evaluate import _F, _GUESS, bcubed_rows, fitted, fitted_sql, guesses, prf, ratio
+from corpusloom.sources.shared import kept
 from corpusloom.sources.views import MENTIONS_SQL, WORDS_SQL, mentions, split_words, table, words
 
 
@@ -29,6 +30,22 @@ def document_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.join(places, "doc")
 
 
+def chain_places(rows: DataFrame, least: int = 5, top: int = 3) -> DataFrame:
+    """doc, place, entity, size, std, skew, kurt: moments of the relative places of a document's `top` longest chains of `least`
+    mentions or more, the earlier of equals; among these, chains of one size stand by rising deviation."""
+    length = rows.groupBy("doc").agg((F.max("idx") + 1).alias("_length"))
+    chains = rows.groupBy("doc", "entity").agg(F.count(F.lit(1)).alias("size"), F.min("idx").alias("first")).where(F.col("size") >= least)
+    order = lambda *c: F.row_number().over(Window.partitionBy("doc").orderBy(F.col("size").desc(), *c))
+    longest = chains.withColumn("_n", order("first")).where(F.col("_n") <= top).drop("_n")
+    each = rows.join(length, "doc").select("doc", "entity", (F.col("idx") / F.col("_length")).alias("at")).join(longest, ["doc", "entity"])
+    found = each.groupBy("doc", "entity", "size", "first").agg(*moments_of("at"))
+    return found.withColumn("place", order("std", "first")).select("doc", "place", "entity", "size", "std", "skew", "kurt")
+
+
+def top_chain_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain_places(mentions(spark, sf_dir))
+
+
 def company(rows: DataFrame, cluster: str, pronoun: str = "error") -> DataFrame:
     """kind, count: pronoun mentions by what stands in their cluster: nothing else, pronouns only, or other types too."""
     own = Window.partitionBy("doc", cluster)
@@ -58,14 +75,6 @@ def best_link_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged_labels(again).select("doc", "idx", F.col("pred").alias("cluster"))
 
 
-def head_word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, word, clusters: capitalised head words and the clusters that have them: the first one and all later ones.
-
-    A head is a line's first word; the line's number modulo 5 is the stand-in for its cluster."""
-    heads = words(table(spark, sf_dir, "documents")).where("pos = 0").where(F.col("form").rlike(r"^\p{Lu}"))
-    return heads.groupBy("doc_id", F.col("form").alias("word")).agg(F.count_distinct(F.pmod("sent", F.lit(5))).alias("clusters"))
-
-
 def gold_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc, matched, missing, extra of gold and predicted mentions put side by side by their place in the sentence.
 
@@ -223,12 +232,15 @@ def coherence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     trigrams, subject bigrams. Only grams whose counts differ."""
     rows = mentions(spark, sf_dir)
     copy = shuffled_copies(rows).drop("copy")
-    made = {"grid2": lambda r: representative_grams(r, 2), "grid3": lambda r: representative_grams(r, 3), "chain2": lambda r: chain_grams(r, 2), "chain3": lambda r: chain_grams(r, 3), "subject2": subject_grams}
+    keys = ("doc", "side")
+    both = kept(rows.withColumn("side", F.lit(1)).unionByName(copy.withColumn("side", F.lit(-1))), "sides")  # read once for each kind, not shuffled for either side
+    made = {"grid2": lambda r: representative_grams(r, 2, keys), "grid3": lambda r: representative_grams(r, 3, keys), "chain2": lambda r: chain_grams(r, 2, keys), "chain3": lambda r: chain_grams(r, 3, keys),
+        "subject2": lambda r: subject_grams(r, keys)}
     out = None
     for kind, of in made.items():
-        own = gram_difference(of(rows), of(copy)).select("doc", F.lit(kind).alias("kind"), "gram", "diff")
+        own = of(both).select("doc", F.lit(kind).alias("kind"), "gram", (F.col("side") * F.col("count")).alias("n"))
         out = own if out is None else out.unionByName(own)
-    return out.where("diff <> 0")
+    return out.groupBy("doc", "kind", "gram").agg(F.sum("n").alias("diff")).where("diff <> 0")
 
 
 def coherence_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,8 +301,7 @@ def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc, r, slope, intercept of the gain on the score, over a document's candidates."""
-    return candidates(mentions(spark, sf_dir)).groupBy("doc").agg(F.round(F.corr("gain", "score"), 4).alias("r"), F.round(F.regr_slope("gain", "score"), 4).alias("slope"),
-        F.round(F.regr_intercept("gain", "score"), 4).alias("intercept"))
+    return candidates(mentions(spark, sf_dir)).groupBy("doc").agg(*fitted("gain", "score", 4))
 
 
 def best_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,9 +324,9 @@ THRESHOLDS = (9.9, 9.95, 9.99)
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """threshold, precision, recall, f1: B-cubed over all documents of closest-antecedent clusters at three thresholds."""
     rows = mentions(spark, sf_dir)
-    made, out = pairs(rows), None
-    for t in THRESHOLDS:
-        found = _clusters(rows, made, t).select("doc", "idx", F.col("cluster").alias("pred"))
+    near, out = kept(nearest(pairs(rows), THRESHOLDS), "nearest"), None  # the pairs are made once for all thresholds
+    for i, t in enumerate(THRESHOLDS):
+        found = chased(rows, near.select("doc", "idx", F.col(f"link{i}").alias("link"))).select("doc", "idx", F.col("cluster").alias("pred"))
         scored = bcubed_rows(rows.select("doc", "idx", "entity").join(found, ["doc", "idx"])).select(F.lit(t).alias("threshold"), "mentions", "precision", "recall")
         out = scored if out is None else out.unionByName(scored)
     sums = out.groupBy("threshold").agg(*[(F.sum(F.col(c) * F.col("mentions")) / F.sum("mentions")).alias(c) for c in ("precision", "recall")])
@@ -401,7 +412,7 @@ def merged_sql(source: str) -> str:
         after AS (SELECT x.doc, x.idx, x.entity, x.mtype, d.p[x.idx + 1] AS pred FROM {source} x JOIN merges d USING (doc))"""
 
 
-QUERIES = {f.__name__: f for f in (document_statistics, pronoun_company, pronoun_company_merged, best_link_merged, head_word_clusters, gold_alignment, score_lookup, weighted_total,
+QUERIES = {f.__name__: f for f in (document_statistics, top_chain_moments, pronoun_company, pronoun_company_merged, best_link_merged, gold_alignment, score_lookup, weighted_total,
     typed_segment_prf, performance_table, mass_results, timing_statistics, entity_shuffle, sentence_shuffle, coherence_features, coherence_accuracy, b3_label, merge_candidates,
     merge_correlation, best_merge, coherence_pairs, threshold_sweep)}
 SQL = {
@@ -412,10 +423,13 @@ SQL = {
         places AS (SELECT doc, round(avg(place), 9) AS top_mean, round(stddev_samp(place), 9) AS top_std FROM (SELECT *, idx / (max(idx) OVER (PARTITION BY doc) + 1) AS place
             FROM mentions) JOIN longest USING (doc, entity) GROUP BY 1)
         SELECT * FROM sizes JOIN places USING (doc)""",
+    "top_chain_moments": f"""{_M}, chains AS (SELECT doc, entity, count(*) AS size, min(idx) AS first FROM mentions GROUP BY doc, entity HAVING count(*) >= 5 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY count(*) DESC, min(idx)) <= 3),
+        m AS (SELECT doc, entity, size, first, round(stddev_samp(spot), 4) AS std, round(skewness(spot), 4) + 0.0 AS skew, round(kurtosis(spot), 4) + 0.0 AS kurt
+            FROM (SELECT *, idx / (max(idx) OVER (PARTITION BY doc) + 1) AS spot FROM mentions) JOIN chains USING (doc, entity) GROUP BY ALL)
+        SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY size DESC, std, first)::INT AS place, entity, size, std, skew, kurt FROM m""",
     "pronoun_company": f"""{_M}, c AS (SELECT 'gold' AS source, mtype, count(*) OVER w AS size, count(*) FILTER (mtype <> 'error') OVER w AS others FROM mentions WINDOW w AS (PARTITION BY doc, entity)
         UNION ALL SELECT 'predicted', mtype, count(*) OVER w, count(*) FILTER (mtype <> 'error') OVER w FROM mentions WINDOW w AS (PARTITION BY doc, pred))
         SELECT source, CASE WHEN size = 1 THEN 'alone' WHEN others = 0 THEN 'pronouns' ELSE 'others' END AS kind, count(*) AS count FROM c WHERE mtype = 'error' GROUP BY ALL""",
-    "head_word_clusters": rf"WITH {WORDS_SQL} SELECT doc_id, form AS word, count(DISTINCT sent % 5) AS clusters FROM words WHERE pos = 0 AND regexp_matches(form, '^\p{{Lu}}') GROUP BY ALL",
     "gold_alignment": f"""{_M}, g AS (SELECT doc, sent, row_number() OVER (PARTITION BY doc, sent ORDER BY idx) AS at FROM mentions WHERE idx % 11 <> 0), p AS (SELECT doc, sent,
             row_number() OVER (PARTITION BY doc, sent ORDER BY idx) AS at FROM mentions WHERE idx % 7 <> 0)
         SELECT coalesce(g.doc, p.doc) AS doc, count(*) FILTER (g.at IS NOT NULL AND p.at IS NOT NULL) AS matched, count(*) FILTER (p.at IS NULL) AS missing, count(*) FILTER (g.at IS NULL) AS extra
@@ -458,7 +472,7 @@ SQL = {
         other AS (SELECT m.doc, m.entity, ids[1 + {_DRAW.format("concat_ws(':', m.doc, idx, 1, 7)")} % len(ids)] AS pred FROM mentions m JOIN ids USING (doc)),
         a AS ({_b3_sql("mentions")}), b AS ({_b3_sql("other")}) SELECT doc, a.f1 AS first, b.f1 AS second, a.f1 > b.f1 AS label FROM a JOIN b USING (doc)""",
     "merge_candidates": f"{_CANDIDATES} SELECT *, true AS by_none, size <= 2 AS by_size, gain >= 0 AS by_gain, score >= 9.9 AS by_score FROM cand",
-    "merge_correlation": f"{_CANDIDATES} SELECT doc, round(corr(gain, score), 4) AS r, round(regr_slope(gain, score), 4) AS slope, round(regr_intercept(gain, score), 4) AS intercept FROM cand GROUP BY 1",
+    "merge_correlation": f"{_CANDIDATES} SELECT doc, {fitted_sql('gain', 'score', 4)} FROM cand GROUP BY 1",
     "best_merge": f"{_CANDIDATES} SELECT doc, a, b, gain FROM cand QUALIFY row_number() OVER (PARTITION BY doc ORDER BY gain DESC, a, b) = 1",
     "singleton_merge": f"""WITH RECURSIVE {MENTIONS_SQL}, {merged_sql("mentions")}, b AS ({_b3_sql("after")}) SELECT doc, merged, bad, f1 FROM merges JOIN b USING (doc)""",
     "pronoun_company_merged": f"""WITH RECURSIVE {MENTIONS_SQL}, {merged_sql("mentions")},

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -59,7 +60,17 @@ def best_link_constrained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _clusters(rows: DataFrame, made: DataFrame, threshold: float = 9.9, best: bool = False) -> DataFrame:
     """Each mention's cluster: that of its nearest earlier partner over the threshold, or of its best one; else its own."""
-    near = _best(made).select("doc", "idx", "link") if best else made.where(F.col("score") > threshold).groupBy("doc", "idx").agg(F.max("prev").alias("link"))
+    return chased(rows, _best(made).select("doc", "idx", "link") if best else nearest(made, [threshold]).withColumnRenamed("link0", "link"))
+
+
+def nearest(made: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """doc, idx, link0, link1, ...: for each threshold the nearest earlier partner with a higher score; one group-by for all."""
+    found = made.where(F.col("score") > min(thresholds)).groupBy("doc", "idx")
+    return found.agg(*[F.max(F.when(F.col("score") > t, F.col("prev"))).alias(f"link{i}") for i, t in enumerate(thresholds)])
+
+
+def chased(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """doc, idx, cluster: where following the links (doc, idx, link) of mentions ends."""
 
     def chase(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("idx")

@@ -106,9 +106,20 @@ def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("doc", *[F.round(c, 4).alias(a) for c, a in ((F.col("mean"), "mean"), (F.col("std"), "std"), (skew, "skew"), (kurt, "kurt"))])
 
 
+def fitted(y: str, x: str, places: int) -> list[Column]:
+    """r, slope and intercept of y on x; one point lies on a level line: 1, 0 and itself."""
+    one = F.count(y) == 1
+    return [(F.round(F.when(one, single).otherwise(c), places) + F.lit(0.0)).alias(n) for n, single, c in (("r", F.lit(1.0), F.corr(y, x)), ("slope", F.lit(0.0), F.regr_slope(y, x)), ("intercept", F.max(y), F.regr_intercept(y, x)))]
+
+
+def fitted_sql(y: str, x: str, places: int) -> str:
+    return f"""round(CASE WHEN count({y}) = 1 THEN 1 ELSE corr({y}, {x}) END, {places}) + 0.0 AS r, round(CASE WHEN count({y}) = 1 THEN 0 ELSE regr_slope({y}, {x}) END, {places}) + 0.0 AS slope,
+        round(CASE WHEN count({y}) = 1 THEN max({y}) ELSE regr_intercept({y}, {x}) END, {places}) + 0.0 AS intercept"""
+
+
 def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pearson correlation, slope and intercept of value on the place in the day, by type."""
-    return mentions(spark, sf_dir).groupBy("mtype").agg(F.round(F.corr("v", "idx"), 6).alias("r"), F.round(F.regr_slope("v", "idx"), 6).alias("slope"), F.round(F.regr_intercept("v", "idx"), 6).alias("intercept"))
+    return mentions(spark, sf_dir).groupBy("mtype").agg(*fitted("v", "idx", 6))
 
 
 def kfold(df: DataFrame, key: str, k: int = 5) -> DataFrame:
@@ -183,7 +194,7 @@ SQL = {
             count(*) OVER (PARTITION BY doc, entity) AS g FROM mentions)
         SELECT mtype, count(*) AS mentions, round(avg(o / p), 6) AS precision, round(avg(o / g), 6) AS recall FROM o GROUP BY 1""",
     "moments": f"WITH {MENTIONS_SQL} SELECT doc, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(skewness(v), 4) AS skew, round(kurtosis(v), 4) AS kurt FROM mentions GROUP BY 1",
-    "correlation": f"WITH {MENTIONS_SQL} SELECT mtype, round(corr(v, idx), 6) AS r, round(regr_slope(v, idx), 6) AS slope, round(regr_intercept(v, idx), 6) AS intercept FROM mentions GROUP BY 1",
+    "correlation": f"WITH {MENTIONS_SQL} SELECT mtype, {fitted_sql('v', 'idx', 6)} FROM mentions GROUP BY 1",
     "kfold_sequential": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, ntile(5) OVER (ORDER BY doc_id) - 1 AS fold FROM documents",
     "kfold_kth": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, (row_number() OVER (ORDER BY doc_id) - 1) % 5 AS fold FROM documents",
     "kfold_random": "SELECT doc_id, ntile(5) OVER (ORDER BY md5(doc_id || ':7'), doc_id) - 1 AS fold FROM documents",

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.lexing import let, running
+from corpusloom.operators.extract import SQL as EXTRACT_SQL
+from corpusloom.operators.extract import subject_words
 from corpusloom.sources.views import table
 
 #: Places in a bin: a few words, so that most spans are in one or two.
@@ -127,6 +129,44 @@ def span_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("doc_id", F.col("kind1").alias("first"), F.col("kind2").alias("second"), "relation", (F.col("entity1") == F.col("entity2")).alias("same")).agg(F.count(F.lit(1)).alias("count"))
 
 
+def head_word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, word, clusters: capitalised words under mentions, and how many of the document's clusters have a mention over them: the
+    first one and all later ones. The cluster of a mention is its entity."""
+    texts = spoken(spark, sf_dir)
+    words_ = texts.select("doc_id", F.explode("words").alias("x")).select("doc_id", F.col("x.start").alias("word_start"), F.col("x.end").alias("word_end"), F.col("x.form").alias("word"))
+    over = interval_join(span_mentions(texts), words_.where(F.col("word").rlike(r"^\p{Lu}")), ["doc_id"], ("start", "end"), ("word_start", "word_end"))
+    return over.groupBy("doc_id", "word").agg(F.count_distinct("entity").alias("clusters"))
+
+
+def subject_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n, gram, count: kinds of the subjects of n lines in a row, n being 2 and 3 but no more than the lines, and whether all have the first one's entity.
+
+    A line's subject is the most specific kind, the first of equals, among its words that look like subjects and have a capital; lines without one
+    break the row, so that a row counts wherever all its lines have one.
+    """
+    form = F.col("form")
+    kinds = F.when(F.length(form) <= 3, "PRO").when(F.length(form) <= 6, "NOM").otherwise("NAM")
+    rank = F.array_position(F.array(F.lit("NAM"), F.lit("NOM"), F.lit("PRO")), kinds)
+    rows = subject_words(spark, sf_dir).where(form.rlike(r"^\p{Lu}")).groupBy("doc_id", "sent").agg(F.min(F.struct(rank.alias("rank"), "pos", kinds.alias("kind"), F.lower(F.substring(form, 1, 2)).alias("entity"))).alias("s"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("lines"))
+    after = Window.partitionBy("doc_id").orderBy("sent")
+    rows = rows.join(lines, "doc_id").select("doc_id", "sent", "s", "lines", *[F.lead(F.struct("sent", "s"), k).over(after).alias(f"n{k}") for k in (1, 2)])
+
+    def row(n: Column, k: int) -> Column:
+        """The gram of k lines where all have subjects, as that of n."""
+        there = F.lit(True)
+        for i in range(1, k):
+            there = there & F.coalesce(F.col(f"n{i}.sent") == F.col("sent") + i, F.lit(False))
+        same = F.lit(True)
+        for i in range(1, k):
+            same = same & (F.col(f"n{i}.s.entity") == F.col("s.entity"))
+        gram = F.concat(F.concat_ws("-", "s.kind", *[F.col(f"n{i}.s.kind") for i in range(1, k)]), F.when(same, "|+").otherwise("|-"))
+        return F.when(there, F.struct(n.alias("n"), gram.alias("gram")))
+
+    grams = [F.when(F.col("lines") >= n, row(F.lit(n), n)).when(F.col("lines") == 1, row(F.lit(n), 1)).when(F.col("lines") == 2, row(F.lit(n), 2)) for n in (2, 3)]
+    return rows.select("doc_id", F.explode(F.array_compact(F.array(*grams))).alias("g")).groupBy("doc_id", "g.n", "g.gram").agg(F.count(F.lit(1)).alias("count"))
+
+
 def _placed_sql(name: str, separator: str) -> str:
     """doc_id, i (from 0), form, s, e of a text's pieces."""
     return f"""{name}_cut AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[{separator}]*[^{separator}]+') AS p FROM documents),
@@ -137,8 +177,19 @@ def _placed_sql(name: str, separator: str) -> str:
 _MENTIONS = f"""WITH {_placed_sql("words", " \\n")}, sizes AS (SELECT doc_id, max(i) AS top FROM words GROUP BY 1),
     m AS (SELECT x.doc_id, x.s AS hs, a.s AS s, b.e AS e, CASE WHEN len(x.form) <= 3 THEN 'PRO' WHEN len(x.form) <= 6 THEN 'NOM' ELSE 'NAM' END AS kind, lower(left(x.form, 2)) AS entity
         FROM words x JOIN sizes z USING (doc_id) JOIN words a ON a.doc_id = x.doc_id AND a.i = x.i - x.i % 3 JOIN words b ON b.doc_id = x.doc_id AND b.i = least(x.i + x.i % 4, top) WHERE regexp_matches(x.form, '^\\p{{Lu}}'))"""
-QUERIES = {f.__name__: f for f in (mention_alignment, span_adjacency)}
+_SUBJECTS = EXTRACT_SQL["subject_words"]
+QUERIES = {f.__name__: f for f in (mention_alignment, span_adjacency, head_word_clusters, subject_sequences)}
 SQL = {
+    "head_word_clusters": f"""{_MENTIONS} SELECT m.doc_id, w.form AS word, count(DISTINCT m.entity) AS clusters FROM m JOIN words w ON w.doc_id = m.doc_id AND w.s <= m.e AND m.s <= w.e
+        WHERE regexp_matches(w.form, '^\\p{{Lu}}') GROUP BY ALL""",
+    "subject_sequences": f"""WITH t AS ({_SUBJECTS}), k AS (SELECT doc_id, sent, CASE WHEN len(form) <= 3 THEN 'PRO' WHEN len(form) <= 6 THEN 'NOM' ELSE 'NAM' END AS kind, lower(left(form, 2)) AS entity, pos FROM t
+            WHERE regexp_matches(form, '^\\p{{Lu}}')),
+        s AS (SELECT doc_id, sent, kind, entity, least(lines, 2) AS two, least(lines, 3) AS three FROM k JOIN (SELECT doc_id, len(string_split(text, chr(10))) AS lines FROM documents) USING (doc_id)
+            QUALIFY row_number() OVER (PARTITION BY doc_id, sent ORDER BY list_position(['NAM', 'NOM', 'PRO'], kind), pos) = 1),
+        g AS (SELECT a.doc_id, n, CASE WHEN size = 1 THEN a.kind || '|+' WHEN size = 2 THEN a.kind || '-' || b.kind || CASE WHEN a.entity = b.entity THEN '|+' ELSE '|-' END
+                ELSE a.kind || '-' || b.kind || '-' || c.kind || CASE WHEN a.entity = b.entity AND a.entity = c.entity THEN '|+' ELSE '|-' END END AS gram
+            FROM (SELECT *, 2 AS n, two AS size FROM s UNION ALL SELECT *, 3, three FROM s) a LEFT JOIN s b ON b.doc_id = a.doc_id AND b.sent = a.sent + 1 LEFT JOIN s c ON c.doc_id = a.doc_id AND c.sent = a.sent + 2)
+        SELECT doc_id, n::INT AS n, gram, count(*) AS count FROM g WHERE gram IS NOT NULL GROUP BY ALL""",
     "mention_alignment": f"""{_MENTIONS}, {_placed_sql("lines", "\\n")}
         SELECT doc_id, hs AS head_start, s AS start, e AS "end", (SELECT min(w.i) FROM words w WHERE w.doc_id = m.doc_id AND w.s <= hs AND hs <= w.e)::INT AS word,
             (SELECT min(l.i) FROM lines l WHERE l.doc_id = m.doc_id AND l.s <= m.s AND m.s <= l.e)::INT AS sentence, (SELECT min(w.i) FROM words w WHERE w.doc_id = m.doc_id AND w.s <= m.e AND m.s <= w.e)::INT AS first,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.lexing import let
 from corpusloom.operators.analysis import candidates
+from corpusloom.operators.evaluate import fitted, fitted_sql
 from corpusloom.operators.training import SQL as TRAINING_SQL
 from corpusloom.operators.training import coherence_learner
 from corpusloom.sources.shared import kept
@@ -115,7 +116,7 @@ def merge_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda ids: worth(F.col("types"), ids, weights)
     change = let(F.array_sort(F.concat("a_ids", "b_ids")), of) - of(F.col("a_ids")) - of(F.col("b_ids"))
     made = pairs.select("doc", "gain", (change / 1_000_000).alias("change"))
-    return made.groupBy("doc").agg(F.count(F.lit(1)).alias("merges"), F.round(F.corr("gain", "change"), 4).alias("r"), F.round(F.regr_slope("gain", "change"), 4).alias("slope"), F.round(F.regr_intercept("gain", "change"), 4).alias("intercept"))
+    return made.groupBy("doc").agg(F.count(F.lit(1)).alias("merges"), *fitted("gain", "change", 4))
 
 
 def _worth_sql(ids: str) -> str:
@@ -147,7 +148,7 @@ def _coherence_sql() -> str:
 
     made = f"""SELECT cand.doc, gain, ({_worth_sql("j")} - {_worth_sql("x")} - {_worth_sql("y")}) / 1000000 AS change
         FROM (SELECT cand.*, p.ids AS x, q.ids AS y, list_sort(list_concat(p.ids, q.ids)) AS j FROM cand JOIN lists p ON p.doc = cand.doc AND p.pred = a JOIN lists q ON q.doc = cand.doc AND q.pred = b) cand JOIN docs USING (doc), table_"""
-    return f"""{_START}, cells AS{_CANDIDATES.split(", cells AS", 1)[1]} SELECT doc, count(*) AS merges, round(corr(gain, change), 4) AS r, round(regr_slope(gain, change), 4) AS slope, round(regr_intercept(gain, change), 4) AS intercept FROM ({made}) GROUP BY 1"""
+    return f"""{_START}, cells AS{_CANDIDATES.split(", cells AS", 1)[1]} SELECT doc, count(*) AS merges, {fitted_sql("gain", "change", 4)} FROM ({made}) GROUP BY 1"""
 
 
 QUERIES = {f.__name__: f for f in (cluster_merge_search, cluster_merge_exhaustive, merge_coherence)}

@@ -228,20 +228,23 @@ def generator_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """l_orderkey, l_linenumber, ids: all features of a line in order."""
-    made = in_order(union(*[F.col(x) for x in ("tax", "both", "state", "amount", "flag")]))
-    return _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", F.array_join(F.transform(made, lambda f: f["id"]), ",").alias("ids"))
+    """l_orderkey, l_linenumber, ids: the features that a line has, in order; which it has goes by its number and amounts."""
+    has = {"tax": F.col("l_linenumber") % 3 == 0, "both": F.col("strength") > 25, "state": F.col("l_linenumber") % 2 == 0, "amount": F.col("strength") % 2 == 0, "flag": F.lit(True)}
+    made = in_order(union(*[F.when(test, F.col(x)).otherwise(F.slice(x, 1, 0)) for x, test in has.items()]))
+    return _lines(spark, sf_dir).withColumn("strength", F.get("amount", F.lit(0))["strength"]).select("l_orderkey", "l_linenumber", F.array_join(F.transform(made, lambda f: f["id"]), ",").alias("ids"))
 
 
 def feature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Set algebra and bag equality of the word features of conversation turns and of the turn before."""
+    """Set algebra of the word features of conversation turns and of the turn before; same_bag: whether a turn stays the same bag, in
+    any order, when its last word gives way to its first."""
     from pyspark.sql import Window
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(F.filter(F.split("text", " "), lambda w: w != "")).alias("w"))
     rows = rows.withColumn("p", F.coalesce(F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn")), F.array().cast("array<string>")))
     a, b = F.transform("w", lambda x: discrete("w", x)[0]), F.transform("p", lambda x: discrete("w", x)[0])
     return rows.select("conv_id", "turn", F.size(common(a, b)).alias("n_common"), F.size(rest(a, b)).alias("n_rest"), holds_all(a, b).alias("holds_all"), equal_bags(a,
-        F.reverse(a)).alias("same_bag"), F.size(union(a, b)).alias("n_union"))
+        F.reverse(F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, F.lit(1), F.when(F.col("turn") % 2 == 0, F.least(F.size(a), F.lit(1))).otherwise(0)),
+            F.when(F.col("turn") % 2 == 1, F.slice(a, F.greatest(F.size(a), F.lit(1)), F.lit(1))).otherwise(F.slice(a, 1, 0))))).alias("same_bag"), F.size(union(a, b)).alias("n_union"))
 
 
 def feature_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,11 +283,12 @@ SQL = {
         *[_f("'s:both'", strength=_BOTH[i], at=str(i), length="2") for i in (0, 1)],
         _f("'q:flag'", "l_returnflag", place="list_position(['A', 'N', 'R'], l_returnflag) - 1", total="3"),
     ]),
-    "feature_order": "SELECT l_orderkey, l_linenumber, 'flag,state,both,both,amount,tax' AS ids FROM lineitem",
+    "feature_order": """SELECT l_orderkey, l_linenumber, 'flag' || CASE WHEN l_linenumber % 2 = 0 THEN ',state' ELSE '' END || CASE WHEN l_quantity > 25 THEN ',both,both' ELSE '' END ||
+        CASE WHEN l_quantity % 2 = 0 THEN ',amount' ELSE '' END || CASE WHEN l_linenumber % 3 = 0 THEN ',tax' ELSE '' END AS ids FROM lineitem""",
     "feature_sets": """WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split(text, ' '), lambda w: w <> '')) AS w FROM conversations),
         u AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY conv_id ORDER BY turn), []) AS p FROM t)
         SELECT conv_id, turn, len(list_intersect(w, p)) AS n_common, len(list_filter(w, lambda x: NOT list_contains(p, x))) AS n_rest, len(list_filter(p,
-            lambda x: NOT list_contains(w, x))) = 0 AS holds_all, true AS same_bag, len(w) + len(p) AS n_union FROM u""",
+            lambda x: NOT list_contains(w, x))) = 0 AS holds_all, turn % 2 = 1 OR len(w) <= 1 AS same_bag, len(w) + len(p) AS n_union FROM u""",
     "feature_dot": f"""WITH {WORDS_SQL}, c AS (SELECT doc_id, form, count(*) AS n FROM words GROUP BY ALL), d AS (SELECT a.doc_id, sum(a.n * b.n) AS dot FROM c a
             JOIN c b ON b.doc_id = a.doc_id + 1 AND a.form = b.form GROUP BY 1)
         SELECT doc_id, coalesce(dot, 0)::DOUBLE AS dot FROM (SELECT DISTINCT doc_id FROM c) LEFT JOIN d USING (doc_id)""",

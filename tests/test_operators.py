@@ -822,3 +822,16 @@ def test_records_across_every_cut(spark, tmp_path):
     assert sorted((r.key, r.value) for r in spark.read.format("pairs").option("rangeBytes", 3).load(f"file://{tmp_path}/p.txt").collect()) == [("a", "1"), ("b", "2=3")]
     (tmp_path / "e.txt").write_text("1 2 | 3 x 4\n\n| 5\n-1\n")
     assert [(r.labels, r.features) for r in spark.read.format("examples").load(str(tmp_path / "e.txt")).orderBy("offset").collect()] == [([1, 2], [3, 4]), ([], [5]), ([-1], [])]
+
+
+def test_small_statistics(spark):
+    """A line through one point; chains of one size stand by deviation, chosen by where they begin."""
+    from corpusloom.operators.analysis import chain_places
+    from corpusloom.operators.evaluate import fitted
+
+    rows = spark.createDataFrame([("one", 3.0, 7.0), ("two", 1.0, 2.0), ("two", 2.0, 4.0), ("flat", 1.0, 5.0), ("flat", 1.0, 6.0)], "k string, x double, y double")
+    found = {r.k: (r.r, r.slope, r.intercept) for r in rows.groupBy("k").agg(*fitted("y", "x", 6)).collect()}
+    assert found["one"] == (1.0, 0.0, 7.0) and found["two"] == (1.0, 2.0, 0.0) and found["flat"] == (None, None, None)
+    chains = {"a": [0, 20, 40, 60, 80], "b": [1, 2, 3, 4, 5], "c": [6, 7, 9, 11, 12], "d": [30, 31, 32, 33, 34], "e": [50, 51, 52, 53, 54, 55], "f": [70, 71, 72, 73]}
+    table = spark.createDataFrame([("d", i, e) for e, own in chains.items() for i in own] + [("none", 0, "x")], "doc string, idx int, entity string")
+    assert [(r.entity, r["size"]) for r in chain_places(table).orderBy("place").collect()] == [("e", 6), ("b", 5), ("a", 5)]

@@ -107,9 +107,10 @@ def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fitted(y: str, x: str, places: int) -> list[Column]:
-    """r, slope and intercept of y on x; one point lies on a level line: 1, 0 and itself."""
+    """r, slope and intercept of y on x; one point lies on a level line: 1, 0 and itself; null where x or, for r, y is
+    the same at several points."""
     one = F.count(y) == 1
-    return [(F.round(F.when(one, single).otherwise(c), places) + F.lit(0.0)).alias(n) for n, single, c in (("r", F.lit(1.0), F.corr(y, x)), ("slope", F.lit(0.0), F.regr_slope(y, x)), ("intercept", F.max(y), F.regr_intercept(y, x)))]
+    return [(F.round(F.when(one, single).otherwise(c), places) + F.lit(0.0)).alias(n) for n, single, c in (("r", F.lit(1.0), F.try_divide(F.covar_pop(y, x), F.sqrt(F.var_pop(y) * F.var_pop(x)))), ("slope", F.lit(0.0), F.regr_slope(y, x)), ("intercept", F.max(y), F.regr_intercept(y, x)))]
 
 
 def fitted_sql(y: str, x: str, places: int) -> str:

@@ -835,3 +835,19 @@ def test_small_statistics(spark):
     chains = {"a": [0, 20, 40, 60, 80], "b": [1, 2, 3, 4, 5], "c": [6, 7, 9, 11, 12], "d": [30, 31, 32, 33, 34], "e": [50, 51, 52, 53, 54, 55], "f": [70, 71, 72, 73]}
     table = spark.createDataFrame([("d", i, e) for e, own in chains.items() for i in own] + [("none", 0, "x")], "doc string, idx int, entity string")
     assert [(r.entity, r["size"]) for r in chain_places(table).orderBy("place").collect()] == [("e", 6), ("b", 5), ("a", 5)]
+
+
+def test_registered_generators(spark):
+    """By name, as a list and as a table in a lateral join; unknown names are refused, and no join is planned."""
+    from corpusloom.plans import catalog
+
+    catalog.register(spark, catalog.Generator("sizes", {"a": "INT", "xs": "ARRAY<DOUBLE>"}, {"big": "CASE WHEN a > 1 THEN 'yes' END", "seen": None, "all": "xs"}, arrays=["all"]))
+    rows = spark.createDataFrame([(1, 1, [0.5]), (2, 2, [1.0, 2.0]), (3, None, None)], "k int, a int, xs array<double>")
+    expected = [(1, "sizes:all", None, 0.5), (1, "sizes:seen", "true", 1.0), (2, "sizes:all", None, 1.0), (2, "sizes:all", None, 2.0), (2, "sizes:big", "yes", 1.0), (2, "sizes:seen", "true", 1.0)]
+    found = catalog.applied(rows.where("k < 3"), ["k"], {"sizes": ["a", "xs"]})
+    assert sorted((r.k, r.id, r.value, r.strength) for r in found.collect()) == expected
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    rows.createOrReplaceTempView("few")
+    assert sorted((r.k, r.id, r.value, r.strength) for r in spark.sql("SELECT k, f.* FROM few, LATERAL sizes(a, xs) f WHERE k < 3").collect()) == expected
+    with pytest.raises(LookupError):
+        catalog.applied(rows, ["k"], {"nothing": ["a"]})

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.functions import normalize, split
 from corpusloom.operators import analysis, bayes, constraints, coref, evaluate, extract, grounding, inference, intervals, learners, merging, training
 from corpusloom.plans import catalog, features, files
+from corpusloom.streaming import online
 
-_MODULES = (extract, bayes, evaluate, coref, constraints, normalize, learners, split, features, analysis, inference, training, intervals, merging, grounding, files, catalog)
+_MODULES = (extract, bayes, evaluate, coref, constraints, normalize, learners, split, features, analysis, inference, training, intervals, merging, grounding, files, catalog, online)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.SQL.items()}
 

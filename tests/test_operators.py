@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from itertools import product
 
 import pytest
@@ -851,3 +852,23 @@ def test_registered_generators(spark):
     assert sorted((r.k, r.id, r.value, r.strength) for r in spark.sql("SELECT k, f.* FROM few, LATERAL sizes(a, xs) f WHERE k < 3").collect()) == expected
     with pytest.raises(LookupError):
         catalog.applied(rows, ["k"], {"nothing": ["a"]})
+
+
+def test_versions_of_a_stream(spark, tmp_path):
+    """A batch that comes again changes neither counts by batch nor a unit; the end equals training at once."""
+    from corpusloom.streaming.online import latest, run_to_end, versioned_learner
+
+    schema = "target string, idx long, features array<string>, y double"
+    rows = [(t, i, list(x), y) for t in ("t", "u") for i, (x, y) in enumerate(ROWS)]
+    batches = [[r for r in rows if r[1] < 2], [r for r in rows if r[1] < 2], [r for r in rows if r[1] >= 1], [r for r in rows if r[0] == "t"]]
+    for own in batches:
+        spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken by age
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    made = run_to_end(versioned_learner(stream), "versions")
+    unit = train_sequence(ROWS, "perceptron")
+    last = latest(made, ["target"], "version").collect()
+    for target in ("t", "u"):
+        assert {r.feature: r.weight for r in last if r.target == target} == pytest.approx({None: unit.bias, **unit.w})
+    assert {(r.target, r.version) for r in made.select("target", "version").distinct().collect()} == {("t", 1), ("t", 3), ("u", 1), ("u", 3)}
+    assert made.groupBy("target", "version", "feature").count().where("count > 1").isEmpty()

@@ -70,19 +70,23 @@ def search(states: DataFrame, weights: list[int], depth: int, width: int | None
 
     Ties go to the smaller clusters in the order of their lists. Each level is kept in the shared folder.
     """
-    best = lambda level, d: level.groupBy("doc").agg(F.min(F.struct((-F.col("total")).alias("t"), F.size("clusters").alias("n"))).alias("b")).select("doc", F.lit(d).alias("depth"),
-        F.col("b.n").alias("clusters"), (-F.col("b.t")).alias("total"))
     level = kept(states, "states")
-    out = best(level, 0)
+    out = _best(level, 0)
     for d in range(1, depth + 1):
         found = merges(level, weights, keep)
         if width is not None:
             found = found.withColumn("_place", F.row_number().over(Window.partitionBy("doc").orderBy(F.col("total").desc(), "clusters"))).where(F.col("_place") <= width).drop("_place")
         level = kept(found, "states")
-        out = out.unionByName(best(level, d))
+        out = out.unionByName(_best(level, d))
     return out
 
 
+def _best(level: DataFrame, depth: int) -> DataFrame:
+    """doc, depth, clusters, total of the most coherent state of each document."""
+    top = level.groupBy("doc").agg(F.min(F.struct((-F.col("total")).alias("t"), F.size("clusters").alias("n"))).alias("b"))
+    return top.select("doc", F.lit(depth).alias("depth"), F.col("b.n").alias("clusters"), (-F.col("b.t")).alias("total"))
+
+
 def single_mentions() -> Column:
     """Merges of two single mentions."""
     return F.col("size") <= 2

@@ -215,15 +215,15 @@ def sentence_spans(text: Column) -> Column:
 
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, sent, text, start, end."""
+    """doc_id, sent, text, start, stop (inclusive)."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentence_spans(F.col("text"))).alias("sent", "s"))
-    return rows.select("doc_id", "sent", "s.text", "s.start", "s.end")
+    return rows.select("doc_id", "sent", "s.text", "s.start", F.col("s.end").alias("stop"))
 
 
 def word_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, turn, pos, form, start, end of the words of conversations."""
+    """conv_id, turn, pos, form, start, stop (inclusive) of the words of conversations."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(words(F.col("text"))).alias("pos", "w"))
-    return rows.select("conv_id", "turn", "pos", "w.form", "w.start", "w.end")
+    return rows.select("conv_id", "turn", "pos", "w.form", "w.start", F.col("w.end").alias("stop"))
 
 
 def paragraph_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,7 +348,7 @@ def _sentences_sql(last: str) -> str:
 
 
 _COUNTS = "SELECT doc_id, count(*) FILTER (ends) AS sentences, count(*) AS tokens FROM placed GROUP BY 1"
-_SPANS = """SELECT doc_id, sent, substring(any_value(t), min(start) + 1, max(start + len(w)) - min(start)) AS text, min(start)::INT AS start, (max(start + len(w)) - 1)::INT AS end FROM placed GROUP BY doc_id, sent"""
+_SPANS = """SELECT doc_id, sent, substring(any_value(t), min(start) + 1, max(start + len(w)) - min(start)) AS text, min(start)::INT AS start, (max(start + len(w)) - 1)::INT AS stop FROM placed GROUP BY doc_id, sent"""
 _WORDS = rf"""WITH cut AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '{PIECE.replace("'", "''").replace(")*+", ")*").replace(")++", ")+")}') AS p FROM conversations),
         each AS (SELECT conv_id, turn, generate_subscripts(p, 1) AS i, unnest(p) AS p FROM cut),
         body AS (SELECT *, regexp_replace(p, '^[\x09-\x0D\p{{Z}}]+', '') AS w, max(CASE WHEN regexp_matches(p, '[\p{{L}}\p{{M}}\p{{N}}_]') THEN i END) OVER r AS word, coalesce(max(CASE WHEN contains(p, '.') THEN i END) OVER r, 0) AS dot
@@ -360,7 +360,7 @@ _WORDS = rf"""WITH cut AS (SELECT conv_id, turn, regexp_extract_all(coalesce(tex
             ELSE [base || clitic || g, repeat('.', n - len(g))] END, lambda x: x <> '') AS f FROM glue),
         flat AS (SELECT conv_id, turn, i, gap, generate_subscripts(f, 1) AS j, unnest(f) AS form FROM forms),
         ends AS (SELECT *, sum(len(form) + CASE WHEN j = 1 THEN gap ELSE 0 END) OVER o AS stop, row_number() OVER o - 1 AS pos FROM flat WINDOW o AS (PARTITION BY conv_id, turn ORDER BY i, j))
-        SELECT conv_id, turn, pos::INT AS pos, form, (stop - len(form))::INT AS start, (stop - 1)::INT AS end FROM ends"""
+        SELECT conv_id, turn, pos::INT AS pos, form, (stop - len(form))::INT AS start, (stop - 1)::INT AS stop FROM ends"""
 QUERIES = {f.__name__: f for f in (sentence_split, sentence_counts, word_split, paragraph_tokens, bracket_rendering)}
 SQL: dict[str, str] = {
     "sentence_counts": _sentences_sql(_COUNTS),

@@ -102,10 +102,10 @@ def _spans(texts: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def mention_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, head_start, start, end, word, sentence, first, last of each mention: its head's word, the line it begins in, the words under it."""
+    """doc_id, head_start, start, stop, word, sentence, first, last of each mention: its head's word, the line it begins in, the words under it."""
     texts = spoken(spark, sf_dir)
     found = align_spans(span_mentions(texts), _spans(texts, "words", "word"), _spans(texts, "lines", "sentence"), ["doc_id"])
-    return found.select("doc_id", "head_start", "start", "end", "word", "sentence", "first", "last")
+    return found.select("doc_id", "head_start", "start", F.col("end").alias("stop"), "word", "sentence", "first", "last")
 
 
 def adjacent(mentions: DataFrame, keys: Sequence[str], touch: int = 0) -> DataFrame:
@@ -191,7 +191,7 @@ SQL = {
             FROM (SELECT *, 2 AS n, two AS size FROM s UNION ALL SELECT *, 3, three FROM s) a LEFT JOIN s b ON b.doc_id = a.doc_id AND b.sent = a.sent + 1 LEFT JOIN s c ON c.doc_id = a.doc_id AND c.sent = a.sent + 2)
         SELECT doc_id, n::INT AS n, gram, count(*) AS count FROM g WHERE gram IS NOT NULL GROUP BY ALL""",
     "mention_alignment": f"""{_MENTIONS}, {_placed_sql("lines", "\\n")}
-        SELECT doc_id, hs AS head_start, s AS start, e AS "end", (SELECT min(w.i) FROM words w WHERE w.doc_id = m.doc_id AND w.s <= hs AND hs <= w.e)::INT AS word,
+        SELECT doc_id, hs AS head_start, s AS start, e AS stop, (SELECT min(w.i) FROM words w WHERE w.doc_id = m.doc_id AND w.s <= hs AND hs <= w.e)::INT AS word,
             (SELECT min(l.i) FROM lines l WHERE l.doc_id = m.doc_id AND l.s <= m.s AND m.s <= l.e)::INT AS sentence, (SELECT min(w.i) FROM words w WHERE w.doc_id = m.doc_id AND w.s <= m.e AND m.s <= w.e)::INT AS first,
             (SELECT max(w.i) FROM words w WHERE w.doc_id = m.doc_id AND w.s <= m.e AND m.s <= w.e)::INT AS last FROM m""",
     "span_adjacency": f"""{_MENTIONS}, p AS (SELECT a.doc_id, a.kind AS first, b.kind AS second, a.entity = b.entity AS same,

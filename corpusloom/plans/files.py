@@ -75,11 +75,11 @@ def annotation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tagged_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, body, offset: the body of a tagged text and how many characters without tags are before it."""
+    """doc_id, body, before: the body of a tagged text and how many characters without tags are before it."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "[<>]", "")
     marked = F.concat(F.lit("<DOC>\n<ID> "), F.col("doc_id").cast("string"), F.lit(" </ID>\n<TEXT>"), F.regexp_replace(text, "\n", "<P>\n"), F.lit("</TEXT>\n</DOC>"))
     body, offset = tagged_body(F.col("marked"))
-    return table(spark, sf_dir, "documents").select("doc_id", marked.alias("marked")).select("doc_id", body.alias("body"), offset.alias("offset"))
+    return table(spark, sf_dir, "documents").select("doc_id", marked.alias("marked")).select("doc_id", body.alias("body"), offset.alias("before"))
 
 
 _SPLIT = r"regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+')"
@@ -94,5 +94,5 @@ SQL = {
     "annotation_files": f"""WITH {MENTIONS_SQL}, x AS (SELECT *, mtype || ' & <' || pred AS extent FROM mentions)
         SELECT doc, entity::VARCHAR AS entity, CASE WHEN entity % 2 = 0 THEN 'PER' ELSE 'ORG' END AS entity_type, 'm' || lpad(idx::VARCHAR, 6, '0') AS mention, mtype, mtype AS head, idx::BIGINT * 10 AS head_start,
             idx::BIGINT * 10 + len(mtype) - 1 AS head_end, extent, idx::BIGINT * 10 AS extent_start, idx::BIGINT * 10 + len(extent) - 1 AS extent_end FROM x""",
-    "tagged_texts": """SELECT doc_id, regexp_replace(coalesce(text, ''), '[<>]', '', 'g') AS body, (len(doc_id::VARCHAR) + 4)::INT AS offset FROM documents""",
+    "tagged_texts": """SELECT doc_id, regexp_replace(coalesce(text, ''), '[<>]', '', 'g') AS body, (len(doc_id::VARCHAR) + 4)::INT AS before FROM documents""",
 }

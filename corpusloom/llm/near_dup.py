@@ -166,7 +166,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _profiles(sets: DataFrame) -> DataFrame:
-    """_id, common, rare: how many elements of each set are in COMMON sets or more, and the others.
+    """_id, common, rare: how many elements of each set are in COMMON sets or more, and the others, in one order for all sets.
 
     Tasks send one count for each element and batch. The common elements, at most a COMMON-th of all, go to the
     executors if they are within the bound, and are joined otherwise.
@@ -198,7 +198,7 @@ def _profiles(sets: DataFrame) -> DataFrame:
 
     each = sets.select("id", "elements").mapInArrow(spread, "id long, e long")
     marked = each.join(often.withColumn("often", F.lit(True)), "e", "left").withColumn("often", F.coalesce("often", F.lit(False)))
-    return marked.groupBy(F.col("id").alias("_id")).agg(F.sum(F.col("often").cast("int")).alias("common"), F.collect_list(F.when(~F.col("often"), F.col("e"))).alias("rare"))
+    return marked.groupBy(F.col("id").alias("_id")).agg(F.sum(F.col("often").cast("int")).alias("common"), F.array_sort(F.collect_list(F.when(~F.col("often"), F.col("e")))).alias("rare"))
 
 
 def _starred(placed: DataFrame, fits, centres: int) -> DataFrame:
@@ -222,9 +222,10 @@ def _starred(placed: DataFrame, fits, centres: int) -> DataFrame:
 def _crossing(placed: DataFrame, sets: DataFrame, fits) -> DataFrame:
     """Pairs (a, b) of two components that may reach the similarity; `held` is a bucket's size.
 
-    In buckets of up to CROWD members, all pairs of the bucket. In larger ones a pair either shares a rare element, and is
-    found by it (an element of COMMON sets or more isn't rare, so none makes many pairs), or overlaps in common elements
-    alone; then both sets consist of them to PERCENT at least, and only such members of a bucket are paired.
+    In buckets of up to CROWD members, all pairs of the bucket. In larger ones a set is read with its rare elements first (those
+    in fewer than COMMON sets, so none makes many pairs), in one order for all sets. A pair that reaches the similarity shares
+    PERCENT of either set at least, so its first shared element is within the first 100 - PERCENT of each and one more. If that is rare, the
+    pair is found by it; if not, both sets consist of common elements to PERCENT, and only such members of a bucket are paired.
     """
     few, many = placed.where(F.col("held") <= CROWD).drop("held"), placed.where(F.col("held") > CROWD).drop("held")
     differ = F.col("comp") < F.col("other")
@@ -238,9 +239,9 @@ def _crossing(placed: DataFrame, sets: DataFrame, fits) -> DataFrame:
     profiles = saved(_profiles(sets.join(many.select("id").distinct(), "id", "left_semi")), "profiles")
     many = many.join(profiles, F.col("id") == F.col("_id")).drop("_id")
     enough = "7 * (least(common, common_a) + {}) >= 3 * (n + m)"  # the overlap of two sets of similarity 3/4, at most
-    each = many.dropDuplicates(["id"]).select("id", "n", "comp", "common", F.explode("rare").alias("element"))
-    by_rare = each.join(renamed(each), "element").where(differ & fits).groupBy("a", F.col("id").alias("b"), "n", "m", "common", "common_a").agg(F.count(F.lit(1)).alias("shared"))
-    by_rare = by_rare.where(F.expr(enough.format("shared"))).select("a", "b")
+    first = F.expr(f"cast(n - ceil({PERCENT} * n / 100) + 1 as int)")
+    each = many.dropDuplicates(["id"]).select("id", "n", "comp", F.explode(F.slice("rare", F.lit(1), first)).alias("element"))
+    by_rare = each.join(renamed(each), "element").where(differ & fits).select("a", F.col("id").alias("b")).distinct()
     plain = many.where(100 * F.col("common") >= PERCENT * F.col("n"))
     bound = F.expr(f"CASE WHEN {enough.format('least(size(rare), size(rare_a))')} THEN {enough.format('size(array_intersect(rare, rare_a))')} ELSE false END")
     by_common = plain.join(renamed(plain), "bucket").where(differ & fits & bound).select("a", F.col("id").alias("b"))
